@@ -1,0 +1 @@
+"""Column functions and the few pandas UDFs that have no built-in form."""

@@ -1,0 +1,20 @@
+"""The registered queries: an operator on its inputs, and the same in SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.plans import discovery, fields, jobs, scoring
+from quire.views import Inputs, with_views
+
+PLANS = discovery.PLANS | jobs.PLANS | fields.PLANS | scoring.PLANS
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir))) for name, (f, _) in PLANS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for name, (_, sql) in PLANS.items() if sql}
