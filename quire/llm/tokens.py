@@ -73,8 +73,6 @@ class UnitTokenizer:
         return [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
 
     def _learn(self, units: list) -> None:
-        if len(self.known) + len(units) > self.most:
-            self.known = {}
         if self.words:
             alone = [u for u in units if (w := u.decode()).isalpha() and w.lower().isalpha()]
         elif self.spaced:
@@ -105,17 +103,17 @@ class UnitTokenizer:
         return out
 
     def _encode(self, held: list[list], texts: list[str]) -> list[bytes]:
-        known = self.known
-        new = {u for units in held for u in units if u not in known}
+        new = {u for units in held for u in units if u not in self.known}
         odd = {u for u in new if self._odd(u)} if self.spaced else set()
         if odd:
             held = [units if odd.isdisjoint(units) else _INNER_SPACE.sub(_MARK + " ", text).split(_MARK) if _MARK not in text else [text] for units, text in zip(held, texts)]
-            new = {u for units in held for u in units if u not in known}
+            new = {u for units in held for u in units if u not in self.known}
             odd |= {u for u in new if self._odd(u)}
+        if len(self.known) + len(new) > self.most:  # begin anew with what this group needs
+            self.known = {}
+            new = {u for units in held for u in units}
         if new:
             self._learn(list(new))
-            if self.known is not known and (missing := {u for units in held for u in units if u not in self.known}):
-                self._learn(list(missing))
         get = self.known.__getitem__
         out = [b"".join(map(get, units)) for units in held]
         for u in odd:  # an odd unit stays unknown, so that the next text with it is noticed too

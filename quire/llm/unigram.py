@@ -222,8 +222,6 @@ class Unigram:
         return out
 
     def _learn(self, units: set[bytes]) -> None:
-        if len(self.known) + len(units) > self.most:
-            self.known = {}
         order = sorted(units, key=len)  # units of like length share their steps
         at = 0
         while at < len(order):
@@ -239,11 +237,12 @@ class Unigram:
             held.append(self._units(text))
             size += len(text)
             if size > _SLICE or i + 1 == len(texts):
-                if new := {u for units in held for u in units if u not in self.known}:
-                    before = self.known
+                new = {u for units in held for u in units if u not in self.known}
+                if len(self.known) + len(new) > self.most:  # begin anew with what this group needs
+                    self.known = {}
+                    new = {u for units in held for u in units}
+                if new:
                     self._learn(new)
-                    if self.known is not before and (new := {u for units in held for u in units if u not in self.known}):
-                        self._learn(new)
                 get = self.known.__getitem__
                 out += [b"".join(map(get, units)) for units in held]
                 held, size = [], 0
