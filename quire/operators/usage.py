@@ -18,7 +18,8 @@ PRICE_COLUMNS = "model string, valid_from date, valid_to date, min_input_tokens
 
 
 def _first(usage: Column | str, keys) -> Column:
-    return F.coalesce(*[F.greatest(F.floor(F.get_json_object(usage, f"$.{k}").cast("double")), F.lit(0)).cast("long") for k in keys], F.lit(0).cast("long"))
+    number = lambda k: F.floor(F.get_json_object(usage, f"$.{k}").cast("double")).cast("long")
+    return F.coalesce(*[F.when(number(k) < 0, 0).otherwise(number(k)) for k in keys], F.lit(0)).cast("long")
 
 
 def usage_from_responses(responses: DataFrame, json_col: str = "response") -> DataFrame:
@@ -93,7 +94,7 @@ def throttle_audit(requests: DataFrame, rpm: int) -> DataFrame:
     """For each request its gap to the one before, whether that is below 60000 / rpm ms, and its earliest allowed start (ms)."""
     gap = 60_000 // rpm
     order = W.partitionBy("job_id").orderBy("ts", "request_id")
-    ms = F.unix_millis("ts")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = requests.withColumn("__ms", ms).withColumn("__i", F.row_number().over(order) - 1)
     earliest = F.max(F.col("__ms") - F.col("__i") * gap).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("__i") * gap
     since = F.col("__ms") - F.lag("__ms").over(order)

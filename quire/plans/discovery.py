@@ -59,7 +59,7 @@ PLANS = {
     "d06_check_media": (lambda v: d.check_media(_media(v)), None),
     "d06_binary_pages": (lambda v: d.binary_pages(v("pages")).select("page_id", "binary"), """
         SELECT page_id, contains(html, chr(0)) OR length(html) - length(regexp_replace(html, '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F]', '', 'g')) > 0.01 * length(html) AS "binary" FROM pages"""),
-    "d07_check_budget": (lambda v: d.check_budget(v("files")), "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) <= 1000 AS files_ok, sum(size) <= 5120 * 1048576 AS bytes_ok FROM files"),
+    "d07_check_budget": (lambda v: d.check_budget(v("files")), "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) <= 1000 AS files_ok, sum(size) <= 5368709120 AS bytes_ok FROM files"),
     "d08_media_support": (lambda v: d.media_support(_mime(v), _providers(v)), """
         WITH m AS (SELECT path, CASE WHEN path LIKE '%.PDF' THEN 'application/pdf' WHEN path LIKE '%.png' THEN 'image/png' ELSE 'text/plain' END AS mime FROM files)
         SELECT path, provider, CASE WHEN mime = 'application/pdf' THEN pdfs <> 'false' ELSE images IS NULL OR list_contains(images, mime) END AS supported

@@ -129,7 +129,7 @@ PLANS = {
     "m01_markdown_sections": (lambda v: m.markdown_sections(v("md_docs")).select("doc_id", "section", "level", "heading", "is_title", F.array_join("lines", "\n").alias("body")), """
         SELECT doc_id, 1::BIGINT AS section, 1 AS level, concat('Invoice ', CAST(doc_id AS VARCHAR)) AS heading, true AS is_title, substr(text, strpos(text, chr(10)) + 1) AS body FROM md_docs"""),
     "m02_sections_to_markdown": (lambda v: m.sections_to_markdown(_sections(v)), """
-        SELECT doc_id, string_agg(concat(repeat('#', CAST(least(6, 1 + row_no) AS INT)), ' ', column_name, chr(10), chr(10), value), concat(chr(10), chr(10)) ORDER BY row_no) AS text FROM ref_cells WHERE column_name = 'quantity' GROUP BY doc_id"""),
+        SELECT doc_id, string_agg(concat(repeat('#', CAST(least(6, 1 + row_no) AS INT)), ' ', column_name, chr(10), chr(10), value), concat(chr(10), chr(10)) ORDER BY row_no, concat(repeat('#', CAST(least(6, 1 + row_no) AS INT)), value)) AS text FROM ref_cells WHERE column_name = 'quantity' GROUP BY doc_id"""),
     "m03_table_cells": (_cells, f"WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text, is_heading FROM cells"),
     "m04_html_table_cells": (lambda v: m.html_table_cells(v.sql("SELECT page_id AS doc_id, concat(html, '<table><tr><th colspan=2>h</th></tr><tr><td rowspan=\"2\">a', CAST(page_id AS VARCHAR(20)), '</td><td>b</td></tr><tr><td>c&amp;d</td></tr></table>') AS html FROM pages")), """
         SELECT page_id AS doc_id, 1 AS table_no, cell_id, row_no, col_no, CASE WHEN cell_id = 2 THEN concat('a', CAST(page_id AS VARCHAR)) ELSE t END AS text, row_no = 0 AS is_heading FROM pages

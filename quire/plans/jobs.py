@@ -90,7 +90,7 @@ PLANS = {
           coalesce(bool_or(NOT reported AND skip_reason IS NULL) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM results"""),
     "u08_cumulative_usage": (lambda v: u.cumulative_usage(v("usage_log").where("request_id % 2 = 0"), v("usage_log").where("request_id % 2 = 1")), "SELECT job_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) AS requests FROM usage_log GROUP BY job_id"),
     "u09_throttle_audit": (lambda v: u.throttle_audit(v("usage_log"), 60), """
-        WITH x AS (SELECT job_id, request_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY job_id ORDER BY ts, request_id) - 1 AS i FROM usage_log)
+        WITH x AS (SELECT job_id, request_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY job_id ORDER BY ts, request_id) - 1 AS i FROM usage_log)
         SELECT job_id, request_id, ms - lag(ms) OVER w AS since_ms, coalesce(ms - lag(ms) OVER w < 1000, false) AS too_soon, max(ms - i * 1000) OVER (PARTITION BY job_id ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 1000 AS earliest_ms FROM x WINDOW w AS (PARTITION BY job_id ORDER BY i)"""),
     "w01_filter_urls": (lambda v: w.filter_urls(v("url_list")), f"""
         SELECT pos, url, CASE WHEN lower(split_part(url, ':', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN {_HOST} = 'localhost' THEN 'loopback' WHEN {_HOST} LIKE '10.%' THEN 'private-address' WHEN {_HOST} LIKE '%.ngrok.io' THEN 'tunnel' END AS reason FROM url_list"""),

@@ -43,7 +43,7 @@ def _layouts(v: Inputs):
 
 def _table_tests(v: Inputs):
     cells = m.table_cells(v("md_docs"))
-    tests = v.sql("SELECT l_orderkey AS test_id, l_orderkey AS doc_id, 'table' AS type, CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) AS cell, CAST(NULL AS STRING) AS up, CAST(NULL AS STRING) AS down, CASE WHEN l_orderkey % 5 = 0 THEN '9' ELSE '1' END AS left, CAST(NULL AS STRING) AS right, 'quantity' AS top_heading, CAST(NULL AS STRING) AS left_heading, 0 AS max_diffs FROM lineitem WHERE l_linenumber = 1")
+    tests = v.sql("SELECT l_orderkey AS test_id, l_orderkey AS doc_id, 'table' AS type, max(CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS cell, CAST(NULL AS STRING) AS up, CAST(NULL AS STRING) AS down, CASE WHEN l_orderkey % 5 = 0 THEN '9' ELSE '1' END AS left, CAST(NULL AS STRING) AS right, 'quantity' AS top_heading, CAST(NULL AS STRING) AS left_heading, 0 AS max_diffs FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey")
     return e.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))
 
 
@@ -78,7 +78,7 @@ PLANS = {
     "e07_order_tests": (lambda v: e.order_tests(v.sql("SELECT doc_id AS test_id, doc_id, 'order' AS type, substr(reference, 3, 4) AS before, substr(reference, 30, 5) AS after FROM text_pairs WHERE length(reference) > 60"), v.sql(_OUT)), """
         WITH x AS (SELECT doc_id, reference AS r, substr(reference, 3, 4) AS b, substr(reference, 30, 5) AS a FROM text_pairs WHERE length(reference) > 60)
         SELECT doc_id AS test_id, doc_id, strpos(r, b) < length(r) - strpos(reverse(r), reverse(a)) - length(a) + 2 AS passed FROM x"""),
-    "e08_table_tests": (_table_tests, "SELECT l_orderkey AS test_id, l_orderkey AS doc_id, l_orderkey % 5 <> 0 AS passed FROM lineitem WHERE l_linenumber = 1"),
+    "e08_table_tests": (_table_tests, "SELECT l_orderkey AS test_id, l_orderkey AS doc_id, l_orderkey % 5 <> 0 AS passed FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey"),
     "e09_unit_pass_rate": (lambda v: e.unit_pass_rate(_docs(v), v.sql("SELECT o_orderkey AS doc_id, o_custkey % 3 = 0 AS passed FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderkey % 6 = 0")), """
         SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 0 THEN (1 + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) / 2 WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END::DOUBLE AS unit_pass_rate FROM orders"""),
     "e10_run_assertions": (_assertions, """
