@@ -7,7 +7,7 @@ chunks are summed, and (bad - good) / (bad + good) is calibrated to a probabilit
 texts that built no dictionary.
 
 The fit uses a bounded sample: ``fit_rows`` labelled rows of each class with the smallest hashes of their
-text and ``fit_chars`` code points of each, half of them for the dictionaries, half for the calibration.
+id and ``fit_chars`` code points of each, half of them for the dictionaries, half for the calibration.
 Scoring covers every row and its whole text.
 
 Defined cases: null or empty text has feature 0 and gets the calibrated score of that. Repeated rows
@@ -100,13 +100,16 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
     """Learn from labelled rows that are not held out. Class weights even out unequal numbers."""
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null").where(~held_out()).distinct()
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text is not null and text <> ''").join(wanted, "doc_id")
-    mark = joined.select("quality", F.xxhash64("text").alias("h"), "text").distinct()
+    known = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"))
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null").where(~held_out())
+    usable = usable.join(known, "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality")
+    # a bounded sample of ids: the smallest hashes, fit_rows of each class; only their texts are then fetched
+    chosen = [tuple(r) for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy("h", "doc_id").limit(fit_rows).collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, "h long, doc_id long, quality int").distinct()
     begin = F.pmod("h", F.greatest(F.length("text") - fit_chars, F.lit(0)) + 1) + 1  # a stretch anywhere in the text
-    mark = mark.select("quality", "h", F.substring("text", begin.cast("int"), F.lit(fit_chars)).alias("text"))
-    # a bounded sample: the smallest hashes, fit_rows of each class
-    rows = {q: [r["text"].encode() for r in mark.where(F.col("quality") == q).orderBy("h", "text").limit(fit_rows).collect()] for q in (0, 1)}
+    texts = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    found = texts.select("quality", "h", F.substring("text", begin.cast("int"), F.lit(fit_chars)).alias("text")).collect()
+    rows = {q: [t.encode() for _, t in sorted({(r["h"], r["text"]) for r in found if r["quality"] == q})] for q in (0, 1)}
     if min(len(rows[0]), len(rows[1])) < LEAST_CLASS:
         return Model(b"", b"", empty=True)
     model = Model(dictionary(rows[1][::2]), dictionary(rows[0][::2]))

@@ -329,15 +329,17 @@ def test_unigram_equals_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     rows = [(d, t) for d, t in corpus() if len(t or "") < 9000] + [(900, "Hello  wörld\n日本 語 ok 😀"), (901, "  lead and trail  "), (902, "▁ marker"), (903, "\x01\x02")]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    d = frame(spark, rows).unionByName(docs.select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars").toDF(*docs.columns))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).select((F.monotonically_increasing_id() + 1000).alias("doc_id"), "text", F.lit("").alias("lang"), F.lit("").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    d = frame(spark, rows + [(r["doc_id"], r["text"]) for r in lines.collect()])
     text = {r["doc_id"]: r["text"] or "" for r in d.collect()}
     got = unigram.encode(d, path).collect()
-    differ = [r["doc_id"] for r in got if list(r["ids"]) != lib.encode(text[r["doc_id"]])]
-    model = unigram.Unigram(unigram.load_pieces(path))
-    score = lambda ids: sum(model.scores[i] if i > 258 else 0 for i in ids)
-    # the library adds in single precision: only texts long enough for that to round may differ, and never for the better
-    assert all(len(text[i]) > 1500 and score(next(r["ids"] for r in got if r["doc_id"] == i)) >= score(lib.encode(text[i])) - 1e-6 for i in differ)
-    assert len(differ) < len(got) / 20
+    model, compared = unigram.Unigram(unigram.load_pieces(path)), 0
+    for r in got:
+        # the library adds in single precision: whole numbers below 2^24 are exact there, byte pieces (-1e9) are not
+        exact = min(r["ids"], default=999) > 258 and sum(-model.scores[i] for i in r["ids"]) < 1 << 24
+        compared += exact
+        assert not exact or list(r["ids"]) == lib.encode(text[r["doc_id"]])
+    assert compared > 0.8 * len(got)
     back = {r["doc_id"]: r["text"] for r in unigram.decode(unigram.encode(d, path), path).collect()}
     assert all(back[i] == t.replace("▁", " ") for i, t in text.items())
     assert unigram.encode(d.limit(0), path).count() == 0
