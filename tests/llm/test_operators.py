@@ -329,17 +329,18 @@ def test_unigram_equals_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     rows = [(d, t) for d, t in corpus() if len(t or "") < 9000] + [(900, "Hello  wörld\n日本 語 ok 😀"), (901, "  lead and trail  "), (902, "▁ marker"), (903, "\x01\x02")]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).select((F.monotonically_increasing_id() + 1000).alias("doc_id"), "text", F.lit("").alias("lang"), F.lit("").alias("source"), F.lit(0).cast("long").alias("n_chars"))
-    d = frame(spark, rows + [(r["doc_id"], r["text"]) for r in lines.collect()])
+    parts = docs.select(F.explode(F.split("text", r"\s+")).alias("text")).distinct().limit(4000).collect()
+    d = frame(spark, rows + [(1000 + i, r["text"]) for i, r in enumerate(parts)])
     text = {r["doc_id"]: r["text"] or "" for r in d.collect()}
     got = unigram.encode(d, path).collect()
-    model, compared = unigram.Unigram(unigram.load_pieces(path)), 0
+    model, same = unigram.Unigram(unigram.load_pieces(path)), 0
+    score = lambda ids: sum(model.scores[i] for i in ids)
     for r in got:
-        # the library adds in single precision: whole numbers below 2^24 are exact there, byte pieces (-1e9) are not
-        exact = min(r["ids"], default=999) > 258 and sum(-model.scores[i] for i in r["ids"]) < 1 << 24
-        compared += exact
-        assert not exact or list(r["ids"]) == lib.encode(text[r["doc_id"]])
-    assert compared > 0.8 * len(got)
+        theirs = lib.encode(text[r["doc_id"]])
+        same += list(r["ids"]) == theirs
+        # never worse than the library, which adds in single precision; texts with byte pieces (-1e9) can't be compared so
+        assert min([*r["ids"], *theirs], default=999) <= 258 or score(r["ids"]) >= score(theirs)
+    assert same > 0.97 * len(got)
     back = {r["doc_id"]: r["text"] for r in unigram.decode(unigram.encode(d, path), path).collect()}
     assert all(back[i] == t.replace("▁", " ") for i, t in text.items())
     assert unigram.encode(d.limit(0), path).count() == 0
