@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import write_table
+from quire.llm.shared import as_bytes, write_table
 from quire.llm.tokens import tokenizer
 
 MAX_TOKENS = 1024
@@ -49,10 +49,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[list] = [[] for _ in names]
-            for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.encode(texts)):
-                ids += end
+            for doc_id, own_ids in zip(batch.column(0).to_pylist(), encoder.encode_array(batch.column(1))):
+                ids = own_ids.tobytes() + end
                 at, key = 0, zlib.crc32(ids, zlib.crc32(str(doc_id).encode()))
                 for i, n in enumerate(cut_lengths(len(ids) // 4, max_tokens)):
                     own = ids[4 * at : 4 * (at + n)]
@@ -63,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, item long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int] = (MAX_TOKENS, MAX_DOCUMENTS, MAX_ATTENTION),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.files import reading, task_file, writing
-from quire.llm.shared import drop_table, write_table
+from quire.llm.shared import as_bytes, drop_table, write_table
 from quire.llm.tokens import tokenizer
 
 WINDOW = 8
@@ -89,8 +89,8 @@ def _recipes_and_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> Da
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 rows: list[tuple] = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    raw += end
+                for doc_id, own in zip(part.column(0).to_pylist(), encoder.encode_array(part.column(1))):
+                    raw = own.tobytes() + end
                     ids, at, recipe = np.frombuffer(raw, "<u4"), 0, []
                     for to in cuts(ids):
                         data = ids[at:to].astype(width).tobytes()
@@ -104,7 +104,7 @@ def _recipes_and_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> Da
                     rows.append((None, None, len(ids), doc_id, b"".join(recipe), merkle(recipe), zlib.crc32(raw)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "name binary, payload binary, n long, doc_id long, recipe binary, root binary, crc long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).mapInArrow(run, "name binary, payload binary, n long, doc_id long, recipe binary, root binary, crc long")
 
 
 def _store_chunks(rows: DataFrame, folder: str) -> DataFrame:

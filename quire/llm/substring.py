@@ -31,73 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.hashing import BYTE, ODD, SPACE, Powers, spans, word_bounds
 from quire.llm.shared import as_bytes, data, drop_table, mix64, offsets, slices, write_table
 
 WINDOW = 13
 GRAM = 3
 _SLICE = 1 << 20
 _WORDS = 1 << 18  # words looked at together; a longer document goes in overlapping parts
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
-
-
-class _Powers:
-    """Powers of an odd base modulo 2^64, and of its inverse, as far as they were asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up, self.down = (np.concatenate([x, x * np.uint64(pow(b, k, 1 << 64))]) for x, b in ((self.up, self.base), (self.down, self.inverse)))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _CONTENT = _Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F)
-_WINDOWS = (_Powers(0xE7037ED1A0B428DB), _Powers(0x8EBC6AF09C88C6E3))
-
-
-def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Hash of values[start:end] for each pair, from one running polynomial sum."""
-    up, down = powers.to(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
-
-
-def word_bounds(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes that hold documents; ``cut``: where documents begin, in order."""
-    if not len(text):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SPACE[text]
-    edge = word.copy()
-    edge[1:] &= ~word[:-1]
-    cut = cut[cut < len(text)]
-    edge[cut] = word[cut]
-    start = np.flatnonzero(edge)
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    before = cut[cut > 0] - 1
-    last[before] = word[before]
-    return start, np.flatnonzero(last) + 1
+_BYTES, _CONTENT = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
+_WINDOWS = (Powers(0xE7037ED1A0B428DB), Powers(0x8EBC6AF09C88C6E3))
 
 
 def _hashed(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, word lengths, and the first word of each document (one more at the end)."""
     if len(text) <= 2 * _SLICE or len(off) > 2:
         start, end = word_bounds(text, off[:-1])
-        return _spans(_BYTE[text], start, end, _BYTES), end - start, np.searchsorted(start, off)
+        return spans(BYTE[text], start, end, _BYTES), end - start, np.searchsorted(start, off)
     hashes, sizes, at = [], [], 0
-    spaces = np.flatnonzero(_SPACE[text])
+    spaces = np.flatnonzero(SPACE[text])
     while at < len(text):
         k = np.searchsorted(spaces, at + _SLICE)
         to = int(spaces[k]) if k < len(spaces) else len(text)
         start, end = word_bounds(text[at:to], np.zeros(1, np.int64))
-        hashes.append(_spans(_BYTE[text[at:to]], start, end, _BYTES))
+        hashes.append(spans(BYTE[text[at:to]], start, end, _BYTES))
         sizes.append(end - start)
         at = to
     h = np.concatenate(hashes)
@@ -110,7 +66,7 @@ def _paths(h: np.ndarray, size: np.ndarray, first: np.ndarray, k: int):
     none = np.zeros(0, np.int64)
     if n < k:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    gram = mix64(h[:-2] * _ODD + mix64(h[1:-1] + np.uint64(1)) + mix64(h[2:] * np.uint64(3)))
+    gram = mix64(h[:-2] * ODD + mix64(h[1:-1] + np.uint64(1)) + mix64(h[2:] * np.uint64(3)))
     long = np.minimum(size[:-2] + size[1:-1] + size[2:], 16).astype(np.uint64)
     key = (np.uint64(63) - long) << np.uint64(58) | gram >> np.uint64(30) << np.uint64(24) | np.arange(n - 2, dtype=np.uint64)
     least, reach, want = key, 1, k - GRAM + 1  # the least key of `want` grams in a row, by doubling
@@ -127,7 +83,7 @@ def _paths(h: np.ndarray, size: np.ndarray, first: np.ndarray, k: int):
     new = np.r_[True, (np.diff(window) > 1) | (np.diff(at[window]) != 0)]
     begin = window[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(window)])
-    return doc[begin], begin, count, gram[at[begin]], _spans(h, begin, begin + count + k - 1, _CONTENT)
+    return doc[begin], begin, count, gram[at[begin]], spans(h, begin, begin + count + k - 1, _CONTENT)
 
 
 def _documents(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -176,7 +132,7 @@ def _edges(docs: DataFrame, k: int) -> DataFrame:
                 count = place & 15
                 inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(place >> 4 & 0xFFFFFFFF, count) + inner
-                two = [pa.array(_spans(h, at, at + k, p).view(np.int64)) for p in _WINDOWS]
+                two = [pa.array(spans(h, at, at + k, p).view(np.int64)) for p in _WINDOWS]
                 tag = int(place[0]) >> 36 if len(place) else 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[r].as_py(), np.int64)), pa.array(tag << 36 | at << 4 | 1), *two], names=["doc_id", "place", "k1", "k2"])
 

@@ -1,29 +1,67 @@
 """Token ids of whole texts by a tokenizer file of the ``tokenizers`` library, with a cache of units.
 
 A unit is a stretch of text that the tokenizer's own rules can never join with its neighbours, so the
-ids of a text are those of its units, one after the other. A distinct unit is encoded by the library
-once per worker, as long as it stays in a cache of bounded size; units not yet known are encoded many
-at a time, in one text where their ids can be told apart again.
+ids of a text are those of its units, one after the other. Texts are cut and their units looked up in
+arrays; the library encodes a unit once per worker, as long as it stays in a cache of bounded size.
+A unit is told by 64 bits of hash, its length and its first eight bytes.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from quire.llm.hashing import BYTE, SPACE, Powers, spans, word_bounds
+from quire.llm.shared import data, offsets, slices
 
 CACHE_UNITS = 1_000_000
-_SLICE = 1 << 20
-_TOGETHER = 2000
-_MARK = "\0"
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+CACHE_IDS = 1 << 24
+_POWERS = Powers(0xC2B2AE3D27D4EB4F)
+_BLANK = SPACE.copy()
+_BLANK[0x1C:0x20] = True
+#: fixed values: white space beyond ASCII, as UTF-8
+_WIDE = [c.encode() for c in "\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"]
+_TWO = np.array(sorted(int.from_bytes(c, "big") for c in _WIDE if len(c) == 2))
+_THREE = np.array(sorted(int.from_bytes(c, "big") for c in _WIDE if len(c) == 3))
+_TOGETHER = 2000  # units encoded in one text
+_LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_DIGIT[0x30:0x3A] = True
+_NO_LETTERS = np.array([int.from_bytes(c.encode(), "big") for c in "×÷İ"])  # between U+00C0 and U+024F: two signs, and one whose lower case is two characters
+
+
+def space_bounds(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of units: documents, cut before each single space between two characters that are not white space."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(text == 0x20)
+    at = at[(at > 0) & (at < n - 1)]
+    at = at[~_BLANK[text[at - 1]] & ~_BLANK[text[at + 1]]]
+    pad = np.r_[np.zeros(3, np.uint8), text, np.zeros(4, np.uint8)].astype(np.int64)  # pad[i + 3] is text[i]
+    high = np.flatnonzero((text[at + 1] >= 0xC2) | (text[at - 1] >= 0x80))
+    p = at[high] + 3
+    before2, after2 = pad[p - 2] << 8 | pad[p - 1], pad[p + 1] << 8 | pad[p + 2]
+    wide = np.isin(before2, _TWO) | np.isin(after2, _TWO) | np.isin(pad[p - 3] << 16 | before2, _THREE) | np.isin(after2 << 8 | pad[p + 3], _THREE)
+    at = np.delete(at, high[wide])
+    inner = np.zeros(n + 1, bool)
+    inner[at] = True
+    inner[cut] = True  # a document's own start; a space there leads no unit but is the document's first character
+    edge = np.zeros(n + 1, bool)
+    edge[cut] = True
+    last = np.zeros(n + 1, bool)  # a space at a document's very end stays in its unit
+    last[cut[cut > 0] - 1] = True
+    inner &= edge | ~last | (np.arange(n + 1) >= n)
+    start = np.flatnonzero(inner[:n])
+    return start, np.r_[start[1:], n]
 
 
 class UnitTokenizer:
-    """Encodes texts with a tokenizer file; ids come back as little-endian unsigned 32-bit bytes.
+    """Encodes texts with a tokenizer file.
 
     How units are cut follows from the file's pre-tokenizer. Byte-level with its own pattern (a space may
     lead a token): before single spaces between two other characters. A pattern that drops white
@@ -41,84 +79,157 @@ class UnitTokenizer:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
         steps = kind.get("pretokenizers", [kind])
-        suffix = spec["model"].get("end_of_word_suffix")
-        self.words = any(s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed" for s in steps)
+        self.words = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex", True)
         self.spaced = len(steps) == 1 and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin a unit (spaced) or end a word (words)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.words = self.words and bool(suffix) and [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.spaced = self.spaced and spec.get("normalizer") is None
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if self.spaced else bool(suffix) and t.endswith(suffix))]] = True
         self.most = cache
-        self.known: dict = {}
+        self.slots = 1 << max(12, (4 * cache).bit_length())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.count, self.used = 0, 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.length, self.size, self.head = (np.zeros(1 << 14, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of hashes, -1 for unknown ones; linear probing in arrays."""
+        out, todo = np.full(len(h), -1, np.int64), np.arange(len(h))
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self.entry[slot[hit]]
+            on = ~hit & (key != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
+        return out
 
-    def _cut(self, text: str) -> list:
-        if self.words:
-            return text.encode().split()
-        if not self.spaced or _MARK in text:
-            return [text]
-        return text.replace(" ", _MARK + " ").split(_MARK)
-
-    def _plain(self, units: list) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast([u.decode() if isinstance(u, bytes) else u for u in units], add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in out]
-
-    def _joined(self, units: list) -> list[bytes]:
-        """Ids of units that hold one token edge each, encoded as one text."""
-        text = b" ".join(units).decode() if self.words else "".join(units)
-        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.edge[ids])
-        if len(at) != len(units):
-            return self._plain(units)
-        raw = ids.tobytes()
-        bounds = ([0, *(at + 1).tolist()] if self.words else [*at.tolist(), len(ids)])
-        return [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
-
-    def _learn(self, units: list) -> None:
+    def _insert(self, h: np.ndarray, entries: np.ndarray) -> None:
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            mine = free & (self.keys[slot] == h)
+            self.entry[slot[mine]] = entries[mine]
+            h, entries, slot = h[~mine], entries[~mine], (slot[~mine] + 1) & (self.slots - 1)
+
+    def _edges(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many tokens of each unit will be an edge (lead with a space, or end a word); 0 where that isn't plain to see."""
+        before = lambda flag: np.r_[0, np.cumsum(flag)]
+        if self.spaced:
+            spaces = before(text == 0x20)
+            return np.where((text[start] == 0x20) & (end - start > 1) & (spaces[end] - spaces[start] == 1), 1, 0)
+        kind = np.where(_LETTER[text], 0, np.where(_DIGIT[text], 1, 2))
+        part = (text & 0xC0) == 0x80  # a second byte belongs to the letter before it
+        two = np.r_[text[:-1].astype(np.int64) << 8 | text[1:], 0] if len(text) else np.zeros(0, np.int64)
+        odd = (text == 0x27) | (text >= 0xCA) | (text == 0xC2) | np.isin(two, _NO_LETTERS)
+        kind[(text >= 0xC3) & (text < 0xCA) | part] = 0
+        new = (kind == 1) | np.r_[True, kind[1:] != kind[:-1]]
+        new[start] = True
+        runs, strange = before(new & ~part), before(odd)
+        return np.where(strange[end] == strange[start], runs[end] - runs[start], 0)
+
+    def _encode_units(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit). Units whose edges are known in advance go to the library many in one text."""
+        raw, known = text.tobytes(), self._edges(text, start, end) if self.words or self.spaced else np.zeros(len(start), np.int64)
+        own: list = [None] * len(start)
+        plain = np.flatnonzero(known == 0).tolist()
+        joined = np.flatnonzero(known > 0)
+        glue = b" " if self.words else b""
+        for i in range(0, len(joined), _TOGETHER):
+            part = joined[i : i + _TOGETHER]
+            units = glue.join([raw[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())]).decode()
+            ids = np.asarray(self.tokenizer.encode_batch_fast([units], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != known[part].sum():
+                plain += part.tolist()
+                continue
+            last = np.cumsum(known[part])
+            bounds = np.r_[0, at[last - 1] + 1] if self.words else np.r_[at, len(ids)]
+            for k, a, b in zip(part.tolist(), bounds.tolist(), bounds[1:].tolist()):
+                own[k] = ids[a:b]
+        encoded = self.tokenizer.encode_batch_fast([raw[start[k] : end[k]].decode() for k in plain], add_special_tokens=False)
+        for k, e in zip(plain, encoded):
+            own[k] = np.asarray(e.ids, np.uint32)
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        return np.concatenate(own) if own else np.zeros(0, np.uint32), n
+
+    def _learn(self, text: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
+        ids, n = self._encode_units(text, start, end)
+        new, total = len(h), len(ids)
+        while len(self.start) < self.count + new:
+            for name in ("start", "length", "size", "head"):
+                setattr(self, name, np.r_[getattr(self, name), np.zeros_like(getattr(self, name))])
+        while len(self.flat) < self.used + total:
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        own = slice(self.count, self.count + new)
+        self.start[own], self.length[own], self.size[own], self.head[own] = self.used + np.cumsum(n) - n, n, end - start, head
+        self.flat[self.used : self.used + total] = ids
+        self._insert(h, np.arange(self.count, self.count + new))
+        self.count, self.used = self.count + new, self.used + total
+
+    def _slice(self, text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents in these bytes, and where each begins (one more at the end)."""
         if self.words:
-            alone = [u for u in units if (w := u.decode()).isalpha() and w.lower().isalpha()]
+            start, end = word_bounds(text, off[:-1])
         elif self.spaced:
-            alone = [u for u in units if u[:1] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace()]
+            start, end = space_bounds(text, np.unique(off))
         else:
-            alone = []
-        for i in range(0, len(alone), _TOGETHER):
-            self.known.update(zip(part := alone[i : i + _TOGETHER], self._joined(part)))
-        rest = [u for u in units if u not in self.known]
-        self.known.update(zip(rest, self._plain(rest)))
-
-    def _odd(self, unit: str) -> bool:
-        """A unit cut at a space that has white space beside it: the text is cut again with care."""
-        inner = unit[1:] if unit[:1] == " " else unit
-        return not inner or inner[0].isspace() or inner[-1].isspace()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, texts taken in groups of bounded size."""
-        out: list[bytes] = []
-        held: list[list] = []
-        size = first = 0
-        for i, text in enumerate(texts):
-            held.append(self._cut(text))
-            size += len(text)
-            if size > _SLICE or i + 1 == len(texts):
-                out += self._encode(held, texts[first : i + 1])
-                held, size, first = [], 0, i + 1
+            start, end = off[:-1][np.diff(off) > 0], off[1:][np.diff(off) > 0]
+        h = spans(BYTE[text], start, end, _POWERS) | np.uint64(1)
+        pad = np.r_[text, np.zeros(8, np.uint8)]
+        eight = np.lib.stride_tricks.sliding_window_view(pad, 8)[start]
+        head = np.ascontiguousarray(np.where(np.arange(8) < (end - start)[:, None], eight, 0)).view(np.uint64).ravel() if len(start) else np.zeros(0, np.uint64)
+        for attempt in (0, 1):
+            at = self._find(h)
+            known = at >= 0
+            known[known] = (self.size[at[known]] == (end - start)[known]) & (self.head[at[known]] == head[known])
+            if known.all() or attempt:
+                break
+            _, first = np.unique(h[~known], return_index=True)
+            first = np.flatnonzero(~known)[first]
+            if self.count + len(first) > self.most or self.used > CACHE_IDS:  # begin anew with what this slice needs
+                self._clear()
+                first = np.unique(h, return_index=True)[1]
+            self._ensure(len(first))
+            self._learn(text, h[first], start[first], end[first], head[first])
+        n = np.where(known, self.length[at], 0)
+        if not known.all():  # units that share a hash with others: rare, encoded on their own
+            odd = np.flatnonzero(~known)
+            own, n[odd] = self._encode_units(text, start[odd], end[odd])
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = np.zeros(total, np.uint32)
+        pick = np.repeat(known, n)
+        ids[pick] = self.flat[(np.arange(total) + np.repeat(self.start[at] - (stop - n), n))[pick]]
+        if not known.all():
+            ids[~pick] = own
+        return ids, np.r_[0, stop][np.searchsorted(start, off)]
+
+    def _ensure(self, new: int) -> None:
+        """A slice with more units than the table was made for gets a larger one."""
+        while 2 * (self.count + new) > self.slots:
+            keys, entry = self.keys[self.keys != 0], self.entry[self.keys != 0]
+            self.slots *= 2
+            self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+            self._insert(keys, entry)
+
+    def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a binary array, taken in slices of bounded size."""
+        raw, off = data(texts), offsets(texts).astype(np.int64)
+        out: list[np.ndarray] = []
+        for i, j in slices(texts):
+            ids, at = self._slice(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            out += [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
         return out
 
-    def _encode(self, held: list[list], texts: list[str]) -> list[bytes]:
-        new = {u for units in held for u in units if u not in self.known}
-        odd = {u for u in new if self._odd(u)} if self.spaced else set()
-        if odd:
-            held = [units if odd.isdisjoint(units) else _INNER_SPACE.sub(_MARK + " ", text).split(_MARK) if _MARK not in text else [text] for units, text in zip(held, texts)]
-            new = {u for units in held for u in units if u not in self.known}
-            odd |= {u for u in new if self._odd(u)}
-        if len(self.known) + len(new) > self.most:  # begin anew with what this group needs
-            self.known = {}
-            new = {u for units in held for u in units}
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, units)) for units in held]
-        for u in odd:  # an odd unit stays unknown, so that the next text with it is noticed too
-            self.known.pop(u, None)
-        return out
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_array(pa.array([t.encode() for t in texts], pa.binary()))
 
 
 @lru_cache(maxsize=4)
