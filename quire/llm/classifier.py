@@ -2,22 +2,24 @@
 
 Two Zstandard dictionaries, one of good and one of bad labelled text, are raw material for the same
 compressor: a text like the good ones comes out smaller with the good dictionary. The whole text is
-compressed in chunks (so that a long text cannot serve as its own dictionary), the sizes of all
-chunks are summed, and (bad - good) / (bad + good) is calibrated to a probability on labelled
-texts that built no dictionary.
+compressed in chunks (so that a long text cannot serve as its own dictionary) and the sizes of all
+chunks are summed. The normalised difference (bad - good) / (bad + good), read beside how far the text
+compresses at all and how long it is, is calibrated to a probability: a logistic curve in these three and
+their products, fitted on labelled texts that built no dictionary, at the labels' own class shares.
 
 The fit uses a bounded sample: ``fit_rows`` labelled rows of each class with the smallest hashes of their
 id and ``fit_chars`` code points of each, half of them for the dictionaries, half for the calibration.
 Scoring covers every row and its whole text.
 
-Defined cases: null or empty text has feature 0 and gets the calibrated score of that. Repeated rows
+Defined cases: null or empty text has features 0 and gets the calibrated score of those. Repeated rows
 get the same score. Without labels of both classes every score is 0.5. Only ``doc_id`` and ``text`` are read;
 ``labels`` rows with null quality or without a document are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +32,10 @@ from quire.llm.shared import as_bytes
 
 FIT_ROWS = 1500
 FIT_CHARS = 4000
-DICTIONARY_BYTES = 1 << 17
-CHUNK = 4096
+DICTIONARY_BYTES = 1 << 15
+CHUNK = 1024
 LEVEL = 3
+RIDGE = 1e-4
 LEAST_CLASS = 2
 
 
@@ -42,9 +45,13 @@ class Model:
 
     good: bytes
     bad: bytes
-    slope: float = 0.0
-    intercept: float = 0.0
-    empty: bool = False
+    weights: np.ndarray | None = None  # of the standardised terms, the last one of the constant
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
+
+    @property
+    def empty(self) -> bool:
+        return self.weights is None
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         kinds = (zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad))
@@ -54,17 +61,31 @@ class Model:
             out.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         return out
 
-    def probability(self, feature: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * feature + self.intercept, -30, 30)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        """Of label 1, from rows of :func:`features`."""
+        x = (terms(features) - self.mean) / self.spread
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+    def scores(self, texts: Iterable[bytes]) -> np.ndarray:
+        texts = list(texts)
+        if self.empty or not texts:
+            return np.full(len(texts), 0.5)
+        tools = self.compressors()
+        return self.probability(np.array([features(t, tools) for t in texts]))
 
 
-def feature(text: bytes, compressors: list) -> float:
-    """(bad - good) / (bad + good) of the compressed sizes over the whole text."""
+def features(text: bytes, compressors: list) -> tuple[float, float, float]:
+    """Normalised difference of the compressed sizes over the whole text, share that the good dictionary leaves, log length."""
     if not text:
-        return 0.0
+        return 0.0, 0.0, 0.0
     parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
     good, bad = (sum(len(c.compress(p)) for p in parts) for c in compressors)
-    return (bad - good) / (bad + good)
+    return (bad - good) / (bad + good), good / len(text), math.log1p(len(text))
+
+
+def terms(features: np.ndarray) -> np.ndarray:
+    d, r, n = features.T
+    return np.stack([d, r, n, d * d, r * r, n * n, d * r, d * n, r * n], axis=1)
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -75,22 +96,21 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICTIONARY_BYTES:]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a ridge-damped logistic regression, by Newton's method."""
-    spread = float(x.std()) or 1.0
-    a = np.stack([x / spread, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    ridge = np.diag([1e-3, 1e-6])
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights of a ridge-damped logistic regression on standardised columns, by Newton's method; the last is the constant."""
+    a = np.c_[x, np.ones(len(x))]
+    w, damp = np.zeros(a.shape[1]), np.full(a.shape[1], RIDGE * len(x))
+    damp[-1] = 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        slope = a.T @ (weight * (p - y)) + ridge @ w
-        curve = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(2)
+        slope = a.T @ (weight * (p - y)) + damp * w
+        curve = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(damp + 1e-9)
         step = np.linalg.solve(curve, slope)
         step *= min(1.0, 5 / max(1e-12, float(np.abs(step).max())))
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1])
+    return w
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -111,12 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars:
     found = texts.select("quality", "h", F.substring("text", begin.cast("int"), F.lit(fit_chars)).alias("text")).collect()
     rows = {q: [t.encode() for _, t in sorted({(r["h"], r["text"]) for r in found if r["quality"] == q})] for q in (0, 1)}
     if min(len(rows[0]), len(rows[1])) < LEAST_CLASS:
-        return Model(b"", b"", empty=True)
+        return Model(b"", b"")
     model = Model(dictionary(rows[1][::2]), dictionary(rows[0][::2]))
-    compressors = model.compressors()
-    x, y = (np.array([v for q in (0, 1) for v in f(q)], float) for f in (lambda q: [feature(t, compressors) for t in rows[q][1::2]], lambda q: [q] * len(rows[q][1::2])))
-    n = np.array([(y == 0).sum(), (y == 1).sum()])
-    model.slope, model.intercept = calibrate(x, y, (len(y) / 2 / np.maximum(n, 1))[y.astype(int)])
+    tools = model.compressors()
+    x = terms(np.array([features(t, tools) for q in (0, 1) for t in rows[q][1::2]]))
+    y = np.repeat([0.0, 1.0], [len(rows[q][1::2]) for q in (0, 1)])
+    share = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}  # two rows
+    weight = np.array([share[q] / len(rows[q][1::2]) for q in (0, 1)])[y.astype(int)]
+    model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    model.weights = calibrate((x - model.mean) / model.spread, y, weight / weight.mean())
     return model
 
 
@@ -125,11 +148,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     kept = docs.select(*keep, as_bytes().alias("__q_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = [] if model.empty else model.compressors()
         for batch in batches:
-            texts = batch.column(len(keep))
-            x = np.zeros(len(texts)) if model.empty else np.fromiter((feature(t.as_py(), compressors) for t in texts), float, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.probability(x))], names=[*keep, "quality_score"])
+            found = model.scores(t.as_py() for t in batch.column(len(keep)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, "quality_score"])
 
     return kept.mapInArrow(run, kept.drop("__q_text").schema.add("quality_score", "double"))
 
@@ -139,10 +160,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = [] if model.empty else model.compressors()
         for batch in batches:
-            texts = batch.column(len(columns))
-            x = np.zeros(len(texts)) if model.empty else np.fromiter((feature(t.as_py(), compressors) for t in texts), float, len(texts))
-            yield batch.filter(pa.array(model.probability(x) >= threshold)).select(list(range(len(columns))))
+            found = model.scores(t.as_py() for t in batch.column(len(columns)))
+            yield batch.filter(pa.array(found >= threshold)).select(list(range(len(columns))))
 
     return docs.select(*columns, as_bytes().alias("__q_text")).mapInArrow(run, docs.schema)

@@ -29,8 +29,7 @@ def test_stages_equal_brute_force(spark):
     good = [(d, t) for d, t in rows if rules.first_failure(rules.Text(t.encode()), rules.RULES) is None]
     assert keep(0) == set(good) and len(good) < len(rows)
     model = classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    tools = model.compressors()
-    liked = [(d, t) for d, t in good if model.probability(classifier.feature(t.encode(), tools)) >= 0.5]
+    liked = [(d, t) for d, t in good if model.scores([t.encode()])[0] >= 0.5]
     assert keep(1) == set(liked)
     classes = brute.components(liked)
     single = [(d, t) for d, t in liked if classes[d][1] == d]
