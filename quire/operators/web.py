@@ -10,6 +10,10 @@ TUNNEL_SUFFIXES = ("ngrok.io", "ngrok-free.app", "ngrok.app", "ngrok.dev", "ping
 #: fixed values: IPv4 ranges that are not globally routable
 PRIVATE_RANGES = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16",
                   "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+#: elements whose content is no text, tags that end a line, and the entities that are read
+SKIPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "svg")) + "|<!--.*?-->"
+BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/ul|/ol|/table|/section|/article|/nav|/header|/footer)\b[^>]*>"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def _address(host: Column) -> Column:
@@ -68,10 +72,10 @@ def reconcile_results(requested: DataFrame, returned: DataFrame) -> DataFrame:
 
 def page_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``text``, the readable text: scripts, styles and tags out, blocks on lines, spaces collapsed."""
-    t = F.regexp_replace(html_col, r"(?is)<(script|style|noscript|svg)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/ul|/ol|/table|/section|/article|/nav|/header|/footer)\b[^>]*>", "\n")
+    t = F.regexp_replace(html_col, SKIPPED, " ")
+    t = F.regexp_replace(t, BLOCK_ENDS, "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, "[ \t ]+", " "), r"\n\s*\n\s*\n+", "\n\n")
     return pages.withColumn("text", F.trim(F.regexp_replace(t, r"^\s+|\s+$", "")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions.tables import fresh_path
 from quire.operators import resume as r
 from quire.sources import discovery as d
 from quire.views import Inputs
@@ -38,6 +39,15 @@ def _planned(v: Inputs):
     return d.plan_output_paths(f, "out", ["md", "json"])
 
 
+def _written_artifacts(v: Inputs):
+    """Artifacts are written below the shared folder and read back."""
+    path = fresh_path(v.spark, "artifacts")
+    rows = v("documents").select(F.concat(F.lit("out/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("target"), F.lit("txt").alias("format"), F.col("text").alias("body"))
+    d.write_artifacts(rows, path, ["txt"])
+    back = v.spark.read.text(path).select("format", F.get_json_object("value", "$.body").alias("body"))
+    return back.groupBy("format").agg(F.count("*").alias("artifacts"), F.sum(F.length("body")).alias("chars"))
+
+
 _PLANNED = f"""p AS (SELECT {_INNER} AS path FROM files), q AS (SELECT path, string_split(path, '/') AS s FROM p),
   t AS (SELECT path, list_filter(s[1:len(s)-1], lambda x: x NOT IN ('', '.', '..')) AS f, regexp_replace(s[len(s)], '\\.[^.]*$', '') AS stem FROM q),
   u AS (SELECT path, list_append(f, CASE WHEN lower(stem) IN ('agents', 'agent', 'claude', 'gemini', 'codex', 'skill', 'conventions') THEN concat(stem, '.ocr') ELSE stem END) AS f FROM t),
@@ -75,6 +85,7 @@ PLANS = {
         SELECT i.source, concat('out/', CAST(doc_id AS VARCHAR(20)), '.md') AS target FROM inputs_view i
         WHERE concat('out/', CAST(doc_id AS VARCHAR(20)), '.md') IN (SELECT path FROM existing_files)
           AND NOT EXISTS (SELECT 1 FROM manifest_view m WHERE m.source = i.source AND m.output_file = concat('out/', CAST(i.doc_id AS VARCHAR(20)), '.md'))"""),
+    "d12_write_artifacts": (_written_artifacts, """SELECT 'txt' AS format, count(*) AS artifacts, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents"""),
     "d13_chunk_artifacts": (lambda v: d.chunk_artifacts(v("documents"), max_bytes=1000), None),
     "r01_fingerprint": (lambda v: r.fingerprint(v.sql("SELECT source, size, CAST(text AS BINARY) AS content, doc_id AS mtime FROM inputs_view"), '{"mode":"simple"}'), """
         SELECT source, sha256(concat('v2', chr(0), source, chr(0), CAST(size AS VARCHAR), chr(0), sha256(text), chr(0), '{"mode":"simple"}')) AS v2,

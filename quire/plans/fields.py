@@ -144,7 +144,9 @@ PLANS = {
           CASE WHEN field = 'total' THEN CASE WHEN doc_id % 3 < 2 THEN 'total_amount' ELSE 'grand_total' END WHEN field = 'customer_name' THEN CASE WHEN doc_id % 3 = 0 THEN 'customer_name' ELSE 'bill_to' END ELSE field END AS field, value FROM pred_fields"""),
     "a02_merge_candidates": (lambda v: _merged(v).drop("page"), f"SELECT doc_id, field, value, confidence, is_valid, extracted_at, seq FROM ({_ranked()}) WHERE r = 1"),
     "a02_merge_locations": (lambda v: _merged(v).select("doc_id", "field", "page"), None),
-    "a03_validate_candidates": (lambda v: a.validate_candidates(v.sql(_TYPED + " UNION ALL SELECT doc_id, field, value FROM pred_fields")).groupBy("rule", "valid").agg(F.count("*").alias("n")), None),
+    "a03_validate_candidates": (lambda v: a.validate_candidates(v.sql(_TYPED + " UNION ALL SELECT doc_id, field, value FROM pred_fields")).groupBy("rule", "valid").agg(F.count("*").alias("n")), f"""
+        WITH x AS ({_TYPED} UNION ALL SELECT doc_id, field, value FROM pred_fields), y AS (SELECT CASE field WHEN 'invoice_date' THEN 'date' WHEN 'total' THEN 'currency' END AS rule, CASE field WHEN 'invoice_date' THEN regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') ELSE true END AS valid FROM x)
+        SELECT rule, valid, count(*) AS n FROM y GROUP BY rule, valid"""),
     "a04_check_subtotals": (lambda v: a.check_subtotals(v.sql(_ITEMS)).select("doc_id", F.col("subtotal").cast("double").alias("subtotal"), F.col("items_sum").cast("double").alias("items_sum"), "ok"), """
         SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS subtotal, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS items_sum,
           NOT (l_orderkey % 5 = 0 AND l_orderkey % 7 <> 0 AND count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*)) AS ok FROM lineitem GROUP BY l_orderkey"""),

@@ -25,6 +25,13 @@ _USAGE_JSON = """SELECT event_id AS request_id, CASE event_id % 3
     ELSE concat('{"usage": {"input_tokens": ', CAST(event_id % 1000 AS VARCHAR(20)), ', "output_tokens": 6, "total_tokens": 99}}') END AS response FROM events"""
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 _KEY = "concat(lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)), CASE WHEN regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END, regexp_extract(url, '^[^#?]*(\\?[^#]+)', 1))"
+_ENTITIES_SQL = f"regexp_replace(regexp_replace(regexp_replace(html, '{w.SKIPPED}', ' ', 'g'), '{w.BLOCK_ENDS}', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in w.ENTITIES:
+    _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_REDACT = ["replace(text, 'swordfish-9000', '[REDACTED_KEY]')"]
+for _, _pattern, _to in b._SECRETS:
+    _REDACT.append(f"regexp_replace({_REDACT[-1]}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_to.replace('$1', chr(92) + '1')}', 'g')")
+_REDACT_SQL = f"WITH s AS ({_SECRETS}) SELECT doc_id, {_REDACT[-1]} AS redacted, " + ", ".join(f"len(regexp_extract_all({t}, '{p.replace(chr(39), chr(39) * 2)}')) AS n_{k}" for t, (k, p, _) in zip(_REDACT, b._SECRETS)) + " FROM s"
 
 
 def _prices(v: Inputs):
@@ -53,7 +60,7 @@ PLANS = {
         SELECT doc_id, attempt, status_code, status_code IN (429, 503) AND attempt <= 3 AS retry_allowed,
           CASE WHEN status_code IN (429, 503) AND attempt <= 3 THEN CASE WHEN retry_after_s IS NOT NULL THEN least(retry_after_s * 1000, 60000) ELSE CAST(750 * pow(2, attempt - 1) AS BIGINT) END END AS delay_ms FROM attempts"""),
     "x04_final_outcomes": (lambda v: b.final_outcomes(v("attempts")), "SELECT doc_id, max(attempt) AS attempts, arg_max(status_code, attempt) AS status_code FROM attempts GROUP BY doc_id"),
-    "x05_redact_secrets": (lambda v: b.redact_secrets(v.sql(_SECRETS), known_secrets=["swordfish-9000", "short"]).select("doc_id", "redacted", "n_bearer", "n_key", "n_google", "n_assignment"), None),
+    "x05_redact_secrets": (lambda v: b.redact_secrets(v.sql(_SECRETS), known_secrets=["swordfish-9000", "short"]).select("doc_id", "redacted", "n_bearer", "n_key", "n_google", "n_assignment"), _REDACT_SQL),
     "x06_batch_summary": (lambda v: b.batch_summary(v("results")).select("run_id", "total", "succeeded", "partial", "failed", "skipped", F.col("cost").cast("double").alias("cost"), "exit_code"), """
         SELECT run_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
           CAST(sum(cost) AS DOUBLE) AS cost, CASE WHEN count(*) FILTER (status IN ('partial', 'failed')) > 0 THEN 1 ELSE 0 END AS exit_code FROM results GROUP BY run_id"""),
@@ -99,7 +106,7 @@ PLANS = {
         WITH q AS (SELECT DISTINCT {_KEY} AS key FROM url_list), t AS (SELECT url, CASE WHEN page_id % 5 = 0 THEN ' ' ELSE html END AS content FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT concat(url, '/'), html FROM pages WHERE page_id % 12 = 1 UNION ALL SELECT concat('http://other/', CAST(page_id AS VARCHAR(20))), html FROM pages WHERE page_id % 10 = 3),
           g AS (SELECT {_KEY} AS key, count(*) AS n, bool_or(trim(content) <> '') AS filled FROM t GROUP BY 1)
         SELECT coalesce(q.key, g.key) AS key, CASE WHEN q.key IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN NOT filled THEN 'empty' ELSE 'matched' END AS verdict FROM q FULL OUTER JOIN g ON q.key = g.key"""),
-    "w04_page_text": (lambda v: w.page_text(v("pages")).select("page_id", "text"), None),
+    "w04_page_text": (lambda v: w.page_text(v("pages")).select("page_id", "text"), f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_ENTITIES_SQL}, '[ \\t\u00a0]+', ' ', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages"),
     "w04_text_profile": (lambda v: w.text_profile(v.sql("SELECT url, html AS text FROM pages")), f"SELECT {_HOST} AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars, max(length(html)) AS longest FROM pages GROUP BY 1"),
     "w05_combine_pages": (lambda v: w.combine_pages(v.sql("SELECT page_id AS pos, concat('P', CAST(page_id AS VARCHAR(20))) AS title, url, substr(html, 1, 60 + CAST(page_id % 3 AS INT)) AS text, page_id % 10 AS site FROM pages"), "site"), """
         WITH x AS (SELECT page_id AS pos, concat('P', CAST(page_id AS VARCHAR)) AS title, url, substr(html, 1, 60 + CAST(page_id % 3 AS INT)) AS text, page_id % 10 AS site FROM pages), y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY site, text ORDER BY pos) = 1)

@@ -98,7 +98,11 @@ PLANS = {
     "e18_sample_by_hash": (lambda v: e.sample_by_hash(v.sql("SELECT doc_id, source FROM documents"), "source", "doc_id", "s1", 5), "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(concat('s1', CAST(doc_id AS VARCHAR)))) <= 5"),
     "e19_lines_from_words": (lambda v: e.lines_from_words(_receipts(v)), """
         SELECT l_orderkey AS doc_id, string_agg(concat_ws(' ', l_returnflag, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus END, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END), chr(10) ORDER BY l_linenumber, l_returnflag, CASE WHEN l_linenumber % 3 = 0 THEN ' ' ELSE l_linestatus END, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END) AS text FROM lineitem GROUP BY l_orderkey"""),
-    "e20_text_from_blocks": (lambda v: e.text_from_blocks(_layouts(v)), None),
+    "e20_text_from_blocks": (lambda v: e.text_from_blocks(_layouts(v)), """
+        WITH x AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey % 4 = 0 AS ig, CASE WHEN l_linenumber % 2 = 0 THEN 10 - l_linenumber END AS o, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('t', CAST(l_partkey AS VARCHAR)) END AS t,
+            CASE WHEN l_suppkey % 2 = 0 THEN concat('x^', CAST(l_suppkey AS VARCHAR)) END AS lx, CAST(l_suppkey AS VARCHAR) AS h FROM lineitem),
+          y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, ig, o NULLS FIRST, t, lx NULLS FIRST, concat('<b>', h, '</b>')) AS i FROM x)
+        SELECT doc_id, string_agg(CASE WHEN t <> '' THEN t WHEN lx IS NOT NULL THEN lx ELSE h END, chr(10) ORDER BY o IS NULL, o, i) AS text FROM y WHERE NOT ig GROUP BY doc_id"""),
     "e21_select_unit_tests": (lambda v: e.select_unit_tests(v.sql(_UNIT)), f"""
         WITH d AS (SELECT category, doc_id, count(*) AS tests FROM ({_UNIT}) WHERE checked AND type <> 'math' AND page = 1 GROUP BY ALL HAVING count(*) >= 3)
         SELECT category, doc_id, tests FROM d QUALIFY row_number() OVER (PARTITION BY category ORDER BY sha256(concat('seed', CAST(doc_id AS VARCHAR)))) <= 5"""),
