@@ -84,7 +84,7 @@ def page_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def text_profile(pages: DataFrame) -> DataFrame:
     """Pages and text lengths by host."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]*)", 1))
-    n = F.length("text")
+    n = F.length("text").cast("long")
     return pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.max(n).alias("longest"))
 
 
@@ -95,4 +95,4 @@ def combine_pages(pages: DataFrame, group_col: str) -> DataFrame:
     first = pages.groupBy(group_col, F.sha2("text", 256).alias("__h")).agg(F.min_by(F.struct("pos", "title", "url", "text"), "pos").alias("p"))
     block = F.concat(F.lit("# "), F.col("p.title"), F.lit("\nSource: "), F.col("p.url"), F.lit("\n\n"), F.col("p.text"))
     g = first.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(F.col("p.pos").alias("pos"), block.alias("b")))).alias("l"))
-    return g.select(group_col, F.size("l").alias("pages"), F.array_join(F.transform("l", lambda x: x["b"]), "\n\n---\n\n").alias("combined"))
+    return g.select(group_col, F.size("l").cast("long").alias("pages"), F.array_join(F.transform("l", lambda x: x["b"]), "\n\n---\n\n").alias("combined"))

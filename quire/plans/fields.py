@@ -100,7 +100,7 @@ PLANS = {
         WITH i(k, path, issue) AS (VALUES (1, '$.fields', 'not-object'), (2, '$.rows', 'not-array'), (2, '$.fields.a', 'no-value'), (3, '$', 'not-json'), (4, '$.warnings', 'not-strings'), (4, '$.fields.b', 'bad-confidence'), (5, '$.fields.c', 'no-value'))
         SELECT doc_id, path, issue FROM documents JOIN i ON doc_id % 6 = k"""),
     "t02_normalize_fields": (lambda v: t.normalize_fields(v.sql(_AMOUNTS), _one_rule_each(v)).select("doc_id", "value", F.round("confidence", 6).alias("confidence"), "warning"), """
-        SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 WHEN 0 THEN concat(CAST(o_custkey % 900 + 100 AS VARCHAR), '250.50') WHEN 1 THEN concat('-', CAST(o_custkey AS VARCHAR), '.00') WHEN 2 THEN concat('1', CAST(o_custkey % 900 + 100 AS VARCHAR), '.50') WHEN 3 THEN concat(CAST(o_custkey AS VARCHAR), '.00')
+        SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 WHEN 0 THEN concat(CAST(o_custkey % 900 + 100 AS VARCHAR), '250.50') WHEN 1 THEN concat(CASE WHEN o_custkey > 0 THEN '-' ELSE '' END, CAST(o_custkey AS VARCHAR), '.00') WHEN 2 THEN concat('1', CAST(o_custkey % 900 + 100 AS VARCHAR), '.50') WHEN 3 THEN concat(CAST(o_custkey AS VARCHAR), '.00')
             WHEN 4 THEN concat('No.', CAST(o_custkey AS VARCHAR)) WHEN 5 THEN concat(CAST(o_custkey % 9 + 1 AS VARCHAR), '250.00') WHEN 6 THEN concat('3 @ ', CAST(o_custkey AS VARCHAR), '.00') ELSE concat('-', CAST(o_custkey AS VARCHAR), '.10') END AS value,
           round(least(1.0::DOUBLE, CAST(o_orderkey % 105 AS DOUBLE) / 100), 6) AS confidence,
           CASE o_orderkey % 8 WHEN 4 THEN 'separator-after-letters' WHEN 5 THEN 'ambiguous-separator' WHEN 6 THEN 'unreadable-amount' ELSE CASE WHEN o_orderkey % 105 > 100 THEN 'clamped-confidence' END END AS warning FROM orders"""),

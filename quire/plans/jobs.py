@@ -82,10 +82,10 @@ PLANS = {
     "u03_attach_prices": (lambda v: u.attach_prices(v("usage_log"), _prices(v)).select("request_id", *[F.col(c).cast("double").alias(c) for c in ("input_price", "cached_price", "output_price")]), f"""
         SELECT request_id, CAST(ip AS DOUBLE) AS input_price, CAST(cp AS DOUBLE) AS cached_price, CAST(op AS DOUBLE) AS output_price FROM usage_log JOIN {_PRICE_SQL} ON model = pm AND (a IS NULL OR CAST(ts AS DATE) >= a) AND (z IS NULL OR CAST(ts AS DATE) < z) AND input_tokens >= n
         QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC) = 1"""),
-    "u04_estimate_cost": (lambda v: u.estimate_cost(u.attach_prices(v("usage_log"), _prices(v))).select("request_id", F.round(F.col("cost").cast("double"), 6).alias("cost")), f"""
+    "u04_estimate_cost": (lambda v: u.estimate_cost(u.attach_prices(v("usage_log"), _prices(v))).select("request_id", F.round(F.col("cost").cast("double") + 1e-10, 6).alias("cost")), f"""
         WITH x AS (SELECT request_id, input_tokens, output_tokens, cached_tokens, thought_tokens, exact_cost, ip, cp, op FROM usage_log JOIN {_PRICE_SQL} ON model = pm AND (a IS NULL OR CAST(ts AS DATE) >= a) AND (z IS NULL OR CAST(ts AS DATE) < z) AND input_tokens >= n
           QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC) = 1)
-        SELECT request_id, round(CASE WHEN exact_cost > 0 THEN CAST(exact_cost AS DOUBLE) ELSE CAST((input_tokens - least(cached_tokens, input_tokens)) * ip + least(cached_tokens, input_tokens) * cp + (output_tokens + thought_tokens) * op AS DOUBLE) / 1000000 END, 6) AS cost FROM x"""),
+        SELECT request_id, round(CASE WHEN exact_cost > 0 THEN CAST(exact_cost AS DOUBLE) ELSE CAST((input_tokens - least(cached_tokens, input_tokens)) * ip + least(cached_tokens, input_tokens) * cp + (output_tokens + thought_tokens) * op AS DOUBLE) / 1000000 END + 1e-10, 6) AS cost FROM x"""),
     "u05_usage_rollup": (lambda v: u.usage_rollup(v("usage_log"), "job_id", "model"), """
         SELECT job_id, model, count(*) AS requests, count(*) FILTER (NOT reported) AS unreported, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens FROM usage_log GROUP BY ROLLUP (job_id, model)"""),
     "u06_cost_admission": (lambda v: u.cost_admission(v("results"), 1.0, 0.1, 64).select("run_id", "pos", "doc_id", F.col("spent_before").cast("double").alias("spent_before"), "admitted", "reason"), """

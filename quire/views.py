@@ -69,13 +69,13 @@ VIEWS = {
                  coalesce(max(CASE WHEN l_linenumber = 3 THEN concat(chr(10), '| 3 | ', CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), ' |') END), '')) AS text
         FROM lineitem GROUP BY l_orderkey""",
     "run_events": """
-        SELECT user_id % 4 AS run_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS sequence,
+        SELECT user_id % 4 AS run_id, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
                ts, user_id AS document_id,
                CASE event_type WHEN 'signup' THEN 'document.started' WHEN 'view' THEN 'document.progress' WHEN 'purchase' THEN 'document.completed'
                                WHEN 'error' THEN 'document.failed' ELSE 'document.partial' END AS type
         FROM events""",
     "attempts": """
-        SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt,
+        SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS attempt,
                CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 ELSE 200 END AS status_code,
                CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS retry_after_s
         FROM events""",
@@ -97,7 +97,7 @@ VIEWS = {
                n_chars AS size, concat('id-', CAST(doc_id - doc_id % 2 AS VARCHAR(20))) AS identity
         FROM documents""",
     "results": """
-        SELECT o_custkey % 20 AS run_id, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS pos, o_orderkey AS doc_id,
+        SELECT o_custkey % 20 AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS BIGINT) AS pos, o_orderkey AS doc_id,
                CASE o_orderkey % 23 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' WHEN 2 THEN 'skipped' ELSE 'succeeded' END AS status,
                CASE WHEN o_orderkey % 23 = 2 THEN 'resumed' END AS skip_reason, CAST((o_orderkey % 50) / 1000.0 AS DECIMAL(10,4)) AS cost, o_orderkey % 29 <> 0 AS reported
         FROM orders""",
