@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quire.llm.shared import as_bytes
 
@@ -67,11 +68,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
     def scores(self, texts: Iterable[bytes]) -> np.ndarray:
-        texts = list(texts)
-        if self.empty or not texts:
-            return np.full(len(texts), 0.5)
-        tools = self.compressors()
-        return self.probability(np.array([features(t, tools) for t in texts]))
+        tools = [] if self.empty else self.compressors()
+        rows = [(0.0, 0.0, 0.0) if self.empty else features(t, tools) for t in texts]
+        return np.full(len(rows), 0.5) if self.empty or not rows else self.probability(np.array(rows))
 
 
 def features(text: bytes, compressors: list) -> tuple[float, float, float]:
@@ -157,11 +156,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more."""
-    columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.scores(t.as_py() for t in batch.column(len(columns)))
-            yield batch.filter(pa.array(found >= threshold)).select(list(range(len(columns))))
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(model.scores(t.as_py() for t in texts) >= threshold)
 
-    return docs.select(*columns, as_bytes().alias("__q_text")).mapInArrow(run, docs.schema)
+    return docs.where(arrow_udf(good, "boolean")(as_bytes()))  # only the text goes to Python, and one bit comes back

@@ -19,6 +19,7 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quire.llm.shared import as_bytes
 
@@ -154,16 +155,12 @@ def first_failure(text: Text, rules: list[Rule]) -> str | None:
 
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects."""
-    order, columns = ordered(docs, rules, sample_rows), docs.columns
+    order = ordered(docs, rules, sample_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(len(columns))
-            good = [first_failure(Text(t.as_py()), order) is None for t in raw]
-            yield batch.filter(pa.array(good, pa.bool_())).select(list(range(len(columns))))
+    def good(raw: pa.Array) -> pa.Array:
+        return pa.array([first_failure(Text(t.as_py()), order) is None for t in raw], pa.bool_())
 
-    marked = docs.select(*columns, as_bytes().alias("__rule_text"))
-    return marked.mapInArrow(run, docs.schema)
+    return docs.where(arrow_udf(good, "boolean")(as_bytes()))  # only the text goes to Python, and one bit comes back
 
 
 def report(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -176,13 +173,14 @@ def report(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Text(t.as_py()) for t in batch.column(1)]
-            by = [first_failure(t, order) for t in texts]
-            base = [first_failure(t, BASE_RULES) is not None for t in texts]
-            counts = [pa.array([getattr(t, n) for t in texts], pa.int64()) for n in names]
-            kept = [b is None and not f for b, f in zip(by, base)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(by, pa.string())],
-                                             names=["doc_id", *names, "base_failed", "kept", "rejected_by"])
+            rows = []
+            for raw in batch.column(1):  # a text and its features at a time
+                text = Text(raw.as_py())
+                by, base = first_failure(text, order), first_failure(text, BASE_RULES) is not None
+                rows.append((*(getattr(text, n) for n in names), base, by is None and not base, by))
+            kinds = [pa.int64()] * len(names) + [pa.bool_(), pa.bool_(), pa.string()]
+            found = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", *names, "base_failed", "kept", "rejected_by"])
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, rejected_by string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).mapInArrow(run, schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quire.llm.shared import as_bytes, drop_table, write_table
 
@@ -59,17 +60,13 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Columns of ``keep`` and ``fp``, the fingerprint as a signed long."""
-    kept = docs.select(*keep, as_bytes(text_col).alias("__text"))
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(len(keep))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    schema = kept.drop("__text").schema.add("fp", "long")
-    return kept.mapInArrow(run, schema)
+def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+    return docs.select("doc_id", arrow_udf(_fingerprints, "long")(as_bytes(text_col)).alias("fp"))
 
 
 def _signed(x: int) -> int:
@@ -255,10 +252,9 @@ def classes(marked: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot:
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The columns of ``docs``, one row of each component: the smallest doc_id, nulls last; of repeated rows one."""
     columns = docs.columns
-    rows = docs.withColumn("__near_row", F.monotonically_increasing_id())
-    marked = write_table(fingerprints(rows, ("__near_row", *columns)).withColumnRenamed("fp", "__near_fp") if "fp" not in columns
-                         else fingerprints(rows.withColumnRenamed("fp", "__own_fp"), ("__near_row", *("__own_fp" if c == "fp" else c for c in columns)))
-                         .withColumnsRenamed({"fp": "__near_fp", "__own_fp": "fp"}), "marked")
+    marked = docs.withColumn("__near_row", F.monotonically_increasing_id())
+    fp = arrow_udf(_fingerprints, "long")(as_bytes())
+    marked = write_table(marked.withColumn("__near_fp", fp), "marked")
     thin = marked.select(F.col("__near_fp").alias("fp"), "doc_id", F.col("__near_row").alias("row"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     chosen = thin.join(classes(thin.select("fp", "doc_id"), radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(first).alias("first"))

@@ -19,7 +19,8 @@ from quire.llm.hashing import BYTE, SPACE, Powers, spans, word_bounds
 from quire.llm.shared import data, offsets, slices
 
 CACHE_UNITS = 1_000_000
-CACHE_IDS = 1 << 24
+CACHE_IDS = 1 << 23
+_SLICE = 1 << 19
 _POWERS = Powers(0xC2B2AE3D27D4EB4F)
 _BLANK = SPACE.copy()
 _BLANK[0x1C:0x20] = True
@@ -88,7 +89,7 @@ class UnitTokenizer:
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if self.spaced else bool(suffix) and t.endswith(suffix))]] = True
         self.most = cache
-        self.slots = 1 << max(12, (4 * cache).bit_length())
+        self.slots = 1 << max(12, (2 * cache).bit_length())
         self._clear()
 
     def _clear(self) -> None:
@@ -223,7 +224,7 @@ class UnitTokenizer:
         """The ids of each text of a binary array, taken in slices of bounded size."""
         raw, off = data(texts), offsets(texts).astype(np.int64)
         out: list[np.ndarray] = []
-        for i, j in slices(texts):
+        for i, j in slices(texts, _SLICE):
             ids, at = self._slice(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             out += [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
         return out
