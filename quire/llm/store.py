@@ -109,7 +109,7 @@ def _recipes_and_chunks(docs: DataFrame, tokenizer_path: str, end_id: int) -> Da
 
 def _store_chunks(rows: DataFrame, folder: str) -> DataFrame:
     """Write each chunk once, pass the recipes on: (doc_id, n, recipe, root, crc) and a row (path, n) for each file."""
-    dealt = rows.repartition(F.coalesce("name", F.substring("root", 1, NAME))).sortWithinPartitions("name")
+    dealt = rows.repartition("name", "doc_id").sortWithinPartitions("name")  # chunks by name, recipes by document
     names = ["doc_id", "n", "recipe", "root", "crc", "path"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
 
@@ -248,7 +248,8 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     recipes = read_recipes(manifest)
     n = F.length("recipe") / NAME
     places = recipes.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring("recipe", i * NAME + 1, F.lit(NAME)))).alias("seq", "name"))
-    found = places.join(read_chunks(manifest), "name")
+    # what tasks read from files has no statistics: the hints keep it from being taken for small and broadcast
+    found = places.join(read_chunks(manifest).hint("merge"), "name")
     whole = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("chunks"))
     # the manifest's ids tell the width: two bytes where the payload's size is twice the ids
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
@@ -271,4 +272,4 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return recipes.drop("recipe").join(whole, "row").select("doc_id", "start", "n", "crc", "root", "chunks").mapInArrow(run, schema)
+    return recipes.drop("recipe").join(whole.hint("merge"), "row").select("doc_id", "start", "n", "crc", "root", "chunks").mapInArrow(run, schema)
