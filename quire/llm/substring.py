@@ -154,7 +154,8 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     text = text.withColumn("tag", F.crc32("text").bitwiseAND(0xFFFFFF))
     branching = _by_row(found.where("branch"))
     edges = write_table(_edges(text.join(branching, ["doc_id", "tag"]).select("doc_id", "text", "places"), k), "edges")
-    first = edges.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    # a table of its own: both sides of the join are then plain shuffles, which adaptive execution splits where one edge is hot
+    first = write_table(edges.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "first-edges")
     single = edges.join(first, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place")
     return write_table(found.where("not branch").select("doc_id", "place").unionByName(single), "windows")
 
