@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.distance import indel_ratio, substring_distance, word_distance
+from quire.functions.distance import char_distance, indel_ratio, substring_distance, word_distance
 from quire.functions.text import normalized
 
 
@@ -20,7 +20,7 @@ def text_error_rates(pairs: DataFrame, unicode: bool = True) -> DataFrame:
     rate = lambda d, n, other: F.when(n == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(d / n)
     size = F.length
     wr, wp = words(F.col("nr")), words(F.col("np"))
-    cer, ncer = F.levenshtein("r", "p"), F.levenshtein("nr", "np")
+    cer, ncer = char_distance("r", "p"), char_distance("nr", "np")
     return p.select("doc_id", rate(cer, size("r"), size("p")).alias("cer"), rate(ncer, size("nr"), size("np")).alias("normalized_cer"),
                     (1 - ncer / F.greatest(size("nr"), size("np"), F.lit(1))).alias("similarity"), rate(word_distance(wr, wp), F.size(wr), F.size(wp)).alias("wer"))
 

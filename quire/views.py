@@ -31,9 +31,8 @@ VIEWS = {
                CASE WHEN (doc_id * 7 + row_no) % 10 = 0 THEN '' WHEN (doc_id + row_no) % 9 = 0 THEN concat(value, '0') ELSE value END AS value
         FROM ref_cells WHERE (doc_id + row_no * 3) % 8 <> 0""",
     "text_pairs": """
-        SELECT doc_id, substr(regexp_replace(text, '[^a-zA-Z0-9 ]', ' '{g}), 1, 200) AS reference,
-               substr(replace(substr(regexp_replace(text, '[^a-zA-Z0-9 ]', ' '{g}), 1, 200), 'th', 'tn'), 1, 190) AS prediction
-        FROM documents WHERE lang = 'en'""",
+        SELECT doc_id, reference, replace(replace(reference, 'th', 'tn'), 'er ', ' ') AS prediction
+        FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9]+', ' '{g}) AS reference FROM documents) whole""",
     "manifest_view": """
         SELECT concat('/corpus/', CAST(doc_id AS VARCHAR(20)), '.pdf') AS source,
                CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE concat('fp-', CAST(n_chars AS VARCHAR(20))) END AS fingerprint,
