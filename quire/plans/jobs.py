@@ -16,9 +16,9 @@ _PRICE_SQL = "(VALUES " + ", ".join(f"('{m}', {f'DATE {a!r}' if a else 'NULL::DA
 _FAILURES = """SELECT event_id AS id, 0 AS cause_no, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN 401 END AS status_code,
     CASE event_id % 7 WHEN 0 THEN 'resource_exhausted' WHEN 1 THEN 'EXCEEDED_CURRENT_QUOTA_ERROR' WHEN 2 THEN 'REFUSAL' WHEN 3 THEN 'odd' END AS structured_code,
     CASE WHEN event_id % 11 = 0 THEN 'fetch failed' ELSE event_type END AS message FROM events"""
-_SECRETS = "SELECT doc_id, concat(substr(text, 1, 40), CASE doc_id % 4 WHEN 0 THEN ' Bearer abc.def-123 ' WHEN 1 THEN ' sk-abcdefgh1234 x' WHEN 2 THEN ' api_key: zzz, token=yy' ELSE ' swordfish-9000 ' END) AS text FROM documents"
+_SECRETS = "SELECT doc_id, concat(text, CASE doc_id % 4 WHEN 0 THEN ' Bearer abc.def-123 ' WHEN 1 THEN ' sk-abcdefgh1234 x' WHEN 2 THEN ' api_key: zzz, token=yy' ELSE ' swordfish-9000 ' END) AS text FROM documents"
 _RESPONSES = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('{"a": ', CAST(doc_id AS VARCHAR(20)), '}') WHEN 1 THEN concat('Here:', chr(10), '```json', chr(10), '{"b": ', CAST(doc_id AS VARCHAR(20)), '}', chr(10), '```')
-    WHEN 2 THEN concat('<think>x</think> {"c": ', CAST(doc_id AS VARCHAR(20)), '}') WHEN 3 THEN concat('Answer {"d": [', CAST(doc_id AS VARCHAR(20)), ']} end') ELSE substr(text, 1, 20) END AS text FROM documents"""
+    WHEN 2 THEN concat('<think>x</think> {"c": ', CAST(doc_id AS VARCHAR(20)), '}') WHEN 3 THEN concat('Answer {"d": [', CAST(doc_id AS VARCHAR(20)), ']} end') ELSE text END AS text FROM documents"""
 _USAGE_JSON = """SELECT event_id AS request_id, CASE event_id % 3
     WHEN 0 THEN concat('{"usageMetadata": {"promptTokenCount": ', CAST(event_id % 1000 AS VARCHAR(20)), ', "candidatesTokenCount": 7, "thoughtsTokenCount": 3, "cachedContentTokenCount": 2}}')
     WHEN 1 THEN concat('{"usage": {"prompt_tokens": ', CAST(event_id % 1000 AS VARCHAR(20)), ', "completion_tokens": 5, "completion_tokens_details": {"reasoning_tokens": 4}, "cost": 0.25}}')

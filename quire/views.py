@@ -102,7 +102,7 @@ VIEWS = {
         FROM orders""",
     "steps": """
         SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'function_call' ELSE 'thinking' END AS type,
-               CASE WHEN turn % 5 = 4 THEN 'runtime' ELSE 'reasoning' END AS source, turn % 4 <> 3 AS is_delta, substr(text, 1, 20) AS content
+               CASE WHEN turn % 5 = 4 THEN 'runtime' ELSE 'reasoning' END AS source, turn % 4 <> 3 AS is_delta, text AS content
         FROM conversations""",
 }
 

@@ -47,3 +47,14 @@ def test_scores_of_text_pairs_equal_brute_force(spark):
         assert r["wer"] == pytest.approx(plain_edit(a.lower().split(), b.lower().split()) / len(a.split()))
     tests = some.selectExpr("doc_id AS test_id", "doc_id", "'present' AS type", "concat('q', substr(reference, 201, 12)) AS text", "1 AS max_diffs", "true AS case_sensitive", "CAST(NULL AS INT) AS first_n", "CAST(NULL AS INT) AS last_n")
     assert all(r["passed"] for r in scoring.presence_tests(tests, some.selectExpr("doc_id", "reference AS text")).collect())
+
+
+def test_jobs_and_traces_read_whole_texts(spark):
+    from quire.plans import jobs
+
+    v, longest = Inputs(spark, SF), f"SELECT max(length({{}})) FROM '{SF}/{{}}.parquet'"
+    text = duckdb.sql(longest.format("text", "documents")).fetchall()[0][0]
+    most = lambda df, c: df.selectExpr(f"max(length({c}))").first()[0]
+    assert most(v.sql(jobs._SECRETS), "text") > text
+    assert most(v.sql(jobs._RESPONSES).where("doc_id % 5 = 4"), "text") == duckdb.sql(longest.format("text", "documents") + " WHERE doc_id % 5 = 4").fetchall()[0][0]
+    assert most(v("steps"), "content") == duckdb.sql(longest.format("text", "conversations")).fetchall()[0][0]
