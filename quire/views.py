@@ -1,6 +1,6 @@
 """Operator inputs derived from the driver tables, in SQL that Spark and DuckDB both run.
 
-``{g}`` is the global flag of ``regexp_replace``, which DuckDB wants spelled out.
+``{g}`` is the global flag of ``regexp_replace``, which DuckDB wants spelled out; ``{rows}`` joins the ordered lines of a document.
 """
 
 from __future__ import annotations
@@ -61,12 +61,8 @@ VIEWS = {
                o_orderkey % 6 <> 0 AS passed, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS metric
         FROM orders""",
     "md_docs": """
-        SELECT l_orderkey AS doc_id,
-               concat('# Invoice ', CAST(l_orderkey AS VARCHAR(20)), chr(10), chr(10), '| line | quantity |', chr(10), '| --- | --- |',
-                 coalesce(max(CASE WHEN l_linenumber = 1 THEN concat(chr(10), '| 1 | ', CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), ' |') END), ''),
-                 coalesce(max(CASE WHEN l_linenumber = 2 THEN concat(chr(10), '| 2 | ', CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), ' |') END), ''),
-                 coalesce(max(CASE WHEN l_linenumber = 3 THEN concat(chr(10), '| 3 | ', CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), ' |') END), '')) AS text
-        FROM lineitem GROUP BY l_orderkey""",
+        SELECT l_orderkey AS doc_id, concat('# Invoice ', CAST(l_orderkey AS VARCHAR(20)), chr(10), chr(10), '| line | quantity |', chr(10), '| --- | --- |', {rows}) AS text
+        FROM (SELECT l_orderkey, l_linenumber, concat(chr(10), '| ', CAST(l_linenumber AS VARCHAR(20)), ' | ', CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), ' |') AS line FROM lineitem) r GROUP BY l_orderkey""",
     "run_events": """
         SELECT user_id % 4 AS run_id, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
                ts, user_id AS document_id,
@@ -148,7 +144,8 @@ class Inputs:
 def with_views(query: str, views: Iterable[str] | None = None, g: str = ", 'g'") -> str:
     """``query`` with the views it uses in front, as common table expressions."""
     views = needed(query) if views is None else views
-    parts = [f"{v} AS ({VIEWS[v].replace('{g}', g)})" for v in views]
+    rows = "string_agg(line, '' ORDER BY l_linenumber, line)" if g else "listagg(line, '') WITHIN GROUP (ORDER BY l_linenumber, line)"
+    parts = [f"{v} AS ({VIEWS[v].replace('{g}', g).replace('{rows}', rows)})" for v in views]
     body = query.strip()
     if not parts:
         return body

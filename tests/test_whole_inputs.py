@@ -58,3 +58,8 @@ def test_jobs_and_traces_read_whole_texts(spark):
     assert most(v.sql(jobs._SECRETS), "text") > text
     assert most(v.sql(jobs._RESPONSES).where("doc_id % 5 = 4"), "text") == duckdb.sql(longest.format("text", "documents") + " WHERE doc_id % 5 = 4").fetchall()[0][0]
     assert most(v("steps"), "content") == duckdb.sql(longest.format("text", "conversations")).fetchall()[0][0]
+
+
+def test_markdown_documents_hold_all_lines(spark):
+    docs = Inputs(spark, SF)("md_docs").selectExpr("count(*)", "sum(length(text) - length(replace(text, chr(10), '')) - 3)").first()
+    assert tuple(docs) == duckdb.sql(f"SELECT count(DISTINCT l_orderkey), count(*) FROM '{SF}/lineitem.parquet'").fetchall()[0]
