@@ -7,23 +7,27 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, LongType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
 
 
 def _edit(a, b, free_start: bool = False) -> int:
-    """Levenshtein distance of two sequences; with ``free_start`` of ``a`` to the nearest stretch of ``b``.
+    """Levenshtein distance of two sequences; with ``free_start`` of ``a`` to the nearest stretch of ``b``."""
+    row = _last_row(a, b, free_start)
+    return int(row.min() if free_start else row[-1])
+
+
+def _last_row(a, b, free_start: bool = False) -> np.ndarray:
+    """For each end in ``b`` the distance of ``a`` to what is before it, or with ``free_start`` to the nearest stretch ending there.
 
     One row at a time in NumPy: insertions along the row are a running minimum."""
     codes: dict = {}
     a, b = (np.array([codes.setdefault(x, len(codes)) for x in s], np.int64) for s in (a, b))
-    if not len(a):
-        return 0 if free_start else len(b)
     steps = np.arange(len(b) + 1)
     row = np.zeros(len(b) + 1, np.int64) if free_start else steps.copy()
     for i, x in enumerate(a, 1):
         best = np.r_[i, np.minimum(row[:-1] + (b != x), row[1:] + 1)]
         row = np.minimum.accumulate(best - steps) + steps
-    return int(row.min() if free_start else row[-1])
+    return row
 
 
 def _bits(a: str, b: str) -> int:
@@ -69,6 +73,22 @@ def substring_distance(needle: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([_edit(x or "", y or "", True) for x, y in zip(needle, text)])
 
 
+def _starts(needle: str, text: str, most: int) -> np.ndarray:
+    """Where stretches of ``text`` within ``most`` edits of ``needle`` start, last first."""
+    ends = _last_row(needle[::-1], text[::-1], True)[1:]
+    return len(text) - 1 - np.flatnonzero(ends <= most)
+
+
+@pandas_udf(BooleanType())
+def starts_before(before: pd.Series, after: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
+    """Whether the first start of ``before`` lies before the last start of ``after``, both within ``most`` edits."""
+    out = []
+    for x, y, t, k in zip(before, after, text, most):
+        first, last = (_starts(n or "", t or "", k) for n in (x, y))
+        out.append(bool(len(first) and len(last) and first[-1] < last[0]))
+    return pd.Series(out, dtype=bool)
+
+
 @pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * longest common subsequence / both lengths; 1 for two empty texts."""
@@ -86,6 +106,14 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode composition, which Spark has no function for."""
+    import unicodedata
+
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 @pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no function for."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.distance import char_distance, indel_ratio, substring_distance, word_distance
-from quire.functions.text import normalized
+from quire.functions.distance import char_distance, indel_ratio, starts_before, substring_distance, word_distance
+from quire.functions.text import normalized, unit_test_text
 
 
 def text_error_rates(pairs: DataFrame, unicode: bool = True) -> DataFrame:
@@ -72,44 +74,58 @@ def table_cell_scores(docs: DataFrame, reference: DataFrame, predicted: DataFram
     return docs.select("doc_id").join(g, "doc_id", "left").na.fill(0).select("doc_id", F.when(F.col("r") + F.col("p") == 0, 1.0).otherwise(2 * F.col("tp") / (F.col("r") + F.col("p"))).alias("cell_f1"))
 
 
-def _cut(text: Column) -> Column:
-    t = F.when(F.col("first_n").isNotNull(), F.expr("left(output, first_n)")).when(F.col("last_n").isNotNull(), F.expr("right(output, last_n)")).otherwise(text)
-    return F.when(F.coalesce("case_sensitive", F.lit(True)), t).otherwise(F.lower(t))
+def _cut() -> Column:
+    """``output``, or its head, tail, or head and tail together; 0 is no limit."""
+    head, tail = F.coalesce("first_n", F.lit(0)) > 0, F.coalesce("last_n", F.lit(0)) > 0
+    first, last = F.expr("left(output, first_n)"), F.expr("right(output, last_n)")
+    return F.when(head & tail, F.concat(first, last)).when(head, first).when(tail, last).otherwise(F.col("output"))
+
+
+def _most(tests: DataFrame) -> Column:
+    return F.coalesce("max_diffs", F.lit(0)) if "max_diffs" in tests.columns else F.lit(0)
 
 
 def presence_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(test_id, doc_id, passed) for present and absent tests. ``max_diffs`` of 0 is a plain ``contains``; only other tests reach Python."""
+    """(test_id, doc_id, passed) for present and absent tests, on normalized texts. ``max_diffs`` of 0 is a plain ``contains``; only other tests
+    and texts that are not ASCII reach Python."""
     rows = tests.where(F.col("type").isin("present", "absent")).join(outputs.select("doc_id", F.col("text").alias("output")), "doc_id")
-    needle = F.when(F.coalesce("case_sensitive", F.lit(True)), F.col("text")).otherwise(F.lower("text"))
-    rows = rows.select("test_id", "doc_id", "type", needle.alias("needle"), _cut(F.col("output")).alias("hay"), F.coalesce("max_diffs", F.lit(0)).alias("k"))
+    cased = lambda c: F.when(F.coalesce("case_sensitive", F.lit(True)), F.col(c)).otherwise(F.lower(c))
+    rows = rows.withColumns({"output": unit_test_text("output"), "needle": unit_test_text("text")}).withColumns({"output": cased("output"), "needle": cased("needle")})
+    rows = rows.select("test_id", "doc_id", "type", "needle", _cut().alias("hay"), _most(tests).alias("k"))
     found = rows.where("k = 0").withColumn("found", F.contains("hay", "needle")).unionByName(rows.where("k > 0").withColumn("found", substring_distance("needle", "hay") <= F.col("k")))
     return found.select("test_id", "doc_id", F.when(F.col("type") == "present", F.col("found")).otherwise(~F.col("found")).alias("passed"))
 
 
 def order_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Passes if the first ``before`` starts before the last ``after`` (exact matches)."""
+    """Passes if the first start of ``before`` lies before the last start of ``after`` in the normalized text, both within ``max_diffs``
+    edits (0 where there is no such column); exact tests need no Python."""
     rows = tests.where(F.col("type") == "order").join(outputs.select("doc_id", F.col("text").alias("output")), "doc_id")
+    rows = rows.select("test_id", "doc_id", *[unit_test_text(c).alias(c) for c in ("before", "after", "output")], _most(tests).alias("k"))
+    plain = (F.col("k") == 0) & (F.length("before") > 0) & (F.length("after") > 0)
     first = F.call_function("locate", F.col("before"), F.col("output"))
     back = F.call_function("locate", F.reverse("after"), F.reverse("output"))
     last = F.when(back > 0, F.length("output") - back - F.length("after") + 2).otherwise(0)
-    return rows.select("test_id", "doc_id", ((first > 0) & (last > 0) & (first < last)).alias("passed"))
+    exact = rows.where(plain).select("test_id", "doc_id", ((first > 0) & (last > 0) & (first < last)).alias("passed"))
+    return exact.unionByName(rows.where(~F.coalesce(plain, F.lit(False))).select("test_id", "doc_id", starts_before("before", "after", "output", "k").alias("passed")))
 
 
-def table_tests(tests: DataFrame, cells: DataFrame, neighbors: DataFrame, headings: DataFrame, exact: bool = True) -> DataFrame:
-    """Passes if some cell matches, and with it each neighbour and heading that the test states."""
-    keys = ["doc_id", "table_no", "row_no", "col_no"]
+def table_tests(tests: DataFrame, cells: DataFrame, neighbors: DataFrame, headings: DataFrame) -> DataFrame:
+    """Passes if some cell matches, and with it each neighbour and heading that the test states: normalized texts that are equal where
+    ``max_diffs`` is 0, else of an indel ratio of 1 - max_diffs / length, 0.5 at least."""
+    keys, around = ["doc_id", "table_no", "row_no", "col_no"], ["up", "down", "left", "right", "top_heading", "left_heading"]
     grid = cells.select(*keys, "text").join(neighbors.select(*keys, "up", "down", "left", "right"), keys).join(headings.select(*keys, "top_heading", "left_heading"), keys)
-    rows = tests.where(F.col("type") == "table").select("test_id", "doc_id", "cell", *[F.col(c).alias(f"t_{c}") for c in ("up", "down", "left", "right", "top_heading", "left_heading")], F.coalesce("max_diffs", F.lit(0)).alias("k")).join(grid, "doc_id", "left")
-
-    def same(want: Column, got: Column) -> Column:
-        if exact:
-            return want == got
-        return F.coalesce(got.isNotNull() & (indel_ratio(want, got) >= F.greatest(F.lit(0.5), 1 - F.col("k") / F.greatest(F.length(want), F.lit(1)))), F.lit(False))
-
-    ok = same(F.col("cell"), F.col("text"))
-    for c in ("up", "down", "left", "right", "top_heading", "left_heading"):
-        ok &= F.col(f"t_{c}").isNull() | F.coalesce(same(F.col(f"t_{c}"), F.col(c)), F.lit(False))
-    return rows.groupBy("test_id", "doc_id").agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("passed"))
+    grid = grid.withColumns({c: unit_test_text(c) for c in ("text", *around)})
+    rows = tests.where(F.col("type") == "table").select("test_id", "doc_id", unit_test_text("cell").alias("cell"), *[unit_test_text(c).alias(f"t_{c}") for c in around], _most(tests).alias("k")).join(grid, "doc_id", "left")
+
+    def matching(same: Callable[[Column, Column], Column]) -> Column:
+        ok = F.coalesce(same(F.col("cell"), F.col("text")), F.lit(False))
+        for c in around:
+            ok &= (F.coalesce(f"t_{c}", F.lit("")) == "") | F.coalesce(same(F.col(f"t_{c}"), F.col(c)), F.lit(False))
+        return ok
+
+    close = lambda want, got: got.isNotNull() & (indel_ratio(want, got) >= F.greatest(F.lit(0.5), 1 - F.col("k") / F.greatest(F.length(want), F.lit(1))))
+    done = rows.where("k = 0").select("test_id", "doc_id", matching(lambda want, got: want == got).alias("ok")).unionByName(rows.where("k > 0").select("test_id", "doc_id", matching(close).alias("ok")))
+    return done.groupBy("test_id", "doc_id").agg(F.bool_or("ok").alias("passed"))
 
 
 def unit_pass_rate(docs: DataFrame, results: DataFrame) -> DataFrame:
