@@ -58,12 +58,16 @@ def claim_pending(plan: DataFrame, manifest: DataFrame) -> DataFrame:
     return plan.where("action = 'extract'").join(keep, "source", "left").select("source", "fingerprint", F.lit("pending").alias("status"), F.lit(True).alias("queued"), "output_files", "owned_files")
 
 
+def latest_entries(rows: DataFrame) -> DataFrame:
+    """The newest row of each source; ``owned_files`` are those of all its rows."""
+    own = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("output_files", "owned_files")])
+    g = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "status", "output_files", "updated"), F.struct("updated", "status")).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))).alias("owned_files"))
+    return g.select("source", "n.fingerprint", "n.status", "n.output_files", "owned_files", "n.updated")
+
+
 def merge_manifest(manifest: DataFrame, updates: DataFrame) -> DataFrame:
-    """The newest row of each source; ``owned_files`` only grows. Merging the same updates twice changes nothing."""
-    rows = manifest.unionByName(updates)
-    newest = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "status", "output_files", "updated"), F.struct("updated", "status")).alias("n"))
-    owned = rows.select("source", F.explode(F.array_union("output_files", "owned_files")).alias("f")).groupBy("source").agg(F.array_sort(F.collect_set("f")).alias("owned_files"))
-    return newest.join(owned, "source", "left").select("source", "n.fingerprint", "n.status", "n.output_files", F.coalesce("owned_files", F.array().cast("array<string>")).alias("owned_files"), "n.updated")
+    """``manifest`` with ``updates``: the newest row of each source; ``owned_files`` only grows. Merging the same updates twice changes nothing."""
+    return latest_entries(manifest.unionByName(updates))
 
 
 def settle_claims(manifest: DataFrame, previous: DataFrame, started: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from quire.views import Inputs
 _ISSUES = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'warning' END AS level FROM ref_fields WHERE doc_id % 7 = 0"
 _PRICES = [("model-a", None, "2023-06-01", 0, "1.0", "0.1", "4.0"), ("model-a", "2023-06-01", None, 0, "2.0", "0.2", "8.0"), ("model-a", "2023-06-01", None, 50000, "4.0", "0.4", "12.0"), ("model-b", None, None, 0, "0.5", "0.05", "1.5"), ("model-b", None, None, 80000, "1.0", "0.1", "3.0")]
 _PRICE_SQL = "(VALUES " + ", ".join(f"('{m}', {f'DATE {a!r}' if a else 'NULL::DATE'}, {f'DATE {z!r}' if z else 'NULL::DATE'}, {n}, CAST({i} AS DECIMAL(10,4)), CAST({c} AS DECIMAL(10,4)), CAST({o} AS DECIMAL(10,4)))" for m, a, z, n, i, c, o in _PRICES) + ") AS p(pm, a, z, n, ip, cp, op)"
+_CORPUS = "SELECT concat('/corpus/', CAST(doc_id AS VARCHAR(20))) AS path, text AS content FROM documents"
+_KNOWN = """SELECT concat('/corpus/', CAST(doc_id AS VARCHAR(20))) AS source, {}CASE WHEN doc_id % 4 = 0 THEN concat(text, '!') ELSE text END{} AS fingerprint,
+    CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS status FROM documents WHERE doc_id % 3 <> 0"""
 _FAILURES = """SELECT event_id AS id, 0 AS cause_no, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 WHEN 3 THEN 401 END AS status_code,
     CASE event_id % 7 WHEN 0 THEN 'resource_exhausted' WHEN 1 THEN 'EXCEEDED_CURRENT_QUOTA_ERROR' WHEN 2 THEN 'REFUSAL' WHEN 3 THEN 'odd' END AS structured_code,
     CASE WHEN event_id % 11 = 0 THEN 'fetch failed' ELSE event_type END AS message FROM events"""
@@ -111,10 +114,13 @@ PLANS = {
     "w05_combine_pages": (lambda v: w.combine_pages(v.sql("SELECT page_id AS pos, concat('P', CAST(page_id AS VARCHAR(20))) AS title, url, substr(html, 1, 60 + CAST(page_id % 3 AS INT)) AS text, page_id % 10 AS site FROM pages"), "site"), """
         WITH x AS (SELECT page_id AS pos, concat('P', CAST(page_id AS VARCHAR)) AS title, url, substr(html, 1, 60 + CAST(page_id % 3 AS INT)) AS text, page_id % 10 AS site FROM pages), y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY site, text ORDER BY pos) = 1)
         SELECT site, count(*) AS pages, string_agg(concat('# ', title, chr(10), 'Source: ', url, chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY pos) AS combined FROM y GROUP BY site"""),
-    "s02_document_lifecycle": (lambda v: s.document_lifecycle(v("run_events")), "SELECT run_id, document_id, arg_max(type, sequence * 100 + length(type)) AS state, max(sequence) AS sequence FROM run_events GROUP BY run_id, document_id"),
+    "s01_ingest_batch": (lambda v: s.new_documents(v.sql(_CORPUS), v.sql(_KNOWN.format("sha2(", ", 256)"))).select("source", "fingerprint"), f"""
+        WITH d AS (SELECT path, sha256(content) AS h FROM ({_CORPUS})), k AS ({_KNOWN.format("sha256(", ")")}) SELECT DISTINCT path AS source, h AS fingerprint FROM d WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = path AND k.fingerprint = h AND status = 'succeeded')"""),
+    "s02_document_lifecycle": (lambda v: s.document_lifecycle(v("run_events")), "SELECT run_id, document_id, arg_max(type, sequence * 100 + length(type)) AS state, max(sequence) AS sequence FROM run_events WHERE type LIKE 'document.%' GROUP BY run_id, document_id"),
     "s03_sequence_audit": (lambda v: s.sequence_audit(v("run_events")), """
         WITH x AS (SELECT run_id, sequence - lag(sequence) OVER (PARTITION BY run_id ORDER BY sequence) AS step FROM run_events), g AS (SELECT run_id, count(*) FILTER (step > 1) AS gaps, count(*) FILTER (step = 0) AS repeats, count(*) AS events FROM x GROUP BY run_id),
-          d AS (SELECT run_id, document_id, bool_or(type = 'document.started') AS a, bool_or(type IN ('document.completed', 'document.failed', 'document.partial', 'document.skipped')) AS z FROM run_events GROUP BY run_id, document_id)
-        SELECT g.run_id, gaps, repeats, events, unstarted, unended FROM g JOIN (SELECT run_id, count(*) FILTER (NOT a) AS unstarted, count(*) FILTER (NOT z) AS unended FROM d GROUP BY run_id) o ON g.run_id = o.run_id"""),
+          d AS (SELECT run_id, document_id, bool_or(type = 'document.started') AS a, bool_or(type IN ('document.completed', 'document.failed', 'document.partial', 'document.skipped')) AS z FROM run_events WHERE type LIKE 'document.%' GROUP BY run_id, document_id),
+          l AS (SELECT run_id, count(*) FILTER (sequence > first_end) AS late FROM (SELECT *, min(sequence) FILTER (type IN ('run.completed', 'run.failed')) OVER (PARTITION BY run_id) AS first_end FROM run_events) GROUP BY run_id)
+        SELECT g.run_id, gaps, repeats, events, unstarted, unended, late FROM g JOIN (SELECT run_id, count(*) FILTER (NOT a) AS unstarted, count(*) FILTER (NOT z) AS unended FROM d GROUP BY run_id) o ON g.run_id = o.run_id JOIN l ON l.run_id = g.run_id"""),
     "s04_running_usage": (lambda v: s.running_usage(v("usage_log"), 1_000_000), "SELECT job_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) AS requests, sum(input_tokens) + sum(output_tokens) >= 1000000 AS cap_reached FROM usage_log GROUP BY job_id"),
 }

@@ -2,57 +2,99 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.resume import merge_manifest
+from quire.operators.resume import latest_entries
 
 TIMEOUT_SECONDS = 120
 TERMINAL = ("document.completed", "document.failed", "document.partial", "document.skipped")
+RUN_END = ("run.completed", "run.failed")
 MANIFEST = "source string, fingerprint string, fingerprint_version int, status string, output_files array<string>, owned_files array<string>, updated long"
+_ENTRY = ["source", "fingerprint", "status", "output_files", "owned_files", "updated"]
+COMPACT_EVERY = 64
 
 
-def _manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """The state after the last whole batch: the newest version that holds a success mark."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return spark.createDataFrame([], MANIFEST)
-    names = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not names:
-        return spark.createDataFrame([], MANIFEST)
-    newest = max(names, key=lambda p: int(p.getName().removeprefix("v")))
-    return spark.read.schema(MANIFEST).parquet(newest.toString())
+class ManifestLog:
+    """The manifest of a stream: a whole table, and one delta for each micro-batch since.
 
+    ``folder/whole-K`` holds what was settled when it was written, ``folder/delta/run=R/batch=N`` the rows of batch N of the query R. A folder
+    counts once it holds its success mark. A batch never reads its own delta, so a batch that is repeated sees what it saw the first time."""
 
-def stream_ingest(stream: DataFrame, folder: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str):
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _below(self, folder: str, prefix: str) -> dict[str, str]:
+        """What follows ``prefix`` in the names in ``folder``, and their paths."""
+        at = self.path(folder)
+        if not self.fs.exists(at):
+            return {}
+        return {s.getPath().getName().removeprefix(prefix): s.getPath().toString() for s in self.fs.listStatus(at) if s.getPath().getName().startswith(prefix)}
+
+    def _marked(self, folder: str) -> bool:
+        return self.fs.exists(self.path(folder, "_SUCCESS"))
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(MANIFEST).parquet(*paths) if paths else self.spark.createDataFrame([], MANIFEST)
+
+    def before(self, run: str, number: int, compact_every: int = COMPACT_EVERY) -> DataFrame:
+        """The entries as batch ``number`` of ``run`` must see them; every ``compact_every`` deltas become part of the whole table."""
+        wholes = {int(k): p for k, p in self._below(self.folder, "whole-").items() if self._marked(p)}
+        newest = max(wholes, default=-1)
+        deltas = [p for r, folder in self._below(f"{self.folder}/delta", "run=").items() for n, p in self._below(folder, "batch=").items() if self._marked(p) and not (r == run and int(n) >= number)]
+        merged = latest_entries(self._read([wholes[newest]] if wholes else []).unionByName(self._read(deltas)).select(*_ENTRY))
+        if len(deltas) < compact_every:
+            return merged
+        # all of these batches are committed, or another query's: none is ever repeated
+        self.write(merged, f"{self.folder}/whole-{newest + 1}")
+        for old in [*deltas, *wholes.values()]:
+            self.fs.delete(self.path(old), True)
+        return self._read([f"{self.folder}/whole-{newest + 1}"]).select(*_ENTRY)
+
+    def write(self, rows: DataFrame, to: str) -> None:
+        rows.withColumn("fingerprint_version", F.lit(2)).select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.mode("overwrite").parquet(to)
+
+    def entries(self) -> DataFrame:
+        """The newest entry of every source."""
+        return self.before("", 0, 1 << 30)
+
+
+def new_documents(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(source, fingerprint, content) of (path, content) rows whose newest entry in ``known`` isn't a success of the same content."""
+    new = rows.select(F.col("path").alias("source"), F.sha2("content", 256).alias("fingerprint"), "content").dropDuplicates(["source", "fingerprint"])
+    return new.join(known.where("status = 'succeeded'").select("source", "fingerprint"), ["source", "fingerprint"], "left_anti")
+
+
+def stream_ingest(stream: DataFrame, folder: str, extract: Callable[[DataFrame], DataFrame], checkpoint: str, compact_every: int = COMPACT_EVERY):
     """Run ``extract`` on new or changed documents of each micro-batch; (path, content) rows in.
 
-    Outcomes go to ``folder/results/batch=N``, the manifest to ``folder/manifest/vN``; both are overwritten if a batch is
-    repeated, and a document whose fingerprint is known as succeeded is left out, so a restart redoes nothing."""
+    Outcomes go to ``folder/results/run=R/batch=N`` (R: the id that the query keeps in its checkpoint), entries to ``folder/manifest``. Both are
+    overwritten if a batch is repeated, from the state before it, so a restart loses and redoes nothing; a new checkpoint never
+    overwrites what another wrote."""
     spark = stream.sparkSession
+    log = ManifestLog(spark, f"{folder}/manifest")
 
     def batch(rows: DataFrame, number: int) -> None:
-        known = _manifest(spark, f"{folder}/manifest")
-        new = rows.select(F.col("path").alias("source"), F.sha2("content", 256).alias("fingerprint"), "content").dropDuplicates(["source", "fingerprint"])
-        todo = new.join(known.where("status = 'succeeded'").select("source", "fingerprint"), ["source", "fingerprint"], "left_anti")
-        made = extract(todo)
-        made.write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
-        done = spark.read.parquet(f"{folder}/results/batch={number}")
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        results = f"{folder}/results/run={run}/batch={number}"
+        extract(new_documents(rows, log.before(run, number, compact_every))).write.mode("overwrite").parquet(results)
         files = F.array(F.concat(F.lit("out/"), F.col("source"), F.lit(".md")))
-        updates = done.select("source", "fingerprint", "status", files.alias("output_files"), files.alias("owned_files"), F.lit(number).cast("long").alias("updated"))
-        merged = merge_manifest(known.select("source", "fingerprint", "status", "output_files", "owned_files", "updated"), updates)
-        merged.withColumn("fingerprint_version", F.lit(2)).select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.mode("overwrite").parquet(f"{folder}/manifest/v{number}")
+        now = F.lit(time.time_ns() // 1000)
+        log.write(spark.read.parquet(results).select("source", "fingerprint", "status", files.alias("output_files"), files.alias("owned_files"), now.alias("updated")), f"{folder}/manifest/delta/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
 def document_lifecycle(events: DataFrame) -> DataFrame:
-    """S02, batch: (run_id, document_id, state, sequence): the latest event of each document."""
+    """S02, batch: (run_id, document_id, state, sequence): the latest event of each document; events of the run itself are none."""
+    events = events.where(F.col("type").startswith("document."))
     return events.groupBy("run_id", "document_id").agg(F.max_by("type", F.struct("sequence", "type")).alias("state"), F.max("sequence").alias("sequence"))
 
 
@@ -78,17 +120,24 @@ def lifecycle_stream(events: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS)
             state.setTimeoutTimestamp(max(last + timeout_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], key[1], kind, sequence)], columns=["run_id", "document_id", "state", "sequence"])
 
-    keyed = events.withWatermark("ts", "10 seconds").groupBy("run_id", "document_id")
+    keyed = events.where(F.col("type").startswith("document.")).withWatermark("ts", "10 seconds").groupBy("run_id", "document_id")
     return keyed.applyInPandasWithState(advance, schema, "state string, sequence long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def sequence_audit(events: DataFrame) -> DataFrame:
-    """Gaps and repeats in the sequence of each run, documents without a start and without a terminal event."""
-    step = F.col("sequence") - F.lag("sequence").over(W.partitionBy("run_id").orderBy("sequence"))
-    gaps = events.select("run_id", step.alias("step")).groupBy("run_id").agg(F.count_if(F.col("step") > 1).alias("gaps"), F.count_if(F.col("step") == 0).alias("repeats"), F.count("*").alias("events"))
-    docs = events.groupBy("run_id", "document_id").agg(F.bool_or(F.col("type") == "document.started").alias("started"), F.bool_or(F.col("type").isin(*TERMINAL)).alias("ended"))
+    """By run, gaps and repeats in its sequence, documents without a start and without a terminal event, and events after its end.
+
+    A number without its predecessor starts a stretch, and stretches but the first lie behind a gap: sums by (run, number), so that no run is
+    ordered in one task."""
+    number = F.explode(F.array(F.struct(F.col("sequence").alias("s"), F.lit(1).alias("own")), F.struct((F.col("sequence") + 1).alias("s"), F.lit(0).alias("own")))).alias("n")
+    places = events.select("run_id", number).groupBy("run_id", "n.s").agg(F.sum("n.own").alias("own"), F.bool_or(F.col("n.own") == 0).alias("follows"))
+    gaps = places.where("own > 0").groupBy("run_id").agg((F.count_if(~F.col("follows")) - 1).alias("gaps"), F.sum(F.col("own") - 1).alias("repeats"), F.sum("own").alias("events"))
+    docs = events.where(F.col("type").startswith("document.")).groupBy("run_id", "document_id").agg(F.bool_or(F.col("type") == "document.started").alias("started"), F.bool_or(F.col("type").isin(*TERMINAL)).alias("ended"))
     open_ = docs.groupBy("run_id").agg(F.count_if(~F.col("started")).alias("unstarted"), F.count_if(~F.col("ended")).alias("unended"))
-    return gaps.join(open_, "run_id")
+    end = events.where(F.col("type").isin(*RUN_END)).groupBy("run_id").agg(F.min("sequence").alias("end"))
+    late = events.join(end, "run_id").groupBy("run_id").agg(F.count_if(F.col("sequence") > F.col("end")).alias("late"))
+    counts = ["gaps", "repeats", "events", "unstarted", "unended", "late"]
+    return gaps.join(open_, "run_id", "left").join(late, "run_id", "left").select("run_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
 
 def running_usage(usage: DataFrame, cap: int) -> DataFrame:

@@ -66,8 +66,8 @@ VIEWS = {
     "run_events": """
         SELECT user_id % 4 AS run_id, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
                ts, user_id AS document_id,
-               CASE event_type WHEN 'signup' THEN 'document.started' WHEN 'view' THEN 'document.progress' WHEN 'purchase' THEN 'document.completed'
-                               WHEN 'error' THEN 'document.failed' ELSE 'document.partial' END AS type
+               CASE WHEN event_id % 1009 = 1008 THEN 'run.completed' ELSE CASE event_type WHEN 'signup' THEN 'document.started' WHEN 'view' THEN 'document.progress' WHEN 'purchase' THEN 'document.completed'
+                               WHEN 'error' THEN 'document.failed' ELSE 'document.partial' END END AS type
         FROM events""",
     "attempts": """
         SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS attempt,

@@ -191,7 +191,7 @@ def test_scan_write_and_chunk(spark, tmp_path):
 
 
 def test_stream_ingest_redoes_nothing(spark, tmp_path):
-    source, work = tmp_path / "in", tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    source, work = tmp_path / "in", tmp_path / "work"
     source.mkdir()
     for i in range(3):
         (source / f"{i}.txt").write_text(f"k: {i}")
@@ -201,16 +201,39 @@ def test_stream_ingest_redoes_nothing(spark, tmp_path):
 
     def run(checkpoint):
         stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(source))
-        jobs.stream_ingest(stream.select("path", "content"), work, extract, checkpoint).trigger(availableNow=True).start().awaitTermination(120)
+        jobs.stream_ingest(stream.select("path", "content"), str(work), extract, checkpoint, compact_every=2).trigger(availableNow=True).start().awaitTermination(120)
 
     def done():
-        return spark.read.option("basePath", f"{work}/results").parquet(f"{work}/results/batch=*").groupBy("source").count().collect()
+        rows = spark.read.option("basePath", f"{work}/results").parquet(f"{work}/results/run=*/batch=*").groupBy("source").count().collect()
+        return {r["source"].rsplit("/", 1)[-1]: r["count"] for r in rows}
+
+    def entries():
+        return {r["source"].rsplit("/", 1)[-1]: (r["status"], r["fingerprint"]) for r in jobs.ManifestLog(spark, f"{work}/manifest").entries().collect()}
 
     run(f"{work}/c1")
-    assert sorted(r["count"] for r in done()) == [1, 1, 1]
-    (source / "3.txt").write_text("k: 3")
+    assert done() == {"0.txt": 1, "1.txt": 1, "2.txt": 1}
+    last = max((work / "c1/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    before = entries()
+    last.unlink()  # the batch was written, its commit was lost: it is repeated
+    (work / f"c1/commits/.{last.name}.crc").unlink(missing_ok=True)
     run(f"{work}/c1")
-    assert len(done()) == 4 and max(r["count"] for r in done()) == 1
+    assert done() == {"0.txt": 1, "1.txt": 1, "2.txt": 1} and entries() == before
+    for i in range(3, 9):
+        (source / f"{i}.txt").write_text(f"k: {i}")
+        run(f"{work}/c1")
+    assert done() == {f"{i}.txt": 1 for i in range(9)} and len(entries()) == 9
+    assert len(list((work / "manifest").glob("whole-*"))) == 1 and len(list((work / "manifest/delta").glob("run=*/batch=*"))) <= 3
+    run(f"{work}/c2")  # another query sees all files again: only the failed one is tried anew, and nothing is overwritten
+    assert done() == {f"{i}.txt": 1 + (i == 1) for i in range(9)}
+    (source / "0.txt").write_text("changed")
+    run(f"{work}/c3")
+    assert done()["0.txt"] == 2 and entries()["0.txt"] != before["0.txt"]
+
+
+def test_sequence_audit(spark):
+    rows = [(1, s, d, t) for s, d, t in ((0, None, "run.started"), (1, 7, "document.started"), (2, 7, "document.completed"), (2, 8, "document.progress"), (6, None, "run.completed"), (7, 9, "document.started"), (9, 9, "document.progress"))]
+    got = jobs.sequence_audit(spark.createDataFrame(rows, "run_id long, sequence long, document_id long, type string")).first().asDict()
+    assert got == {"run_id": 1, "gaps": 2, "repeats": 1, "events": 7, "unstarted": 1, "unended": 2, "late": 2}
 
 
 def test_streams_equal_their_batch_form(spark, tmp_path):
