@@ -10,8 +10,10 @@ each packed on its own: the number of groups follows the number of documents, no
 each group stay part-filled. Bins of equal residual are one state with a count, so an item is scored
 against distinct residuals, which the capacities bound.
 
-Defined cases: null or empty text gives the end token alone. Null ids are packed like any others.
-Repeated rows are packed once each. An empty table gives no pieces. Only ``doc_id`` and ``text`` are read.
+Defined cases: null or empty text gives the end token alone. Null ids are packed like any others, and stay null; ids keep all of their 64 bits
+beside them. Repeated rows are packed once each. A long text becomes full pieces, which need no choice, and one shorter first piece. Items of one
+length go in by hash, id and piece; of bins that score the same the one whose residual came up first wins. An empty table gives no pieces. Only ``doc_id``
+and ``text`` are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ from quire.llm.shared import as_bytes, write_table
 from quire.llm.tokens import tokenizer
 
 MAX_TOKENS = 1024
-MAX_DOCUMENTS = 1024  # with these two, only the token capacity binds in production
-MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS
-WEIGHTS = (1.0, 0.0, 0.0)
+MAX_DOCUMENTS = 256  # binds where documents hold fewer than four tokens on average
+MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS  # what a full piece costs, so the least that takes every piece
+WEIGHTS = (1.0, 1.0, 1.0)
 GROUP_ITEMS = 16384
 
 
@@ -113,38 +115,40 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int] = (MAX_TOKENS,
 
 def pack(items: DataFrame, groups: int, capacity: tuple[int, int, int] = (MAX_TOKENS, MAX_DOCUMENTS, MAX_ATTENTION),
          weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
-    """``items`` (with ``length``, ``item``, doc_id, piece, start) plus sequence_id and offset.
+    """``items`` (with ``length``, ``item``, doc_id, piece) plus sequence_id and offset.
 
     ``groups``: how many bin groups the items are dealt to. sequence_id is group << 32 | bin.
     """
-    columns = items.columns
     schema = items.schema.add("sequence_id", "long").add("offset", "long")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__group").sort_values(["length", "item", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        bins, offset = best_fit(rows["length"].to_numpy(np.int64), capacity, weights, rule)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offset)[[*columns, "sequence_id", "offset"]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("__group")
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("item", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        bins, offset = best_fit(rows["length"].to_numpy().astype(np.int64), capacity, weights, rule)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offset))
 
     dealt = items.withColumn("__group", F.pmod(F.xxhash64("item", "doc_id"), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(run, schema)
+    return dealt.groupBy("__group").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: tuple[int, int, int] = (MAX_TOKENS, MAX_DOCUMENTS, MAX_ATTENTION),
-                   weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group_items: int = GROUP_ITEMS) -> DataFrame:
-    """Every piece of every document with its sequence_id and offset.
+                   weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group_items: int = GROUP_ITEMS, with_ids: bool = False) -> DataFrame:
+    """Every piece of every document with its sequence_id and offset, and its ids if asked for.
 
     A full piece fills a sequence of its own, so only first pieces shorter than that, one of each document
-    at most, have to be packed; their number sets the number of groups.
+    at most, have to be packed; their number sets the number of groups. Ids don't take part in that: they come back by a number of the piece.
     """
-    made = write_table(pieces(docs, tokenizer_path, end_id, capacity[0]), "pieces")
+    made = write_table(pieces(docs, tokenizer_path, end_id, capacity[0], with_ids).withColumn("__piece", F.monotonically_increasing_id()), "pieces")
     part = F.col("length") < capacity[0]
     groups = max(1, -(-made.where(part).count() // group_items))
     full = made.where(~part).select("*", (F.monotonically_increasing_id() + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return full.unionByName(pack(made.where(part), groups, capacity, weights, rule)).drop("item")
+    packed = pack(made.where(part).drop("ids"), groups, capacity, weights, rule)
+    if with_ids:
+        packed = packed.join(made.where(part).select("__piece", "ids"), "__piece")
+    return full.unionByName(packed).drop("item", "__piece")
 
 
-def sequences(packed: DataFrame, with_ids: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, from pieces made with ``with_ids=True``."""
-    joined = packed.select("doc_id", "piece", "ids_crc32", "sequence_id", "offset").join(with_ids.select("doc_id", "piece", "ids_crc32", "ids"), ["doc_id", "piece", "ids_crc32"])
-    ordered = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids) of pieces packed ``with_ids``: the packed sequences themselves."""
+    ordered = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return ordered.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

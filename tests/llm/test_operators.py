@@ -199,8 +199,8 @@ def test_packing(spark):
 
     path = queries.tokenizer_file(queries.BYTE_BPE)
     plain = Tokenizer.from_file(path)
-    rows = corpus() + [(None, "null id"), (0, "same id"), (0, "same id")]
-    d = frame(spark, rows).withColumn("length", F.lit("own"))
+    rows = corpus() + [(None, "null id"), (None, "null id"), (0, "same id"), (0, "same id"), (2**60 + 1, "a long id"), (2**60 + 3, "a long id"), (5000, "long " * 5000)]
+    d = frame(spark, rows).withColumn("length", F.lit("own")).withColumn("sequence_id", F.lit("own"))
     got = packing.pack_documents(d, path, 2, group_items=16).collect()
     by_bin, by_doc = {}, {}
     for r in got:
@@ -220,9 +220,19 @@ def test_packing(spark):
     total = sum(len(brute.ids(plain, t, 2)) for _, t in rows)
     assert sum(r["length"] for r in got) == total
     assert len(by_bin) <= total / 1024 * 1.02 + 8
-    made = packing.pieces(d, path, 2, with_ids=True)
-    whole = packing.sequences(packing.pack_documents(d.where("doc_id > 0"), path, 2), made.where("doc_id > 0")).collect()
-    assert max(len(r["ids"]) for r in whole) <= 4096
+    assert {r["doc_id"] for r in got} == {d_id for d_id, _ in rows}
+    with_ids = packing.pack_documents(d, path, 2, group_items=16, with_ids=True).persist()
+    whole = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(with_ids).collect()}
+    assert max(map(len, whole.values())) <= 4096 and sum(map(len, whole.values())) == 4 * total
+    back = {}
+    for r in with_ids.collect():
+        ids = whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]
+        assert brute.crc(np.frombuffer(ids, "<u4")) == r["ids_crc32"]
+        back.setdefault((r["doc_id"], r["piece"]), []).append(ids)
+    for d_id, text in rows:
+        if sum(x == d_id for x, _ in rows) == 1:
+            assert b"".join(back[d_id, i][0] for i in range(len(by_doc[d_id]))) == brute.ids(plain, text, 2).tobytes()
+    with_ids.unpersist()
     assert packing.pack_documents(d.limit(0), path, 2).count() == 0
 
 
@@ -243,6 +253,11 @@ def test_best_fit_obeys_every_capacity():
         assert n >= -(-lengths.sum() // capacity[0])
     bins, _ = packing.best_fit(lengths)
     assert bins.max() + 1 <= 1.02 * -(-lengths.sum() // 1024)
+    scalar, _ = packing.best_fit(lengths, weights=(1.0, 0.0, 0.0))
+    together = lambda b: {tuple(sorted(lengths[b == x])) for x in range(b.max() + 1)}
+    assert together(bins) != together(scalar)  # documents and attention take part in the choice
+    bins, _ = packing.best_fit(np.ones(1000, np.int64))
+    assert np.bincount(bins).max() == packing.MAX_DOCUMENTS
     with pytest.raises(ValueError):
         packing.best_fit(np.array([2000]))
 
