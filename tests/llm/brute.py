@@ -90,11 +90,12 @@ def warc(rows):
 
 
 def top_k(rows, k=5):
-    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    good = [(i, [long(int(np.floor(256 * float(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = {}
     for q, v in good:
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:k]
+            scores = sorted((-long(sum(a * b for a, b in zip(v, w))), i) for i, w in good if i != q and len(w) == len(v))[:k]
             for r, (s, i) in enumerate(scores, 1):
                 out[q, r] = (i, -s)
     return out

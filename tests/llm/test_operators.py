@@ -382,22 +382,41 @@ def test_unigram_equals_all_segmentations():
 
 def test_top_k_equals_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    rows += [(1000, None), (1050, [None] * 64), (1100, [float("nan")] * 64), (1150, [float("inf")] + [0.0] * 63), (1200, [1.0, 2.0]), (1201, [1.0, 2.0]), (1202, [1.0, 2.0]), (None, [1.0, 2.0]), (1250, []), (1300, [3e38] * 2)]
-    d = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1))
-    got = topk.top_k(d.where("vec_id <> 1300 or vec_id is null"), F.col("vec_id") % 50 == 0, vector_block=100, query_block=7)
-    want = brute.top_k([r for r in rows if r[0] != 1300])
-    found = got.collect()
-    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found} == want and len(found) == len(want)
+    rows += [(1000, None), (1050, [None] * 64), (1100, [float("nan")] * 64), (1150, [float("inf")] + [0.0] * 63), (1200, [1.0, 2.0]), (1201, [1.0, 2.0]), (1202, [1.0, 2.0]), (None, [1.0, 2.0]), (1250, [])]
+    rows += [(1300, [3e38] * 2), (1301, [-3e38, 0.0]), (1302, [1e12, -1e12]), (1303, [3e38, -3e38]), (1350, [0.0, 0.0]), (1400, [0.5] * 64), (1450, [-3e38] * 64)] + [(2001 + i, [0.5] * 64) for i in range(120)]
+    random.Random(3).shuffle(rows)
+    d = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1)).withColumn("block", F.lit("own"))
+    want = brute.top_k([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
+    for sizes in ({"vector_block": 100, "query_batch": 3, "query_group": 6}, {}):
+        found = topk.top_k(d, F.col("vec_id") % 50 == 0, **sizes).collect()
+        assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found} == want and len(found) == len(want)
     assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 512 * 256), (1, 512 * 256), (2, 65536)]
 
 
 def test_top_k_stops_early():
     rng = np.random.default_rng(0)
     x = (rng.exponential(1, (4000, 3)) * 1000).astype(np.int64)
-    may, read = topk.nra(x[:20], x, np.zeros((20, 4000), bool), 5)
-    assert read < 0.7
-    for i in range(20):
-        assert {*np.argsort(-(x @ x[i]), kind="stable")[:5]} <= {*may[i]}
+    y = np.floor(256 * (g := rng.normal(size=(4096, 64))) / np.linalg.norm(g, axis=1)[:, None]).astype(np.int64)
+    for vectors, share in ((x, 0.5), (y, 0.8)):
+        lists, done = topk.Lists.of(np.arange(len(vectors)), vectors), 0
+        for i in range(40):
+            scores = vectors @ vectors[i]
+            want = np.lexsort((np.arange(len(vectors)), -scores))
+            best = want[want != i][:5]
+            rows, score, read = lists.top(i, vectors[i], 5, int(scores[best[-1]]))
+            assert (rows == best).all() and (score == scores[best]).all()
+            done += read
+            assert {*best} <= {*lists.candidates(vectors[i], 5, -np.inf, np.array([i]))[0]}
+        assert done < share * 40 * vectors.size
+
+
+def test_top_k_reads_part_of_the_lists(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    share = topk.share_read(topk.found_in_blocks(vectors, F.col("vec_id") % 50 == 0, vector_block=512)).first()["share_read"]
+    print("share of the lists read at sf0.1:", share)
+    assert share < 0.9
 
 
 def test_chat_equals_brute_force(spark):
