@@ -53,9 +53,9 @@ def upgrade_legacy(plan: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def claim_pending(plan: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Pending, queued rows for all that will be extracted; earlier files and errors are kept."""
-    keep = manifest.select("source", "output_files", "owned_files")
-    return plan.where("action = 'extract'").join(keep, "source", "left").select("source", "fingerprint", F.lit("pending").alias("status"), F.lit(True).alias("queued"), "output_files", "owned_files")
+    """Pending, queued rows for all that will be extracted; earlier files and the error of the run before are kept."""
+    keep = manifest.select("source", "output_files", "owned_files", "error")
+    return plan.where("action = 'extract'").join(keep, "source", "left").select("source", "fingerprint", F.lit("pending").alias("status"), F.lit(True).alias("queued"), "output_files", "owned_files", "error")
 
 
 def latest_entries(rows: DataFrame) -> DataFrame:
@@ -77,15 +77,28 @@ def settle_claims(manifest: DataFrame, previous: DataFrame, started: DataFrame)
     return kept.unionByName(previous.join(unstarted, "source", "left_semi").select(*kept.columns))
 
 
-def batch_status(manifest: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row of counts by status, interrupted and queued claims, missing artifacts, and ``healthy``."""
-    count = lambda c: F.count_if(c)
-    status = F.col("status")
-    tally = manifest.agg(F.count("*").alias("total"), count(status == "succeeded").alias("succeeded"), count(status == "partial").alias("partial"), count(status == "failed").alias("failed"),
-                         count((status == "pending") & ~F.col("queued")).alias("interrupted"), count((status == "pending") & F.col("queued")).alias("waiting"))
-    missing = manifest.where(status.isin("succeeded", "partial")).select(F.explode("output_files").alias("path")).join(existing.select("path"), "path", "left_anti").agg(F.count("*").alias("missing_artifacts"))
-    both = tally.join(F.broadcast(missing), F.lit(True))  # one row each
-    return both.withColumn("healthy", (F.col("succeeded") == F.col("total")) & (F.col("missing_artifacts") == 0))
+def batch_status(manifest: DataFrame, existing: DataFrame, sources: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
+    """One row: counts by status (of the last run's ``results``, else of the manifest), interrupted and queued claims, artifacts and sources
+    (``sources``: path) that are gone, artifacts without an owner, leftovers, whether the last run left documents out, and ``healthy``."""
+    status, skip = F.col("status"), F.coalesce(F.col("skip_reason"), F.lit(""))
+    counts = [F.count_if(status == x).alias(x) for x in ("succeeded", "partial", "failed", "skipped")]
+    entries = manifest.agg(F.count("*").alias("total"), *counts, F.count_if((status == "pending") & ~F.col("queued")).alias("interrupted"), F.count_if((status == "pending") & F.col("queued")).alias("waiting"))
+    gone = manifest.select("source", F.explode("output_files").alias("path")).join(existing.select("path"), "path", "left_anti")
+    lost = manifest.select("source").join(sources.select(F.col("path").alias("source")), "source", "left_anti") if sources is not None else manifest.limit(0)
+    kinds = audit_outputs(existing, manifest).agg(F.count_if(F.col("kind") == "untracked").alias("untracked_artifacts"), F.count_if(F.col("kind") == "stray").alias("stray_files"))
+    run = ["total", "succeeded", "partial", "failed", "skipped"]
+    row = entries.withColumn("whole", F.col("succeeded") == F.col("total"))
+    if results is None:
+        row = row.withColumns({"last_run_incomplete": F.lit(False), "last_run_ok": F.lit(True)})
+    else:
+        left_out = (status == "skipped") & ~skip.isin("resumed", "validated")
+        limited = F.coalesce(F.bool_or(skip == "cost-limit"), F.lit(False))
+        last = results.agg(F.count("*").alias("total"), *counts, (F.count_if(left_out) > 0).alias("last_run_incomplete"), ((F.count_if(status.isin("failed", "partial") | left_out) == 0) & ~limited).alias("last_run_ok"))
+        row = row.drop(*run).join(last)  # one row each, as below
+    for part in (gone.agg(F.count("*").alias("missing_artifacts")), lost.agg(F.count("*").alias("missing_sources")), kinds):
+        row = row.join(part)
+    healthy = F.col("whole") & (F.col("missing_artifacts") + F.col("untracked_artifacts") + F.col("stray_files") == 0) & F.col("last_run_ok")
+    return row.select(*run, "interrupted", "waiting", "missing_artifacts", "missing_sources", "untracked_artifacts", "stray_files", "last_run_incomplete", healthy.alias("healthy"))
 
 
 def audit_outputs(existing: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -98,8 +111,23 @@ def audit_outputs(existing: DataFrame, manifest: DataFrame) -> DataFrame:
     return untracked.unionByName(stray)
 
 
+_WHOLE = ("requests", "inputTokens", "outputTokens", "thoughtTokens", "toolTokens", "cachedTokens", "totalTokens")  # fixed values: counters of a stored usage
+
+
+def _bad_usage(usage: str) -> Column:
+    """Whether a stored usage (JSON) lacks a counter, or holds one that is no whole number of at least zero, or has no such cost."""
+    kind = lambda k: F.coalesce(F.expr(f"schema_of_variant(try_variant_get(try_parse_json({usage}), '$.{k}', 'variant'))"), F.lit(""))
+    number = lambda k: F.expr(f"try_variant_get(try_parse_json({usage}), '$.{k}', 'double')")
+    real = lambda k: kind(k).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    good = real("estimatedCostUsd") & (number("estimatedCostUsd") >= 0)
+    for k in _WHOLE:
+        good &= real(k) & (number(k) >= 0) & (number(k) % 1 == 0)
+    unreported = number("unreportedUsageRequests")
+    return F.col(usage).isNotNull() & ~(F.coalesce(good, F.lit(False)) & ((kind("unreportedUsageRequests") == "") | F.coalesce((unreported >= 0) & (unreported % 1 == 0), F.lit(False))))
+
+
 def check_manifest(manifest: DataFrame) -> DataFrame:
-    """(source, issue) for rows that break a rule of the manifest."""
+    """(source, issue) for rows that break a rule of the manifest; ``completed_at`` (ISO text) and ``usage`` (JSON) are checked where there are such columns."""
     status = F.col("status")
     tests = {
         "unknown-status": status.isNull() | ~status.isin(*STATUSES),
@@ -109,5 +137,11 @@ def check_manifest(manifest: DataFrame) -> DataFrame:
         "queued-not-pending": F.col("queued") & (status != "pending"),
         "bad-version": F.col("fingerprint_version").isNotNull() & (F.col("fingerprint_version") != 2),
     }
+    if "completed_at" in manifest.columns:
+        at = F.col("completed_at")
+        iso = at.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$") & F.expr("try_cast(completed_at AS timestamp)").isNotNull()
+        tests["bad-time"] = ~F.coalesce(iso, F.lit(False))
+    if "usage" in manifest.columns:
+        tests["bad-usage"] = _bad_usage("usage")
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]), lambda x: x.isNotNull())
     return manifest.select("source", F.explode(found).alias("issue"))

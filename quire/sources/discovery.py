@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.files import write_file
+from quire.functions.tables import written
+
 # fixed values: what the extractor accepts, and folders that hold no documents
 SUPPORTED_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "webp", "gif", "heic", "heif")
 EXCLUDED_FOLDERS = ("node_modules", "dist", "build", "vendor", "target")
@@ -18,6 +22,7 @@ INSTRUCTION_NAMES = ("claude", "claude.local", "agents", "agent", "gemini", "cop
 MAX_FILES, MAX_TOTAL_MB = 1000, 5120
 MAX_IMAGE_BYTES, MAX_PDF_BYTES = 70 << 20, 50 << 20
 CHUNK_BYTES = 65536
+ARTIFACTS = {"md": "markdown", "json": "json", "csv": "csv", "steps.json": "steps"}  # extension -> column of a result
 
 
 def extension(path: str | Column = "path") -> Column:
@@ -129,12 +134,13 @@ def check_budget(files: DataFrame, max_files: int = MAX_FILES, max_total_mb: int
     return total.select("files", "bytes", (F.col("files") <= max_files).alias("files_ok"), (F.col("bytes") <= max_total_mb * 1024 * 1024).alias("bytes_ok"))
 
 
-def media_support(files: DataFrame, providers: DataFrame) -> DataFrame:
-    """(path, provider, supported) for files (path, mime) and providers (provider, images, pdfs). A null image list takes any image;
-    pdfs is true, false, model-dependent or unknown, and only false refuses. Providers are a fixed short table."""
-    pair = files.select("path", "mime").join(F.broadcast(providers), F.lit(True))
-    ok = F.when(F.col("mime") == "application/pdf", F.col("pdfs") != "false").otherwise(F.col("images").isNull() | F.array_contains("images", F.col("mime")))
-    return pair.select("path", "provider", ok.alias("supported"))
+def media_support(files: DataFrame, providers: Sequence[tuple[str, Sequence[str] | None, str]]) -> DataFrame:
+    """(path, provider, supported) for files (path, mime) and providers (name, image types, pdfs). No image types takes any image;
+    pdfs is true, false, model-dependent or unknown, and only false refuses. Providers are a short list: each file meets it in its own row."""
+    one = lambda name, images, pdfs: F.struct(F.lit(name).alias("provider"), (F.array(*map(F.lit, images)) if images is not None else F.lit(None).cast("array<string>")).alias("images"), F.lit(pdfs).alias("pdfs"))
+    pair = files.select("path", "mime", F.explode(F.array(*[one(*p) for p in providers])).alias("p"))
+    ok = F.when(F.col("mime") == "application/pdf", F.col("p.pdfs") != "false").otherwise(F.col("p.images").isNull() | F.array_contains("p.images", F.col("mime")))
+    return pair.select("path", "p.provider", ok.alias("supported"))
 
 
 def plan_output_paths(docs: DataFrame, out_dir: str, formats: Sequence[str]) -> DataFrame:
@@ -171,13 +177,41 @@ def occupied_targets(planned: DataFrame, existing: DataFrame, manifest: DataFram
     return taken.join(owned, ["source", "target"], "left_anti")
 
 
-def write_artifacts(results: DataFrame, path: str, formats: Sequence[str] = ("md", "json", "csv")) -> DataFrame:
-    """Write (target, format, body) as text below a folder for each format; returns what was written.
+def _artifacts(fmt: str, row: dict) -> list[tuple[str, bytes]]:
+    """(extension, body) of what a result has and ``fmt`` asks for: text ends with one line end at least, JSON is indented."""
+    lines = lambda t: (t if t.endswith("\n") else t + "\n").encode()
+    pretty = lambda t: (json.dumps(json.loads(t), indent=2, ensure_ascii=False) + "\n").encode()
+    asked = {"markdown": ["md"], "json": ["json"], "csv": ["csv"], "all": ["md", "json", "csv", "steps.json"]}[fmt]
+    return [(x, (pretty if x.endswith("json") else lines)(row[ARTIFACTS[x]])) for x in asked if row.get(ARTIFACTS[x]) not in (None, "")]
+
+
+def write_artifacts(results: DataFrame, folder: str, fmt: str = "all") -> DataFrame:
+    """The artifacts of each result as files of their own; returns (target, path, bytes, error), a row for each file or refusal.
 
-    A csv-only run in which a document has no csv is an error of that document, returned with ``written`` false."""
-    some = results.where(F.col("format").isin(*formats))
-    some.where("body is not null").select("format", F.to_json(F.struct("target", "body")).alias("value")).write.mode("append").partitionBy("format").text(path)
-    return some.select("target", "format", F.col("body").isNotNull().alias("written"), F.when(F.col("body").isNull() & (F.lit(list(formats) == ["csv"])), "csv-missing").alias("error"))
+    ``results``: target (below ``folder``, without extension) and any of markdown, json, csv, steps (texts). ``fmt``: markdown, json, csv or all. A result
+    without a csv in a csv-only run is ``csv-missing``, one with nothing that is asked for ``nothing-to-write``, broken JSON ``bad-json``. Tasks write the
+    files, each whole under its name; writing them again gives the same files."""
+    names = ["target", "path", "bytes", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                try:
+                    found = _artifacts(fmt, row)
+                except ValueError:
+                    out.append((row["target"], None, None, "bad-json"))
+                    continue
+                if not found:
+                    out.append((row["target"], None, None, "csv-missing" if fmt == "csv" else "nothing-to-write"))
+                for kind, body in found:
+                    path = f"{folder.rstrip('/')}/{row['target']}.{kind}"
+                    write_file(path, body)
+                    out.append((row["target"], path, len(body), None))
+            yield pd.DataFrame(out, columns=names)
+
+    some = results.select("target", *[c for c in ARTIFACTS.values() if c in results.columns])
+    return written(some.mapInPandas(run, "target string, path string, bytes long, error string"), "artifacts-written")
 
 
 def chunk_artifacts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = CHUNK_BYTES) -> DataFrame:

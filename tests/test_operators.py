@@ -179,11 +179,12 @@ def test_scan_write_and_chunk(spark, tmp_path):
         (tmp_path / name).write_bytes(b"%PDF")
     got = {r["path"]: r["verdict"] for r in discovery.scan_documents(spark, [str(tmp_path)]).collect()}
     assert got["root/a.pdf"] == "supported" and got["root/b.txt"] == "unsupported" and got["root/dist/c.png"] == "excluded" and got["root/sub/e.JPG"] == "supported"
-    results = spark.createDataFrame([("o/a.md", "md", "x"), ("o/a.json", "json", "{}"), ("o/b.csv", "csv", None)], "target string, format string, body string")
-    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    assert {r["target"]: r["written"] for r in discovery.write_artifacts(results, out).collect()} == {"o/a.md": True, "o/a.json": True, "o/b.csv": False}
-    assert spark.read.text(out).count() == 2
-    assert discovery.write_artifacts(results, out, ["csv"]).first()["error"] == "csv-missing"
+    results = spark.createDataFrame([("o/a", "# x", '{"k":[1]}', None), ("b", "y\n", "{", "c,d"), ("e", None, None, None)], "target string, markdown string, json string, csv string")
+    rows = {(r["target"], r["error"]): r["path"] for r in discovery.write_artifacts(results, f"file://{tmp_path}/out").collect()}
+    assert set(rows) == {("o/a", None), ("b", "bad-json"), ("e", "nothing-to-write")}
+    assert (tmp_path / "out/o/a.md").read_text() == "# x\n" and (tmp_path / "out/o/a.json").read_text() == '{\n  "k": [\n    1\n  ]\n}\n'
+    assert {r["target"]: r["error"] for r in discovery.write_artifacts(results, str(tmp_path / "csv"), "csv").collect()} == {"o/a": "csv-missing", "b": None, "e": "csv-missing"}
+    assert (tmp_path / "csv/b.csv").read_text() == "c,d\n" and len(list(tmp_path.rglob("*.new"))) == 0
     texts = spark.createDataFrame([(1, "aé😀" * 50), (2, "")], "doc_id long, text string")
     chunks = discovery.chunk_artifacts(texts, max_bytes=10).orderBy("id", "chunk_no").collect()
     assert "".join(r["chunk"] for r in chunks if r["id"] == 1) == "aé😀" * 50 and all(len(r["chunk"].encode()) <= 10 for r in chunks)
