@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.urls import let, parsed_url
+
+PAGES_IN_PART, RULE = 64, "\n\n---\n\n"
 #: fixed values: services that expose private hosts
 TUNNEL_SUFFIXES = ("ngrok.io", "ngrok-free.app", "ngrok.app", "ngrok.dev", "pinggy.io", "pinggy.link", "pinggy.online", "loca.lt")
 #: fixed values: IPv4 ranges that are not globally routable
@@ -16,45 +21,38 @@ BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/ul|/ol|/table|/section|/
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def _address(host: Column) -> Column:
-    p = F.split(host, r"\.")
-    return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long"))
-
-
-def _private(host: Column) -> Column:
-    import ipaddress
-
-    a = _address(host)
+def _private(u: Column) -> Column:
+    """Whether a parsed URL's host is an address that is not globally routable."""
     inside = F.lit(False)
     for r in PRIVATE_RANGES:
         net = ipaddress.ip_network(r)
-        inside |= a.between(int(net.network_address), int(net.broadcast_address))
+        inside |= u["address"].between(int(net.network_address), int(net.broadcast_address))
     # of IPv6 only 2000::/3 is routable, and of that not documentation, 6to4 and Teredo ranges
-    six = F.when(host.startswith("["), ~host.rlike(r"(?i)^\[[23][0-9a-f]{0,3}:") | host.rlike(r"(?i)^\[(2001:0{0,3}db8:|2001:0*:|2002:)"))
+    six = F.when(u["host"].startswith("["), ~u["host"].rlike(r"^\[[23][0-9a-f]{0,3}:") | u["host"].rlike(r"^\[(2001:0{0,3}db8:|2001:0*:|2002:)"))
     return F.coalesce(inside, F.lit(False)) | F.coalesce(six, F.lit(False))
 
 
 def filter_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds ``reason``: null for an http(s) URL of a public host without credentials."""
-    u = F.trim(url_col)
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    authority = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", ""))
-    tunnel = F.lit(False)
-    for s in TUNNEL_SUFFIXES:
-        tunnel |= (host == s) | host.endswith("." + s)
-    reason = F.when(~scheme.isin("http", "https"), "scheme").when(authority.contains("@"), "credentials").when(host == "", "host").when(host == "localhost", "loopback").when(_private(host), "private-address").when(tunnel, "tunnel")
-    return urls.withColumn("reason", reason)
+    """Adds ``reason``: null for an http(s) URL of a public host without credentials. Hosts are read as a fetcher would: ``2130706433``, ``127.1`` and ``0x7f.0.0.1`` are 127.0.0.1."""
+
+    def reason(u: Column) -> Column:
+        tunnel = F.lit(False)
+        for s in TUNNEL_SUFFIXES:
+            tunnel |= (u["host"] == s) | u["host"].endswith("." + s)
+        return (F.when(~u["scheme"].isin("http", "https"), "scheme").when(u["at"], "credentials").when(u["host"] == "localhost", "loopback").when(~u["valid"], "host").when(_private(u), "private-address").when(tunnel, "tunnel"))
+
+    return urls.withColumn("reason", let(parsed_url(url_col), reason))
 
 
 def url_key(url: str | Column) -> Column:
-    """What makes two URLs one: scheme, lower-cased host, path without slashes at its end, query; never the fragment."""
-    u = F.trim(url)
-    base = F.regexp_replace(u, "#.*$", "")
-    head = F.lower(F.regexp_extract(base, r"^([A-Za-z]+://[^/?]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(base, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(base, r"(\?.+)$", 1)
-    return F.when(head != "", F.concat(head, F.when(path == "", "/").otherwise(path), query)).otherwise(F.regexp_replace(F.lower(u), "/+$", ""))
+    """What makes two URLs one: scheme, host and port, path without slashes at its end, query; never the fragment. Text that is no URL is its own key."""
+    raw = F.trim(F.col(url) if isinstance(url, str) else url)
+
+    def key(u: Column) -> Column:
+        path = F.regexp_replace(u["path"], "/+$", "")
+        return F.when(u["valid"], F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"].isNotNull(), F.concat(F.lit(":"), u["port"].cast("string"))).otherwise(""), F.when(path == "", "/").otherwise(path), u["query"]))
+
+    return F.coalesce(let(parsed_url(raw), key), F.regexp_replace(F.lower(raw), "/+$", ""))
 
 
 def dedupe_urls(urls: DataFrame) -> DataFrame:
@@ -88,11 +86,12 @@ def text_profile(pages: DataFrame) -> DataFrame:
     return pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.max(n).alias("longest"))
 
 
-def combine_pages(pages: DataFrame, group_col: str) -> DataFrame:
-    """(group, pages, combined): the pages of a group in order, with title and source, repeated texts dropped first.
+def combine_pages(pages: DataFrame, group_col: str, run: int = PAGES_IN_PART) -> DataFrame:
+    """(group, part, pages, combined): the pages of a group in order, with title and source, repeated texts dropped first.
 
-    ``pages``: pos, title, url, text and the group."""
+    ``pages``: pos, title, url, text and the group. A part holds the pages of ``run`` positions, so a group of any size is rendered in pieces of a bounded
+    number of pages; its parts in order, with the rule between them, are the whole."""
     first = pages.groupBy(group_col, F.sha2("text", 256).alias("__h")).agg(F.min_by(F.struct("pos", "title", "url", "text"), "pos").alias("p"))
     block = F.concat(F.lit("# "), F.col("p.title"), F.lit("\nSource: "), F.col("p.url"), F.lit("\n\n"), F.col("p.text"))
-    g = first.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(F.col("p.pos").alias("pos"), block.alias("b")))).alias("l"))
-    return g.select(group_col, F.size("l").cast("long").alias("pages"), F.array_join(F.transform("l", lambda x: x["b"]), "\n\n---\n\n").alias("combined"))
+    g = first.groupBy(group_col, F.floor(F.col("p.pos") / run).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("p.pos").alias("pos"), block.alias("b")))).alias("l"))
+    return g.select(group_col, "part", F.size("l").cast("long").alias("pages"), F.array_join(F.transform("l", lambda x: x["b"]), RULE).alias("combined"))

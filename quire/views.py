@@ -52,7 +52,9 @@ VIEWS = {
         SELECT event_id AS request_id, user_id % 8 AS job_id, ts, CASE WHEN event_id % 2 = 0 THEN 'model-a' ELSE 'model-b' END AS model,
                CAST(floor(value * 1000) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens,
                CAST(floor(value * 100) AS BIGINT) AS cached_tokens, event_id % 5 AS thought_tokens, event_id % 29 <> 0 AS reported,
-               CASE WHEN event_id % 10 = 0 THEN CAST((event_id % 70) / 1000.0 AS DECIMAL(12,6)) END AS exact_cost
+               CASE WHEN event_id % 10 = 0 THEN CAST((event_id % 70) / 1000.0 AS DECIMAL(12,6)) END AS exact_cost,
+               CASE WHEN event_id % 13 = 0 THEN 'openai-compatible' ELSE 'named' END AS provider, event_id % 3 = 0 AS thoughts_in_output,
+               CASE WHEN event_id % 17 < 2 THEN CAST(3.25 AS DECIMAL(10,4)) END AS custom_input, CASE WHEN event_id % 17 = 0 THEN CAST(9.0001 AS DECIMAL(10,4)) END AS custom_output
         FROM events""",
     "case_results": """
         SELECT o_orderkey % 200 AS case_id, o_orderpriority AS route,
@@ -72,14 +74,18 @@ VIEWS = {
     "attempts": """
         SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS attempt,
                CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 ELSE 200 END AS status_code,
-               CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS retry_after_s
+               CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS retry_after_s, CASE WHEN user_id % 6 = 0 THEN 'agentic' ELSE 'simple' END AS mode, value > 90 AND event_id % 4 = 0 AS quota_exhausted
         FROM events""",
     "url_list": """
-        SELECT page_id * 3 AS pos, url FROM pages
-        UNION ALL SELECT page_id * 3 + 1, concat(url, '/') FROM pages WHERE page_id % 9 = 0
-        UNION ALL SELECT page_id * 3 + 2, CASE page_id % 4 WHEN 0 THEN concat('http://localhost/', CAST(page_id AS VARCHAR(20))) WHEN 1 THEN concat('http://10.0.0.', CAST(page_id % 200 AS VARCHAR(20)), '/x')
+        SELECT page_id * 5 AS pos, url FROM pages
+        UNION ALL SELECT page_id * 5 + 1, concat(url, '/') FROM pages WHERE page_id % 9 = 0
+        UNION ALL SELECT page_id * 5 + 2, CASE page_id % 4 WHEN 0 THEN concat('http://localhost/', CAST(page_id AS VARCHAR(20))) WHEN 1 THEN concat('http://10.0.0.', CAST(page_id % 200 AS VARCHAR(20)), '/x')
                                  WHEN 2 THEN concat('https://a', CAST(page_id AS VARCHAR(20)), '.ngrok.io/y') ELSE concat('ftp://h/', CAST(page_id AS VARCHAR(20))) END
-                  FROM pages WHERE page_id % 13 = 0""",
+                  FROM pages WHERE page_id % 13 = 0
+        UNION ALL SELECT page_id * 5 + 3, regexp_replace(regexp_replace(url, '^(https://[^/]+)', CASE WHEN page_id % 2 = 0 THEN '{1}:443' ELSE '{1}:8443' END), '/([^/]+)$', '/./x/../{1}#part') FROM pages WHERE page_id % 5 = 0
+        UNION ALL SELECT page_id * 5 + 4, concat(CASE page_id % 3 WHEN 0 THEN 'http://' WHEN 1 THEN 'HTTPS://' ELSE 'http:/' END,
+                    CASE page_id % 11 WHEN 0 THEN CAST(2130706433 + page_id AS VARCHAR(20)) WHEN 1 THEN '127.1' WHEN 2 THEN '0x7f.0.0.1' WHEN 3 THEN '0177.0.0.01' WHEN 4 THEN '08.8.8.8' WHEN 5 THEN '134744072' WHEN 6 THEN '300.1' WHEN 7 THEN '1.2.3.4.5'
+                                      WHEN 8 THEN 'user@Example.org:80' WHEN 9 THEN '192.11010307' ELSE '0xA9FEA9FE' END, '/p/', CAST(page_id % 7 AS VARCHAR(20))) FROM pages WHERE page_id % 2 = 1""",
     "candidates": """
         SELECT doc_id, s.seq AS seq, field, CASE WHEN s.seq = 2 THEN concat(value, '2') ELSE value END AS value,
                CAST((doc_id * s.seq) % 100 AS DOUBLE) / 100 AS confidence, (doc_id + s.seq) % 4 <> 0 AS is_valid, (doc_id * 7 + s.seq) % 3 AS extracted_at,
@@ -94,7 +100,8 @@ VIEWS = {
     "results": """
         SELECT o_custkey % 20 AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS BIGINT) AS pos, o_orderkey AS doc_id,
                CASE o_orderkey % 23 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' WHEN 2 THEN 'skipped' ELSE 'succeeded' END AS status,
-               CASE WHEN o_orderkey % 23 = 2 THEN 'resumed' END AS skip_reason, CAST((o_orderkey % 50) / 1000.0 AS DECIMAL(10,4)) AS cost, o_orderkey % 29 <> 0 AS reported
+               CASE WHEN o_orderkey % 23 = 2 THEN 'resumed' END AS skip_reason, CAST((o_orderkey % 50) / 1000.0 AS DECIMAL(10,4)) AS cost, o_orderkey % 29 <> 0 AS reported,
+               CASE o_custkey % 31 WHEN 0 THEN 'partial' WHEN 1 THEN 'max_iterations' WHEN 2 THEN 'tool_limit_reached' WHEN 3 THEN 'budget_exhausted' WHEN 4 THEN 'cost_limit_reached' WHEN 5 THEN 'confused' WHEN 6 THEN 'succeeded' END AS stop_reason
         FROM orders""",
     "steps": """
         SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'function_call' ELSE 'thinking' END AS type,
@@ -145,7 +152,7 @@ def with_views(query: str, views: Iterable[str] | None = None, g: str = ", 'g'")
     """``query`` with the views it uses in front, as common table expressions."""
     views = needed(query) if views is None else views
     rows = "string_agg(line, '' ORDER BY l_linenumber, line)" if g else "listagg(line, '') WITHIN GROUP (ORDER BY l_linenumber, line)"
-    parts = [f"{v} AS ({VIEWS[v].replace('{g}', g).replace('{rows}', rows)})" for v in views]
+    parts = [f"{v} AS ({VIEWS[v].replace('{g}', g).replace('{rows}', rows).replace('{1}', chr(92) + '1' if g else '$1')})" for v in views]
     body = query.strip()
     if not parts:
         return body

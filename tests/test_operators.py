@@ -149,9 +149,9 @@ def test_extraction_never_loses_a_document(spark):
 
 
 def test_secrets(spark):
-    rows = spark.createDataFrame([("Bearer abc.d sk-12345678 AIzaABCDEFGHIJK api-key='zz' my p%40ss/wordy p@ss/wordy",)], "text string")
+    rows = spark.createDataFrame([("Bearer abc.d sk-12345678 AIzaABCDEFGHIJK api-key='zz' my p%40ss%2Fwordy p@ss/wordy",)], "text string")
     got = batch.redact_secrets(rows, known_secrets=["p@ss/wordy", "short"]).first()
-    assert got["redacted"] == "Bearer [REDACTED] [REDACTED_KEY] [REDACTED_KEY] api-key=[REDACTED]' my p%40ss/wordy [REDACTED_KEY]"[:len(got["redacted"])] or "[REDACTED_KEY]" in got["redacted"]
+    assert got["redacted"] == "Bearer [REDACTED] [REDACTED_KEY] [REDACTED_KEY] api-key=[REDACTED]' my [REDACTED_KEY] [REDACTED_KEY]"
     assert (got["n_bearer"], got["n_key"], got["n_google"], got["n_assignment"]) == (1, 1, 1, 1) and "p@ss" not in got["redacted"]
 
 
