@@ -4,15 +4,16 @@ A rolling hash over the last ``WINDOW`` ids cuts each document's id stream into
 themselves say so, so equal stretches give equal chunks in any document. A chunk is named by its
 BLAKE2b digest and stored once, by the task that its name is dealt to. A document is a recipe (the
 names of its chunks in order); its root is the Merkle root of those names, a recipe file's root that of
-its documents' roots, and the manifest's that of the files.
+its documents' roots, a chunk file's that of its chunks' names, and the manifest's that of its rows. All of them are checked when
+the store is read: a manifest that lacks a row, or has two of them mixed up, is refused before anything else is read.
 
 Layout below a folder: ``chunks/*.chunks`` (name, ids, packed payload), ``recipes/*.recipes`` (header, then a
 record for each document in ascending doc_id order, with its first id's place), ``manifest.parquet`` (one row for each file;
 the commit). Copies of a hot chunk are dropped in each task before they are shuffled.
 
 Defined cases: a null text is an empty one, with the end id alone. Null doc_ids sort first and keep
-their place. Repeated rows are stored as recipes of the same chunks. An empty table gives an empty
-manifest. Extra columns are ignored.
+their place. Repeated rows are stored as recipes of the same chunks; rows of one doc_id are in the order of their roots. A long text is
+tokenized in parts and cut into many chunks, none above ``MAX_IDS`` ids. An empty table gives a manifest without files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def _store_chunks(rows: DataFrame, folder: str) -> DataFrame:
         batch = next(batches, None)
         if batch is None:
             return
-        path, last, n = task_file(f"{folder}/chunks", ".chunks"), None, 0
+        path, last, stored = task_file(f"{folder}/chunks", ".chunks"), None, []
         with writing(path) as f:
             while batch is not None:
                 out = []
@@ -127,11 +128,12 @@ def _store_chunks(rows: DataFrame, folder: str) -> DataFrame:
                         out.append((recipe[0], size, *recipe[1:], None))
                     elif name != last:
                         f.write(struct.pack(_CHUNK, name, size, len(payload), zlib.crc32(payload)) + payload)
-                        last, n = name, n + 1
+                        last = name
+                        stored.append(name)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
                 batch = next(batches, None)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, n, None, None, None, path), kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, len(stored), None, merkle(stored), None, path), kinds)], names=names)
 
     return dealt.mapInArrow(run, "doc_id long, n long, recipe binary, root binary, crc long, path string")
 
@@ -169,22 +171,36 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Dat
     spark = docs.sparkSession
     made = write_table(_store_chunks(_recipes_and_chunks(docs, tokenizer_path, end_id), folder), "recipes")
     recipe_files = write_table(_store_recipes(made.where("path is null").drop("path"), folder), "recipe-files")
-    chunk_files = made.where("path is not null").select(F.lit("chunks").alias("kind"), "path", F.lit(None).cast("long").alias("part"), F.lit(0).cast("long").alias("start"),
-                                                        F.col("n").alias("documents"), F.lit(None).cast("long").alias("ids"), F.lit(None).cast("binary").alias("root"))
-    # one number for each recipe file, whatever the documents
-    before, at = [], 0
-    for part, n in sorted(map(tuple, recipe_files.select("part", "ids").collect())):
-        before.append((part, at))
-        at += n
-    starts = spark.createDataFrame(before, "part long, start long")
-    files = recipe_files.join(starts, "part").select(F.lit("recipes").alias("kind"), "path", "part", "start", "documents", "ids", "root")
-    files.unionByName(chunk_files).coalesce(1).write.parquet(f"{folder}/manifest.parquet")
-    drop_table(made)
+    # one row for each file, whatever the documents
+    files, at = [], 0
+    for path, part, documents, ids, root in sorted(map(tuple, recipe_files.collect()), key=lambda r: r[1]):
+        files.append(("recipes", path, part, at, documents, ids, bytes(root)))
+        at += ids
+    files += [("chunks", path, None, 0, n, None, bytes(root)) for path, n, root in made.where("path is not null").select("path", "n", "root").collect()]
+    files.append(("manifest", None, None, 0, len(files), at, manifest_root(files)))
+    spark.createDataFrame(files, "kind string, path string, part long, start long, documents long, ids long, root binary").coalesce(1).write.parquet(f"{folder}/manifest.parquet")
+    for done in (made, recipe_files):
+        drop_table(done)
     return spark.read.parquet(f"{folder}/manifest.parquet")
 
 
+def manifest_root(files: list[tuple]) -> bytes:
+    """Root over the manifest's rows (kind, path, part, start, documents, ids, root), in the order of what they say."""
+    return merkle(sorted("\0".join(x.hex() if isinstance(x, bytes) else str(x) for x in row).encode() for row in files))
+
+
+def checked(manifest: DataFrame) -> DataFrame:
+    """The files of a manifest whose rows are those that were written, each once."""
+    rows = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in manifest.select("kind", "path", "part", "start", "documents", "ids", "root").collect()]
+    files = [r for r in rows if r[0] != "manifest"]
+    heads = [r for r in rows if r[0] == "manifest"]
+    if len(heads) != 1 or heads[0][4] != len(files) or heads[0][6] != manifest_root(files):
+        raise ValueError("the manifest does not match its root")
+    return manifest.where("kind <> 'manifest'")
+
+
 def _paths(manifest: DataFrame, kind: str, *columns: str) -> DataFrame:
-    some = manifest.where(F.col("kind") == kind).select("path", *columns)
+    some = checked(manifest).where(F.col("kind") == kind).select("path", *columns)
     return some.repartition(max(1, min(some.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism)), "path")
 
 
@@ -224,23 +240,26 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, documents, root in zip(*(c.to_pylist() for c in batch.columns)):
                 with reading(path) as f:
-                    rows, size = [], 0
+                    rows, size, stored = [], 0, []
                     while head := f.read(struct.calcsize(_CHUNK)):
                         name, _, length, crc = struct.unpack(_CHUNK, head)
                         payload = f.read(length)
                         if zlib.crc32(payload) != crc:
                             raise ValueError(f"damaged chunk in {path}")
                         rows.append((name, payload))
+                        stored.append(name)
                         size += length
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["name", "payload"])
                             rows, size = [], 0
+                    if len(stored) != documents or merkle(stored) != root:
+                        raise ValueError(f"{path} does not match the manifest")
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["name", "payload"])
 
-    return _paths(manifest, "chunks").mapInArrow(run, "name binary, payload binary")
+    return _paths(manifest, "chunks", "documents", "root").mapInArrow(run, "name binary, payload binary")
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -249,7 +268,7 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     n = F.length("recipe") / NAME
     places = recipes.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring("recipe", i * NAME + 1, F.lit(NAME)))).alias("seq", "name"))
     # what tasks read from files has no statistics: the hints keep it from being taken for small and broadcast
-    found = places.join(read_chunks(manifest).hint("merge"), "name")
+    found = places.join(read_chunks(manifest).hint("merge"), "name", "left")
     whole = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("chunks"))
     # the manifest's ids tell the width: two bytes where the payload's size is twice the ids
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
@@ -260,7 +279,10 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, start, size, crc, root, chunks in zip(*(batch.column(i) for i in range(6))):
-                data = [unpack.decompress(c["payload"]) for c in chunks.as_py()]
+                chunks = chunks.as_py()
+                if any(c["payload"] is None for c in chunks):
+                    raise ValueError(f"a chunk of document {doc_id} is not in the store")
+                data = [unpack.decompress(c["payload"]) for c in chunks]
                 if merkle([name_of(d) for d in data]) != root.as_py():
                     raise ValueError(f"document {doc_id} does not match its root")
                 raw, count = b"".join(data), size.as_py()

@@ -332,6 +332,34 @@ def test_store_notices_damage(spark, folder):
         store.read(manifest).collect()
 
 
+def test_store_notices_lost_and_mixed_up_rows(spark, folder):
+    manifest = store.write(frame(spark, corpus()), folder, queries.tokenizer_file(queries.WORD_BPE), 1)
+    rows = [tuple(r) for r in manifest.collect()]
+    again = lambda some: spark.createDataFrame(some, manifest.schema)
+    assert store.read(again(rows[::-1])).count() == len(corpus())
+    first = lambda kind: next(i for i, r in enumerate(rows) if r[0] == kind)
+    for kind in ("recipes", "chunks", "manifest"):
+        with pytest.raises(ValueError, match="does not match its root"):
+            store.read(again([r for i, r in enumerate(rows) if i != first(kind)]))
+    with pytest.raises(ValueError, match="does not match its root"):
+        store.read(again(rows + [rows[0]]))
+    a, b = [i for i, r in enumerate(rows) if r[0] == "recipes"][:2]
+    swapped = list(rows)
+    swapped[a], swapped[b] = (*rows[a][:3], rows[b][3], *rows[a][4:]), (*rows[b][:3], rows[a][3], *rows[b][4:])
+    with pytest.raises(ValueError, match="does not match its root"):
+        store.read(again(swapped))
+
+
+def test_store_shares_passages(spark, folder):
+    rng = random.Random(9)
+    passage = " ".join(words(rng, 3000, 10**6))
+    rows = [(i, " ".join(words(rng, 50, 10**6)) + " " + passage) for i in range(8)]
+    manifest = store.write(frame(spark, rows), folder, queries.tokenizer_file(queries.WORD_BPE), 1)
+    recipes = [bytes(r["recipe"]) for r in store.read_recipes(manifest).collect()]
+    used = [r[i : i + store.NAME] for r in recipes for i in range(0, len(r), store.NAME)]
+    assert store.read_chunks(manifest).count() == len(set(used)) < 0.5 * len(used)
+
+
 def test_unigram_equals_the_library(spark):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
