@@ -1,24 +1,21 @@
 """Quality classifier by compression.
 
-Two Zstandard dictionaries, one of good and one of bad labelled text, are raw material for the same
-compressor: a text like the good ones comes out smaller with the good dictionary. The whole text is
-compressed in chunks (so that a long text cannot serve as its own dictionary) and the sizes of all
-chunks are summed. The normalised difference (bad - good) / (bad + good), read beside how far the text
-compresses at all and how long it is, is calibrated to a probability: a logistic curve in these three and
-their products, fitted on labelled texts that built no dictionary, at the labels' own class shares.
-
-The fit uses a bounded sample: ``fit_rows`` labelled rows of each class with the smallest hashes of their
-id and ``fit_chars`` code points of each, half of them for the dictionaries, half for the calibration.
+Two Zstandard dictionaries, one of good and one of bad labelled text, serve the same compressor: a text like the good ones
+comes out smaller with the good dictionary. The whole text is compressed in chunks (so that a long text cannot serve as its own dictionary) and the
+sizes of all chunks are summed. The difference of both sizes, normalised by the size of the text, is all that a score rests on: the rising curve that
+fits the labels best, at their own class shares, makes it a probability. For the curve, labelled texts are measured with dictionaries of the other
+folds, so none is measured with a dictionary that it helped to build; the final dictionaries are built from all of them.
+
+The fit uses a bounded sample: the ``fit_rows`` labelled rows of each class with the smallest hashes of their id, with their whole texts.
 Scoring covers every row and its whole text.
 
-Defined cases: null or empty text has features 0 and gets the calibrated score of those. Repeated rows
-get the same score. Without labels of both classes every score is 0.5. Only ``doc_id`` and ``text`` are read;
-``labels`` rows with null quality or without a document are left out.
+Defined cases: a null or empty text has the difference 0 and gets the calibrated score of that. Repeated rows get the same score. A long text is
+compressed chunk by chunk. Labels of one id with several rows or texts count once each. Without labels of both classes every score is 0.5. Only
+``doc_id`` and ``text`` are read; ``labels`` rows with null quality or without a document are left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,11 +29,11 @@ from pyspark.sql.functions import arrow_udf
 from quire.llm.shared import as_bytes
 
 FIT_ROWS = 1500
-FIT_CHARS = 4000
-DICTIONARY_BYTES = 1 << 15
-CHUNK = 1024
+FOLDS = 4
+DICTIONARY_BYTES = 1 << 16
+SAMPLE, SEGMENT, MATCH = 1024, 32, 6  # what the trainer takes for one sample, picks as one piece, and counts
+CHUNK = 512
 LEVEL = 3
-RIDGE = 1e-4
 LEAST_CLASS = 2
 
 
@@ -46,70 +43,79 @@ class Model:
 
     good: bytes
     bad: bytes
-    weights: np.ndarray | None = None  # of the standardised terms, the last one of the constant
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
+    at: tuple[float, ...] = ()  # differences, ascending, and what they are worth; straight lines between them
+    worth: tuple[float, ...] = ()
 
     @property
     def empty(self) -> bool:
-        return self.weights is None
+        return not (self.good and self.bad)
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        kinds = (zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad))
         out = []
-        for d in kinds:
+        for d in (zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad)):
             d.precompute_compress(level=LEVEL)
             out.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         return out
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        """Of label 1, from rows of :func:`features`."""
-        x = (terms(features) - self.mean) / self.spread
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def differences(self, texts: Iterable[bytes]) -> np.ndarray:
+        tools = self.compressors()
+        return np.array([difference(t, tools) for t in texts])
+
+    def probability(self, differences: np.ndarray) -> np.ndarray:
+        """Of label 1, the larger the difference the likelier."""
+        return np.interp(differences, self.at, self.worth)
 
     def scores(self, texts: Iterable[bytes]) -> np.ndarray:
-        tools = [] if self.empty else self.compressors()
-        rows = [(0.0, 0.0, 0.0) if self.empty else features(t, tools) for t in texts]
-        return np.full(len(rows), 0.5) if self.empty or not rows else self.probability(np.array(rows))
+        if self.empty:
+            return np.array([0.5 for _ in texts])
+        return self.probability(self.differences(texts))
 
 
-def features(text: bytes, compressors: list) -> tuple[float, float, float]:
-    """Normalised difference of the compressed sizes over the whole text, share that the good dictionary leaves, log length."""
+def difference(text: bytes, compressors: list) -> float:
+    """By how many bytes the good dictionary compresses better than the bad one, for each byte of the whole text."""
     if not text:
-        return 0.0, 0.0, 0.0
+        return 0.0
     parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
     good, bad = (sum(len(c.compress(p)) for p in parts) for c in compressors)
-    return (bad - good) / (bad + good), good / len(text), math.log1p(len(text))
-
-
-def terms(features: np.ndarray) -> np.ndarray:
-    d, r, n = features.T
-    return np.stack([d, r, n, d * d, r * r, n * n, d * r, d * n, r * n], axis=1)
+    return (bad - good) / len(text)
 
 
 def dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary, or the texts themselves where there are too few to train one."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [t[i : i + SAMPLE] for t in texts for i in range(0, len(t), SAMPLE)], level=LEVEL, k=SEGMENT, d=MATCH).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(texts)[-DICTIONARY_BYTES:]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weights of a ridge-damped logistic regression on standardised columns, by Newton's method; the last is the constant."""
-    a = np.c_[x, np.ones(len(x))]
-    w, damp = np.zeros(a.shape[1]), np.full(a.shape[1], RIDGE * len(x))
-    damp[-1] = 1e-9
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        slope = a.T @ (weight * (p - y)) + damp * w
-        curve = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(damp + 1e-9)
-        step = np.linalg.solve(curve, slope)
-        step *= min(1.0, 5 / max(1e-12, float(np.abs(step).max())))
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The rising curve that is nearest to labels ``y`` at ``x``: neighbours that fall are pooled until none does. Half a label of each kind is added to a pool."""
+    pools: list[list[float]] = []  # weighted labels, weight, first and last x
+    for a, b, c in zip(*(v[np.lexsort((y, x))].tolist() for v in (x, y, weight))):
+        pools.append([b * c, c, a, a])
+        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+            labels, mass, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + labels, pools[-1][1] + mass, pools[-1][2], last]
+    worth = np.maximum.accumulate([(p[0] + 0.5) / (p[1] + 1) for p in pools])
+    return tuple((p[2] + p[3]) / 2 for p in pools), tuple(worth.tolist())
+
+
+def learn(rows: dict[int, list[bytes]], share: dict[int, int]) -> Model:
+    """The model of labelled texts by class (0, 1), for classes as frequent as ``share`` says."""
+    folds = min(FOLDS, len(rows[0]), len(rows[1]))
+    if min(len(rows[0]), len(rows[1])) < LEAST_CLASS:
+        return Model(b"", b"")
+    build = lambda keep: Model(*(dictionary([t for i, t in enumerate(rows[q]) if keep(i % folds)]) for q in (1, 0)))
+    x, y = [], []
+    for fold in range(folds):
+        own = build(lambda f, fold=fold: f != fold)
+        for q in (0, 1):
+            x.append(own.differences(rows[q][fold::folds]))
+            y += [float(q)] * len(x[-1])
+    weight = np.array([share[int(q)] / len(rows[int(q)]) for q in y])
+    model = build(lambda f: True)
+    model.at, model.worth = calibrate(np.concatenate(x), np.array(y), weight / weight.mean())
+    return model
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -117,29 +123,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
-    """Learn from labelled rows that are not held out. Class weights even out unequal numbers."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Learn from labelled rows that are not held out: whole texts of at most ``fit_rows`` ids of each class."""
     known = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null").where(~held_out())
     usable = usable.join(known, "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality")
     # a bounded sample of ids: the smallest hashes, fit_rows of each class; only their texts are then fetched
     chosen = [tuple(r) for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy("h", "doc_id").limit(fit_rows).collect()]
     ids = docs.sparkSession.createDataFrame(chosen, "h long, doc_id long, quality int").distinct()
-    begin = F.pmod("h", F.greatest(F.length("text") - fit_chars, F.lit(0)) + 1) + 1  # a stretch anywhere in the text
     texts = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    found = texts.select("quality", "h", F.substring("text", begin.cast("int"), F.lit(fit_chars)).alias("text")).collect()
+    found = texts.select("quality", "h", "text").collect()
     rows = {q: [t.encode() for _, t in sorted({(r["h"], r["text"]) for r in found if r["quality"] == q})] for q in (0, 1)}
-    if min(len(rows[0]), len(rows[1])) < LEAST_CLASS:
-        return Model(b"", b"")
-    model = Model(dictionary(rows[1][::2]), dictionary(rows[0][::2]))
-    tools = model.compressors()
-    x = terms(np.array([features(t, tools) for q in (0, 1) for t in rows[q][1::2]]))
-    y = np.repeat([0.0, 1.0], [len(rows[q][1::2]) for q in (0, 1)])
     share = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}  # two rows
-    weight = np.array([share[q] / len(rows[q][1::2]) for q in (0, 1)])[y.astype(int)]
-    model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = calibrate((x - model.mean) / model.spread, y, weight / weight.mean())
-    return model
+    return learn(rows, share)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

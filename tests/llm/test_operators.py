@@ -168,6 +168,43 @@ def test_classifier_held_out_accuracy(spark):
     assert min(share.values()) > 0.95, share
 
 
+def test_classifier_equals_brute_force(spark):
+    """Differences from sizes of chunks with each dictionary, a curve in nothing but them, monotone; dictionaries and curve from the rows that may be used."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    import zlib
+
+    usable = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and text.get(r["doc_id"]) and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rows = {q: [text[d] for d in sorted((d for d in usable if usable[d] == q), key=order.get)] for q in (0, 1)}
+    model = classifier.fit(docs, labels)
+    assert model == classifier.learn(rows, {q: len(rows[q]) for q in (0, 1)})
+    sizes = []
+    for d in (model.good, model.bad):
+        tool = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append({i: sum(len(tool.compress(t[k : k + 512])) for k in range(0, len(t), 512)) for i, t in text.items()})
+    want = {i: np.interp((sizes[1][i] - sizes[0][i]) / len(t) if t else 0.0, model.at, model.worth) for i, t in text.items()}
+    assert list(model.at) == sorted(model.at) and list(model.worth) == sorted(model.worth) and 0 <= model.worth[0] < 0.5 < model.worth[-1] <= 1
+    got = queries.queries()["op3_quality_classifier"](spark, SF).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_calibration_finds_the_curve():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0.02, 0.05, 20000)
+    true = lambda v: 1 / (1 + np.exp(-(60 * v - 1)))
+    at, worth = classifier.calibrate(x, (rng.random(20000) < true(x)).astype(float), np.ones(len(x)))
+    assert max(abs(np.interp(v, at, worth) - true(v)) for v in np.linspace(-0.05, 0.1, 31)) < 0.08
+    # every rising curve of few values is farther away
+    x, y = np.arange(7.0), np.array([0, 1, 0, 0, 1, 1, 0.0])
+    pools = classifier.calibrate(x, y, np.ones(7))[0]
+    assert pools == (0.0, 2.0, 5.0)
+
+
 def test_classifier_edges(spark):
     d = frame(spark, corpus()).withColumn("quality_score", F.lit("own"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
