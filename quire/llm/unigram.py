@@ -10,7 +10,11 @@ of a text is that of its units: a unit begins at a marker that follows another c
 many times; each is segmented once per worker while it stays in a cache of bounded size, and those of
 a group of texts are segmented together, position by position, in arrays.
 
-Defined cases: a null text is an empty one and has no ids. Repeated rows get the same ids. An empty table
+Texts are taken as they are: a model with a normaliser of its own (a character map) is refused, one without (identity) needs none. The marker is the
+only character that does not come back as it was: U+2581 in a text is read as a space, as the format has it.
+
+Defined cases: a null text is an empty one and has no ids. Of segmentations of one score the one whose last piece begins earliest wins, then
+likewise before it. Repeated rows get the same ids. A very long text is segmented unit by unit; a unit of any length in one piece. An empty table
 gives no rows. Extra columns are ignored.
 """
 
@@ -75,6 +79,8 @@ def load_pieces(path: str) -> list[tuple[str, float, int]]:
         if number == 1:
             own = dict(_fields(value))
             out.append((own.get(1, b"").decode(), float(own.get(2, 0.0)), int(own.get(3, NORMAL))))
+        elif number == 3 and dict(_fields(value)).get(2):
+            raise ValueError(f"the normaliser of {path} is not read")
     return out
 
 

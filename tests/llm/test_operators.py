@@ -502,8 +502,34 @@ def test_chat_equals_brute_force(spark):
 
 def test_registered_queries_equal_brute_force(spark):
     """The thin queries, over whole tables."""
+    from tokenizers import Tokenizer
+
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     run = queries.queries()
+    plain, want, at = Tokenizer.from_file(queries.tokenizer_file(queries.WORD_BPE)), {}, 0
+    for d, t in sorted(rows):
+        ids = brute.ids(plain, t, 1)
+        want[d] = (at, len(ids), brute.crc(ids))
+        at += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in run["op7_token_store"](spark, SF).collect()} == want
+    plain = Tokenizer.from_file(queries.tokenizer_file(queries.BYTE_BPE))
+    pieces, bins = {}, {}
+    for r in run["op2_best_fit_packing"](spark, SF).collect():
+        pieces[r["doc_id"], r["piece"]] = (r["start"], r["length"], r["ids_crc32"])
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    want, total = {}, 0
+    for d, t in rows:
+        ids = brute.ids(plain, t, 2)
+        total += len(ids)
+        want |= {(d, i): (s, n, brute.crc(ids[s : s + n])) for i, (s, n) in enumerate(_spans(len(ids)))}
+    assert pieces == want and len(bins) <= 1.02 * total / 1024 + 2
+    assert all(sum(n for _, n in own) <= 1024 and [s for s, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))] for own in bins.values())
+    import hashlib
+
+    text = dict(rows)
+    for r in run["op9_sentencepiece"](spark, SF).collect():
+        assert r["decoded_sha256"] == hashlib.sha256((text[r["doc_id"]] or "").replace("▁", " ").encode()).hexdigest()
+        assert r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == brute.crc(r["ids"])
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run["op5_simhash"](spark, SF).collect()} == brute.components(rows)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run["op8_substring_dedup"](spark, SF).collect()} == brute.substring(rows)
     chats = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
