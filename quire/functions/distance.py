@@ -30,12 +30,25 @@ def _last_row(a, b, free_start: bool = False) -> np.ndarray:
     return row
 
 
-def _bits(a: str, b: str) -> int:
-    """Levenshtein distance of two long texts: a column of differences in one integer (Myers, Hyyrö), a step for each letter of ``b``."""
+def _bits(a, b) -> int:
+    """Levenshtein distance of two sequences of any length: a column of differences in one integer (Myers, Hyyrö), a step for each item of ``b``."""
+    if a == b:
+        return 0
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # what both begin and end with costs nothing
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
         return len(a) + len(b)
-    back = a[::-1]
-    at = {c: int("".join("1" if x == c else "0" for x in back), 2) for c in set(a)}
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    at = {}
+    for x, own in places.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in own:
+            bits[i >> 3] |= 1 << (i & 7)
+        at[x] = int.from_bytes(bits, "little")
     every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, far = every, 0, len(a)
     for c in b:
@@ -56,15 +69,17 @@ def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def char_distance(a: str, b: str) -> Column:
-    """Levenshtein distance: the built-in one for short texts, whose time is the product of the lengths, else :func:`long_distance`."""
-    short = F.length(a).cast("long") * F.length(b) <= 1 << 16
-    return F.when(short, F.levenshtein(a, b)).otherwise(long_distance(F.when(~short, F.col(a)), F.when(~short, F.col(b))))
+    """Levenshtein distance: nothing to do for equal texts, the built-in one for short texts, whose time is the product of the lengths, else :func:`long_distance`."""
+    x, y = F.col(a), F.col(b)
+    short = F.length(x).cast("long") * F.length(y) <= 1 << 12
+    long = ~short & (x != y)
+    return F.when(x == y, 0).when(short, F.levenshtein(x, y)).otherwise(long_distance(F.when(long, x), F.when(long, y)))
 
 
 @pandas_udf(LongType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two arrays of words."""
-    return pd.Series([_edit([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b)])
+    """Levenshtein distance of two texts as sequences of their words, which single spaces part."""
+    return pd.Series([_bits((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
 
 
 @pandas_udf(LongType())

@@ -9,30 +9,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.distance import char_distance, indel_ratio, starts_before, substring_distance, word_distance
-from quire.functions.text import normalized, unit_test_text
+from quire.functions.text import composed, normalized, plain_text, unit_test_text, utf16_length, words
 
 
-def text_error_rates(pairs: DataFrame, unicode: bool = True) -> DataFrame:
-    """Character error rate (raw and normalized), similarity and word error rate of (doc_id, reference, prediction).
+def text_error_rates(pairs: DataFrame) -> DataFrame:
+    """Character error rate (of the plain texts, and normalized), similarity and word error rate of (doc_id, reference, prediction).
 
-    An empty reference scores 0 if the prediction is empty too, else 1."""
-    p = pairs.withColumn("r", F.coalesce("reference", F.lit(""))).withColumn("p", F.coalesce("prediction", F.lit("")))
-    p = p.withColumn("nr", normalized("r", unicode)).withColumn("np", normalized("p", unicode))
-    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    rate = lambda d, n, other: F.when(n == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(d / n)
-    size = F.length
-    wr, wp = words(F.col("nr")), words(F.col("np"))
-    cer, ncer = char_distance("r", "p"), char_distance("nr", "np")
-    return p.select("doc_id", rate(cer, size("r"), size("p")).alias("cer"), rate(ncer, size("nr"), size("np")).alias("normalized_cer"),
-                    (1 - ncer / F.greatest(size("nr"), size("np"), F.lit(1))).alias("similarity"), rate(word_distance(wr, wp), F.size(wr), F.size(wp)).alias("wer"))
+    The prediction is display Markdown. An empty reference scores 0 if the prediction is empty too, else 1. Distances count code points, lengths
+    UTF-16 units. Each distance is worked out once."""
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    given = F.regexp_replace(F.regexp_replace(filled("reference"), r"\r\n?", "\n"), r"^\s+|\s+$", "")
+    p = pairs.select("doc_id", composed(given).alias("r"), composed(plain_text(filled("prediction"))).alias("p"), normalized(filled("reference")).alias("nr"), normalized(filled("prediction")).alias("np"))
+    d = p.select("doc_id", *[utf16_length(c).alias(f"n_{c}") for c in ("r", "p", "nr", "np")], F.size(words(F.col("nr"))).alias("wr"), F.size(words(F.col("np"))).alias("wp"), char_distance("r", "p").alias("d"), char_distance("nr", "np").alias("nd"), word_distance("nr", "np").alias("wd"))
+    rate = lambda d, n, other: F.when(F.col(n) == 0, F.when(F.col(other) == 0, 0.0).otherwise(1.0)).otherwise(F.col(d) / F.col(n))
+    similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("nd") / F.greatest("n_nr", "n_np", F.lit(1))))
+    return d.select("doc_id", rate("d", "n_r", "n_p").alias("cer"), rate("nd", "n_nr", "n_np").alias("normalized_cer"), similarity.alias("similarity"), rate("wd", "wr", "wp").alias("wer"))
 
 
 def token_overlap(pairs: DataFrame) -> DataFrame:
-    """(doc_id, coverage, unsupported): shares of the reference's words found, and of the prediction's not in it, as multisets."""
-    tokens = lambda c: F.filter(F.split(normalized(c, False), r"[^a-z0-9]+"), lambda x: x != "")
-    count = lambda c, n: pairs.select("doc_id", F.explode(tokens(c)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias(n))
-    both = count("reference", "r").join(count("prediction", "p"), ["doc_id", "token"], "full_outer")
-    g = both.groupBy("doc_id").agg(F.sum(F.coalesce("r", F.lit(0))).alias("nr"), F.sum(F.coalesce("p", F.lit(0))).alias("np"), F.sum(F.least(F.coalesce("r", F.lit(0)), F.coalesce("p", F.lit(0)))).alias("hit"))
+    """(doc_id, coverage, unsupported): shares of the reference's words found, and of the prediction's not in it, as multisets. Words are what spaces
+    part in normalized text of any script."""
+    sides = pairs.select("doc_id", normalized("reference").alias("r"), normalized("prediction").alias("p"))
+    side = lambda c, r: F.transform(F.coalesce(words(F.col(c)), F.array().cast("array<string>")), lambda x: F.struct(x.alias("token"), F.lit(r).alias("r"), F.lit(1 - r).alias("p")))
+    token = F.explode(F.concat(side("r", 1), side("p", 0)))
+    both = sides.select("doc_id", token.alias("t")).groupBy("doc_id", "t.token").agg(F.sum("t.r").alias("r"), F.sum("t.p").alias("p"))
+    g = both.groupBy("doc_id").agg(F.sum("r").alias("nr"), F.sum("p").alias("np"), F.sum(F.least("r", "p")).alias("hit"))
     rows = pairs.select("doc_id").join(g, "doc_id", "left").na.fill(0)
     return rows.select("doc_id", F.when(F.col("nr") == 0, 1.0).otherwise(F.col("hit") / F.col("nr")).alias("coverage"), F.when(F.col("np") == 0, 0.0).otherwise((F.col("np") - F.col("hit")) / F.col("np")).alias("unsupported"))
 
@@ -43,7 +44,7 @@ def _ratio(top: Column, bottom: Column, empty: Column | float) -> Column:
 
 def matched_fields(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     """(doc_id, field, tp, fp, fn) over non-empty normalized values; a wrong value is both fp and fn."""
-    clean = lambda d, n: d.select("doc_id", "field", normalized("value", False).alias(n)).where(F.col(n) != "")
+    clean = lambda d, n: d.select("doc_id", "field", normalized("value").alias(n)).where(F.col(n) != "")
     both = clean(reference, "r").join(clean(predicted, "p"), ["doc_id", "field"], "full_outer")
     hit = F.col("r").eqNullSafe(F.col("p")).cast("long")
     return both.select("doc_id", "field", hit.alias("tp"), (F.col("p").isNotNull().cast("long") - hit).alias("fp"), (F.col("r").isNotNull().cast("long") - hit).alias("fn"))
@@ -68,8 +69,8 @@ def critical_match(docs: DataFrame, reference: DataFrame, predicted: DataFrame,
 
 def table_cell_scores(docs: DataFrame, reference: DataFrame, predicted: DataFrame) -> DataFrame:
     """F1 over the multiset of (column, value) of each document; empty cells drop out, row order doesn't matter."""
-    count = lambda d, n: d.where(F.trim("value") != "").groupBy("doc_id", "column_name", normalized("value", False).alias("v")).agg(F.count("*").alias(n))
-    both = count(reference, "r").join(count(predicted, "p"), ["doc_id", "column_name", "v"], "full_outer").na.fill(0)
+    cell = lambda d, r: d.where(F.trim("value") != "").select("doc_id", normalized("column_name").alias("c"), normalized("value").alias("v"), F.lit(r).alias("r"), F.lit(1 - r).alias("p")).where("v <> ''")
+    both = cell(reference, 1).unionByName(cell(predicted, 0)).groupBy("doc_id", "c", "v").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
     g = both.groupBy("doc_id").agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum(F.least("r", "p")).alias("tp"))
     return docs.select("doc_id").join(g, "doc_id", "left").na.fill(0).select("doc_id", F.when(F.col("r") + F.col("p") == 0, 1.0).otherwise(2 * F.col("tp") / (F.col("r") + F.col("p"))).alias("cell_f1"))
 
@@ -164,9 +165,13 @@ def metric_statistics(metrics: DataFrame) -> DataFrame:
 
 
 def breakdowns(cases: DataFrame) -> DataFrame:
-    """Cases, pass rate and mean metric by mode, by tag, and over all, in one pass of grouping sets."""
-    g = cases.groupingSets([["mode"], ["tag"], []], "mode", "tag").agg(F.count("*").alias("cases"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.avg("metric").alias("mean_metric"), F.grouping_id().alias("level"))
-    return g.select("mode", "tag", "cases", "pass_rate", "mean_metric", F.when(F.col("level") == 1, "mode").when(F.col("level") == 2, "tag").otherwise("all").alias("kind"))
+    """Cases, passes, pass rate, mean metric, mean duration and tokens and total cost over all, by mode, and by tag (a case counts under each of its ``tags``)."""
+    figures = [F.count("*").alias("cases"), F.count_if("passed").alias("passes"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.avg("metric").alias("mean_metric"), F.avg("duration_ms").alias("mean_duration_ms"), F.avg("tokens").alias("mean_tokens"), F.sum("cost").alias("total_cost")]
+    by_mode = cases.groupingSets([["mode"], []], "mode").agg(*figures, F.grouping_id().alias("level"))
+    by_tag = cases.withColumn("tag", F.explode(F.array_distinct("tags"))).groupBy("tag").agg(*figures)
+    shown = ["cases", "passes", "pass_rate", "mean_metric", "mean_duration_ms", "mean_tokens", "total_cost"]
+    one = by_mode.select(F.when(F.col("level") == 0, "mode").otherwise("all").alias("kind"), F.col("mode").alias("name"), *shown)
+    return one.unionByName(by_tag.select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), *shown))
 
 
 def suite_gate(cases: DataFrame, min_score: float = 0.75) -> DataFrame:
@@ -182,7 +187,7 @@ def failure_report(cases: DataFrame) -> DataFrame:
 
 
 def provider_matrix(cases: DataFrame, min_score: float = 0.75) -> DataFrame:
-    """A row for each route: cases, pass rate, score, status and its rank by score."""
+    """A row for each route: cases, pass rate, score, status and its rank by mean metric, the best first."""
     g = cases.groupBy("route").agg(F.count("*").alias("cases"), F.avg("metric").alias("mean_metric")).join(weighted_score(cases, "route"), "route")
     return g.select("route", "cases", "pass_rate", "score", "mean_metric", F.when(F.col("score") >= min_score, "passed").otherwise("failed").alias("status"), F.dense_rank().over(W.orderBy(F.desc("mean_metric"))).alias("rank"))
 
@@ -219,11 +224,29 @@ def select_unit_tests(tests: DataFrame, min_tests: int = 3, n: int = 5, seed: st
     return sample_by_hash(docs, "category", "doc_id", seed, n)
 
 
+#: fixed values: names that a case may use
+MODES = ("simple", "template", "agentic")
+SUITES = ("canary", "full", "benchmark")
+METRICS = ("cer", "normalized_cer", "wer", "normalized_edit_similarity", "text_coverage", "unsupported_text_rate", "field_precision", "field_recall", "field_f1", "critical_field_exact_match", "table_cell_f1", "unit_test_pass_rate")
+
+
 def check_cases(cases: DataFrame, suite: str | None = None) -> DataFrame:
-    """(case_id, issue): duplicate ids, unknown modes, templates without a preset, no assertions, thresholds outside 0..1."""
-    some = cases.where(F.array_contains("suites", suite)) if suite else cases
+    """(case_id, issue): duplicate or blank ids, unknown modes, suites and metrics, templates without a preset, no assertions, iterations below 1,
+    thresholds outside 0..1. ``cases``: case_id, mode, preset_id, suites (null: the usual ones), metrics (those its assertions name), assertions (how many),
+    max_iterations, threshold. With ``suite`` only its cases are looked at."""
+    lists = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    some = cases.where(F.array_contains(F.coalesce("suites", F.array(*map(F.lit, ("canary", "full")))), suite)) if suite else cases
     twice = some.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", F.lit("duplicate-id").alias("issue"))
-    tests = {"bad-mode": ~F.col("mode").isin("simple", "template", "agentic"), "no-preset": (F.col("mode") == "template") & F.col("preset_id").isNull(), "no-assertions": F.coalesce("assertions", F.lit(0)) == 0,
-             "bad-threshold": (F.col("threshold") < 0) | (F.col("threshold") > 1)}
+    agentic = F.col("mode") == "agentic"
+    tests = {
+        "no-id": F.trim(F.coalesce(F.col("case_id").cast("string"), F.lit(""))) == "",
+        "bad-mode": ~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)),
+        "no-preset": (F.col("mode") == "template") & (F.trim(F.coalesce("preset_id", F.lit(""))) == ""),
+        "no-assertions": F.coalesce("assertions", F.lit(0)) == 0,
+        "bad-suite": F.exists(lists("suites"), lambda s: ~F.coalesce(s.isin(*SUITES), F.lit(False))),
+        "unknown-metric": F.exists(lists("metrics"), lambda m: ~F.coalesce(m.isin(*METRICS), F.lit(False))),
+        "bad-iterations": agentic & (F.col("max_iterations") < 1),
+        "bad-threshold": agentic & ((F.col("threshold") < 0) | (F.col("threshold") > 1)),
+    }
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]), lambda x: x.isNotNull())
     return twice.unionByName(some.select("case_id", F.explode(found).alias("issue")))

@@ -9,12 +9,14 @@ from quire.operators import structure as m
 from quire.views import Inputs
 
 _TESTS = """SELECT doc_id AS test_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'present' ELSE 'absent' END AS type, CASE WHEN doc_id % 3 = 0 THEN 'zzqq' ELSE substr(reference, 5, 6) END AS text,
-    CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS max_diffs, doc_id % 7 <> 0 AS case_sensitive, CASE WHEN doc_id % 4 = 0 THEN 100 END AS first_n, CASE WHEN doc_id % 4 = 1 THEN 150 END AS last_n FROM text_pairs"""
+    CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS max_diffs, doc_id % 7 <> 0 AS case_sensitive, CASE WHEN doc_id % 4 IN (0, 2) THEN 100 END AS first_n, CASE WHEN doc_id % 4 IN (1, 2) THEN 150 END AS last_n FROM text_pairs"""
 _EXACT = f"SELECT * FROM ({_TESTS}) t WHERE max_diffs = 0"
 _OUT = "SELECT doc_id, reference AS text FROM text_pairs"
+_ORDER = """SELECT doc_id AS test_id, doc_id, 'order' AS type, substr(reference, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 4) AS before, right(reference, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 5 END) AS after FROM text_pairs WHERE length(reference) > 1"""
 _METRICS = "SELECT case_id, 'cer' AS metric, metric AS score FROM case_results UNION ALL SELECT case_id, route, metric / 2 FROM case_results"
-_CASES = """SELECT o_orderkey AS case_id, CASE o_orderkey % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'template' ELSE 'simple' END AS mode, CASE WHEN o_orderkey % 2 = 0 THEN 'p' END AS preset_id, CAST(o_orderkey % 4 AS INT) AS assertions, CAST(o_orderkey % 13 AS DOUBLE) / 10 AS threshold FROM orders
-    UNION ALL SELECT o_orderkey, 'simple', NULL, 1, 0.5 FROM orders WHERE o_orderkey % 50 = 0"""
+_CASES = """SELECT o_orderkey AS case_id, CASE o_orderkey % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'template' WHEN 2 THEN 'agentic' WHEN 3 THEN NULL ELSE 'simple' END AS mode, CASE o_orderkey % 4 WHEN 0 THEN 'p' WHEN 1 THEN ' ' END AS preset_id, CAST(o_orderkey % 4 AS INT) AS assertions,
+    CAST(o_orderkey % 13 AS DOUBLE) / 10 AS threshold, o_custkey % 5 AS max_iterations, CASE o_custkey % 7 WHEN 0 THEN 'canary' WHEN 1 THEN 'smoke' WHEN 2 THEN NULL ELSE 'full' END AS suite, CASE o_custkey % 11 WHEN 0 THEN 'wer' WHEN 1 THEN 'bleu' WHEN 2 THEN NULL ELSE 'field_f1' END AS metric FROM orders
+    UNION ALL SELECT o_orderkey, 'simple', NULL, 1, 0.5, 1, 'full', 'cer' FROM orders WHERE o_orderkey % 50 = 0"""
 _UNIT = "SELECT event_id AS test_id, user_id AS doc_id, CASE event_type WHEN 'click' THEN 'present' WHEN 'view' THEN 'absent' WHEN 'error' THEN 'math' ELSE 'order' END AS type, event_id % 3 <> 0 AS checked, CAST(1 + event_id % 2 AS INT) AS page, CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS category FROM events"
 
 
@@ -22,12 +24,22 @@ def _docs(v: Inputs):
     return v.sql("SELECT o_orderkey AS doc_id FROM orders")
 
 
+# every order is a case with an assertion of one kind, one in two with a second
+_CHECKS = """SELECT o_orderkey AS case_id, k AS kind, CASE k WHEN 0 THEN 'contains' WHEN 1 THEN 'not_contains' WHEN 2 THEN 'json_field_equals' WHEN 3 THEN 'json_field_exists' WHEN 4 THEN 'json_field_number_min' WHEN 5 THEN 'metric_min' WHEN 6 THEN 'metric_max' ELSE 'table_min_rows' END AS type,
+    CASE k WHEN 4 THEN 2.0 WHEN 7 THEN 3.0 ELSE 0.3 END AS min FROM (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders UNION ALL SELECT o_orderkey, (o_orderkey + o_custkey) % 8 FROM orders WHERE o_custkey % 2 = 0) c"""
+_OUTPUTS = """SELECT o_orderkey AS case_id, o_orderpriority AS text, concat('{"a": {"b": ', CASE o_custkey % 5 WHEN 4 THEN 'null' ELSE CAST(o_custkey % 5 AS VARCHAR(20)) END, '}}') AS json, CASE WHEN o_orderkey % 20 = 0 THEN 'boom' END AS error, o_custkey % 6 AS table_rows FROM orders"""
+_SCORES = "SELECT o_orderkey AS case_id, 'score' AS metric, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS score FROM orders WHERE o_orderkey % 7 <> 0"
+
+
 def _assertions(v: Inputs):
-    rows = v.sql("""SELECT case_id, CASE case_id % 6 WHEN 0 THEN 'contains' WHEN 1 THEN 'not_contains' WHEN 2 THEN 'json_field_equals' WHEN 3 THEN 'json_field_exists' WHEN 4 THEN 'json_field_number_min' ELSE 'metric_min' END AS type, 'tom' AS value, 'a.b' AS path, '2' AS expected,
-        CASE WHEN case_id % 6 = 4 THEN 2.0 ELSE 0.3 END AS min, CAST(NULL AS DOUBLE) AS max, 'score' AS metric FROM case_results WHERE repeat_no = 0""")
-    outputs = v.sql("SELECT case_id, route AS text, concat('{\"a\": {\"b\": ', CAST(case_id % 4 AS VARCHAR(20)), '}}') AS json, CASE WHEN case_id % 20 = 0 THEN 'boom' END AS error, 0 AS table_rows FROM case_results WHERE repeat_no = 0")
-    metrics = v.sql("SELECT case_id, 'score' AS metric, metric AS score FROM case_results WHERE repeat_no = 0 AND case_id % 7 <> 0")
-    return e.run_assertions(rows, outputs, metrics)
+    rows = v.sql(_CHECKS).select("case_id", "type", F.lit("tom").alias("value").cast("string"), F.lit("a.b").alias("path"), F.lit("2").alias("expected"), F.col("min").cast("double").alias("min"), F.lit(0.6).alias("max"), F.lit("score").alias("metric"))
+    rows = rows.withColumn("value", F.when(F.col("case_id") % 3 == 0, "HIGH").otherwise("URGENT"))
+    return e.run_assertions(rows, v.sql(_OUTPUTS), v.sql(_SCORES))
+
+
+def _cases(v: Inputs):
+    lists = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+    return v.sql(_CASES).withColumn("suites", lists("suite")).withColumn("metrics", lists("metric"))
 
 
 def _receipts(v: Inputs):
@@ -49,16 +61,13 @@ def _table_tests(v: Inputs):
 
 _FIELD = """m AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.field, p.field) AS field, CASE WHEN r.v IS NOT DISTINCT FROM p.v THEN 1 ELSE 0 END AS tp, p.v IS NOT NULL AS hp, r.v IS NOT NULL AS hr
     FROM (SELECT doc_id, field, lower(value) AS v FROM ref_fields) r FULL OUTER JOIN (SELECT doc_id, field, lower(value) AS v FROM pred_fields) p ON r.doc_id = p.doc_id AND r.field = p.field)"""
-_TOKENS = """SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower({c}), '[^a-z0-9]+')) AS token FROM text_pairs) WHERE token <> '' GROUP BY doc_id, token"""
+_TOKENS = """SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower({c}), ' ')) AS token FROM text_pairs) WHERE token <> '' GROUP BY doc_id, token"""
 
 PLANS = {
-    "e01_text_error_rates": (lambda v: e.text_error_rates(v("text_pairs"), False).select("doc_id", *[F.round(c, 9).alias(c) for c in ("cer", "normalized_cer", "similarity")]), """
-        WITH x AS (SELECT doc_id, reference AS r, prediction AS p, trim(regexp_replace(lower(reference), '\\s+', ' ', 'g')) AS nr, trim(regexp_replace(lower(prediction), '\\s+', ' ', 'g')) AS np FROM text_pairs)
-        SELECT doc_id, round(CASE WHEN r = '' THEN CASE WHEN p = '' THEN 0 ELSE 1 END ELSE levenshtein(r, p) / length(r) END, 9) AS cer, round(CASE WHEN nr = '' THEN CASE WHEN np = '' THEN 0 ELSE 1 END ELSE levenshtein(nr, np) / length(nr) END, 9) AS normalized_cer,
-          round(1 - levenshtein(nr, np) / greatest(length(nr), length(np), 1), 9) AS similarity FROM x"""),
+    "e01_text_error_rates": (lambda v: e.text_error_rates(v("text_pairs")).select("doc_id", *[F.round(c, 9).alias(c) for c in ("cer", "normalized_cer", "similarity")]), None),
     "e01_word_error_rates": (lambda v: e.text_error_rates(v("text_pairs")).select("doc_id", "wer"), None),
     "e02_token_overlap": (lambda v: e.token_overlap(v("text_pairs")).select("doc_id", F.round("coverage", 9).alias("coverage"), F.round("unsupported", 9).alias("unsupported")), f"""
-        WITH r AS ({_TOKENS.format(c="reference")}), p AS ({_TOKENS.format(c="prediction")}), b AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.n, 0) AS a, coalesce(p.n, 0) AS z FROM r FULL OUTER JOIN p ON r.doc_id = p.doc_id AND r.token = p.token),
+        WITH r AS ({_TOKENS.format(c="reference")}), p AS ({_TOKENS.format(c="concat(said, ' the end')")}), b AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.n, 0) AS a, coalesce(p.n, 0) AS z FROM r FULL OUTER JOIN p ON r.doc_id = p.doc_id AND r.token = p.token),
           g AS (SELECT doc_id, sum(a) AS nr, sum(z) AS np, sum(least(a, z)) AS hit FROM b GROUP BY doc_id)
         SELECT t.doc_id, round(CASE WHEN coalesce(nr, 0) = 0 THEN 1 ELSE hit / nr END, 9) AS coverage, round(CASE WHEN coalesce(np, 0) = 0 THEN 0 ELSE (np - hit) / np END, 9) AS unsupported FROM text_pairs t LEFT JOIN g ON t.doc_id = g.doc_id"""),
     "e03_field_scores": (lambda v: e.field_scores(v("ref_fields"), v("pred_fields"), "field"), f"""
@@ -72,23 +81,25 @@ PLANS = {
           g AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, sum(coalesce(r.n, 0)) AS a, sum(coalesce(p.n, 0)) AS b, sum(least(coalesce(r.n, 0), coalesce(p.n, 0))) AS t FROM r FULL OUTER JOIN p ON r.doc_id = p.doc_id AND r.c = p.c AND r.v = p.v GROUP BY 1)
         SELECT o_orderkey AS doc_id, round(CASE WHEN coalesce(a + b, 0) = 0 THEN 1 ELSE 2 * t / (a + b) END, 9) AS cell_f1 FROM orders LEFT JOIN g ON g.doc_id = o_orderkey"""),
     "e06_presence_tests": (lambda v: e.presence_tests(v.sql(_EXACT), v.sql(_OUT)), f"""
-        WITH x AS (SELECT t.*, CASE WHEN first_n IS NOT NULL THEN left(reference, first_n) WHEN last_n IS NOT NULL THEN right(reference, last_n) ELSE reference END AS hay FROM ({_EXACT}) t JOIN text_pairs p ON t.doc_id = p.doc_id)
+        WITH x AS (SELECT t.*, CASE WHEN first_n IS NOT NULL AND last_n IS NOT NULL THEN concat(left(reference, first_n), right(reference, last_n)) WHEN first_n IS NOT NULL THEN left(reference, first_n) WHEN last_n IS NOT NULL THEN right(reference, last_n) ELSE reference END AS hay FROM ({_EXACT}) t JOIN text_pairs p ON t.doc_id = p.doc_id)
         SELECT test_id, doc_id, (type = 'present') = contains(CASE WHEN case_sensitive THEN hay ELSE lower(hay) END, CASE WHEN case_sensitive THEN text ELSE lower(text) END) AS passed FROM x"""),
     "e06_presence_with_edits": (lambda v: e.presence_tests(v.sql(_TESTS), v.sql(_OUT)), None),
-    "e07_order_tests": (lambda v: e.order_tests(v.sql("SELECT doc_id AS test_id, doc_id, 'order' AS type, substr(reference, 3, 4) AS before, substr(reference, 30, 5) AS after FROM text_pairs WHERE length(reference) > 60"), v.sql(_OUT)), """
-        WITH x AS (SELECT doc_id, reference AS r, substr(reference, 3, 4) AS b, substr(reference, 30, 5) AS a FROM text_pairs WHERE length(reference) > 60)
-        SELECT doc_id AS test_id, doc_id, strpos(r, b) < length(r) - strpos(reverse(r), reverse(a)) - length(a) + 2 AS passed FROM x"""),
+    "e07_order_tests": (lambda v: e.order_tests(v.sql(_ORDER), v.sql(_OUT)), f"""
+        WITH x AS (SELECT t.*, reference AS r FROM ({_ORDER}) t JOIN text_pairs p ON t.doc_id = p.doc_id)
+        SELECT test_id, doc_id, strpos(r, before) < length(r) - strpos(reverse(r), reverse(after)) - length(after) + 2 AS passed FROM x"""),
     "e08_table_tests": (_table_tests, "SELECT l_orderkey AS test_id, l_orderkey AS doc_id, l_orderkey % 5 <> 0 AS passed FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey"),
     "e09_unit_pass_rate": (lambda v: e.unit_pass_rate(_docs(v), v.sql("SELECT o_orderkey AS doc_id, o_custkey % 3 = 0 AS passed FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderkey % 6 = 0")), """
         SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 0 THEN (1 + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) / 2 WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END::DOUBLE AS unit_pass_rate FROM orders"""),
-    "e10_run_assertions": (_assertions, """
-        WITH x AS (SELECT *, CASE WHEN case_id % 20 = 0 THEN false ELSE CASE case_id % 6 WHEN 0 THEN contains(route, 'tom') WHEN 1 THEN NOT contains(route, 'tom') WHEN 2 THEN case_id % 4 = 2 WHEN 3 THEN true WHEN 4 THEN case_id % 4 >= 2 ELSE case_id % 7 <> 0 AND metric >= 0.3 END END AS ok,
-          CASE case_id % 6 WHEN 0 THEN 'contains' WHEN 1 THEN 'not_contains' WHEN 2 THEN 'json_field_equals' WHEN 3 THEN 'json_field_exists' WHEN 4 THEN 'json_field_number_min' ELSE 'metric_min' END AS t FROM case_results WHERE repeat_no = 0)
-        SELECT case_id, ok AS passed, CASE WHEN ok THEN '' ELSE t END AS failed FROM x"""),
+    "e10_run_assertions": (_assertions, f"""
+        WITH x AS (SELECT c.case_id, c.type, CASE WHEN error IS NOT NULL THEN false ELSE coalesce(CASE kind WHEN 0 THEN contains(text, word) WHEN 1 THEN NOT contains(text, word) WHEN 2 THEN (json ->> '$.a.b') = '2' WHEN 3 THEN (json ->> '$.a.b') IS NOT NULL WHEN 4 THEN CAST(json ->> '$.a.b' AS DOUBLE) >= 2
+            WHEN 5 THEN score >= 0.3 WHEN 6 THEN score <= 0.6 ELSE table_rows >= 3 END, false) END AS ok
+          FROM (SELECT *, CASE WHEN case_id % 3 = 0 THEN 'HIGH' ELSE 'URGENT' END AS word FROM ({_CHECKS}) q) c JOIN ({_OUTPUTS}) o ON c.case_id = o.case_id LEFT JOIN ({_SCORES}) s ON s.case_id = c.case_id)
+        SELECT case_id, bool_and(ok) AS passed, coalesce(array_to_string(list_sort(list_distinct(list(type) FILTER (NOT ok))), ','), '') AS failed FROM x GROUP BY case_id"""),
     "e11_weighted_score": (lambda v: e.weighted_score(v("case_results"), "mode"), "SELECT mode, CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) AS DOUBLE) AS score, avg(CAST(passed AS INT)) AS pass_rate FROM case_results GROUP BY mode"),
     "e12_metric_statistics": (lambda v: e.metric_statistics(v.sql(_METRICS)).select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "min", "max", "std_dev")], "samples"), f"SELECT metric, round(avg(score), 9) AS mean, round(min(score), 9) AS min, round(max(score), 9) AS max, round(stddev_pop(score), 9) AS std_dev, count(*) AS samples FROM ({_METRICS}) GROUP BY metric"),
-    "e13_breakdowns": (lambda v: e.breakdowns(v("case_results")).withColumn("mean_metric", F.round("mean_metric", 9)), """
-        SELECT mode, tag, count(*) AS cases, avg(CAST(passed AS INT)) AS pass_rate, round(avg(metric), 9) AS mean_metric, CASE WHEN grouping(mode) = 0 THEN 'mode' WHEN grouping(tag) = 0 THEN 'tag' ELSE 'all' END AS kind FROM case_results GROUP BY GROUPING SETS ((mode), (tag), ())"""),
+    "e13_breakdowns": (lambda v: e.breakdowns(v("case_results").withColumn("tags", F.array("tag", "tag2"))).select("kind", "name", "cases", "passes", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("pass_rate", "mean_metric", "mean_duration_ms", "mean_tokens", "total_cost")]), """
+        WITH t AS (SELECT 'all' AS kind, NULL AS name, * FROM case_results UNION ALL SELECT 'mode', mode, * FROM case_results UNION ALL SELECT 'tag', tag, * FROM case_results UNION ALL SELECT 'tag', tag2, * FROM case_results WHERE tag2 <> tag)
+        SELECT kind, name, count(*) AS cases, count(*) FILTER (passed) AS passes, round(avg(CAST(passed AS INT)), 6) AS pass_rate, round(avg(metric), 6) AS mean_metric, round(avg(duration_ms), 6) AS mean_duration_ms, round(avg(tokens), 6) AS mean_tokens, round(CAST(sum(cost) AS DOUBLE), 6) AS total_cost FROM t GROUP BY ALL"""),
     "e14_suite_gate": (lambda v: e.suite_gate(v("case_results")), "SELECT CAST(sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) AS DOUBLE) AS score, count(*) FILTER (NOT passed) AS failing, count(*) FILTER (NOT passed) > 0 OR sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) < 0.75 AS failed FROM case_results"),
     "e15_failure_report": (lambda v: e.failure_report(v("case_results")), "SELECT case_id, count(*) AS failures, concat('case ', case_id, ' failed ', count(*), ' times, first in repeat ', min(repeat_no)) AS message FROM case_results WHERE NOT passed GROUP BY case_id"),
     "e16_provider_matrix": (lambda v: e.provider_matrix(v("case_results")).withColumn("mean_metric", F.round("mean_metric", 9)), """
@@ -106,7 +117,8 @@ PLANS = {
     "e21_select_unit_tests": (lambda v: e.select_unit_tests(v.sql(_UNIT)), f"""
         WITH d AS (SELECT category, doc_id, count(*) AS tests FROM ({_UNIT}) WHERE checked AND type <> 'math' AND page = 1 GROUP BY ALL HAVING count(*) >= 3)
         SELECT category, doc_id, tests FROM d QUALIFY row_number() OVER (PARTITION BY category ORDER BY sha256(concat('seed', CAST(doc_id AS VARCHAR)))) <= 5"""),
-    "e22_check_cases": (lambda v: e.check_cases(v.sql(_CASES)), f"""
-        WITH c AS ({_CASES}) SELECT case_id, 'duplicate-id' AS issue FROM c GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT case_id, 'bad-mode' FROM c WHERE mode = 'other' UNION ALL SELECT case_id, 'no-preset' FROM c WHERE mode = 'template' AND preset_id IS NULL
-        UNION ALL SELECT case_id, 'no-assertions' FROM c WHERE assertions = 0 UNION ALL SELECT case_id, 'bad-threshold' FROM c WHERE threshold > 1"""),
+    "e22_check_cases": (lambda v: e.check_cases(_cases(v)), f"""
+        WITH c AS ({_CASES}) SELECT case_id, 'duplicate-id' AS issue FROM c GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT case_id, 'bad-mode' FROM c WHERE mode IS NULL OR mode = 'other' UNION ALL SELECT case_id, 'no-preset' FROM c WHERE mode = 'template' AND coalesce(trim(preset_id), '') = ''
+        UNION ALL SELECT case_id, 'no-assertions' FROM c WHERE assertions = 0 UNION ALL SELECT case_id, 'bad-threshold' FROM c WHERE threshold > 1 AND mode = 'agentic' UNION ALL SELECT case_id, 'bad-iterations' FROM c WHERE max_iterations < 1 AND mode = 'agentic'
+        UNION ALL SELECT case_id, 'bad-suite' FROM c WHERE suite = 'smoke' UNION ALL SELECT case_id, 'unknown-metric' FROM c WHERE metric = 'bleu'"""),
 }

@@ -31,8 +31,8 @@ VIEWS = {
                CASE WHEN (doc_id * 7 + row_no) % 10 = 0 THEN '' WHEN (doc_id + row_no) % 9 = 0 THEN concat(value, '0') ELSE value END AS value
         FROM ref_cells WHERE (doc_id + row_no * 3) % 8 <> 0""",
     "text_pairs": """
-        SELECT doc_id, reference, replace(replace(reference, 'th', 'tn'), 'er ', ' ') AS prediction
-        FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9]+', ' '{g}) AS reference FROM documents) whole""",
+        SELECT doc_id, reference, said, CASE WHEN doc_id % 3 = 0 THEN concat('# **', said, '**', chr(10), chr(10), '> [the end](http://h/) ') WHEN doc_id % 3 = 1 THEN concat('```text', chr(10), said, chr(10), '```', chr(10), '- `the` ![end](x)') ELSE concat(said, ' the<br/>end') END AS prediction
+        FROM (SELECT doc_id, reference, trim(replace(replace(reference, 'th', 'tn'), 'er ', ' ')) AS said FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9]+', ' '{g}) AS reference FROM documents) whole) damaged""",
     "manifest_view": """
         SELECT concat('/corpus/', CAST(doc_id AS VARCHAR(20)), '.pdf') AS source,
                CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE concat('fp-', CAST(n_chars AS VARCHAR(20))) END AS fingerprint,
@@ -60,7 +60,8 @@ VIEWS = {
         SELECT o_orderkey % 200 AS case_id, o_orderpriority AS route,
                CASE o_custkey % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'template' ELSE 'agentic' END AS mode,
                o_orderstatus AS tag, CAST(floor(o_orderkey / 200.0) AS BIGINT) AS repeat_no, 1 + o_custkey % 2 AS weight,
-               o_orderkey % 6 <> 0 AS passed, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS metric
+               o_orderkey % 6 <> 0 AS passed, CAST(o_orderkey % 101 AS DOUBLE) / 100 AS metric, CASE o_custkey % 4 WHEN 0 THEN 'tables' WHEN 1 THEN o_orderstatus ELSE o_orderpriority END AS tag2,
+               CASE WHEN o_orderkey % 10 > 0 THEN 100 + o_custkey % 900 END AS duration_ms, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey * 3 END AS tokens, CASE WHEN o_orderkey % 8 > 0 THEN CAST((o_orderkey % 50) / 1000.0 AS DECIMAL(10,4)) END AS cost
         FROM orders""",
     "md_docs": """
         SELECT l_orderkey AS doc_id, concat('# Invoice ', CAST(l_orderkey AS VARCHAR(20)), chr(10), chr(10), '| line | quantity |', chr(10), '| --- | --- |', {rows}) AS text

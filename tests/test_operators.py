@@ -54,8 +54,13 @@ def test_text_scores(spark):
     assert (o[2]["coverage"], o[2]["unsupported"], o[4]["coverage"]) == (1.0, 0.0, 0.0)
     e = {r["doc_id"]: r for r in scoring.text_error_rates(p).collect()}
     assert (e[2]["cer"], e[3]["cer"], e[4]["wer"]) == (0.0, 1.0, 1.0) and e[1]["wer"] == pytest.approx(2 / 3)
-    u = spark.createDataFrame([(1, "# “Café” — ﬁve", '"café" - five')], "doc_id long, reference string, prediction string")
-    assert scoring.text_error_rates(u).first()["normalized_cer"] == 0.0
+    rows = [(1, "# “Café” — ﬁve", '"café" - five'), (2, "Total 5", "**Total** 5\n"), (3, "a\r\nb", "a\nb"), (4, "x😀y", "xy"), (5, "日本語 文書", "天気 予報"), (6, "one two", "# [one](u)\n> ![two](v)"), (7, "code line", "```py\ncode `line`\n```"), (8, "a b", "1. a\n- b")]
+    u = spark.createDataFrame(rows, "doc_id long, reference string, prediction string")
+    e = {r["doc_id"]: r for r in scoring.text_error_rates(u).collect()}
+    assert [e[i]["normalized_cer"] for i in (1, 2, 3, 6, 7, 8)] == [0.0] * 6 and [e[i]["cer"] for i in (2, 3, 7)] == [0.0] * 3
+    assert e[4]["cer"] == pytest.approx(1 / 4) and e[5]["wer"] == 1.0
+    o = {r["doc_id"]: (r["coverage"], r["unsupported"]) for r in scoring.token_overlap(u).collect()}
+    assert o[5] == (0.0, 1.0) and o[2] == (1.0, 0.0) and o[6] == (1.0, 0.0)
 
 
 def test_field_scores(spark):
