@@ -4,6 +4,7 @@ import pytest
 
 from tests.conftest import SF
 from tests.llm import brute
+from tests.llm.test_near import kept
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -31,8 +32,8 @@ def test_stages_equal_brute_force(spark):
     model = classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     liked = [(d, t) for d, t in good if model.scores([t.encode()])[0] >= 0.5]
     assert keep(1) == set(liked)
-    classes = brute.components(liked)
-    single = [(d, t) for d, t in liked if classes[d][1] == d]
+    first = kept(liked)
+    single = [(d, t) for d, t in liked if d in first]
     assert keep(2) == set(single) and len(single) < len(liked)
     cut = brute.substring(single)
     assert {r["doc_id"] for r in made[3]} == {d for d, _ in single}
