@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -110,23 +110,28 @@ def order_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
     return exact.unionByName(rows.where(~F.coalesce(plain, F.lit(False))).select("test_id", "doc_id", starts_before("before", "after", "output", "k").alias("passed")))
 
 
+_AROUND = ("up", "down", "left", "right", "top_heading", "left_heading")
+
+
 def table_tests(tests: DataFrame, cells: DataFrame, neighbors: DataFrame, headings: DataFrame) -> DataFrame:
-    """Passes if some cell matches, and with it each neighbour and heading that the test states: normalized texts that are equal where
-    ``max_diffs`` is 0, else of an indel ratio of 1 - max_diffs / length, 0.5 at least."""
-    keys, around = ["doc_id", "table_no", "row_no", "col_no"], ["up", "down", "left", "right", "top_heading", "left_heading"]
-    grid = cells.select(*keys, "text").join(neighbors.select(*keys, "up", "down", "left", "right"), keys).join(headings.select(*keys, "top_heading", "left_heading"), keys)
-    grid = grid.withColumns({c: unit_test_text(c) for c in ("text", *around)})
-    rows = tests.where(F.col("type") == "table").select("test_id", "doc_id", unit_test_text("cell").alias("cell"), *[unit_test_text(c).alias(f"t_{c}") for c in around], _most(tests).alias("k")).join(grid, "doc_id", "left")
-
-    def matching(same: Callable[[Column, Column], Column]) -> Column:
-        ok = F.coalesce(same(F.col("cell"), F.col("text")), F.lit(False))
-        for c in around:
-            ok &= (F.coalesce(f"t_{c}", F.lit("")) == "") | F.coalesce(same(F.col(f"t_{c}"), F.col(c)), F.lit(False))
-        return ok
-
-    close = lambda want, got: got.isNotNull() & (indel_ratio(want, got) >= F.greatest(F.lit(0.5), 1 - F.col("k") / F.greatest(F.length(want), F.lit(1))))
-    done = rows.where("k = 0").select("test_id", "doc_id", matching(lambda want, got: want == got).alias("ok")).unionByName(rows.where("k > 0").select("test_id", "doc_id", matching(close).alias("ok")))
-    return done.groupBy("test_id", "doc_id").agg(F.bool_or("ok").alias("passed"))
+    """Passes if some cell matches, and with it on each stated side one of its neighbours or headings: normalized texts that are equal where
+    ``max_diffs`` is 0, else of an indel ratio of 1 - max_diffs / length, 0.5 at least. Cells with spans have several neighbours on a side."""
+    cell = ["doc_id", "table_no", "cell_id"]
+    beside = [d.select(*cell, F.explode(F.col(k)).alias("got")).select(*cell, F.lit(k).alias("side"), unit_test_text("got").alias("got")) for d, ks in ((neighbors, _AROUND[:4]), (headings, _AROUND[4:])) for k in ks]
+    beside = reduce(DataFrame.unionByName, beside)
+    stated = F.filter(F.array(*[F.struct(F.lit(k).alias("side"), unit_test_text(k).alias("want")) for k in _AROUND]), lambda x: F.coalesce(x["want"], F.lit("")) != "")
+    rows = tests.where(F.col("type") == "table").select("test_id", "doc_id", unit_test_text("cell").alias("want"), stated.alias("stated"), _most(tests).alias("k"))
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        """Adds ``ok``; only tests with edits reach Python."""
+        close = indel_ratio("want", "got") >= F.greatest(F.lit(0.5), 1 - F.col("k") / F.greatest(F.length("want"), F.lit(1)))
+        return pairs.where("k = 0").withColumn("ok", F.coalesce(F.col("want") == F.col("got"), F.lit(False))).unionByName(pairs.where("k > 0").withColumn("ok", F.col("got").isNotNull() & close))
+
+    found = matching(rows.join(neighbors.select(*cell, unit_test_text("text").alias("got")), "doc_id")).where("ok").select("test_id", *cell, "k", F.explode_outer("stated").alias("s")).select("test_id", *cell, "k", "s.side", "s.want")
+    sided = matching(found.where("side is not null").join(beside, [*cell, "side"], "left")).groupBy("test_id", *cell, "side").agg(F.bool_or("ok").alias("ok"))
+    each = found.where("side is null").select("test_id", *cell, F.lit(True).alias("ok")).unionByName(sided.select("test_id", *cell, "ok")).groupBy("test_id", *cell).agg(F.bool_and("ok").alias("ok"))
+    passed = each.groupBy("test_id", "doc_id").agg(F.bool_or("ok").alias("passed"))
+    return rows.select("test_id", "doc_id").join(passed, ["test_id", "doc_id"], "left").select("test_id", "doc_id", F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
 def unit_pass_rate(docs: DataFrame, results: DataFrame) -> DataFrame:

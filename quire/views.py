@@ -157,6 +157,8 @@ def with_views(query: str, views: Iterable[str] | None = None, g: str = ", 'g'")
     body = query.strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body

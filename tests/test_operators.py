@@ -107,6 +107,26 @@ def test_readiness_and_completion(spark):
     assert done == {1: "missing-required-fields", 2: "confidence-and-coverage-met", 3: "no-fields", 4: "no-fields"}
 
 
+def test_refinement_equals_brute_force(spark):
+    """Three passes over documents whose candidates get better, stay as they are, or never come."""
+    found = {1: {1: [("a", "x", 0.5)], 2: [("b", "y", 0.9)]}, 2: {1: [("a", "x", 0.9), ("b", "y", 0.9)]}, 3: {}, 4: {1: [("a", "x", 0.2)], 2: [("a", "x", 0.2)]}, 5: {1: [("a", "p", 0.1)], 2: [("a", "q", 0.2)], 3: [("a", "r", 0.3)]}}
+    asked = []
+
+    def extract(docs, i):
+        open_ = sorted(r["doc_id"] for r in docs.collect())
+        asked.append(open_)
+        rows = [(d, n, f, v, c, True, i, None) for d in found for n, (f, v, c) in enumerate(found[d].get(i, []))]
+        return spark.createDataFrame(rows, "doc_id long, seq long, field string, value string, confidence double, is_valid boolean, extracted_at long, page long")
+
+    docs = spark.createDataFrame([(d, "pair") for d in found], "doc_id long, document_type string")
+    need = spark.createDataFrame([("pair", "a"), ("pair", "b")], "document_type string, field string")
+    kept, passes = candidates.iterative_refine(docs, extract, need, 3, 0.6)
+    assert asked == [[1, 2, 3, 4, 5], [1, 3, 4, 5], [5]]
+    ends = {r["doc_id"]: (r["iteration"], r["stop_reason"]) for r in passes.where("stop_reason is not null").collect()}
+    assert ends == {2: (1, "confidence-and-coverage-met"), 1: (2, "confidence-and-coverage-met"), 3: (2, "no-progress"), 4: (2, "no-progress"), 5: (3, "max-iterations")}
+    assert sorted((r["doc_id"], r["field"], r["value"]) for r in kept.collect()) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y"), (4, "a", "x"), (5, "a", "r")]
+
+
 def test_resume_twice_is_no_work(spark):
     docs = spark.createDataFrame([("a", "f1", "l1"), ("b", "f2", "l2"), ("c", "f3", "l3")], "source string, fingerprint string, legacy_fingerprint string")
     schema = "source string, fingerprint string, fingerprint_version int, status string, output_files array<string>, owned_files array<string>, updated long"
@@ -161,10 +181,13 @@ def test_secrets(spark):
 
 
 def test_markdown_structure(spark):
-    text = "Intro\n# Title\nbody\n```\n# not\n```\nSetext\n------\nx\n## Two ##\n    # indented\n"
+    text = "Intro\n# Title\nbody\n```\n# not\n```\n\nSetext\n------\nx\n## Two ##\n    # indented\n"
     got = structure.markdown_sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section").collect()
     assert [(r["heading"], r["level"]) for r in got] == [(None, None), ("Title", 1), ("Setext", 2), ("Two", 2)]
     assert got[1]["lines"] == ["body", "```", "# not", "```"]
+    cases = {"para one\nline two\n---": [], "one\n===\n\ntwo\n---\n---": ["one", "two"], "- item\n---": [], "x\n\n---\n===": ["---"], "~~~ a`b\n# no\n~~~\n# yes": ["yes"], "```a`b\n# yes": ["yes"], "#\tT ##": ["T"], "#no": [], "    # no": [], "# \n## b": ["", "b"], "````\n```\n# no": []}
+    got = structure.markdown_sections(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).where("heading is not null").orderBy("doc_id", "section").collect()
+    assert [[r["heading"] for r in got if r["doc_id"] == i] for i in range(len(cases))] == list(cases.values())
     html = "<table><thead><tr><th rowspan=0>A</th><td>b</td></tr></thead><tr><td>c</td></tr></table>"
     cells = structure.html_table_cells(spark.createDataFrame([(1, html)], "doc_id long, html string")).collect()
     assert {(r["row_no"], r["col_no"], r["text"], r["is_heading"]) for r in cells} == {(0, 0, "A", True), (1, 0, "A", True), (0, 1, "b", True), (1, 1, "c", False)}

@@ -27,3 +27,15 @@ def test_table_tests_choose_by_row(spark):
     rows = [(1, "appel", None, 2), (2, "appel", None, 0), (3, "apple", "100", 0), (4, "appl", "1OO", 1), (5, "apple", "250", 0), (6, "peers", "25O", 1), (7, "apple", "", 0)]
     tests = spark.createDataFrame([(i, 1, "table", c, None, None, None, r, None, None, k) for i, c, r, k in rows], "test_id long, doc_id long, type string, cell string, up string, down string, left string, right string, top_heading string, left_heading string, max_diffs int")
     assert passed(scoring.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))) == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_spans_have_several_neighbours(spark):
+    html = "<table><thead><tr><th rowspan=2>A</th><th colspan=2>B</th></tr><tr><td>c</td><td>d</td></tr></thead><tr><td rowspan=2>x</td><td colspan=2>wide</td></tr><tr><td>1</td><td>2</td></tr></table>"
+    cells = m.html_table_cells(spark.createDataFrame([(1, html)], "doc_id long, html string"))
+    near = {r["text"]: r for r in m.cell_neighbors(cells).collect()}
+    assert (near["A"]["right"], near["A"]["down"], near["B"]["down"], near["wide"]["up"], near["x"]["right"], near["2"]["up"]) == (["B", "c"], ["x"], ["c", "d"], ["c", "d"], ["wide", "1"], ["wide"])
+    heads = {r["text"]: r for r in m.cell_headings(cells).collect()}
+    assert heads["1"]["top_heading"] == ["B", "c", "d"] and heads["1"]["left_heading"] == ["x"] and heads["d"]["left_heading"] == ["A", "c"] and heads["A"]["top_heading"] == []
+    rows = [(1, "1", "wide", "d"), (2, "1", "2", None), (3, "wide", "d", "B"), (4, "x", "A", "A"), (5, "2", None, "A")]
+    tests = spark.createDataFrame([(i, 1, "table", c, u, None, None, None, t, None, 0) for i, c, u, t in rows], "test_id long, doc_id long, type string, cell string, up string, down string, left string, right string, top_heading string, left_heading string, max_diffs int")
+    assert passed(scoring.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))) == {1: True, 2: False, 3: True, 4: True, 5: False}
