@@ -192,7 +192,7 @@ PLANS = {
         WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 > 0 THEN concat('Order of ', o_custkey) ELSE '' END AS summary FROM orders), q AS (SELECT * FROM (VALUES (1, 'invoice_number'), (2, 'invoice_date'), (3, 'customer_name'), (4, 'total')) AS v(pos, field)),
           f AS (SELECT d.doc_id, string_agg(concat('| ', q.field, ' | ', coalesce(value, 'Not found'), ' | ', CAST(round(coalesce(confidence, 0) * 100) AS INT), '% |'), chr(10) ORDER BY pos) AS t FROM d CROSS JOIN q LEFT JOIN pred_fields p ON p.doc_id = d.doc_id AND p.field = q.field GROUP BY d.doc_id),
           c AS (SELECT doc_id, row_no, concat('| ', max(value) FILTER (column_name = 'quantity'), ' | ', max(value) FILTER (column_name = 'line_total'), ' |') AS s FROM ref_cells WHERE doc_id % 3 > 0 GROUP BY ALL), r AS (SELECT doc_id, concat(chr(10), chr(10), '## Rows', chr(10), chr(10), '| quantity | line_total |', chr(10), '| --- | --- |', chr(10), string_agg(s, chr(10) ORDER BY row_no)) AS t FROM c GROUP BY doc_id),
-          n AS (SELECT doc_id, kind, string_agg(s, chr(10) ORDER BY s) AS t FROM (SELECT doc_id, kind, concat('- ', replace(replace(replace(replace(replace(message, chr(10), ' '), '|', '\|'), '`', '\`'), '<', '&lt;'), '>', '&gt;')) AS s FROM ({_NOTES})) GROUP BY ALL)
+          n AS (SELECT doc_id, kind, string_agg(s, chr(10) ORDER BY s) AS t FROM (SELECT doc_id, kind, concat('- ', replace(replace(replace(replace(replace(message, chr(10), ' '), '|', chr(92) || '|'), '`', chr(92) || '`'), '<', '&lt;'), '>', '&gt;')) AS s FROM ({_NOTES})) GROUP BY ALL)
         SELECT d.doc_id, concat('# Invoice Extraction', chr(10), chr(10), summary, chr(10), chr(10), '## Fields', chr(10), chr(10), '| Field | Value | Confidence |', chr(10), '| --- | --- | --- |', chr(10), f.t, coalesce(r.t, ''),
           CASE WHEN e.t IS NULL THEN '' ELSE concat(chr(10), chr(10), '## Validation', chr(10), chr(10), e.t) END, CASE WHEN v.t IS NULL THEN '' ELSE concat(chr(10), chr(10), '## Validation warnings', chr(10), chr(10), v.t) END, CASE WHEN w.t IS NULL THEN '' ELSE concat(chr(10), chr(10), '## Warnings', chr(10), chr(10), w.t) END) AS markdown
         FROM d JOIN f ON f.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, concat('', t) AS t FROM n WHERE kind = 'error') e ON e.doc_id = d.doc_id LEFT JOIN (SELECT * FROM n WHERE kind = 'validation') v ON v.doc_id = d.doc_id LEFT JOIN (SELECT * FROM n WHERE kind = 'warning') w ON w.doc_id = d.doc_id"""),
