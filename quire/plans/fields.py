@@ -254,7 +254,7 @@ PLANS = {
     "a11_check_regions": (lambda v: a.check_regions(v.sql(_REGIONS)).select("doc_id", "region_ok"), f"SELECT doc_id, units = 'normalized' AND page >= 1 AND x >= 0 AND x < 1 AND y >= 0 AND y < 1 AND height > 0 AND x + width <= 1 AND y + height <= 1 AS region_ok FROM ({_REGIONS})"),
     "a12_layout_profile": (lambda v: a.layout_profile(v.sql(_LAYOUT)), f"SELECT doc_id, count(*) AS features, array_to_string(list_sort(list_distinct(list(feature))), ',') AS distinct_features, CASE WHEN count(*) > 10 THEN 'high' WHEN count(*) > 5 THEN 'medium' ELSE 'low' END AS complexity FROM ({_LAYOUT}) GROUP BY doc_id"),
     "a13_coalesce_trace": (lambda v: a.coalesce_trace(v("steps")), """
-        WITH x AS (SELECT *, CASE WHEN coalesce(lag(type) OVER w = type AND lag(source) OVER w = source AND lag(is_delta) OVER w AND is_delta, false) THEN 0 ELSE 1 END AS n FROM steps WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+        WITH x AS (SELECT *, CASE WHEN coalesce(lag(type) OVER w = type AND lag(source) OVER w = source AND lag(is_delta) OVER w AND is_delta AND NOT has_call AND NOT lag(has_call) OVER w AND (lag(id) OVER w IS NOT DISTINCT FROM id), false) THEN 0 ELSE 1 END AS n FROM steps WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
           y AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS step FROM x)
         SELECT doc_id, CAST(step AS BIGINT) AS step, min(type) AS type, min(source) AS source, CAST(count(*) AS INT) AS parts, string_agg(content, '' ORDER BY seq) AS content FROM y GROUP BY doc_id, step"""),
 }

@@ -42,9 +42,9 @@ _URLS = """u0 AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS sc
   urls AS (SELECT *, CASE WHEN address IS NOT NULL THEN concat_ws('.', address // 16777216, address // 65536 % 256, address // 256 % 256, address % 256) ELSE host0 END AS host, scheme IN ('http', 'https', 'ftp') AND NOT (is_number AND address IS NULL) AND host0 <> '' AS valid,
       CASE WHEN port_text = '' OR (scheme, port_text) IN (('http', '80'), ('https', '443'), ('ftp', '21')) THEN '' ELSE concat(':', port_text) END AS port, regexp_replace(regexp_replace(raw_path, '/\\./', '/', 'g'), '/[^/]+/\\.\\./', '/', 'g') AS path FROM u5),
   keyed AS (SELECT *, CASE WHEN valid THEN concat(scheme, '://', host, port, CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END, query) ELSE regexp_replace(lower(url), '/+$', '') END AS key FROM urls)"""
-_ENTITIES_SQL = f"regexp_replace(regexp_replace(regexp_replace(html, '{w.SKIPPED}', ' ', 'g'), '{w.BLOCK_ENDS}', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
-for _entity, _char in w.ENTITIES:
-    _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_ENTITIES_SQL = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<svg\b[^>]*>.*?</svg\s*>|<!--.*?-->', ' ', 'g'), '(?i)<(?:br|/(?:p|div|li|h[1-6]|tr|title|ul|ol|table|section|article|nav|header|footer))\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", "chr(32)"), ("&lt;", "chr(60)"), ("&gt;", "chr(62)"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "chr(38)")):
+    _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '{_entity}', {_char})"
 _REDACT = [("bearer", r"(?i)\b(bearer)\s+[A-Za-z0-9._+=/-]+", "Bearer [REDACTED]"), ("key", r"\b[sr]k-[A-Za-z0-9_-]{8,}", "[REDACTED_KEY]"), ("google", r"\bAIza[A-Za-z0-9_-]{10,}", "[REDACTED_KEY]"),
            ("assignment", r"(?i)\b(apikey|api_key|api-key|token|authorization)\s*[:=]\s*[\x27\x22]?[^\s\x27\x22,;]+", r"\1=[REDACTED]")]
 _REDACT_SQL = f"WITH s AS ({_SECRETS}), r0 AS (SELECT doc_id, replace(text, 'swordfish-9000', '[REDACTED_KEY]') AS t FROM s)"
@@ -103,7 +103,7 @@ PLANS = {
         SELECT run_id, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
           CAST(sum(cost) AS DOUBLE) AS cost, CASE WHEN count(*) FILTER (status IN ('partial', 'failed')) > 0 THEN 1 ELSE 0 END AS exit_code FROM results GROUP BY run_id"""),
     "x07_run_status": (lambda v: b.run_status(v("results")), """
-        SELECT run_id, CASE WHEN bool_or(status = 'failed') AND NOT bool_or(status IN ('succeeded', 'partial') OR coalesce(skip_reason = 'resumed', false)) THEN 'failed' WHEN bool_or(status IN ('failed', 'partial')) THEN 'partial' ELSE 'succeeded' END AS status FROM results GROUP BY run_id"""),
+        SELECT run_id, CASE WHEN bool_or(coalesce(skip_reason = 'cost-limit', false)) THEN 'cost_limited' WHEN bool_or(coalesce(skip_reason = 'cancelled', false)) THEN 'cancelled' WHEN bool_and(coalesce(skip_reason = 'validated', false)) THEN 'validated' WHEN bool_or(status = 'failed') AND NOT bool_or(status IN ('succeeded', 'partial') OR coalesce(skip_reason IN ('resumed', 'validated'), false)) THEN 'failed' WHEN bool_or(status IN ('failed', 'partial')) THEN 'partial' ELSE 'succeeded' END AS status FROM results GROUP BY run_id"""),
     "x08_fail_fast_cutoff": (lambda v: b.fail_fast_cutoff(v("results")), """
         SELECT run_id, pos, doc_id, CASE WHEN late THEN 'skipped' ELSE status END AS status, CASE WHEN late THEN 'NOT_RUN' END AS code
         FROM (SELECT *, coalesce(bool_or(status = 'failed') OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM results)"""),

@@ -100,13 +100,14 @@ VIEWS = {
         FROM documents""",
     "results": """
         SELECT o_custkey % 20 AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS BIGINT) AS pos, o_orderkey AS doc_id,
-               CASE o_orderkey % 23 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' WHEN 2 THEN 'skipped' ELSE 'succeeded' END AS status,
-               CASE WHEN o_orderkey % 23 = 2 THEN 'resumed' END AS skip_reason, CAST((o_orderkey % 50) / 1000.0 AS DECIMAL(10,4)) AS cost, o_orderkey % 29 <> 0 AS reported,
+               CASE WHEN o_custkey % 20 = 5 THEN 'skipped' WHEN o_custkey % 20 = 6 THEN CASE WHEN o_orderkey % 23 = 2 THEN 'skipped' ELSE 'failed' END ELSE CASE o_orderkey % 23 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' WHEN 2 THEN 'skipped' ELSE 'succeeded' END END AS status,
+               CASE WHEN o_custkey % 20 = 5 THEN 'validated' WHEN o_orderkey % 23 = 2 THEN CASE o_custkey % 20 WHEN 3 THEN 'cost-limit' WHEN 4 THEN 'cancelled' WHEN 6 THEN 'failed-fast' ELSE 'resumed' END END AS skip_reason, CAST((o_orderkey % 50) / 1000.0 AS DECIMAL(10,4)) AS cost, o_orderkey % 29 <> 0 AS reported,
                CASE o_custkey % 31 WHEN 0 THEN 'partial' WHEN 1 THEN 'max_iterations' WHEN 2 THEN 'tool_limit_reached' WHEN 3 THEN 'budget_exhausted' WHEN 4 THEN 'cost_limit_reached' WHEN 5 THEN 'confused' WHEN 6 THEN 'succeeded' END AS stop_reason
         FROM orders""",
     "steps": """
         SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'function_call' ELSE 'thinking' END AS type,
-               CASE WHEN turn % 5 = 4 THEN 'runtime' ELSE 'reasoning' END AS source, turn % 4 <> 3 AS is_delta, text AS content
+               CASE WHEN turn % 5 = 4 THEN 'runtime' ELSE 'reasoning' END AS source, turn % 4 <> 3 AS is_delta, text AS content,
+               CASE WHEN turn % 9 < 8 THEN CAST(floor(turn / 3.0) AS BIGINT) END AS id, turn % 7 = 6 AS has_call
         FROM conversations""",
 }
 
