@@ -117,7 +117,8 @@ def measure(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPL
     Each rule starts from a text whose features are not yet worked out, so its cost stands alone.
     """
     part = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else docs
+    keys = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]  # copies of a text, and nulls, fall in or out one by one
+    sample = docs.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_000_000)) < int(part * 1_000_000_000)) if part < 1 else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {name: [0, 0, 0.0] for name, _ in rules}

@@ -157,7 +157,10 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     # a table of its own: both sides of the join are then plain shuffles, which adaptive execution splits where one edge is hot
     first = write_table(edges.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "first-edges")
     single = edges.join(first, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place")
-    return write_table(found.where("not branch").select("doc_id", "place").unionByName(single), "windows")
+    windows = write_table(found.where("not branch").select("doc_id", "place").unionByName(single), "windows")
+    for done in (shared, found, edges, first):
+        drop_table(done)
+    return windows
 
 
 def cut(text: bytes, places: list[int] | None, k: int = WINDOW) -> tuple[bytes, int, int]:

@@ -33,7 +33,6 @@ from quire.llm.shared import _files_cleaned
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_RECORDS = 1000
-SAMPLE_CHARS = 16384
 FILE_BYTES = 256 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"  # pages carry no fetch time
@@ -88,13 +87,12 @@ def parse(raw: bytes) -> dict:
     return {"fields": fields, "payload": payload, "payload_bytes": size}
 
 
-def train(pages: DataFrame, records: int = SAMPLE_RECORDS, chars: int = SAMPLE_CHARS) -> bytes:
-    """A dictionary from ``records`` pages of the smallest hashes, ``chars`` code points from anywhere in each."""
+def train(pages: DataFrame, records: int = SAMPLE_RECORDS) -> bytes:
+    """A dictionary from the ``records`` pages of the smallest hashes, each of them whole."""
     rows = pages.where("html is not null").select(F.xxhash64("html").alias("h"), F.xxhash64("page_id", "url").alias("id"), "html")
     # hashes first, a few numbers of each task; then the texts of those that were chosen
     chosen = pages.sparkSession.createDataFrame(rows.select("h", "id").orderBy("h", "id").limit(records).collect(), "h long, id long").distinct()
-    begin = (F.pmod("h", F.greatest(F.length("html") - chars, F.lit(0)) + 1) + 1).cast("int")
-    sample = rows.join(F.broadcast(chosen), ["h", "id"]).select("h", F.substring("html", begin, F.lit(chars)).alias("html")).distinct().orderBy("h", "html").limit(records).collect()
+    sample = rows.join(F.broadcast(chosen), ["h", "id"]).select("h", "html").distinct().orderBy("h", "html").limit(records).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["html"].encode() for r in sample], level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little to train on
