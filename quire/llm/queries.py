@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, classifier, packing, rules, simhash, sql, store, substring, topk, unigram, warc
+from quire.llm import chat, classifier, language, negatives, packing, rules, simhash, sql, store, substring, topk, unigram, warc, whitening
 from quire.llm.shared import new_path, read_table
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -76,8 +76,28 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 100 == 0)[0]
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_chat_format, op2_best_fit_packing, op3_quality_classifier, op4_quality_rules, op5_simhash, op6_warc, op7_token_store, op8_substring_dedup, op9_sentencepiece, op10_top_k,
+           op11_hard_negatives, op12_language_id, op13_whitening)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_quality_classifier, op4_quality_rules, op5_simhash, op6_warc, op7_token_store, op8_substring_dedup, op9_sentencepiece, op10_top_k)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

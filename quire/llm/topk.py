@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,12 +43,17 @@ BLOCK = "part int, seq int, n int, dims int, ids binary, places binary, vectors
 FOUND = "batch long, block long, query_id long, vec_id long, score long, kth long, entries_read long, entries long"
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, for rows that take part."""
+def finite(v: str) -> Column:
+    """Whether an array of doubles has components, and all of them are finite."""
+    return F.col(v).isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
+def quantised(vectors: DataFrame, scale: int = SCALE, vector_col: str = "embedding", id_col: str = "vec_id", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(vec_id, v): floor(scale * x) of each component, for rows that take part; ``keep``: columns besides, with names."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *keep)
+    rows = rows.where(F.col("vec_id").isNotNull() & finite("v"))
+    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"), *[c for c in rows.columns if c not in ("vec_id", "v")])
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
