@@ -2,7 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from quire.llm import near
+from quire.llm.simhash import components
 from tests.conftest import SF
 from tests.llm import brute
 
@@ -63,3 +69,31 @@ def test_near_dedup_of_a_group_of_unlike_copies(spark):
     assert 40 < len(want) < 150
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+
+
+@pytest.mark.parametrize("tiles", [(512, 1 << 19), (7, 1 << 19), (512, 300)])
+def test_links_of_a_bucket_in_one_task_and_in_tiles(spark, tiles):
+    """A bucket of sets on both sides of 0.8, some of them joined already, meets in one task or in pairs of tiles."""
+    rng, sets = np.random.default_rng(5), []
+    for _ in range(8):
+        base = rng.integers(1, 1 << 62, 40, np.uint64)
+        for _ in range(6):
+            s = base.copy()
+            s[: rng.integers(0, 7)] = rng.integers(1, 1 << 62)
+            s[20 : 20 + rng.integers(0, 4)] = rng.integers(1, 1 << 62)
+            sets.append(np.unique(s))
+    sets.append(np.zeros(0, np.uint64))
+    want = {i: i for i in range(len(sets))}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if want[i] != want[j] and near.similarity(a, b) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    rows = [(band, 9, i, i, len(s)) for band in (0, 1) for i, s in enumerate(sets)] + [(2, 1, 0, 0, len(sets[0])), (2, 1, 1, 0, len(sets[1]))]
+    rooted = spark.createDataFrame(rows, "band int, key long, node long, root long, n long")
+    bodies = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, set binary")
+    links = near.across(rooted, bodies, *tiles)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(sets) - 10
+    if tiles[0] == 512 and tiles[1] > 300:
+        assert links.count() == len(sets) - len(set(want.values()))  # spanning links only, of one of the two equal buckets
