@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def _edit(a, b, free_start: bool = False) -> int:
@@ -30,26 +30,23 @@ def _last_row(a, b, free_start: bool = False) -> np.ndarray:
     return row
 
 
-def _bits(a, b) -> int:
-    """Levenshtein distance of two sequences of any length: a column of differences in one integer (Myers, Hyyrö), a step for each item of ``b``."""
-    if a == b:
-        return 0
-    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # what both begin and end with costs nothing
-    a, b = a[head:], b[head:]
-    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not a or not b:
-        return len(a) + len(b)
+def _letters(a, begin: int, end: int) -> dict:
+    """For each item of ``a`` the places where it stands between ``begin`` and ``end``, as the bits of a number (bit 0: ``begin``)."""
     places: dict = {}
-    for i, x in enumerate(a):
-        places.setdefault(x, []).append(i)
-    at = {}
+    for i in range(max(begin, 0), min(end, len(a))):
+        places.setdefault(a[i], []).append(i - begin)
+    out = {}
     for x, own in places.items():
-        bits = bytearray(len(a) // 8 + 1)
+        bits = bytearray(own[-1] // 8 + 1)
         for i in own:
             bits[i >> 3] |= 1 << (i & 7)
-        at[x] = int.from_bytes(bits, "little")
-    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+        out[x] = int.from_bytes(bits, "little")
+    return out
+
+
+def _bits(a, b) -> int:
+    """Levenshtein distance of two sequences, not empty: a column of differences in one integer (Myers, Hyyrö), a step for each item of ``b``."""
+    at, every, last = _letters(a, 0, len(a)), (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, far = every, 0, len(a)
     for c in b:
         same = at.get(c, 0)
@@ -62,36 +59,156 @@ def _bits(a, b) -> int:
     return far
 
 
-@pandas_udf(LongType())
-def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two texts of any length; null if one is null."""
-    return pd.Series([None if x is None or y is None else _bits(x, y) for x, y in zip(a, b)], dtype="Int64")
+def _banded(a, b, k: int) -> int:
+    """The distance of ``a`` and ``b`` if it is at most ``k``, else some number above ``k``: only the 2k + 1 diagonals around the main one are worked out,
+    as one integer that slides down by a row with each item of ``b``. 0 < k < len(a), and the lengths differ by k at most."""
+    m, wide = len(a), 2 * k + 1
+    every, top = (1 << wide) - 1, 2 * k
+    up, down, far = every >> k << k, 0, k
+    strip = max(wide, 256)
+    for begin in range(0, len(b), strip):
+        at = _letters(a, begin - k, begin + strip + k)
+        for j, c in enumerate(b[begin : begin + strip], begin):
+            same = at.get(c, 0) >> (j - begin) & every
+            d = (((same & up) + up) ^ up) | same | down
+            more = down | every & ~(d | up)
+            less = d & up
+            if j < m - k:  # down the lowest diagonal, until it meets the last row, then along that
+                far += ~d >> top & 1
+            else:
+                bit = m - 1 - j + k
+                far += (more >> bit & 1) - (less >> bit & 1)
+            d = (d & every) >> 1
+            up, down = less | every & ~(d | more), d & more
+    return far
 
 
-def char_distance(a: str, b: str) -> Column:
-    """Levenshtein distance: nothing to do for equal texts, the built-in one for short texts, whose time is the product of the lengths, else :func:`long_distance`."""
-    x, y = F.col(a), F.col(b)
-    short = F.length(x).cast("long") * F.length(y) <= 1 << 12
-    long = ~short & (x != y)
-    return F.when(x == y, 0).when(short, F.levenshtein(x, y)).otherwise(long_distance(F.when(long, x), F.when(long, y)))
+def _alike(a, b, i: int, j: int) -> int:
+    """How many items of ``a`` from ``i`` on are those of ``b`` from ``j`` on: steps that double, then halve."""
+    n, step = 0, 8
+    most = min(len(a) - i, len(b) - j)
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+        step *= 2
+    while step and n < most:
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+        step //= 2
+    return min(n, most)
+
+
+DIAGONALS = 12
+
+
+def _few(a, b, most: int) -> tuple[int | None, int]:
+    """(distance, furthest place in ``a``) by the furthest-reaching points of the diagonals, as long as ``most`` edits are enough; else (None, place)."""
+    goal = len(b) - len(a)
+    reach = {0: _alike(a, b, 0, 0)}
+    for d in range(most + 1):
+        if reach.get(goal, -1) >= len(a):
+            return d, len(a)
+        if d == most:
+            break
+        now = {}
+        for k in range(-d - 1, d + 2):
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
+            if i < 0 or i + k < 0:
+                continue
+            i = min(i, len(a), len(b) - k)
+            if i >= 0:
+                now[k] = i + _alike(a, b, i, i + k)
+        reach = now
+    return None, max(reach.values())
+
+
+def edits(a, b) -> int:
+    """Levenshtein distance of two sequences (texts or lists of words), in a time that follows length times edits: what both begin and end with costs
+    nothing; few edits are followed along diagonals; else bands are doubled until one holds the distance."""
+    if a == b:
+        return 0
+    head = _alike(a, b, 0, 0)
+    a, b = a[head:], b[head:]
+    tail = _alike(a[::-1], b[::-1], 0, 0)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    if min(len(a), len(b)) <= 256:
+        return _bits(a, b)
+    far, reached = _few(a, b, DIAGONALS)
+    if far is not None:
+        return far
+    k = max(64, abs(len(a) - len(b)) + 16, 2 * DIAGONALS * len(a) // max(1, reached))
+    while k < len(a) // 2:
+        far = _banded(a, b, k)
+        if far <= k:
+            return far
+        k *= 2
+    return _bits(a, b)
+
 
+def _units(t: str) -> int:
+    """Length in UTF-16 units, as rates are defined on."""
+    return len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2
 
-@pandas_udf(LongType())
-def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of two texts as sequences of their words, which single spaces part."""
-    return pd.Series([_bits((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
 
+TEXT_EDITS = ("d", "nd", "wd", "n_r", "n_p", "n_nr", "n_np", "wr", "wp")
+
+
+@pandas_udf(StructType([StructField(c, LongType()) for c in TEXT_EDITS]))
+def text_edits(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+    """Of each pair of texts, null as empty, the prediction as Markdown: edits of the plain, of the normalized texts and of their words (d, nd, wd), and the lengths of all sides."""
+    import unicodedata
 
-@pandas_udf(LongType())
-def substring_distance(needle: pd.Series, text: pd.Series) -> pd.Series:
-    """Fewest edits between ``needle`` and any stretch of ``text``."""
-    return pd.Series([_edit(x or "", y or "", True) for x, y in zip(needle, text)])
+    from quire.functions import markup
+
+    out = []
+    for x, y in zip(reference, prediction):
+        x, y = x or "", y or ""
+        r, p = unicodedata.normalize("NFC", x).replace("\r\n", "\n").replace("\r", "\n").strip(markup.SPACES), unicodedata.normalize("NFC", markup.plain(y)).strip(markup.SPACES)
+        nr, np_ = markup.normal(x), markup.normal(y)
+        wr, wp = nr.split(" ") if nr else [], np_.split(" ") if np_ else []
+        out.append((edits(r, p), edits(nr, np_), edits(wr, wp), _units(r), _units(p), _units(nr), _units(np_), len(wr), len(wp)))
+    return pd.DataFrame(out, columns=list(TEXT_EDITS), dtype="int64")
+
+
+def _stretches(needle: str, text: str, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``text`` that hold every stretch within ``most`` edits of ``needle``: of most + 1 pieces of it one is left unharmed."""
+    m, pieces = len(needle), most + 1
+    if m < pieces:
+        return [(0, len(text))]
+    found = []
+    for i in range(pieces):
+        a, b = m * i // pieces, m * (i + 1) // pieces
+        at = text.find(needle[a:b])
+        while at >= 0:
+            found.append((max(0, at - a - most), min(len(text), at - a + m + most)))
+            at = text.find(needle[a:b], at + 1)
+    merged: list[tuple[int, int]] = []
+    for begin, end in sorted(found):
+        if merged and begin <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
+        else:
+            merged.append((begin, end))
+    return merged
+
+
+def _ends(needle: str, text: str, most: int) -> np.ndarray:
+    """Where stretches of ``text`` within ``most`` edits of ``needle`` end, 0 to its length, in order."""
+    ends = [begin + np.flatnonzero(_last_row(needle, text[begin:end], True) <= most) for begin, end in _stretches(needle, text, most)]
+    ends += [np.zeros(1, np.int64)] if len(needle) <= most else []
+    return np.unique(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
+
+
+@pandas_udf(BooleanType())
+def found_within(needle: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
+    """Whether some stretch of ``text`` is within ``most`` edits of ``needle``."""
+    return pd.Series([bool(len(_ends(x or "", t or "", int(k)))) for x, t, k in zip(needle, text, most)], dtype=bool)
 
 
 def _starts(needle: str, text: str, most: int) -> np.ndarray:
-    """Where stretches of ``text`` within ``most`` edits of ``needle`` start, last first."""
-    ends = _last_row(needle[::-1], text[::-1], True)[1:]
-    return len(text) - 1 - np.flatnonzero(ends <= most)
+    """Where stretches of ``text`` within ``most`` edits of ``needle`` start, last first; none starts at its end."""
+    ends = _ends(needle[::-1], text[::-1], most)
+    return len(text) - ends[ends > 0]
 
 
 @pandas_udf(BooleanType())
@@ -99,8 +216,8 @@ def starts_before(before: pd.Series, after: pd.Series, text: pd.Series, most: pd
     """Whether the first start of ``before`` lies before the last start of ``after``, both within ``most`` edits."""
     out = []
     for x, y, t, k in zip(before, after, text, most):
-        first, last = (_starts(n or "", t or "", k) for n in (x, y))
-        out.append(bool(len(first) and len(last) and first[-1] < last[0]))
+        first, last = (_starts(n or "", t or "", int(k)) for n in (x, y))
+        out.append(bool(len(first) and len(last) and first.min() < last.max()))
     return pd.Series(out, dtype=bool)
 
 

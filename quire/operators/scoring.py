@@ -8,22 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.distance import char_distance, indel_ratio, starts_before, substring_distance, word_distance
-from quire.functions.text import composed, normalized, plain_text, unit_test_text, utf16_length, words
+from quire.functions.distance import found_within, indel_ratio, starts_before, text_edits
+from quire.functions.text import normalized, unit_test_text, words
+
+
+def _edited(pairs: DataFrame) -> DataFrame:
+    """(doc_id, edits and lengths) of each pair, worked out once."""
+    return pairs.select("doc_id", text_edits("reference", "prediction").alias("e")).select("doc_id", "e.*")
+
+
+def _rate(edits: str, length: str, other: str) -> Column:
+    """Edits by length; an empty reference scores 0 if the prediction is empty too, else 1."""
+    return F.when(F.col(length) == 0, F.when(F.col(other) == 0, 0.0).otherwise(1.0)).otherwise(F.col(edits) / F.col(length))
 
 
 def text_error_rates(pairs: DataFrame) -> DataFrame:
     """Character error rate (of the plain texts, and normalized), similarity and word error rate of (doc_id, reference, prediction).
 
-    The prediction is display Markdown. An empty reference scores 0 if the prediction is empty too, else 1. Distances count code points, lengths
-    UTF-16 units. Each distance is worked out once."""
-    filled = lambda c: F.coalesce(c, F.lit(""))
-    given = F.regexp_replace(F.regexp_replace(filled("reference"), r"\r\n?", "\n"), r"^\s+|\s+$", "")
-    p = pairs.select("doc_id", composed(given).alias("r"), composed(plain_text(filled("prediction"))).alias("p"), normalized(filled("reference")).alias("nr"), normalized(filled("prediction")).alias("np"))
-    d = p.select("doc_id", *[utf16_length(c).alias(f"n_{c}") for c in ("r", "p", "nr", "np")], F.size(words(F.col("nr"))).alias("wr"), F.size(words(F.col("np"))).alias("wp"), char_distance("r", "p").alias("d"), char_distance("nr", "np").alias("nd"), word_distance("nr", "np").alias("wd"))
-    rate = lambda d, n, other: F.when(F.col(n) == 0, F.when(F.col(other) == 0, 0.0).otherwise(1.0)).otherwise(F.col(d) / F.col(n))
+    The prediction is display Markdown, null is empty. Distances count code points, lengths UTF-16 units."""
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("nd") / F.greatest("n_nr", "n_np", F.lit(1))))
-    return d.select("doc_id", rate("d", "n_r", "n_p").alias("cer"), rate("nd", "n_nr", "n_np").alias("normalized_cer"), similarity.alias("similarity"), rate("wd", "wr", "wp").alias("wer"))
+    return _edited(pairs).select("doc_id", _rate("d", "n_r", "n_p").alias("cer"), _rate("nd", "n_nr", "n_np").alias("normalized_cer"), similarity.alias("similarity"), _rate("wd", "wr", "wp").alias("wer"))
+
+
+def corpus_error_rates(pairs: DataFrame) -> DataFrame:
+    """One row for all pairs: documents, and the rates of the corpus, all edits by all lengths of the references."""
+    total = _edited(pairs).groupBy().agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d", "nd", "wd", "n_r", "n_p", "n_nr", "n_np", "wr", "wp")])
+    return total.select("documents", F.col("d").alias("edits"), F.col("n_r").alias("chars"), _rate("d", "n_r", "n_p").alias("cer"), _rate("nd", "n_nr", "n_np").alias("normalized_cer"), _rate("wd", "wr", "wp").alias("wer"))
 
 
 def token_overlap(pairs: DataFrame) -> DataFrame:
@@ -87,13 +97,15 @@ def _most(tests: DataFrame) -> Column:
 
 
 def presence_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(test_id, doc_id, passed) for present and absent tests, on normalized texts. ``max_diffs`` of 0 is a plain ``contains``; only other tests
-    and texts that are not ASCII reach Python."""
+    """(test_id, doc_id, passed) for present and absent tests, on normalized texts. What ``contains`` finds is found; only tests with ``max_diffs`` of
+    which that isn't so are looked at further: around the places where one of max_diffs + 1 pieces of the needle stands."""
     rows = tests.where(F.col("type").isin("present", "absent")).join(outputs.select("doc_id", F.col("text").alias("output")), "doc_id")
     cased = lambda c: F.when(F.coalesce("case_sensitive", F.lit(True)), F.col(c)).otherwise(F.lower(c))
     rows = rows.withColumns({"output": unit_test_text("output"), "needle": unit_test_text("text")}).withColumns({"output": cased("output"), "needle": cased("needle")})
     rows = rows.select("test_id", "doc_id", "type", "needle", _cut().alias("hay"), _most(tests).alias("k"))
-    found = rows.where("k = 0").withColumn("found", F.contains("hay", "needle")).unionByName(rows.where("k > 0").withColumn("found", substring_distance("needle", "hay") <= F.col("k")))
+    rows = rows.withColumn("exact", F.contains("hay", "needle"))
+    near = ~F.col("exact") & (F.col("k") > 0)
+    found = rows.withColumn("found", F.when(near, found_within(F.when(near, F.col("needle")), F.when(near, F.col("hay")), F.when(near, F.col("k")).otherwise(0))).otherwise(F.col("exact")))
     return found.select("test_id", "doc_id", F.when(F.col("type") == "present", F.col("found")).otherwise(~F.col("found")).alias("passed"))
 
 

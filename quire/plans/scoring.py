@@ -8,11 +8,29 @@ from quire.operators import scoring as e
 from quire.operators import structure as m
 from quire.views import Inputs
 
-_TESTS = """SELECT doc_id AS test_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'present' ELSE 'absent' END AS type, CASE WHEN doc_id % 3 = 0 THEN 'zzqq' ELSE substr(reference, 5, 6) END AS text,
-    CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS max_diffs, doc_id % 7 <> 0 AS case_sensitive, CASE WHEN doc_id % 4 IN (0, 2) THEN 100 END AS first_n, CASE WHEN doc_id % 4 IN (1, 2) THEN 150 END AS last_n FROM text_pairs"""
-_EXACT = f"SELECT * FROM ({_TESTS}) t WHERE max_diffs = 0"
 _OUT = "SELECT doc_id, reference AS text FROM text_pairs"
-_ORDER = """SELECT doc_id AS test_id, doc_id, 'order' AS type, substr(reference, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 4) AS before, right(reference, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 5 END) AS after FROM text_pairs WHERE length(reference) > 1"""
+# printed values of fields, right and damaged, by document and field
+_VALUES = "SELECT concat(CAST(r.doc_id AS VARCHAR(20)), '/', r.field) AS doc_id, r.value AS reference, p.value AS prediction FROM ref_fields r LEFT JOIN pred_fields p ON r.doc_id = p.doc_id AND r.field = p.field"
+_EDITS = f"""v AS ({_VALUES}), e AS (SELECT doc_id, length(reference) AS n, coalesce(length(prediction), 0) AS m, levenshtein(reference, coalesce(prediction, '')) AS d, levenshtein(lower(reference), lower(coalesce(prediction, ''))) AS nd FROM v)"""
+
+
+def _unit(c: str) -> str:
+    """Unit-test text of ``c`` in DuckDB's SQL, for texts whose only marks are stars and that are composed already."""
+    for mark in (r"\*\*", r"\*\*", r"\*"):
+        c = f"regexp_replace({c}, '{mark}(.*?){mark}', '\\1', 'g')"
+    return f"regexp_replace({c}, '\\s+', ' ', 'g')"
+
+
+def _bytes(c: str) -> str:
+    """``c`` with one byte for each character: DuckDB's distance counts bytes."""
+    return f"regexp_replace({c}, '[^ -~]', '?', 'g')"
+
+
+def _near(needle: str, hay: str) -> str:
+    """Whether a stretch of ``hay`` that starts at place i is within k edits of an ASCII ``needle``."""
+    return f"len(list_filter(range(greatest(length({needle}) - k, 0), length({needle}) + k + 1), lambda l: levenshtein(substr({hay}, i, l), {needle}) <= k)) > 0"
+
+
 _METRICS = "SELECT case_id, 'cer' AS metric, metric AS score FROM case_results UNION ALL SELECT case_id, route, metric / 2 FROM case_results"
 _CASES = """SELECT o_orderkey AS case_id, CASE o_orderkey % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'template' WHEN 2 THEN 'agentic' WHEN 3 THEN NULL ELSE 'simple' END AS mode, CASE o_orderkey % 4 WHEN 0 THEN 'p' WHEN 1 THEN ' ' END AS preset_id, CAST(o_orderkey % 4 AS INT) AS assertions,
     CAST(o_orderkey % 13 AS DOUBLE) / 10 AS threshold, o_custkey % 5 AS max_iterations, CASE o_custkey % 7 WHEN 0 THEN 'canary' WHEN 1 THEN 'smoke' WHEN 2 THEN NULL ELSE 'full' END AS suite, CASE o_custkey % 11 WHEN 0 THEN 'wer' WHEN 1 THEN 'bleu' WHEN 2 THEN NULL ELSE 'field_f1' END AS metric FROM orders
@@ -53,19 +71,31 @@ def _layouts(v: Inputs):
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))).alias("l")).select("doc_id", F.transform("l", lambda x: x["b"]).alias("blocks"))
 
 
+# a test for each line of an order: its quantity, one in three misprinted, right of its number or of one that no line has
+_LINES = """SELECT l_orderkey * 8 + l_linenumber AS test_id, l_orderkey AS doc_id, 'table' AS type, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS INT) AS max_diffs,
+    concat(CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '7' ELSE CASE WHEN l_linenumber % 3 = 0 THEN '88' ELSE '' END END) AS cell,
+    CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN '9' ELSE CAST(l_linenumber AS VARCHAR(20)) END AS side FROM lineitem"""
+
+
 def _table_tests(v: Inputs):
     cells = m.table_cells(v("md_docs"))
-    tests = v.sql("SELECT l_orderkey AS test_id, l_orderkey AS doc_id, 'table' AS type, max(CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS cell, CAST(NULL AS STRING) AS up, CAST(NULL AS STRING) AS down, CASE WHEN l_orderkey % 5 = 0 THEN '9' ELSE '1' END AS left, CAST(NULL AS STRING) AS right, 'quantity' AS top_heading, CAST(NULL AS STRING) AS left_heading, 0 AS max_diffs FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey")
+    none = F.lit(None).cast("string")
+    tests = v.sql(_LINES).select("test_id", "doc_id", "type", "cell", "max_diffs", F.col("side").alias("left"), F.lit("quantity").alias("top_heading"), *[none.alias(c) for c in ("up", "down", "right", "left_heading")])
     return e.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))
 
 
 _FIELD = """m AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.field, p.field) AS field, CASE WHEN r.v IS NOT DISTINCT FROM p.v THEN 1 ELSE 0 END AS tp, p.v IS NOT NULL AS hp, r.v IS NOT NULL AS hr
     FROM (SELECT doc_id, field, lower(value) AS v FROM ref_fields) r FULL OUTER JOIN (SELECT doc_id, field, lower(value) AS v FROM pred_fields) p ON r.doc_id = p.doc_id AND r.field = p.field)"""
-_TOKENS = """SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower({c}), ' ')) AS token FROM text_pairs) WHERE token <> '' GROUP BY doc_id, token"""
+_TOKENS = """SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(replace({c}, '*', '')), '\\s+')) AS token FROM text_pairs) WHERE token <> '' GROUP BY doc_id, token"""
 
 PLANS = {
     "e01_text_error_rates": (lambda v: e.text_error_rates(v("text_pairs")).select("doc_id", *[F.round(c, 9).alias(c) for c in ("cer", "normalized_cer", "similarity")]), None),
     "e01_word_error_rates": (lambda v: e.text_error_rates(v("text_pairs")).select("doc_id", "wer"), None),
+    "e01_value_error_rates": (lambda v: e.text_error_rates(v.sql(_VALUES)).select("doc_id", *[F.round(c, 9).alias(c) for c in ("cer", "normalized_cer", "similarity")]), f"""
+        WITH {_EDITS} SELECT doc_id, round(d / n, 9) AS cer, round(nd / n, 9) AS normalized_cer, round(1 - nd / greatest(n, m), 9) AS similarity FROM e"""),
+    "e01_corpus_rates": (lambda v: e.corpus_error_rates(v.sql(_VALUES)).select("documents", "edits", "chars", *[F.round(c, 9).alias(c) for c in ("cer", "normalized_cer")]), f"""
+        WITH {_EDITS} SELECT count(*) AS documents, CAST(sum(d) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS chars, round(sum(d) / sum(n), 9) AS cer, round(sum(nd) / sum(n), 9) AS normalized_cer FROM e"""),
+    "e01_corpus_text_rates": (lambda v: e.corpus_error_rates(v("text_pairs")), None),
     "e02_token_overlap": (lambda v: e.token_overlap(v("text_pairs")).select("doc_id", F.round("coverage", 9).alias("coverage"), F.round("unsupported", 9).alias("unsupported")), f"""
         WITH r AS ({_TOKENS.format(c="reference")}), p AS ({_TOKENS.format(c="concat(said, ' the end')")}), b AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.n, 0) AS a, coalesce(p.n, 0) AS z FROM r FULL OUTER JOIN p ON r.doc_id = p.doc_id AND r.token = p.token),
           g AS (SELECT doc_id, sum(a) AS nr, sum(z) AS np, sum(least(a, z)) AS hit FROM b GROUP BY doc_id)
@@ -80,14 +110,28 @@ PLANS = {
         WITH r AS (SELECT doc_id, column_name AS c, lower(value) AS v, count(*) AS n FROM ref_cells WHERE trim(value) <> '' GROUP BY ALL), p AS (SELECT doc_id, column_name AS c, lower(value) AS v, count(*) AS n FROM pred_cells WHERE trim(value) <> '' GROUP BY ALL),
           g AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, sum(coalesce(r.n, 0)) AS a, sum(coalesce(p.n, 0)) AS b, sum(least(coalesce(r.n, 0), coalesce(p.n, 0))) AS t FROM r FULL OUTER JOIN p ON r.doc_id = p.doc_id AND r.c = p.c AND r.v = p.v GROUP BY 1)
         SELECT o_orderkey AS doc_id, round(CASE WHEN coalesce(a + b, 0) = 0 THEN 1 ELSE 2 * t / (a + b) END, 9) AS cell_f1 FROM orders LEFT JOIN g ON g.doc_id = o_orderkey"""),
-    "e06_presence_tests": (lambda v: e.presence_tests(v.sql(_EXACT), v.sql(_OUT)), f"""
-        WITH x AS (SELECT t.*, CASE WHEN first_n IS NOT NULL AND last_n IS NOT NULL THEN concat(left(reference, first_n), right(reference, last_n)) WHEN first_n IS NOT NULL THEN left(reference, first_n) WHEN last_n IS NOT NULL THEN right(reference, last_n) ELSE reference END AS hay FROM ({_EXACT}) t JOIN text_pairs p ON t.doc_id = p.doc_id)
-        SELECT test_id, doc_id, (type = 'present') = contains(CASE WHEN case_sensitive THEN hay ELSE lower(hay) END, CASE WHEN case_sensitive THEN text ELSE lower(text) END) AS passed FROM x"""),
-    "e06_presence_with_edits": (lambda v: e.presence_tests(v.sql(_TESTS), v.sql(_OUT)), None),
-    "e07_order_tests": (lambda v: e.order_tests(v.sql(_ORDER), v.sql(_OUT)), f"""
-        WITH x AS (SELECT t.*, reference AS r FROM ({_ORDER}) t JOIN text_pairs p ON t.doc_id = p.doc_id)
-        SELECT test_id, doc_id, strpos(r, before) < length(r) - strpos(reverse(r), reverse(after)) - length(after) + 2 AS passed FROM x"""),
-    "e08_table_tests": (_table_tests, "SELECT l_orderkey AS test_id, l_orderkey AS doc_id, l_orderkey % 5 <> 0 AS passed FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey"),
+    "e06_presence_tests": (lambda v: e.presence_tests(v.sql("SELECT * FROM presence_view WHERE max_diffs = 0"), v.sql(_OUT)), f"""
+        WITH x AS (SELECT t.*, {_unit("reference")} AS o, {_unit("text")} AS n FROM presence_view t JOIN text_pairs p ON t.doc_id = p.doc_id WHERE max_diffs = 0),
+          y AS (SELECT *, CASE WHEN first_n IS NOT NULL AND last_n IS NOT NULL THEN concat(left(o, first_n), right(o, last_n)) WHEN first_n IS NOT NULL THEN left(o, first_n) WHEN last_n IS NOT NULL THEN right(o, last_n) ELSE o END AS hay FROM x)
+        SELECT test_id, doc_id, (type = 'present') = contains(CASE WHEN case_sensitive THEN hay ELSE lower(hay) END, CASE WHEN case_sensitive THEN n ELSE lower(n) END) AS passed FROM y"""),
+    "e06_presence_with_edits": (lambda v: e.presence_tests(v("presence_view"), v.sql(_OUT)), f"""
+        WITH x AS (SELECT t.*, CAST(max_diffs AS BIGINT) AS k, {_unit("reference")} AS o, {_unit("text")} AS n FROM presence_view t JOIN text_pairs p ON t.doc_id = p.doc_id),
+          y AS (SELECT *, CASE WHEN first_n IS NOT NULL AND last_n IS NOT NULL THEN concat(left(o, first_n), right(o, last_n)) WHEN first_n IS NOT NULL THEN left(o, first_n) WHEN last_n IS NOT NULL THEN right(o, last_n) ELSE o END AS cut FROM x),
+          z AS (SELECT *, CASE WHEN case_sensitive THEN cut ELSE lower(cut) END AS hay, CASE WHEN case_sensitive THEN n ELSE lower(n) END AS needle FROM y),
+          near AS (SELECT DISTINCT test_id FROM (SELECT test_id, k, needle, hay, unnest(range(1, length(hay) + 2)) AS i FROM (SELECT test_id, k, needle, {_bytes("hay")} AS hay FROM z WHERE k > 0)) WHERE {_near("needle", "hay")})
+        SELECT z.test_id, doc_id, (type = 'present') = (contains(hay, needle) OR near.test_id IS NOT NULL) AS passed FROM z LEFT JOIN near ON near.test_id = z.test_id"""),
+    "e07_order_tests": (lambda v: e.order_tests(v("order_view"), v.sql(_OUT)), f"""
+        WITH x AS (SELECT t.test_id, t.doc_id, CAST(max_diffs AS BIGINT) AS k, {_unit("reference")} AS o, {_unit("before")} AS b, {_unit("after")} AS a FROM order_view t JOIN text_pairs p ON t.doc_id = p.doc_id),
+          places AS (SELECT *, unnest(range(1, length(o) + 1)) AS i FROM (SELECT test_id, k, {_bytes("o")} AS o, b, a FROM x WHERE k > 0)),
+          near AS (SELECT test_id, min(i) FILTER ({_near("b", "o")}) AS first, max(i) FILTER ({_near("a", "o")}) AS last FROM places GROUP BY test_id)
+        SELECT x.test_id, doc_id, CASE WHEN k > 0 THEN coalesce(first < last, false) WHEN b = '' OR a = '' THEN false ELSE strpos(o, b) > 0 AND strpos(reverse(o), reverse(a)) > 0 AND strpos(o, b) < length(o) - strpos(reverse(o), reverse(a)) - length(a) + 2 END AS passed
+        FROM x LEFT JOIN near ON near.test_id = x.test_id"""),
+    "e08_table_tests": (_table_tests, f"""
+        WITH t AS ({_LINES}), x AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS got FROM lineitem),
+          p AS (SELECT test_id, cell AS want, got, max_diffs AS k FROM t JOIN x ON l_orderkey = doc_id AND line = side),
+          c AS (SELECT *, list_max(list_transform(range(1, CAST(pow(2, length(want)) AS BIGINT)), lambda m: CASE WHEN got LIKE concat('%', array_to_string(list_transform(list_filter(range(1, length(want) + 1), lambda i: (m >> CAST(i - 1 AS BIGINT)) & 1 = 1), lambda i: substr(want, i, 1)), '%'), '%') THEN bit_count(m) ELSE 0 END)) AS common FROM p),
+          ok AS (SELECT test_id, bool_or(CASE WHEN k = 0 THEN want = got ELSE 2 * common / (length(want) + length(got)) >= greatest(0.5, 1 - k / length(want)) END) AS ok FROM c GROUP BY test_id)
+        SELECT t.test_id, doc_id, coalesce(ok, false) AS passed FROM t LEFT JOIN ok ON ok.test_id = t.test_id"""),
     "e09_unit_pass_rate": (lambda v: e.unit_pass_rate(_docs(v), v.sql("SELECT o_orderkey AS doc_id, o_custkey % 3 = 0 AS passed FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderkey % 6 = 0")), """
         SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 0 THEN (1 + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) / 2 WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END::DOUBLE AS unit_pass_rate FROM orders"""),
     "e10_run_assertions": (_assertions, f"""

@@ -32,7 +32,15 @@ VIEWS = {
         FROM ref_cells WHERE (doc_id + row_no * 3) % 8 <> 0""",
     "text_pairs": """
         SELECT doc_id, reference, said, CASE WHEN doc_id % 3 = 0 THEN concat('# **', said, '**', chr(10), chr(10), '> [the end](http://h/) ') WHEN doc_id % 3 = 1 THEN concat('```text', chr(10), said, chr(10), '```', chr(10), '- `the` ![end](x)') ELSE concat(said, ' the<br/>end') END AS prediction
-        FROM (SELECT doc_id, reference, trim(replace(replace(reference, 'th', 'tn'), 'er ', ' ')) AS said FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9]+', ' '{g}) AS reference FROM documents) whole) damaged""",
+        FROM (SELECT doc_id, text AS reference, trim(replace(replace(text, 'th', 'tn'), 'er ', ' ')) AS said FROM documents) damaged""",
+    "presence_view": """
+        SELECT *, CASE WHEN doc_id % 5 = 0 AND text = regexp_replace(text, '[^ -~]', ''{g}) THEN 2 ELSE 0 END AS max_diffs
+        FROM (SELECT doc_id AS test_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'present' ELSE 'absent' END AS type, CASE WHEN doc_id % 3 = 0 THEN 'zzqq yy' WHEN doc_id % 15 = 5 THEN concat(substr(reference, 5, 3), 'q', substr(reference, 9, 6)) ELSE substr(reference, 5, 6) END AS text,
+                doc_id % 7 <> 0 AS case_sensitive, CASE WHEN doc_id % 4 IN (0, 2) THEN 100 END AS first_n, CASE WHEN doc_id % 4 IN (1, 2) THEN 150 END AS last_n FROM text_pairs) needles""",
+    "order_view": """
+        SELECT *, CASE WHEN doc_id % 5 < 2 AND concat(before, after) = regexp_replace(concat(before, after), '[^ -~]', ''{g}) THEN 1 ELSE 0 END AS max_diffs
+        FROM (SELECT doc_id AS test_id, doc_id, 'order' AS type, CASE WHEN doc_id % 5 = 1 THEN concat('q', substr(reference, 20, 6)) ELSE substr(reference, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 4) END AS before, right(reference, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 5 END) AS after
+              FROM text_pairs) anchors""",
     "manifest_view": """
         SELECT concat('/corpus/', CAST(doc_id AS VARCHAR(20)), '.pdf') AS source,
                CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE concat('fp-', CAST(n_chars AS VARCHAR(20))) END AS fingerprint,

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.distance import _edit, indel_ratio, substring_distance
+from quire.functions.distance import _edit, found_within, indel_ratio
 from quire.operators import batch, candidates, presets, resume, scoring, structure, usage, web
 from quire.sources import discovery
 from quire.streaming import jobs
@@ -76,8 +76,8 @@ def test_field_scores(spark):
 def test_edit_distances(spark):
     assert _edit("kitten", "sitting") == 3 and _edit("", "abc") == 3 and _edit("abc", "") == 3
     assert _edit("brown", "the quick brwn fox", True) == 1 and _edit("zz", "", True) == 2
-    row = spark.createDataFrame([("abcd", "bcde", "ab")], "a string, b string, c string").select(indel_ratio("a", "b").alias("r"), substring_distance("c", "a").alias("d")).first()
-    assert row["r"] == pytest.approx(0.75) and row["d"] == 0
+    row = spark.createDataFrame([("abcd", "bcde", "abd", 1, 0)], "a string, b string, c string, k int, z int").select(indel_ratio("a", "b").alias("r"), found_within("c", "a", "k").alias("d"), found_within("c", "a", "z").alias("n")).first()
+    assert row["r"] == pytest.approx(0.75) and row["d"] and not row["n"]
 
 
 def test_merging_is_ordered_and_keeps_locations(spark):

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from quire.functions.distance import _bits
+from quire.functions import distance, markup
 from quire.operators import scoring
 from quire.views import Inputs
 from tests.conftest import SF
@@ -20,19 +20,64 @@ def plain_edit(a, b):
     return row[-1]
 
 
-def test_long_distance_equals_brute_force():
+def damaged(rng, a, alphabet, edits):
+    b = list(a)
+    for _ in range(edits):
+        at = rng.randrange(len(b) + 1)
+        b[at : at + rng.randrange(2)] = [rng.choice(alphabet)] * rng.randrange(2)
+    return "".join(b)
+
+
+def test_distances_equal_brute_force():
+    """1000 random pairs through whatever way edits() chooses, and each way on its own."""
     rng = random.Random(3)
-    for n, m in ((0, 5), (5, 0), (1, 1), (63, 70), (64, 64), (65, 1), (300, 900)):
-        a, b = ("".join(rng.choice("abé") for _ in range(k)) for k in (n, m))
-        assert _bits(a, b) == plain_edit(a, b)
+    for i in range(1000):
+        alphabet = ("ab", "abcdefgh é", "日本語ab")[i % 3]
+        a = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 3, 20, 60, 90, 300] if i % 10 else [700])))
+        b = damaged(rng, a, alphabet, rng.choice([0, 1, 3, 10, 40]))
+        want = plain_edit(a, b)
+        assert distance.edits(a, b) == want == distance.edits(b, a)
+        if a and b:
+            assert distance._bits(a, b) == want and distance._few(a, b, 20)[0] == (want if want <= 20 else None)
+        for k in (1, 5, 17, 60, 200):
+            if b and k < len(a) and abs(len(a) - len(b)) <= k:
+                near = distance._banded(a, b, k)
+                assert near == want if want <= k else near > k
+    a = "".join(rng.choice("abcdefghij ") for _ in range(30_000))
+    assert distance.edits(a, a[:9000] + "xx" + a[9000:20_000] + a[20_010:]) == 12
+    assert distance.edits("ab c".split(), "x ab c".split()) == 1
+
+
+def test_seeded_matches_equal_full_tables():
+    rng = random.Random(4)
+    for i in range(400):
+        alphabet = ("ab", "abcdé")[i % 2]
+        text = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 40, 200])))
+        at = rng.randrange(len(text) + 1)
+        needle = damaged(rng, text[at : at + rng.choice([0, 2, 5, 12])], alphabet, 1) if i % 3 else "".join(rng.choice(alphabet) for _ in range(4))
+        for k in (0, 1, 2, 3):
+            full = [e for e, d in enumerate(distance._last_row(needle, text, True).tolist()) if d <= k]
+            assert distance._ends(needle, text, k).tolist() == full
+            back = {len(text) - e for e, d in enumerate(distance._last_row(needle[::-1], text[::-1], True).tolist()) if e and d <= k}
+            assert set(distance._starts(needle, text, k).tolist()) == back
+
+
+def test_markup_is_taken_away():
+    plain = {"#\n\n": "", "# Title #": "Title #", "#tag": "#tag", "####### seven": "####### seven", "    # code": "    # code".strip(), "a\n\n# b": "a\nb", "- x\n* y\n+ z\n12) w\n3. v": "x\ny\nz\nw\nv",
+             "-x\n1.y": "-x\n1.y", "> q\n  >r": "q\nr", "# - > all": "all", "```py\ncode()\n```\nend": "code()\nend", "![](u) ![p](v) [l](w) [](x)": "p l [](x)", "[a [b](c)": "a [b", "[a] (b)": "[a] (b)",
+             "x<b>y</b><>z": "x y <>z".replace("y <>", "y <>"), "a < b": "a < b", "**b** _i_ ~~s~~ `c`": "b i s c", "a\r\nb\rc": "a\nb\nc", "\u3000x\ufeff": "x", "": ""}
+    assert {k: markup.plain(k) for k in plain} == plain
+    normal = {"\u201cCaf\u0065\u0301\u201d \u2014 \ufb01ve": '"caf\u00e9" - five', "A\n\n B\u00a0C": "a b c"}
+    assert {k: markup.normal(k) for k in normal} == normal
+    unit = {"**a** and __b__": "a and b", "*a*_b_ ***c***": "ab c", "**a\nb**": "**a b**".replace("**a b**", "**a b**"), "x<br/>y<br>z <b>w</b><i>v</i>": "x y z wv", "a * b": "a * b", "2*3*4": "234", "\u201eq\u201d \u2212 \u00b5": '"q" - \u03bc'}
+    assert {k: markup.unit(k) for k in unit} == unit
 
 
 def test_text_pairs_are_whole(spark):
     pairs = {r["doc_id"]: r for r in Inputs(spark, SF)("text_pairs").collect()}
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
     assert set(pairs) == set(texts)
-    alnum = lambda t: [c for c in t if c.isascii() and c.isalnum()]
-    assert all(alnum(pairs[d]["reference"]) == alnum(t) for d, t in texts.items())
+    assert all(pairs[d]["reference"] == t for d, t in texts.items())
     assert max(len(r["prediction"]) for r in pairs.values()) > 10_000 and {r["doc_id"] for r in scoring.text_error_rates(Inputs(spark, SF)("text_pairs")).where("cer is not null and wer is not null").collect()} == set(texts)
 
 
@@ -41,12 +86,11 @@ def test_scores_of_text_pairs_equal_brute_force(spark):
     some = v("text_pairs").where("length(reference) between 250 and 1200").orderBy("doc_id").limit(12)
     rows = {r["doc_id"]: r for r in some.collect()}
     assert len(rows) == 12
+    assert any(not r["reference"].isascii() for r in rows.values())
     for r in scoring.text_error_rates(some).collect():
-        a, said = rows[r["doc_id"]]["reference"].strip(), rows[r["doc_id"]]["said"]
-        parts = {0: "\n\n", 1: "\n", 2: " "}[r["doc_id"] % 3]  # what is left of the markup around the last two words
-        b = f"{said}{parts}the end" if r["doc_id"] % 3 < 2 else f"{said} the end"
+        a, b = rows[r["doc_id"]]["reference"].strip(), markup.plain(rows[r["doc_id"]]["prediction"])
         assert r["cer"] == pytest.approx(plain_edit(a, b) / len(a))
-        a, b = (" ".join(t.lower().split()) for t in (a, b))
+        a, b = (" ".join(t.lower().split()) for t in (a.replace("*", ""), b))
         assert r["normalized_cer"] == pytest.approx(plain_edit(a, b) / len(a)) and r["similarity"] == pytest.approx(1 - plain_edit(a, b) / max(len(a), len(b)))
         assert r["wer"] == pytest.approx(plain_edit(a.split(), b.split()) / len(a.split()))
     tests = some.selectExpr("doc_id AS test_id", "doc_id", "'present' AS type", "concat('q', substr(reference, 201, 12)) AS text", "1 AS max_diffs", "true AS case_sensitive", "CAST(NULL AS INT) AS first_n", "CAST(NULL AS INT) AS last_n")
