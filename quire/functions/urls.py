@@ -58,6 +58,42 @@ def _path(path: Column) -> Column:
     return F.when(path == "", "/").when(~path.rlike(r"(?i)/(\.|%2e)"), path).otherwise(let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, tail).otherwise(""))))
 
 
+_LABEL = "[A-Za-z][A-Za-z0-9-]*"
+_SEGMENT = "[A-Za-z0-9_~-]+"
+#: URLs that need no closer look: named host, no port, no dot segments, nothing to encode
+_SIMPLE = rf"^(https?)://({_LABEL}(?:\.{_LABEL})*)((?:/{_SEGMENT}(?:\.{_SEGMENT})*)*/?)(\?[A-Za-z0-9=&_.~-]+)?(#.*)?$"
+
+
+def _simple(u: Column) -> Column:
+    """The parts of a URL that ``_SIMPLE`` holds for."""
+    part = lambda i: F.regexp_extract(u, _SIMPLE, i)
+    none = F.lit(None).cast("long")
+    return F.struct(part(1).alias("scheme"), F.lit(False).alias("at"), F.lower(part(2)).alias("host"), none.alias("address"), none.alias("port"), F.when(part(3) == "", "/").otherwise(part(3)).alias("path"), part(4).alias("query"), F.lit(True).alias("valid"))
+
+
+def bits(host: Column) -> Column:
+    """The bits of an address in text, 32 for a dotted IPv4 and 128 for an IPv6 with or without brackets, as zeros and ones; null for anything else."""
+    h = F.regexp_replace(F.lower(F.trim(host)), r"^\[|\]$|%.*$", "")
+    binary = lambda n, wide: F.lpad(F.conv(n, 10, 2), wide, "0")
+    four = lambda t: F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(F.split(t, r"\."), lambda x: x.cast("int") < 256), F.array_join(F.transform(F.split(t, r"\."), lambda x: binary(x, 8)), ""))
+
+    def six(t: Column) -> Column:
+        tail = F.substring_index(t, ":", -1)  # the last 32 bits may be dotted
+        whole = F.when(tail.contains("."), F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)), F.conv(F.substring(four(tail), 1, 16), 2, 16), F.lit(":"), F.conv(F.substring(four(tail), 17, 16), 2, 16))).otherwise(t)
+        groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+        def filled(w: Column) -> Column:
+            front, back = groups(F.substring_index(w, "::", 1)), F.when(w.contains("::"), groups(F.substring_index(w, "::", -1))).otherwise(F.array().cast("array<string>"))
+            n = F.size(front) + F.size(back)
+            every = F.concat(front, F.when(w.contains("::") & (n < 8), F.array_repeat(F.lit("0"), 8 - n)).otherwise(F.array().cast("array<string>")), back)
+            right = w.rlike("^[0-9a-f:]+$") & (F.size(F.split(w, "::")) <= 2) & (F.size(every) == 8) & F.forall(every, lambda g: F.length(g) <= 4)
+            return F.when(right, F.array_join(F.transform(every, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+
+        return let(whole, filled)
+
+    return F.coalesce(four(h), F.when(h.contains(":"), six(h)))
+
+
 def parsed_url(url: str | Column) -> Column:
     """(scheme, user, host, address, port, path, query, valid) of a URL; ``address`` is that of a numeric host. International names keep their letters."""
     u = F.col(url) if isinstance(url, str) else url
@@ -93,4 +129,5 @@ def parsed_url(url: str | Column) -> Column:
         return F.struct(s["scheme"].alias("scheme"), s["at"].alias("at"), host.alias("host"), F.when(numeric, s["ip"]["address"]).alias("address"), F.when((port >= 0) & (port != default), port).alias("port"),
                         _escaped(path, "`{}").alias("path"), F.when(s["query"] != "", F.concat(F.lit("?"), _escaped(s["query"], "'"))).otherwise("").alias("query"), ((s["scheme"] != "") & ~bad).alias("valid"))
 
-    return let(u, split)
+    simple = F.col(url) if isinstance(url, str) else url
+    return F.when(simple.rlike(_SIMPLE), _simple(simple)).otherwise(let(u, split))

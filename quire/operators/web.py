@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.urls import let, parsed_url
+from quire.functions.urls import bits, let, parsed_url
 
 PAGES_IN_PART, RULE = 64, "\n\n---\n\n"
 #: fixed values: services that expose private hosts
@@ -32,8 +32,12 @@ def _private(u: Column) -> Column:
     return F.coalesce(inside, F.lit(False)) | F.coalesce(six, F.lit(False))
 
 
-def filter_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds ``reason``: null for an http(s) URL of a public host without credentials. Hosts are read as a fetcher would: ``2130706433``, ``127.1`` and ``0x7f.0.0.1`` are 127.0.0.1."""
+def filter_urls(urls: DataFrame, blocklists: DataFrame | None = None, url_col: str = "url") -> DataFrame:
+    """Adds ``reason``: null for an http(s) URL of a public host without credentials, that no blocklist names. Hosts are read as a fetcher would: ``2130706433``, ``127.1`` and
+    ``0x7f.0.0.1`` are 127.0.0.1.
+
+    ``blocklists``: kind (``suffix`` or ``cidr``), value: hosts with all below them, and ranges of IPv4 or IPv6 addresses; other rows and unreadable values block nothing. Each
+    distinct host meets the list by equal keys: its own suffixes, and the beginnings of its address as long as some range's."""
 
     def reason(u: Column) -> Column:
         tunnel = F.lit(False)
@@ -41,7 +45,33 @@ def filter_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
             tunnel |= (u["host"] == s) | u["host"].endswith("." + s)
         return (F.when(~u["scheme"].isin("http", "https"), "scheme").when(u["at"], "credentials").when(u["host"] == "localhost", "loopback").when(~u["valid"], "host").when(_private(u), "private-address").when(tunnel, "tunnel"))
 
-    return urls.withColumn("reason", let(parsed_url(url_col), reason))
+    if blocklists is None:
+        return urls.withColumn("reason", let(parsed_url(url_col), reason))
+    judged = urls.withColumn("__u", let(parsed_url(url_col), lambda u: F.struct(reason(u).alias("reason"), u["host"].alias("host"))))
+    own = F.when(F.col("__u.reason").isNull(), F.col("__u.host"))
+    blocked = blocked_hosts(judged.select(own.alias("host")).where("host is not null").distinct(), blocklists)
+    rows = judged.withColumn("__host", own).join(blocked.select(F.col("host").alias("__host"), F.lit("blocked").alias("__blocked")), "__host", "left")
+    return rows.select(*urls.columns, F.coalesce("__u.reason", "__blocked").alias("reason"))
+
+
+def _range(value: Column) -> Column:
+    """The key of an address range: the bits that its addresses begin with, behind 4 or 6."""
+    b, size = bits(F.substring_index(value, "/", 1)), F.when(value.contains("/"), F.substring_index(value, "/", -1).try_cast("int"))
+    length = F.coalesce(size, F.when(~value.contains("/"), F.length(b)))
+    return F.when((length >= 0) & (length <= F.length(b)), F.concat(F.when(F.length(b) == 32, "4:").otherwise("6:"), F.left(b, length)))
+
+
+def blocked_hosts(hosts: DataFrame, blocklists: DataFrame) -> DataFrame:
+    """The distinct hosts (host) that a list blocks."""
+    value = F.lower(F.trim("value"))
+    key = F.when(F.col("kind") == "suffix", F.concat(F.lit("h:"), F.regexp_replace(value, r"^\*?\.+|\.+$", ""))).when(F.col("kind") == "cidr", _range(value))
+    keys = blocklists.select(key.alias("key")).where("key is not null and key <> 'h:'").distinct()
+    lengths = keys.where("key not like 'h:%'").select(F.left("key", F.lit(1)).alias("family"), (F.length("key") - 2).alias("n")).distinct().collect()  # 162 at most
+    labels = F.split(F.regexp_replace("host", r"\.+$", ""), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    begins = F.array(*[F.when(F.length("__bits") == (32 if r["family"] == "4" else 128), F.concat(F.lit(f"{r['family']}:"), F.left("__bits", F.lit(r["n"])))) for r in lengths]) if lengths else F.array().cast("array<string>")
+    candidates = F.when(F.col("__bits").isNull(), suffixes).otherwise(F.filter(begins, lambda k: k.isNotNull()))
+    return hosts.withColumn("__bits", bits(F.col("host"))).select("host", F.explode(candidates).alias("key")).join(keys, "key", "left_semi").select("host").distinct()
 
 
 def url_key(url: str | Column) -> Column:
@@ -89,9 +119,10 @@ def text_profile(pages: DataFrame) -> DataFrame:
 def combine_pages(pages: DataFrame, group_col: str, run: int = PAGES_IN_PART) -> DataFrame:
     """(group, part, pages, combined): the pages of a group in order, with title and source, repeated texts dropped first.
 
-    ``pages``: pos, title, url, text and the group. A part holds the pages of ``run`` positions, so a group of any size is rendered in pieces of a bounded
+    ``pages``: pos, title, url, text and the group. A page without a title is called by its URL; a null text is empty. A part holds the pages of ``run`` positions, so a group of any size is rendered in pieces of a bounded
     number of pages; its parts in order, with the rule between them, are the whole."""
-    first = pages.groupBy(group_col, F.sha2("text", 256).alias("__h")).agg(F.min_by(F.struct("pos", "title", "url", "text"), "pos").alias("p"))
+    own = F.struct("pos", F.coalesce(F.when(F.trim("title") != "", F.col("title")), "url", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("text", F.lit("")).alias("text"))
+    first = pages.groupBy(group_col, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__h")).agg(F.min_by(own, "pos").alias("p"))
     block = F.concat(F.lit("# "), F.col("p.title"), F.lit("\nSource: "), F.col("p.url"), F.lit("\n\n"), F.col("p.text"))
     g = first.groupBy(group_col, F.floor(F.col("p.pos") / run).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("p.pos").alias("pos"), block.alias("b")))).alias("l"))
     return g.select(group_col, "part", F.size("l").cast("long").alias("pages"), F.array_join(F.transform("l", lambda x: x["b"]), RULE).alias("combined"))

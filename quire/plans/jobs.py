@@ -66,7 +66,13 @@ _PRICED = f"""priced AS (SELECT u.* EXCLUDE (custom_input, custom_output), CASE
   costed AS (SELECT *, CASE WHEN exact_cost > 0 THEN CAST(exact_cost AS DECIMAL(20,8)) ELSE coalesce(CAST(round(CAST((input_tokens - least(cached_tokens, input_tokens)) * ip + least(cached_tokens, input_tokens) * coalesce(cp, ip) + (output_tokens + CASE WHEN thoughts_in_output THEN 0 ELSE thought_tokens END) * op AS DECIMAL(28,4)) * CAST(0.000001 AS DECIMAL(7,6)), 8) AS DECIMAL(20,8)), CAST(exact_cost AS DECIMAL(20,8))) END AS cost FROM priced)"""
 _RETURNED = """SELECT url, CASE WHEN page_id % 5 = 0 THEN ' ' ELSE html END AS content FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT concat(url, '/'), html FROM pages WHERE page_id % 12 = 1
     UNION ALL SELECT concat('http://other:80/./', CAST(page_id AS VARCHAR(20))), html FROM pages WHERE page_id % 10 = 3"""
-_SITES = "SELECT page_id AS pos, concat('P', CAST(page_id AS VARCHAR(20))) AS title, url, html AS text, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS site FROM pages"
+# a host of each sixth page, ranges of both families, and rows that block nothing
+_BLOCKLIST = """SELECT 'suffix' AS kind, concat('*.', regexp_extract(url, '^[a-z]+://([^/]*)', 1)) AS value FROM pages WHERE page_id % 6 = 0 UNION ALL SELECT 'suffix', 'b.example.net'
+    UNION ALL SELECT 'cidr', concat('8.8.', CAST(n_nationkey AS VARCHAR(20)), '.0/24') FROM nation UNION ALL SELECT 'cidr', concat('2606:4700:', CAST(r_regionkey AS VARCHAR(20)), '::/48') FROM region
+    UNION ALL SELECT 'cidr', '9.9.9.9' UNION ALL SELECT 'cidr', '300.1.1.1/8' UNION ALL SELECT 'cidr', '1.2.3.4/99' UNION ALL SELECT 'other', 'example.org' UNION ALL SELECT NULL, NULL"""
+_MORE_URLS = """SELECT pos, url FROM url_list UNION ALL SELECT page_id * 5 + 1000000000, concat('https://[2606:4700:', CAST(page_id % 10 AS VARCHAR(20)), '::', CAST(page_id % 7 AS VARCHAR(20)), ']/p') FROM pages
+    UNION ALL SELECT page_id * 5 + 1000000001, concat('http://', CASE page_id % 3 WHEN 0 THEN 'a.b.example.net' WHEN 1 THEN 'ab.example.net' ELSE '9.9.9.9' END, '/q') FROM pages"""
+_SITES = "SELECT page_id AS pos, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN ' ' ELSE concat('P', CAST(page_id AS VARCHAR(20))) END AS title, url, CASE WHEN page_id % 11 > 0 THEN html END AS text, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS site FROM pages"
 
 
 def _costed(v: Inputs):
@@ -139,6 +145,13 @@ PLANS = {
     "w01_filter_urls": (lambda v: w.filter_urls(v("url_list")), f"""
         WITH {_URLS.format(source="url_list")} SELECT pos, url, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN contains(authority, '@') THEN 'credentials' WHEN host = 'localhost' THEN 'loopback' WHEN NOT valid THEN 'host'
           WHEN address // 16777216 IN (0, 10, 127) OR address // 65536 IN (43518, 49320) OR address >= 3758096384 THEN 'private-address' WHEN host LIKE '%.ngrok.io' THEN 'tunnel' END AS reason FROM urls"""),
+    "w01_filter_urls_blocklists": (lambda v: w.filter_urls(v.sql(_MORE_URLS), v.sql(_BLOCKLIST)), f"""
+        WITH {_URLS.format(source=f"({_MORE_URLS})")}, l AS ({_BLOCKLIST}), named AS (SELECT DISTINCT ltrim(value, '*.') AS v FROM l WHERE kind = 'suffix'), ranges AS (SELECT DISTINCT replace(replace(value, '0/24', ''), ':/48', '') AS v FROM l WHERE kind = 'cidr'),
+          below AS (SELECT DISTINCT host FROM (SELECT host, array_to_string(list_slice(p, i, len(p)), '.') AS tail FROM (SELECT DISTINCT host, string_split(host, '.') AS p, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM urls WHERE address IS NULL)) JOIN named ON tail = v),
+          inside AS (SELECT DISTINCT host FROM (SELECT DISTINCT host FROM urls WHERE address IS NOT NULL OR host LIKE '[%') JOIN ranges ON host = v OR (v LIKE '8.8.%' AND starts_with(host, v)) OR starts_with(host, '[' || v || ':'))
+        SELECT pos, url, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN contains(authority, '@') THEN 'credentials' WHEN host = 'localhost' THEN 'loopback' WHEN NOT valid AND host NOT LIKE '[%' THEN 'host'
+          WHEN address // 16777216 IN (0, 10, 127) OR address // 65536 IN (43518, 49320) OR address >= 3758096384 THEN 'private-address' WHEN host LIKE '%.ngrok.io' THEN 'tunnel'
+          WHEN host IN (SELECT host FROM below) OR host IN (SELECT host FROM inside) THEN 'blocked' END AS reason FROM urls"""),
     "w02_dedupe_urls": (lambda v: w.dedupe_urls(v("url_list")), f"WITH {_URLS.format(source='url_list')} SELECT key, arg_min(url, pos) AS url, min(pos) AS pos, count(*) - 1 AS duplicates FROM keyed GROUP BY 1"),
     "w03_reconcile_results": (lambda v: w.reconcile_results(v("url_list"), v.sql(_RETURNED)), f"""
         WITH {_URLS.format(source=f"(SELECT 0 AS side, url, NULL AS content FROM url_list UNION ALL SELECT 1, url, content FROM ({_RETURNED}) t)")},
@@ -147,7 +160,7 @@ PLANS = {
     "w04_page_text": (lambda v: w.page_text(v("pages")).select("page_id", "text"), f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_ENTITIES_SQL}, '[ \\t\u00a0]+', ' ', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages"),
     "w04_text_profile": (lambda v: w.text_profile(v.sql("SELECT url, html AS text FROM pages")), f"SELECT {_HOST} AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars, max(length(html)) AS longest FROM pages GROUP BY 1"),
     "w05_combine_pages": (lambda v: w.combine_pages(v.sql(_SITES), "site").withColumn("combined", F.sha2("combined", 256)), f"""
-        WITH y AS (SELECT * FROM ({_SITES}) QUALIFY row_number() OVER (PARTITION BY site, text ORDER BY pos) = 1)
+        WITH y AS (SELECT * REPLACE (coalesce(text, '') AS text, coalesce(nullif(trim(title), ''), url) AS title) FROM ({_SITES}) QUALIFY row_number() OVER (PARTITION BY site, coalesce(text, '') ORDER BY pos) = 1)
         SELECT site, CAST(floor(pos / 64) AS BIGINT) AS part, count(*) AS pages, sha256(string_agg(concat('# ', title, chr(10), 'Source: ', url, chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY pos)) AS combined FROM y GROUP BY ALL"""),
     "s01_ingest_batch": (lambda v: s.new_documents(v.sql(_CORPUS), v.sql(_KNOWN.format("sha2(", ", 256)"))).select("source", "fingerprint"), f"""
         WITH d AS (SELECT path, sha256(content) AS h FROM ({_CORPUS})), k AS ({_KNOWN.format("sha256(", ")")}) SELECT DISTINCT path AS source, h AS fingerprint FROM d WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = path AND k.fingerprint = h AND status = 'succeeded')"""),

@@ -124,7 +124,8 @@ PLANS = {
         WITH x AS (SELECT t.test_id, t.doc_id, CAST(max_diffs AS BIGINT) AS k, {_unit("reference")} AS o, {_unit("before")} AS b, {_unit("after")} AS a FROM order_view t JOIN text_pairs p ON t.doc_id = p.doc_id),
           places AS (SELECT *, unnest(range(1, length(o) + 1)) AS i FROM (SELECT test_id, k, {_bytes("o")} AS o, b, a FROM x WHERE k > 0)),
           near AS (SELECT test_id, min(i) FILTER ({_near("b", "o")}) AS first, max(i) FILTER ({_near("a", "o")}) AS last FROM places GROUP BY test_id)
-        SELECT x.test_id, doc_id, CASE WHEN k > 0 THEN coalesce(first < last, false) WHEN b = '' OR a = '' THEN false ELSE strpos(o, b) > 0 AND strpos(reverse(o), reverse(a)) > 0 AND strpos(o, b) < length(o) - strpos(reverse(o), reverse(a)) - length(a) + 2 END AS passed
+        SELECT x.test_id, doc_id, CASE WHEN k > 0 THEN coalesce(first < last, false)
+            ELSE strpos(o, b) > 0 AND strpos(o, a) > 0 AND strpos(o, b) < CASE WHEN a = '' THEN length(o) ELSE length(o) - strpos(reverse(o), reverse(a)) - length(a) + 2 END END AS passed
         FROM x LEFT JOIN near ON near.test_id = x.test_id"""),
     "e08_table_tests": (_table_tests, f"""
         WITH t AS ({_LINES}), x AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS got FROM lineitem),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,49 +23,103 @@ COMPACT_EVERY = 64
 
 
 class ManifestLog:
-    """The manifest of a stream: a whole table, and one delta for each micro-batch since.
+    """The manifest of streams that share a folder: a whole table, and one delta for each micro-batch since.
 
-    ``folder/whole-K`` holds what was settled when it was written, ``folder/delta/run=R/batch=N`` the rows of batch N of the query R. A folder
-    counts once it holds its success mark. A batch never reads its own delta, so a batch that is repeated sees what it saw the first time."""
+    ``folder/delta/run=R/batch=N`` holds the rows of batch N of the query R, ``folder/log/K`` version K of the whole table: where it is, and for each query the
+    number of its first batch that isn't part of it. A version is put only where there is none of its number, so of compactions at once one counts. What a
+    query's batch N sees are the newest version and all deltas that this doesn't hold, but of its own only those before N: a repeated batch never
+    sees itself. A delta is settled when its query has written a later one, which it does once the earlier batch is committed; only settled deltas become
+    part of a version, so no query folds what another may repeat. Files go when a later version than the one that replaced them is there."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.spark, self.folder, self.jvm = spark, folder, spark._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _below(self, folder: str, prefix: str) -> dict[str, str]:
+    def _below(self, folder: str, prefix: str = "") -> dict[str, str]:
         """What follows ``prefix`` in the names in ``folder``, and their paths."""
         at = self.path(folder)
         if not self.fs.exists(at):
             return {}
         return {s.getPath().getName().removeprefix(prefix): s.getPath().toString() for s in self.fs.listStatus(at) if s.getPath().getName().startswith(prefix)}
 
-    def _marked(self, folder: str) -> bool:
-        return self.fs.exists(self.path(folder, "_SUCCESS"))
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(*paths) if paths else self.spark.createDataFrame([], MANIFEST)
+    def _version(self, path: str) -> dict | None:
+        """What a version says; null while it is being written."""
+        stream = self.fs.open(self.path(path))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def versions(self) -> dict[int, dict]:
+        """The two newest versions by number: {"whole": path, "marks": {run: first batch that isn't part of it}}."""
+        found = sorted((int(k), p) for k, p in self._below(f"{self.folder}/log").items() if k.isdigit())[-3:]
+        read = {k: self._version(p) for k, p in found}
+        return dict(sorted((k, v) for k, v in read.items() if v)[-2:])
+
+    def deltas(self) -> dict[tuple[str, int], str]:
+        """The deltas that are whole, by query and batch."""
+        runs = self._below(f"{self.folder}/delta", "run=")
+        return {(r, int(n)): p for r, folder in runs.items() for n, p in self._below(folder, "batch=").items() if self.fs.exists(self.path(p, "_SUCCESS"))}
+
+    def _merged(self, whole: str | None, deltas: list[str]) -> DataFrame:
+        paths = [*([whole] if whole else []), *deltas]
+        rows = self.spark.read.schema(MANIFEST).parquet(*paths) if paths else self.spark.createDataFrame([], MANIFEST)
+        return latest_entries(rows.select(*_ENTRY))
 
     def before(self, run: str, number: int, compact_every: int = COMPACT_EVERY) -> DataFrame:
-        """The entries as batch ``number`` of ``run`` must see them; every ``compact_every`` deltas become part of the whole table."""
-        wholes = {int(k): p for k, p in self._below(self.folder, "whole-").items() if self._marked(p)}
-        newest = max(wholes, default=-1)
-        deltas = [p for r, folder in self._below(f"{self.folder}/delta", "run=").items() for n, p in self._below(folder, "batch=").items() if self._marked(p) and not (r == run and int(n) >= number)]
-        merged = latest_entries(self._read([wholes[newest]] if wholes else []).unionByName(self._read(deltas)).select(*_ENTRY))
-        if len(deltas) < compact_every:
-            return merged
-        # all of these batches are committed, or another query's: none is ever repeated
-        self.write(merged, f"{self.folder}/whole-{newest + 1}")
-        for old in [*deltas, *wholes.values()]:
-            self.fs.delete(self.path(old), True)
-        return self._read([f"{self.folder}/whole-{newest + 1}"]).select(*_ENTRY)
+        """The entries as batch ``number`` of ``run`` must see them; ``compact_every`` settled deltas become a new version first."""
+        versions = self.versions()
+        newest = max(versions, default=0)
+        state = versions.get(newest, {"whole": None, "marks": {}})
+        open_ = {(r, n): p for (r, n), p in self.deltas().items() if n >= state["marks"].get(r, 0)}
+        last = {r: max(n for q, n in open_ if q == r) for r, _ in open_} | {run: number}
+        settled = {(r, n): p for (r, n), p in open_.items() if n < last[r]}
+        if len(settled) >= compact_every and self.put(newest + 1, state, settled):
+            self.clear(versions)
+            return self.before(run, number, 1 << 62)
+        return self._merged(state["whole"], [p for (r, n), p in open_.items() if r != run or n < number])
+
+    def put(self, number: int, state: dict, settled: dict[tuple[str, int], str]) -> bool:
+        """Make version ``number`` of ``state`` and settled deltas; whether it is the one that counts."""
+        whole = f"{self.folder}/whole-{number}-{uuid.uuid4().hex}"
+        self.write(self._merged(state["whole"], list(settled.values())), whole)
+        marks = state["marks"] | {r: max(n for q, n in settled if q == r) + 1 for r, _ in settled}
+        try:
+            out = self.fs.create(self.path(f"{self.folder}/log/{number}"), False)
+        except Py4JJavaError:
+            if not self.fs.exists(self.path(f"{self.folder}/log/{number}")):
+                raise
+            self.fs.delete(self.path(whole), True)  # another query was first
+            return False
+        out.write(bytearray(json.dumps({"whole": whole, "marks": marks}).encode()))
+        out.close()
+        return True
+
+    def clear(self, versions: dict[int, dict]) -> None:
+        """Delete what no reader of the newest of ``versions``, or of a later one, needs: files of older versions, and the deltas that it holds."""
+        if not versions:
+            return
+        newest = max(versions)
+        kept = {self.path(v["whole"]).getName() for v in self.versions().values()} | {self.path(versions[newest]["whole"]).getName()}
+        for k, p in self._below(self.folder, "whole-").items():
+            if f"whole-{k}" not in kept and int(k.split("-")[0]) < newest:
+                self.fs.delete(self.path(p), True)
+        for (r, n), p in self.deltas().items():
+            if n < versions[newest]["marks"].get(r, 0):
+                self.fs.delete(self.path(p), True)
+        for k, p in self._below(f"{self.folder}/log").items():
+            if k.isdigit() and int(k) < newest:
+                self.fs.delete(self.path(p), True)
 
     def write(self, rows: DataFrame, to: str) -> None:
         rows.withColumn("fingerprint_version", F.lit(2)).select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.mode("overwrite").parquet(to)
 
     def entries(self) -> DataFrame:
         """The newest entry of every source."""
-        return self.before("", 0, 1 << 30)
+        return self.before("", 0, 1 << 62)
 
 
 def new_documents(rows: DataFrame, known: DataFrame) -> DataFrame:
