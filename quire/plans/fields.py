@@ -63,6 +63,12 @@ _OUTPUTS = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 41 = 40 THEN '
       CASE o_orderkey % 7 WHEN 0 THEN '"party": {"name": "n", "odd": 1}, ' WHEN 1 THEN '"party": {}, ' WHEN 2 THEN '"party": [1], ' ELSE '' END, CASE o_custkey % 6 WHEN 0 THEN '"items": [], ' WHEN 1 THEN '"items": [1, 2, 3, 4], ' WHEN 2 THEN '"items": [1], ' ELSE '' END, '"', lower(o_orderstatus), '": 1}') END AS json FROM orders"""
 
 
+def _order_schema(v: Inputs):
+    rows = [(1, "id", "integer", True, None, None, None, None), (2, "items", "array", True, None, None, 1, 6), (3, "items[].price", "number", True, 0.0, None, None, None), (4, "items[].qty", "integer", False, 1.0, None, None, None),
+            (5, "items[].tags[]", "string", True, None, None, None, None)]
+    return v.spark.createDataFrame([(*r[:4], None, *r[4:]) for r in rows], "pos int, property string, type string, required boolean, enum array<string>, minimum double, maximum double, min_items int, max_items int")
+
+
 def _schema(v: Inputs):
     rows = [(1, "total", "number", True, None, 0.0, 10.0, None, None), (2, "kind", "string", False, ["a", "b"], None, None, None, None), (3, "party", "object", True, None, None, None, None, None), (4, "party.name", "string", True, None, None, None, None, None), (5, "items", "array", False, None, None, None, 1, 3), (6, "o", "integer", False, None, None, None, None, None)]
     return v.spark.createDataFrame(rows, "pos int, property string, type string, required boolean, enum array<string>, minimum double, maximum double, min_items int, max_items int")
@@ -199,6 +205,17 @@ PLANS = {
     "t13_export_csv": (lambda v: t.export_csv(v.sql("SELECT doc_id, row_no, column_name, CASE doc_id % 4 WHEN 0 THEN concat('=', value) WHEN 1 THEN concat('-', value) WHEN 2 THEN concat('+a', value) ELSE value END AS value FROM ref_cells"), ["quantity", "line_total"]), """
         WITH x AS (SELECT doc_id, row_no, column_name, CASE doc_id % 4 WHEN 0 THEN concat('''=', value) WHEN 1 THEN concat('-', value) WHEN 2 THEN concat('''+a', value) ELSE value END AS value FROM ref_cells)
         SELECT doc_id, row_no, max(value) FILTER (column_name = 'quantity') AS quantity, max(value) FILTER (column_name = 'line_total') AS line_total FROM x GROUP BY doc_id, row_no"""),
+    "t14_validate_nested_arrays": (lambda v: t.validate_outputs(v("order_json"), _order_schema(v), n=5), """
+        WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) - 1 AS i FROM (SELECT *, concat(',{', CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('"price": ', CASE WHEN l_partkey % 7 = 0 THEN '-' ELSE '' END, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(30)), ', ') END,
+                CASE WHEN l_linenumber = 6 THEN '"extra": null, ' ELSE '' END, '"qty": ', CASE WHEN l_suppkey % 11 = 0 THEN '"many"' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) END, ', "tags": ["a"', CASE WHEN l_partkey % 13 = 0 THEN ', 5' ELSE '' END, ', "', l_returnflag, '"]}') AS line FROM lineitem)),
+          b AS (SELECT l_orderkey AS doc_id, CAST([] AS BIGINT[]) AS place, 2 AS pos, 'items' AS property, 'max-items' AS issue FROM lineitem GROUP BY l_orderkey HAVING count(*) > 6
+            UNION ALL SELECT DISTINCT l_orderkey, CAST([] AS BIGINT[]), 1048576, 'odd', 'unexpected' FROM lineitem WHERE l_orderkey % 9 = 0
+            UNION ALL SELECT l_orderkey, [i], 3, concat('items[', i, '].price'), CASE WHEN l_partkey % 5 = 0 THEN 'missing' ELSE 'minimum' END FROM l WHERE l_partkey % 5 = 0 OR l_partkey % 7 = 0 AND l_extendedprice >= 0.01
+            UNION ALL SELECT l_orderkey, [i], 4, concat('items[', i, '].qty'), 'type' FROM l WHERE l_suppkey % 11 = 0
+            UNION ALL SELECT l_orderkey, [i, 1], 5, concat('items[', i, '].tags[1]'), 'type' FROM l WHERE l_partkey % 13 = 0
+            UNION ALL SELECT l_orderkey, [i], 1048576, concat('items[', i, '].extra'), 'unexpected' FROM l WHERE l_linenumber = 6),
+          r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, place, property, issue) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM b)
+        SELECT doc_id, CAST(n AS INT) AS n, property, issue, CAST(greatest(total - 5, 0) AS BIGINT) AS more FROM r WHERE n <= 5"""),
     "t14_validate_outputs": (lambda v: t.validate_outputs(v.sql(_OUTPUTS), _schema(v), n=2), f"""
         WITH p AS (SELECT doc_id, CASE WHEN json_valid(json) THEN CAST(json AS JSON) END AS j FROM ({_OUTPUTS})), x AS (SELECT *, json_type(j, '$.total') AS tt, json_type(j, '$.kind') AS kt, json_type(j, '$.party') AS pt, json_type(j, '$.items') AS it FROM p),
           i AS (SELECT doc_id, 0 AS pos, '' AS property, 'not-json' AS issue FROM x WHERE j IS NULL UNION ALL SELECT doc_id, 1, 'total', CASE WHEN tt IS NULL THEN 'missing' WHEN tt = 'VARCHAR' THEN 'type' WHEN CAST(j ->> '$.total' AS DOUBLE) < 0 THEN 'minimum' WHEN CAST(j ->> '$.total' AS DOUBLE) > 10 THEN 'maximum' END FROM x WHERE j IS NOT NULL
@@ -239,7 +256,9 @@ PLANS = {
         WITH x AS (SELECT doc_id, field, value, coalesce(nullif(trim(rule), ''), CASE WHEN contains(field, 'email') THEN 'email' WHEN contains(field, 'phone') THEN 'phone' WHEN contains(field, 'date') THEN 'date' WHEN field = 'total' THEN 'currency' END) AS rule FROM ({_RULED})),
           y AS (SELECT *, CASE rule WHEN 'email' THEN regexp_full_match(value, '[^@ ]+@[^@ ]+[.][^@ ]+') WHEN 'phone' THEN regexp_full_match(value, '[+]?[0-9 ()-]+') AND length(regexp_replace(value, '[^0-9]', '', 'g')) >= 10 WHEN 'date' THEN regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(value AS DATE) IS NOT NULL
               WHEN 'currency' THEN regexp_matches(value, '[0-9]') WHEN 'number' THEN regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '[0-9]-') ELSE true END AS valid FROM x)
-        SELECT *, CASE WHEN coalesce(rule, 'free') NOT IN ('email', 'phone', 'date', 'currency', 'number') THEN 'No validation rule applied' ELSE concat(CASE WHEN valid THEN 'Valid ' ELSE 'Invalid ' END, CASE rule WHEN 'date' THEN 'date' ELSE concat(rule, ' format') END) END AS message FROM y"""),
+        SELECT *, CASE WHEN coalesce(rule, 'free') NOT IN ('email', 'phone', 'date', 'currency', 'number') THEN 'No validation rule applied' 
+            WHEN rule = 'phone' THEN CASE WHEN regexp_full_match(value, '[+]?[0-9 ()-]+') THEN 'Valid phone format' ELSE 'Invalid phone format' END
+            ELSE concat(CASE WHEN valid THEN 'Valid ' ELSE 'Invalid ' END, CASE WHEN rule = 'date' AND valid THEN 'date' WHEN rule = 'date' THEN 'date or time' ELSE concat(rule, ' format') END) END AS message FROM y"""),
     "a04_check_subtotals": (lambda v: a.check_subtotals(v.sql(_ITEMS)).select("doc_id", F.col("subtotal").cast("double").alias("subtotal"), F.col("items_sum").cast("double").alias("items_sum"), "ok"), """
         SELECT l_orderkey AS doc_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS subtotal, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS items_sum,
           NOT (l_orderkey % 5 = 0 AND l_orderkey % 7 <> 0 AND count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*)) AS ok FROM lineitem GROUP BY l_orderkey"""),

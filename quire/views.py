@@ -74,6 +74,11 @@ VIEWS = {
     "md_docs": """
         SELECT l_orderkey AS doc_id, concat('# Invoice ', CAST(l_orderkey AS VARCHAR(20)), chr(10), chr(10), '| line | quantity |', chr(10), '| --- | --- |', {rows}) AS text
         FROM (SELECT l_orderkey, l_linenumber, concat(chr(10), '| ', CAST(l_linenumber AS VARCHAR(20)), ' | ', CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), ' |') AS line FROM lineitem) r GROUP BY l_orderkey""",
+    "order_json": """
+        SELECT l_orderkey AS doc_id, concat('{"id": ', CAST(l_orderkey AS VARCHAR(20)), CASE WHEN l_orderkey % 9 = 0 THEN ', "odd": 1' ELSE '' END, ', "items": [', substr({rows}, 2), ']}') AS json
+        FROM (SELECT l_orderkey, l_linenumber, concat(',{', CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('"price": ', CASE WHEN l_partkey % 7 = 0 THEN '-' ELSE '' END, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(30)), ', ') END,
+                CASE WHEN l_linenumber = 6 THEN '"extra": null, ' ELSE '' END, '"qty": ', CASE WHEN l_suppkey % 11 = 0 THEN '"many"' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) END, ', "tags": ["a"', CASE WHEN l_partkey % 13 = 0 THEN ', 5' ELSE '' END, ', "', l_returnflag, '"]}') AS line FROM lineitem) r
+        GROUP BY l_orderkey""",
     "run_events": """
         SELECT user_id % 4 AS run_id, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
                ts, user_id AS document_id,

@@ -1,5 +1,6 @@
 """Golden rows and invariants of the library's own operators."""
 
+import random
 import tempfile
 
 import pytest
@@ -193,6 +194,66 @@ def test_markdown_structure(spark):
     assert {(r["row_no"], r["col_no"], r["text"], r["is_heading"]) for r in cells} == {(0, 0, "A", True), (1, 0, "A", True), (0, 1, "b", True), (1, 1, "c", False)}
 
 
+def test_html_tables_are_read_as_tokens(spark):
+    def cells(html):
+        return {(r["table_no"], r["row_no"], r["col_no"]): (r["text"], r["is_heading"]) for r in structure.html_table_cells(spark.createDataFrame([(1, html)], "doc_id long, html string")).collect()}
+
+    assert cells('<table><!-- <tr><td>no</td></tr> --><tr title="a > b"><td data-x=\'</td>\'>a &amp; b<br>c</td><TH>h</TH></tr></table>') == {(1, 0, 0): ("a & b\nc", False), (1, 0, 1): ("h", True)}
+    nested = cells("<table><tr><td>out <table><tr><td>in</td><td>two</td></tr></table> end</td><td>next</td></tr><tr><td>last</td></tr></table>")
+    assert nested == {(1, 0, 0): ("out intwo end", False), (1, 0, 1): ("next", False), (1, 1, 0): ("last", False), (2, 0, 0): ("in", False), (2, 0, 1): ("two", False)}
+    assert cells("<table><tr><td>a<td>b<tr><td>c</table><p><table><td>x") == {(1, 0, 0): ("a", False), (1, 0, 1): ("b", False), (1, 1, 0): ("c", False), (2, 0, 0): ("x", False)}
+    assert cells("<table><tr><td><script>'<td>'</script>1 < 2</td><td colspan=0 rowspan='x'>y</td></tr></table>") == {(1, 0, 0): ("'<td>'1 < 2", False), (1, 0, 1): ("y", False)}
+    assert cells("<table><tr><td rowspan=2 colspan=2>w</td><td>a</td></tr><tr><td>b</td></tr></table>") == {(1, y, x): ("w", False) for y in (0, 1) for x in (0, 1)} | {(1, 0, 2): ("a", False), (1, 1, 2): ("b", False)}
+
+
+def test_many_known_secrets_in_one_pass(spark):
+    rng = random.Random(5)
+    secrets = ["".join(rng.choice("abcd") for _ in range(rng.randrange(8, 14))) for _ in range(3000)] + ["p@ss/word" + str(i) for i in range(20)] + ["short", " padded-secret "]
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.choice([0, 5, 60, 300]))) for _ in range(60)] + ["x p%40ss%2Fword3 and p@ss/word19.", "padded-secret", None, ""]
+    want = []
+    for t in texts:
+        for s in batch.known_spellings(secrets):
+            t = t if t is None else t.replace(s, "[REDACTED_KEY]")
+        want.append(t)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    made = batch.redact_secrets(rows, known_secrets=secrets)
+    assert [r["redacted"] for r in made.orderBy("i").collect()] == want and sum(t != w for t, w in zip(texts, want)) > 20
+    size = lambda n: len(batch.redact_secrets(rows, known_secrets=secrets[:n])._jdf.queryExecution().toString())
+    assert size(3000) < 1.1 * size(100)
+
+
+def test_rules_inside_arrays(spark):
+    rules = [(1, "items", "array", True, None), (2, "items[].price", "number", True, 0.0), (3, "items[].parts[].id", "integer", True, None), (4, "grid[][]", "number", False, None), (5, "meta.tags[]", "string", False, None)]
+    schema = spark.createDataFrame([(*r[:4], None, r[4], None) for r in rules], "pos int, property string, type string, required boolean, enum array<string>, minimum double, maximum double")
+    texts = {1: '{"items": [{"price": 1, "parts": [{"id": 1}, {"id": 1.5, "x": 0}]}, {"price": -1, "parts": []}, {"parts": 5}, 7], "grid": [[1, "a"], 2, ["b"]], "meta": {"tags": ["t", 1], "other": 2}, "top": 1}', 2: '{"items": []}', 3: "{", 4: "[]", 5: None, 6: '{"items": {"price": 1}}'}
+    got = presets.validate_outputs(spark.createDataFrame(list(texts.items()), "doc_id long, json string"), schema, n=20).orderBy("doc_id", "n").collect()
+    assert [(r["property"], r["issue"]) for r in got if r["doc_id"] == 1] == [("items[1].price", "minimum"), ("items[2].price", "missing"), ("items[0].parts[1].id", "type"), ("grid[0][1]", "type"), ("grid[2][0]", "type"), ("meta.tags[1]", "type"),
+                                                                              ("meta.other", "unexpected"), ("top", "unexpected"), ("items[0].parts[1].x", "unexpected")]
+    assert {r["doc_id"]: (r["property"], r["issue"]) for r in got if r["doc_id"] > 1} == {3: ("", "not-json"), 4: ("items", "missing"), 5: ("", "not-json"), 6: ("items", "type")}
+    few = presets.validate_outputs(spark.createDataFrame([(1, texts[1])], "doc_id long, json string"), schema, n=2).collect()
+    assert [(r["n"], r["property"], r["more"]) for r in few] == [(1, "items[1].price", 7), (2, "items[2].price", 7)]
+
+
+def test_candidate_shapes(spark):
+    mails = {"a@b.c": True, "a@b": False, "@b.c": False, "a b@c.d": False, "a@.c": False, "a@b.": False, "a@b@c.d": False, "x@y..z": True}
+    phones = {"+1 (555) 123-4567": True, "5551234567": True, "555-1234": False, "+": False, "1+5551234567": False, "555.123.4567": False}
+    dates = {"2024-02-29": True, "2024-02-29T10:00": True, "29/02/2024 23:59:59": True, "2024-13-01": False, "2024-01-01 24:00": False, "1/2/2024": False, "01-02/2024": False}
+    amounts = {"1.234.567,89": 1234567.89, "1,234,567.89": 1234567.89, "1,5": 1.5, "1,500": 1500.0, "12,345,6": 123456.0, "1.2.3": None, "-5.": -5.0, "$ .5": 0.5, ".": None, "5-3": None, "1,234.5,6": None, "7": 7.0, "": None}
+    rows = [(v, r) for r, cases in (("email", mails), ("phone", phones), ("date", dates), ("currency", amounts)) for v in cases]
+    got = candidates.validate_candidates(spark.createDataFrame([(i, "f", v, r) for i, (v, r) in enumerate(rows)], "doc_id long, field string, value string, rule string")).orderBy("doc_id").collect()
+    want = [*mails.values(), *phones.values(), *dates.values(), *(a is not None for a in amounts.values())]
+    assert [(r["value"], r["valid"]) for r in got] == [(v, w) for (v, _), w in zip(rows, want)]
+    said = {r["value"]: r["message"] for r in got}
+    assert (said["555-1234"], said["+"], said["2024-13-01"], said["2024-02-29"]) == ("Valid phone format", "Invalid phone format", "Invalid date or time", "Valid date")
+    read = spark.createDataFrame([(a,) for a in amounts], "v string").select("v", candidates.parse_amount("v").alias("n")).collect()
+    assert {r["v"]: r["n"] for r in read} == amounts
+    typed = {"2024-02-30": "date", "2024-02-29": None, "2024-02-29T10:00:00.125Z": None, "2024-02-29 1:00": "date", "20240229": "date"}
+    rules = spark.createDataFrame([("d", "date"), ("m", "email")], "field string, type string")
+    found = presets.check_types(spark.createDataFrame([(1, "d", v) for v in typed] + [(1, "m", "mailto:a@b.cd"), (1, "m", "a@b.c"), (1, "m", "a(b)@c.de")], "doc_id long, field string, value string"), rules)
+    warned = {r["value"]: r["warning"] for r in found.collect()}
+    assert warned == {**{v: w and "not-iso-date" for v, w in typed.items()}, "mailto:a@b.cd": None, "a@b.c": "odd-email", "a(b)@c.de": "odd-email"}
+
+
 def test_url_policy(spark):
     cases = {"https://e.org/x": None, "http://127.0.0.1/": "private-address", "http://[::1]/": "private-address", "http://[2606:4700::1]/": None, "http://8.8.8.8/": None, "http://u@e.org/": "credentials", "ftp://e.org": "scheme", "http://LOCALHOST/": "loopback", "https://x.ngrok.io": "tunnel", "http://172.20.1.1": "private-address"}
     got = web.filter_urls(spark.createDataFrame([(u,) for u in cases], "url string")).collect()
