@@ -1,13 +1,12 @@
-"""Structured Streaming: resumable ingest, document lifecycle, sequence audit, live usage. Each has a batch twin."""
+"""Structured Streaming: resumable ingest and live usage, and the batch forms of the streams with state (:mod:`quire.streaming.stateful`)."""
 
 from __future__ import annotations
 
 import json
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,32 +153,6 @@ def document_lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "document_id").agg(F.max_by("type", F.struct("sequence", "type")).alias("state"), F.max("sequence").alias("sequence"))
 
 
-def lifecycle_stream(events: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
-    """S02, streaming: the same rows in update mode; a document without a terminal event for ``timeout_seconds`` of event time is ``stuck``."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    schema = "run_id long, document_id long, state string, sequence long"
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, sequence, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], key[1], "stuck", sequence)], columns=["run_id", "document_id", "state", "sequence"])
-            return
-        kind, sequence, last = state.get if state.exists else ("", -1, 0)
-        for rows in batches:
-            for t, s, ts in zip(rows["type"], rows["sequence"], rows["ts"]):
-                kind, sequence = max((sequence, kind), (int(s), t))[::-1]
-                last = max(last, int(ts.timestamp() * 1000))
-        state.update((kind, sequence, last))
-        if kind not in TERMINAL:
-            state.setTimeoutTimestamp(max(last + timeout_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], key[1], kind, sequence)], columns=["run_id", "document_id", "state", "sequence"])
-
-    keyed = events.where(F.col("type").startswith("document.")).withWatermark("ts", "10 seconds").groupBy("run_id", "document_id")
-    return keyed.applyInPandasWithState(advance, schema, "state string, sequence long, last long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def sequence_audit(events: DataFrame) -> DataFrame:
     """By run, gaps and repeats in its sequence, documents without a start and without a terminal event, and events after its end.
 

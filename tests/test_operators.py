@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions.distance import _edit, found_within, indel_ratio
 from quire.operators import batch, candidates, presets, resume, scoring, structure, usage, web
 from quire.sources import discovery
-from quire.streaming import jobs
+from quire.streaming import jobs, stateful
 
 
 def amounts(spark, kind, values, currency=None):
@@ -400,7 +400,7 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
     events = v("run_events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(f"{tmp_path}/events")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
-    q = jobs.lifecycle_stream(stream).writeStream.format("memory").queryName("lifecycle").outputMode("update").trigger(availableNow=True).start()
+    q = stateful.lifecycle_stream(stream).writeStream.format("memory").queryName("lifecycle").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(180)
     got = spark.table("lifecycle").where("state <> 'stuck'").groupBy("run_id", "document_id").agg(F.max_by("state", "sequence").alias("state"), F.max("sequence").alias("sequence"))
     key = lambda r: (r["run_id"], r["document_id"], r["state"], r["sequence"])
