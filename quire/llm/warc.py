@@ -1,6 +1,6 @@
 """Dictionary-compressed WARC archives (.warc.zst).
 
-A Zstandard dictionary is trained on a bounded, hash-chosen sample of the records to be archived. Every
+A Zstandard dictionary is trained on a hash-chosen sample of the records to be archived, bounded in number and bytes. Every
 archive file begins with it in a skippable frame (0x184D2A5D, the dictionary itself compressed), then
 each record is a Zstandard frame of its own: a reader can start at any frame it has an offset of.
 
@@ -32,7 +32,7 @@ from quire.llm.shared import _files_cleaned
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
-SAMPLE_RECORDS = 1000
+SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 32 << 20
 FILE_BYTES = 256 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"  # pages carry no fetch time
@@ -87,12 +87,17 @@ def parse(raw: bytes) -> dict:
     return {"fields": fields, "payload": payload, "payload_bytes": size}
 
 
-def train(pages: DataFrame, records: int = SAMPLE_RECORDS) -> bytes:
-    """A dictionary from the ``records`` pages of the smallest hashes, each of them whole."""
-    rows = pages.where("html is not null").select(F.xxhash64("html").alias("h"), F.xxhash64("page_id", "url").alias("id"), "html")
-    # hashes first, a few numbers of each task; then the texts of those that were chosen
-    chosen = pages.sparkSession.createDataFrame(rows.select("h", "id").orderBy("h", "id").limit(records).collect(), "h long, id long").distinct()
-    sample = rows.join(F.broadcast(chosen), ["h", "id"]).select("h", "html").distinct().orderBy("h", "html").limit(records).collect()
+def train(pages: DataFrame, records: int = SAMPLE_RECORDS, most: int = SAMPLE_BYTES) -> bytes:
+    """A dictionary from the ``records`` pages of the smallest hashes, each of them whole; one that would take the sample beyond ``most`` bytes is left out."""
+    rows = pages.where("html is not null").select(F.xxhash64("html").alias("h"), F.octet_length("html").cast("long").alias("size"), "html")
+    # hashes and sizes first, a few numbers of each task; then the texts of those that were chosen
+    chosen, left = [], most
+    for r in rows.select("h", "size").distinct().orderBy("h", "size").limit(records).collect():
+        if r["size"] <= left:
+            chosen.append(tuple(r))
+            left -= r["size"]
+    picked = pages.sparkSession.createDataFrame(chosen, "h long, size long")
+    sample = rows.join(F.broadcast(picked), ["h", "size"]).select("h", "html").distinct().orderBy("h", "html").limit(records).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["html"].encode() for r in sample], level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little to train on
