@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: fixed values: the statuses of an entry, and names of files that are being written
 STATUSES = ("pending", "succeeded", "partial", "failed")
 SCRATCH = r"/\.[^/]*-[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\.(tmp|bak)$"
 
@@ -66,8 +67,22 @@ def latest_entries(rows: DataFrame) -> DataFrame:
 
 
 def merge_manifest(manifest: DataFrame, updates: DataFrame) -> DataFrame:
-    """``manifest`` with ``updates``: the newest row of each source; ``owned_files`` only grows. Merging the same updates twice changes nothing."""
-    return latest_entries(manifest.unionByName(updates))
+    """``manifest`` with ``updates``: the newest row of each source; ``owned_files`` only grows. Merging the same updates twice changes nothing.
+
+    Both sides meet by source: a manifest that is stored by it (:func:`save_manifest`) isn't shuffled."""
+    old, new = latest_entries(manifest), latest_entries(updates)
+    both = old.select("source", F.struct(*old.columns[1:]).alias("o")).join(new.select("source", F.struct(*new.columns[1:]).alias("n")), "source", "full_outer")
+    rank = lambda e: F.struct(F.col(f"{e}.updated"), F.col(f"{e}.status"))
+    newer = F.col("o").isNull() | F.coalesce(rank("n") > rank("o"), F.col("n").isNotNull())
+    kept = F.when(newer & F.col("n").isNotNull(), F.col("n")).otherwise(F.col("o"))
+    own = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f"{e}.owned_files", F.array().cast("array<string>")) for e in ("o", "n")])))
+    return both.select("source", own.alias("owned_files"), kept.alias("k")).select("source", "k.fingerprint", "k.status", "k.output_files", "owned_files", "k.updated")
+
+
+def save_manifest(manifest: DataFrame, table: str, buckets: int = 200) -> DataFrame:
+    """The manifest as a catalog table in ``buckets`` parts by source, each in its order: joins and merges by source read it as it lies."""
+    manifest.write.bucketBy(buckets, "source").sortBy("source").mode("overwrite").saveAsTable(table)
+    return manifest.sparkSession.table(table)
 
 
 def settle_claims(manifest: DataFrame, previous: DataFrame, started: DataFrame) -> DataFrame:

@@ -214,20 +214,21 @@ def write_artifacts(results: DataFrame, folder: str, fmt: str = "all") -> DataFr
     return written(some.mapInPandas(run, "target string, path string, bytes long, error string"), "artifacts-written")
 
 
-def chunk_artifacts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, chunk_no, offset, next_offset, total, eof, chunk): texts cut at ``max_bytes`` bytes or fewer, never inside a code point."""
+class _Chunks:
+    """The chunks of one text, one after another: only one is held at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"], batch["text"]):
-                raw, at, n = (text or "").encode(), 0, 0
-                while at < len(raw) or n == 0:
-                    end = min(len(raw), at + max_bytes)
-                    while end < len(raw) and end > at + 1 and raw[end] & 0xC0 == 0x80:
-                        end -= 1
-                    rows.append((key, n, at, end, len(raw), end == len(raw), raw[at:end].decode("utf-8", "replace")))
-                    at, n = end, n + 1
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "offset", "next_offset", "total", "eof", "chunk"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, chunk_no long, offset long, next_offset long, total long, eof boolean, chunk string")
+    def eval(self, text: str | None, most: int):
+        raw, at, n = (text or "").encode(), 0, 0
+        while at < len(raw) or n == 0:
+            end = min(len(raw), at + most)
+            while end < len(raw) and end > at + 1 and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            yield n, at, end, len(raw), end == len(raw), raw[at:end].decode("utf-8", "replace")
+            at, n = end, n + 1
+
+
+def chunk_artifacts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(id, chunk_no, offset, next_offset, total, eof, chunk): texts cut at ``max_bytes`` bytes or fewer, never inside a code point. A table function joined laterally to the texts."""
+    chunks = F.udtf(_Chunks, returnType="chunk_no long, offset long, next_offset long, total long, eof boolean, chunk string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.lateralJoin(chunks(F.col("text").outer(), F.lit(max_bytes))).drop("text")

@@ -144,6 +144,29 @@ def test_resume_twice_is_no_work(spark):
     assert once.where("source = 'c'").first()["owned_files"] == ["o/c.json", "o/c.md"]
 
 
+def test_a_manifest_stored_by_source_is_not_shuffled(spark):
+    schema = "source string, fingerprint string, fingerprint_version int, status string, output_files array<string>, owned_files array<string>, updated long"
+    old = spark.createDataFrame([(f"s{i}", f"f{i}", 2, "succeeded" if i % 3 else "partial", [f"o/{i}.md"], [f"o/{i}.md"], i) for i in range(50)] + [("s1", "f1", 2, "failed", ["o/x"], ["o/y"], 99)], schema)
+    new = spark.createDataFrame([(f"s{i}", f"g{i}", 2, "succeeded", [f"o/{i}.json"], [], 60) for i in range(40, 60)] + [("s2", "g2", 2, "failed", [], ["o/late"], 0)], schema)
+    base = ["source", "fingerprint", "status", "output_files", "owned_files", "updated"]
+    try:
+        stored = resume.save_manifest(old, "quire_manifest", 8)
+        want = resume.latest_entries(old.select(*base).unionByName(new.select(*base)))
+        merged = resume.merge_manifest(stored.select(*base), new.select(*base))
+        assert sorted(map(repr, merged.collect())) == sorted(map(repr, want.collect())) and merged.count() == 60
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = resume.merge_manifest(stored.select(*base), new.select(*base))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Bucketed: true")]  # the manifest's side comes first
+        docs = spark.createDataFrame([(f"s{i}", f"f{i}", None) for i in range(70)], "source string, fingerprint string, legacy_fingerprint string")
+        planned = resume.plan_incremental(docs, stored, spark.createDataFrame([(f"o/{i}.md",) for i in range(50)], "path string"))
+        lines = planned._jdf.queryExecution().executedPlan().toString().splitlines()
+        joined = [i for i, x in enumerate(lines) if "FileScan" in x and "status" in x.split("Bucketed")[0]]
+        assert joined and all("Exchange" not in x for i in joined for x in lines[i - 3 : i])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS quire_manifest")
+
+
 def test_admission_stays_below_cap_and_last(spark):
     rows = [(1, i, i, 0.1 * (i % 5), None if i % 7 else "resumed") for i in range(5000)]
     d = spark.createDataFrame(rows, "run_id long, pos long, doc_id long, cost double, skip_reason string")
