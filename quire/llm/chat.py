@@ -11,7 +11,7 @@ The loss mask is an array of [start, length) ranges of code points of the format
 
 Defined cases: a null text or role is an empty one. Turns sort by turn (null first), then role, then text, so
 repeated rows stay, side by side. Rows with a null conv_id form one conversation of their own. An
-empty table gives no rows. Extra columns are ignored.
+empty table gives no rows. Extra columns are ignored. A very long text is one turn like any other; a conversation is as long as one row may be.
 """
 
 from __future__ import annotations

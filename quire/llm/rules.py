@@ -6,7 +6,8 @@ order is learned: on a sample, each rule is timed and its rejections counted, ta
 run from the most rejections per second down. The order changes the cost, never the verdict.
 
 Defined cases: null or empty text has no words and fails ``few_words``. Repeated rows get the same
-verdict. An empty table has no sample; the rules then run as they are listed. Extra columns are kept.
+verdict. An empty table has no sample; the rules then run as they are listed. Extra columns are kept. Very long
+texts are read whole; a rule's bound holds at the bound itself (ties are kept).
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@
 Defined cases: null or empty text has fingerprint 0 and is linked like any other. Rows with a null
 ``doc_id`` are fingerprinted and link others; a component of only such rows has a null id. Repeated
 rows all come back with their component. An empty table gives an empty result. Extra columns do not
-matter: only ``doc_id`` and ``text`` are read.
+matter: only ``doc_id`` and ``text`` are read. Very long texts are read whole; a bit that is set in just half of the shingles (a tie) is 0.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ adaptive execution splits; it is never collected.
 
 Defined cases: null or empty text has no words. Rows with a null ``doc_id`` are kept whole and remove
 nothing. Repeated rows (one doc_id) don't remove each other. Extra columns pass through untouched.
+Very long texts are read whole, an empty table stays empty; of equal windows that of the smallest doc_id stays, ties within one document both.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ table that lists them is the commit.
 
 Defined cases: a null html is an empty payload, a null url an empty target. A null page_id ranks below
 every other. Repeated rows with the largest page_id of a payload are all responses. An empty table
-gives an empty manifest. Extra columns are ignored.
+gives an empty manifest. Extra columns are ignored. A very long page is one record like any other; a file holds it whole.
 """
 
 from __future__ import annotations
