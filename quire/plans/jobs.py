@@ -29,6 +29,9 @@ _USAGE_JSON = """SELECT event_id AS request_id, CASE event_id % 3
     WHEN 0 THEN concat('{"usageMetadata": {"promptTokenCount": ', CAST(event_id % 1000 AS VARCHAR(20)), ', "candidatesTokenCount": 7, "thoughtsTokenCount": 3, "cachedContentTokenCount": 2}}')
     WHEN 1 THEN concat('{"usage": {"prompt_tokens": ', CAST(event_id % 1000 AS VARCHAR(20)), ', "completion_tokens": 5, "completion_tokens_details": {"reasoning_tokens": 4}, "cost": 0.25}}')
     ELSE concat('{"usage": {"input_tokens": ', CAST(event_id % 1000 AS VARCHAR(20)), ', "output_tokens": 6, "total_tokens": 99}}') END AS response FROM events"""
+#: counters of the responses above, in the spellings that stand there
+_USAGE_KEYS = {"input_tokens": ("promptTokenCount", "prompt_tokens", "input_tokens"), "output_tokens": ("candidatesTokenCount", "completion_tokens", "output_tokens"), "thought_tokens": ("thoughtsTokenCount", "completion_tokens_details.reasoning_tokens"),
+               "cached_tokens": ("cachedContentTokenCount",), "total": ("total_tokens",)}
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 # URLs taken apart in SQL: scheme, authority, host, numeric address, port, path
 _URLS = """u0 AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, regexp_replace(regexp_replace(url, '^[A-Za-z]+:/*', ''), '#.*$', '') AS rest FROM {source}),
@@ -45,6 +48,7 @@ _URLS = """u0 AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS sc
 _ENTITIES_SQL = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<svg\b[^>]*>.*?</svg\s*>|<!--.*?-->', ' ', 'g'), '(?i)<(?:br|/(?:p|div|li|h[1-6]|tr|title|ul|ol|table|section|article|nav|header|footer))\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
 for _entity, _char in (("&nbsp;", "chr(32)"), ("&lt;", "chr(60)"), ("&gt;", "chr(62)"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "chr(38)")):
     _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '{_entity}', {_char})"
+_PAGE_TEXT = f"regexp_replace(regexp_replace(regexp_replace({_ENTITIES_SQL}, '[ \\t\u00a0]+', ' ', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 _REDACT = [("bearer", r"(?i)\b(bearer)\s+[A-Za-z0-9._+=/-]+", "Bearer [REDACTED]"), ("key", r"\b[sr]k-[A-Za-z0-9_-]{8,}", "[REDACTED_KEY]"), ("google", r"\bAIza[A-Za-z0-9_-]{10,}", "[REDACTED_KEY]"),
            ("assignment", r"(?i)\b(apikey|api_key|api-key|token|authorization)\s*[:=]\s*[\x27\x22]?[^\s\x27\x22,;]+", r"\1=[REDACTED]")]
 _REDACT_SQL = f"WITH s AS ({_SECRETS}), r0 AS (SELECT doc_id, replace(text, 'swordfish-9000', '[REDACTED_KEY]') AS t FROM s)"
@@ -118,10 +122,11 @@ PLANS = {
             ('budget_exhausted', 'time_budget_reached', 'increase_timeout'), ('cost_limit_reached', 'cost_limit_reached', 'increase_max_cost'), ('confused', 'confused', 'review_partial_output')) AS v(stop, why, next)),
           j AS (SELECT r.doc_id, r.status, coalesce(why, CASE WHEN n IS NOT NULL THEN 'validation_failed' END) AS why, coalesce(next, CASE WHEN n IS NOT NULL THEN 'review_partial_output' END) AS next, coalesce(n, 0) AS errors FROM results r LEFT JOIN e ON r.doc_id = e.doc_id LEFT JOIN m ON stop = stop_reason)
         SELECT doc_id, CASE WHEN status = 'succeeded' AND why IS NOT NULL THEN 'partial' ELSE status END AS status, CASE WHEN status = 'succeeded' THEN why END AS reason, CASE WHEN status = 'succeeded' THEN next END AS next_action, errors FROM j"""),
-    "u01_usage_from_responses": (lambda v: u.usage_from_responses(v.sql(_USAGE_JSON)).drop("response"), """
-        SELECT event_id AS request_id, event_id % 1000 AS input_tokens, CASE event_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 5 ELSE 6 END::BIGINT AS output_tokens, CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 0 END::BIGINT AS thought_tokens,
-          CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END::BIGINT AS cached_tokens, CASE WHEN event_id % 3 = 1 THEN 0.25::DOUBLE END AS exact_cost,
-          CASE event_id % 3 WHEN 0 THEN event_id % 1000 + 10 WHEN 1 THEN event_id % 1000 + 5 ELSE 99 END AS total_tokens FROM events"""),
+    "u01_usage_from_responses": (lambda v: u.usage_from_responses(v.sql(_USAGE_JSON)).drop("response"), f"""
+        WITH r AS (SELECT request_id, coalesce(json_extract(response, '$.usageMetadata'), json_extract(response, '$.usage')) AS u FROM ({_USAGE_JSON})),
+          n AS (SELECT request_id, {", ".join(f"coalesce({', '.join(f"TRY_CAST(json_extract_string(u, '$.{k}') AS BIGINT)" for k in keys)}, 0) AS {name}" for name, keys in _USAGE_KEYS.items())},
+                  TRY_CAST(json_extract_string(u, '$.cost') AS DOUBLE) AS exact_cost, json_exists(u, '$.completion_tokens') OR json_exists(u, '$.output_tokens') AS one FROM r)
+        SELECT request_id, input_tokens, output_tokens, thought_tokens, cached_tokens, exact_cost, CASE WHEN total > 0 THEN total ELSE input_tokens + output_tokens + CASE WHEN one THEN 0 ELSE thought_tokens END END AS total_tokens FROM n"""),
     "u02_combine_parts": (lambda v: u.combine_parts(v("usage_log").withColumn("request_id", F.floor(F.col("request_id") / 3)).withColumn("exact_cost", F.when(F.col("request_id") % 4 > 0, F.col("exact_cost").cast("double")).when(F.lit(True), 0.5))), """
         SELECT request_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CASE WHEN bool_and(c IS NOT NULL) THEN sum(c) END AS exact_cost, count(*) AS parts
         FROM (SELECT CAST(floor(request_id / 3.0) AS BIGINT) AS request_id, input_tokens, output_tokens, CASE WHEN CAST(floor(request_id / 3.0) AS BIGINT) % 4 > 0 THEN CAST(exact_cost AS DOUBLE) ELSE 0.5 END AS c FROM usage_log) GROUP BY request_id"""),
@@ -157,8 +162,8 @@ PLANS = {
         WITH {_URLS.format(source=f"(SELECT 0 AS side, url, NULL AS content FROM url_list UNION ALL SELECT 1, url, content FROM ({_RETURNED}) t)")},
           q AS (SELECT DISTINCT key FROM keyed WHERE side = 0), g AS (SELECT key, count(*) AS n, bool_or(trim(content) <> '') AS filled FROM keyed WHERE side = 1 GROUP BY 1)
         SELECT coalesce(q.key, g.key) AS key, CASE WHEN q.key IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN NOT filled THEN 'empty' ELSE 'matched' END AS verdict FROM q FULL OUTER JOIN g ON q.key = g.key"""),
-    "w04_page_text": (lambda v: w.page_text(v("pages")).select("page_id", "text"), f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_ENTITIES_SQL}, '[ \\t\u00a0]+', ' ', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages"),
-    "w04_text_profile": (lambda v: w.text_profile(v.sql("SELECT url, html AS text FROM pages")), f"SELECT {_HOST} AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars, max(length(html)) AS longest FROM pages GROUP BY 1"),
+    "w04_page_text": (lambda v: w.page_text(v("pages")).select("page_id", "text"), f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages"),
+    "w04_text_profile": (lambda v: w.text_profile(w.page_text(v("pages"))), f"SELECT {_HOST} AS host, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest FROM (SELECT url, {_PAGE_TEXT} AS text FROM pages) GROUP BY 1"),
     "w05_combine_pages": (lambda v: w.combine_pages(v.sql(_SITES), "site").withColumn("combined", F.sha2("combined", 256)), f"""
         WITH y AS (SELECT * REPLACE (coalesce(text, '') AS text, coalesce(nullif(trim(title), ''), url) AS title) FROM ({_SITES}) QUALIFY row_number() OVER (PARTITION BY site, coalesce(text, '') ORDER BY pos) = 1)
         SELECT site, CAST(floor(pos / 64) AS BIGINT) AS part, count(*) AS pages, sha256(string_agg(concat('# ', title, chr(10), 'Source: ', url, chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY pos)) AS combined FROM y GROUP BY ALL"""),
