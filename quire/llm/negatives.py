@@ -82,6 +82,12 @@ def encode(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.stack(codes), np.stack(along), np.stack(left), length
 
 
+def _ones(words: np.ndarray) -> np.ndarray:
+    """The ones in each row of words."""
+    counts = np.bitwise_count(words)
+    return counts[:, 0].astype(np.int32) if counts.shape[1] == 1 else counts.sum(axis=1, dtype=np.int32)
+
+
 class Planes:
     """A rotated query as bit planes: steps above its lowest component."""
 
@@ -95,10 +101,10 @@ class Planes:
 
     def along(self, codes: np.ndarray) -> np.ndarray:
         """Inner products of the quantised query with the unit vectors that codes [row, word] stand for."""
-        weighted = np.zeros(len(codes), np.int64)
+        weighted = np.zeros(len(codes), np.int32)
         for i, plane in enumerate(self.planes):
-            weighted += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << i
-        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+            weighted += _ones(codes & plane) << i
+        ones = _ones(codes)
         return (2 * (self.low * ones + self.step * weighted) - self.total) / np.sqrt(self.size)
 
 
