@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -62,24 +64,30 @@ def _bits(a, b) -> int:
 def _banded(a, b, k: int) -> int:
     """The distance of ``a`` and ``b`` if it is at most ``k``, else some number above ``k``: only the 2k + 1 diagonals around the main one are worked out,
     as one integer that slides down by a row with each item of ``b``. 0 < k < len(a), and the lengths differ by k at most."""
-    m, wide = len(a), 2 * k + 1
+    m, n, wide = len(a), len(b), 2 * k + 1
     every, top = (1 << wide) - 1, 2 * k
     up, down, far = every >> k << k, 0, k
-    strip = max(wide, 256)
-    for begin in range(0, len(b), strip):
+    strip, turn = max(wide, 256), min(m - k, n)
+    for begin in range(0, n, strip):
         at = _letters(a, begin - k, begin + strip + k)
-        for j, c in enumerate(b[begin : begin + strip], begin):
-            same = at.get(c, 0) >> (j - begin) & every
-            d = (((same & up) + up) ^ up) | same | down
-            more = down | every & ~(d | up)
+        end = min(begin + strip, n)
+        for off, c in enumerate(b[begin : min(end, max(begin, turn))]):  # down the lowest diagonal, until it meets the last row
+            same = at.get(c, 0) >> off
+            d = ((((same & up) + up) ^ up) | same | down) & every
+            more = down | (every ^ (d | up))
+            less = d & up
+            d >>= 1
+            far += not d >> (top - 1)
+            up, down = less | (every ^ (d | more)), d & more
+        for j in range(max(begin, turn), end):  # along the last row
+            same = at.get(b[j], 0) >> (j - begin)
+            d = ((((same & up) + up) ^ up) | same | down) & every
+            more = down | (every ^ (d | up))
             less = d & up
-            if j < m - k:  # down the lowest diagonal, until it meets the last row, then along that
-                far += ~d >> top & 1
-            else:
-                bit = m - 1 - j + k
-                far += (more >> bit & 1) - (less >> bit & 1)
-            d = (d & every) >> 1
-            up, down = less | every & ~(d | more), d & more
+            bit = m - 1 - j + k
+            far += (more >> bit & 1) - (less >> bit & 1)
+            d >>= 1
+            up, down = less | (every ^ (d | more)), d & more
     return far
 
 
@@ -97,7 +105,7 @@ def _alike(a, b, i: int, j: int) -> int:
     return min(n, most)
 
 
-DIAGONALS = 12
+DIAGONALS = 6
 
 
 def _few(a, b, most: int) -> tuple[int | None, int]:
@@ -137,7 +145,9 @@ def edits(a, b) -> int:
     far, reached = _few(a, b, DIAGONALS)
     if far is not None:
         return far
-    k = max(64, abs(len(a) - len(b)) + 16, 2 * DIAGONALS * len(a) // max(1, reached))
+    k = max(64, abs(len(a) - len(b)) + 16, 4 * DIAGONALS * len(a) // max(1, reached))
+    if not isinstance(a, str):  # what one side has more often than the other needs an edit each
+        k = max(k, 5 * (max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values())) // 4)
     while k < len(a) // 2:
         far = _banded(a, b, k)
         if far <= k:

@@ -17,9 +17,10 @@ LINE_ENDS = "\n\r\u2028\u2029"
 PLAIN = str.maketrans({"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2015": "-"})
 UNIT_PLAIN = str.maketrans({"\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\uff3f": "_", "\u2013": "-", "\u2014": "-", "\u2011": "-", "\u2012": "-",
                             "\u2212": "-", "\u00b5": "\u03bc"})
-_UNMARKED = str.maketrans("", "", "*_~`")
 _RUN = re.compile(f"[{SPACES}]+")
 _LINE_END = re.compile(f"[{LINE_ENDS}]")
+_FANCY = re.compile(f"[{''.join(map(chr, PLAIN))}]")
+_ITEM = re.compile(r"[-*+] |[0-9][.)] ")
 
 
 def _past(text: str, at: int, chars: str, most: int | None = None) -> int:
@@ -105,15 +106,22 @@ def untagged(text: str) -> str:
 
 def plain(markdown: str) -> str:
     """Display Markdown as text: code stays without its fences, links and pictures leave their labels, tags a space, lines lose their heading, list and quote marks."""
-    text = untagged(unlinked(unlinked(without_fences(markdown), "![", 0), "[", 1))
-    for lead in (_heading, _item, _quote):
-        text = without_leads(text, lead)
-    return text.translate(_UNMARKED).replace("\r\n", "\n").replace("\r", "\n").strip(SPACES)
+    text = without_fences(markdown) if "```" in markdown else markdown
+    if "[" in text:
+        text = unlinked(unlinked(text, "![", 0), "[", 1)
+    text = untagged(text) if "<" in text else text
+    for lead, may in ((_heading, "#" in text), (_item, _ITEM.search(text)), (_quote, ">" in text)):
+        text = without_leads(text, lead) if may else text
+    for mark in "*_~`":
+        text = text.replace(mark, "")
+    return text.replace("\r\n", "\n").replace("\r", "\n").strip(SPACES)
 
 
 def normal(markdown: str) -> str:
     """Plain text, compatibility-composed, straight quotes and dashes, single spaces, lower case."""
-    return _RUN.sub(" ", unicodedata.normalize("NFKC", plain(markdown)).translate(PLAIN)).strip(" ").lower()
+    text = unicodedata.normalize("NFKC", plain(markdown))
+    text = text.translate(PLAIN) if _FANCY.search(text) else text
+    return _RUN.sub(" ", text).strip(" ").lower()
 
 
 def unpaired(text: str, marks: tuple[str, ...]) -> str:

@@ -12,9 +12,14 @@ from quire.functions.distance import found_within, indel_ratio, starts_before, t
 from quire.functions.text import normalized, unit_test_text, words
 
 
+def _by_document(rows: DataFrame) -> DataFrame:
+    """Rows dealt by document: what follows takes far longer than reading them, joins and groups by document, and so shuffles no more."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "doc_id")
+
+
 def _edited(pairs: DataFrame) -> DataFrame:
     """(doc_id, edits and lengths) of each pair, worked out once."""
-    return pairs.select("doc_id", text_edits("reference", "prediction").alias("e")).select("doc_id", "e.*")
+    return _by_document(pairs).select("doc_id", text_edits("reference", "prediction").alias("e")).select("doc_id", "e.*")
 
 
 def _rate(edits: str, length: str, other: str) -> Column:
@@ -39,7 +44,7 @@ def corpus_error_rates(pairs: DataFrame) -> DataFrame:
 def token_overlap(pairs: DataFrame) -> DataFrame:
     """(doc_id, coverage, unsupported): shares of the reference's words found, and of the prediction's not in it, as multisets. Words are what spaces
     part in normalized text of any script."""
-    sides = pairs.select("doc_id", normalized("reference").alias("r"), normalized("prediction").alias("p"))
+    sides = _by_document(pairs).select("doc_id", normalized("reference").alias("r"), normalized("prediction").alias("p"))
     side = lambda c, r: F.transform(F.coalesce(words(F.col(c)), F.array().cast("array<string>")), lambda x: F.struct(x.alias("token"), F.lit(r).alias("r"), F.lit(1 - r).alias("p")))
     token = F.explode(F.concat(side("r", 1), side("p", 0)))
     both = sides.select("doc_id", token.alias("t")).groupBy("doc_id", "t.token").agg(F.sum("t.r").alias("r"), F.sum("t.p").alias("p"))
@@ -99,7 +104,7 @@ def _most(tests: DataFrame) -> Column:
 def presence_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
     """(test_id, doc_id, passed) for present and absent tests, on normalized texts. What ``contains`` finds is found; only tests with ``max_diffs`` of
     which that isn't so are looked at further: around the places where one of max_diffs + 1 pieces of the needle stands."""
-    rows = tests.where(F.col("type").isin("present", "absent")).join(outputs.select("doc_id", F.col("text").alias("output")), "doc_id")
+    rows = tests.where(F.col("type").isin("present", "absent")).join(_by_document(outputs.select("doc_id", F.col("text").alias("output"))), "doc_id")
     cased = lambda c: F.when(F.coalesce("case_sensitive", F.lit(True)), F.col(c)).otherwise(F.lower(c))
     rows = rows.withColumns({"output": unit_test_text("output"), "needle": unit_test_text("text")}).withColumns({"output": cased("output"), "needle": cased("needle")})
     rows = rows.select("test_id", "doc_id", "type", "needle", _cut().alias("hay"), _most(tests).alias("k"))
@@ -112,7 +117,7 @@ def presence_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
 def order_tests(tests: DataFrame, outputs: DataFrame) -> DataFrame:
     """Passes if the first start of ``before`` lies before the last start of ``after`` in the normalized text, both within ``max_diffs``
     edits (0 where there is no such column); exact tests need no Python."""
-    rows = tests.where(F.col("type") == "order").join(outputs.select("doc_id", F.col("text").alias("output")), "doc_id")
+    rows = tests.where(F.col("type") == "order").join(_by_document(outputs.select("doc_id", F.col("text").alias("output"))), "doc_id")
     rows = rows.select("test_id", "doc_id", *[unit_test_text(c).alias(c) for c in ("before", "after", "output")], _most(tests).alias("k"))
     plain = (F.col("k") == 0) & (F.length("before") > 0) & (F.length("after") > 0)
     first = F.call_function("locate", F.col("before"), F.col("output"))
