@@ -53,7 +53,9 @@ def _path(path: Column) -> Column:
     """A path without dot segments; empty is the root."""
     dot, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
     parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s.rlike(two), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s.rlike(dot), a).otherwise(F.concat(a, F.array(s))))
+    kept = F.aggregate(parts,
+        F.array().cast("array<string>"), lambda a, s: F.when(s.rlike(two), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s.rlike(dot), a)
+        .otherwise(F.concat(a, F.array(s))))
     tail = F.when(F.element_at(parts, -1).rlike(two) | F.element_at(parts, -1).rlike(dot), "/").otherwise("")
     return F.when(path == "", "/").when(~path.rlike(r"(?i)/(\.|%2e)"), path).otherwise(let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, tail).otherwise(""))))
 
@@ -68,18 +70,22 @@ def _simple(u: Column) -> Column:
     """The parts of a URL that ``_SIMPLE`` holds for."""
     part = lambda i: F.regexp_extract(u, _SIMPLE, i)
     none = F.lit(None).cast("long")
-    return F.struct(part(1).alias("scheme"), F.lit(False).alias("at"), F.lower(part(2)).alias("host"), none.alias("address"), none.alias("port"), F.when(part(3) == "", "/").otherwise(part(3)).alias("path"), part(4).alias("query"), F.lit(True).alias("valid"))
+    return F.struct(part(1).alias("scheme"), F.lit(False).alias("at"), F.lower(part(2)).alias("host"), none.alias("address"), none.alias("port"),
+        F.when(part(3) == "", "/").otherwise(part(3)).alias("path"), part(4).alias("query"), F.lit(True).alias("valid"))
 
 
 def bits(host: Column) -> Column:
     """The bits of an address in text, 32 for a dotted IPv4 and 128 for an IPv6 with or without brackets, as zeros and ones; null for anything else."""
     h = F.regexp_replace(F.lower(F.trim(host)), r"^\[|\]$|%.*$", "")
     binary = lambda n, wide: F.lpad(F.conv(n, 10, 2), wide, "0")
-    four = lambda t: F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(F.split(t, r"\."), lambda x: x.cast("int") < 256), F.array_join(F.transform(F.split(t, r"\."), lambda x: binary(x, 8)), ""))
+    four = lambda t: F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(F.split(t, r"\."), lambda x: x.cast("int") < 256),
+        F.array_join(F.transform(F.split(t, r"\."), lambda x: binary(x, 8)), ""))
 
     def six(t: Column) -> Column:
         tail = F.substring_index(t, ":", -1)  # the last 32 bits may be dotted
-        whole = F.when(tail.contains("."), F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)), F.conv(F.substring(four(tail), 1, 16), 2, 16), F.lit(":"), F.conv(F.substring(four(tail), 17, 16), 2, 16))).otherwise(t)
+        whole = F.when(tail.contains("."),
+            F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)), F.conv(F.substring(four(tail), 1, 16), 2, 16), F.lit(":"),
+                F.conv(F.substring(four(tail), 17, 16), 2, 16))).otherwise(t)
         groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
 
         def filled(w: Column) -> Column:
@@ -117,17 +123,21 @@ def parsed_url(url: str | Column) -> Column:
         host = F.when(host.contains("%"), F.coalesce(F.lower(F.call_function("try_url_decode", host)), host)).otherwise(host)
         host = F.translate(host, "０１２３４５６７８９．。", "0123456789..")
         path = F.when(has, F.regexp_replace(s["front"], "^//[^/]*", "")).otherwise(s["front"])
-        return let(F.struct(s["scheme"].alias("scheme"), s["special"].alias("special"), (own.contains("@")).alias("at"), user.alias("user"), host.alias("host"), port.alias("port"), path.alias("path"), s["query"].alias("query"), ipv4(host).alias("ip")), done)
+        return let(F.struct(s["scheme"].alias("scheme"), s["special"].alias("special"), (own.contains("@")).alias("at"), user.alias("user"),
+                host.alias("host"), port.alias("port"), path.alias("path"), s["query"].alias("query"), ipv4(host).alias("ip")), done)
 
     def done(s: Column) -> Column:
         numeric = s["special"] & s["ip"]["numeric"]
         port = F.coalesce(s["port"].try_cast("long"), F.lit(-1))
         default = F.coalesce(*[F.when(s["scheme"] == k, p) for k, p in DEFAULT_PORTS.items()], F.lit(-2))
         host = F.when(numeric & s["ip"]["address"].isNotNull(), dotted(s["ip"]["address"])).otherwise(s["host"])
-        bad = s["host"].rlike(r"[\x00-\x20#%/<>?@\\^|\x7f]") | (s["host"].contains(":") & ~s["host"].rlike(r"^\[[0-9a-f:.]+\]$")) | (numeric & s["ip"]["address"].isNull()) | (port > 65535) | (s["special"] & (s["host"] == ""))
+        bad = s["host"].rlike(r"[\x00-\x20#%/<>?@\\^|\x7f]") | (s["host"].contains(":") & ~s["host"].rlike(r"^\[[0-9a-f:.]+\]$")) | (numeric
+                & s["ip"]["address"].isNull()) | (port > 65535) | (s["special"] & (s["host"] == ""))
         path = F.when(s["special"] | s["path"].startswith("/"), _path(s["path"])).otherwise(s["path"])
-        return F.struct(s["scheme"].alias("scheme"), s["at"].alias("at"), host.alias("host"), F.when(numeric, s["ip"]["address"]).alias("address"), F.when((port >= 0) & (port != default), port).alias("port"),
-                        _escaped(path, "`{}").alias("path"), F.when(s["query"] != "", F.concat(F.lit("?"), _escaped(s["query"], "'"))).otherwise("").alias("query"), ((s["scheme"] != "") & ~bad).alias("valid"))
+        return F.struct(s["scheme"].alias("scheme"), s["at"].alias("at"), host.alias("host"), F.when(numeric, s["ip"]["address"]).alias("address"),
+            F.when((port >= 0) & (port != default), port).alias("port"), _escaped(path, "`{}").alias("path"),
+            F.when(s["query"] != "", F.concat(F.lit("?"), _escaped(s["query"], "'"))).otherwise("").alias("query"),
+            ((s["scheme"] != "") & ~bad).alias("valid"))
 
     simple = F.col(url) if isinstance(url, str) else url
     return F.when(simple.rlike(_SIMPLE), _simple(simple)).otherwise(let(u, split))

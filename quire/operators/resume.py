@@ -42,9 +42,11 @@ def plan_incremental(docs: DataFrame, manifest: DataFrame, existing: DataFrame,
     both = docs.join(m, "source", "left")
     legacy = F.coalesce((F.col("known") != F.col("fingerprint")) & F.col("fingerprint_version").isNull() & (F.col("known") == F.col("legacy_fingerprint")), F.lit(False))
     reason = (F.when(F.lit(overwrite), "overwrite").when(F.col("status").isNull(), "new").when(F.col("status") != "succeeded", F.col("status"))
-              .when((F.col("known") != F.col("fingerprint")) & ~legacy, "changed").when(F.coalesce("hidden", F.lit(False)), "hidden-output").when(~F.coalesce("all_there", F.lit(True)), "missing-output").otherwise("unchanged"))
+        .when((F.col("known") != F.col("fingerprint")) & ~legacy, "changed").when(F.coalesce("hidden", F.lit(False)), "hidden-output")
+        .when(~F.coalesce("all_there", F.lit(True)), "missing-output").otherwise("unchanged"))
     plan = both.withColumn("reason", reason).withColumn("legacy", legacy)
-    return plan.select("source", "fingerprint", F.when(F.col("reason") == "unchanged", "resume").otherwise("extract").alias("action"), "reason", (legacy & (F.col("reason") == "unchanged")).alias("legacy"))
+    return plan.select("source", "fingerprint", F.when(F.col("reason") == "unchanged", "resume").otherwise("extract").alias("action"), "reason",
+        (legacy & (F.col("reason") == "unchanged")).alias("legacy"))
 
 
 def upgrade_legacy(plan: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -56,13 +58,15 @@ def upgrade_legacy(plan: DataFrame, manifest: DataFrame) -> DataFrame:
 def claim_pending(plan: DataFrame, manifest: DataFrame) -> DataFrame:
     """Pending, queued rows for all that will be extracted; earlier files and the error of the run before are kept."""
     keep = manifest.select("source", "output_files", "owned_files", "error")
-    return plan.where("action = 'extract'").join(keep, "source", "left").select("source", "fingerprint", F.lit("pending").alias("status"), F.lit(True).alias("queued"), "output_files", "owned_files", "error")
+    return (plan.where("action = 'extract'").join(keep, "source", "left")
+        .select("source", "fingerprint", F.lit("pending").alias("status"), F.lit(True).alias("queued"), "output_files", "owned_files", "error"))
 
 
 def latest_entries(rows: DataFrame) -> DataFrame:
     """The newest row of each source; ``owned_files`` are those of all its rows."""
     own = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("output_files", "owned_files")])
-    g = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "status", "output_files", "updated"), F.struct("updated", "status")).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))).alias("owned_files"))
+    g = rows.groupBy("source").agg(F.max_by(F.struct("fingerprint", "status", "output_files", "updated"), F.struct("updated", "status")).alias("n"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))).alias("owned_files"))
     return g.select("source", "n.fingerprint", "n.status", "n.output_files", "owned_files", "n.updated")
 
 
@@ -97,7 +101,8 @@ def batch_status(manifest: DataFrame, existing: DataFrame, sources: DataFrame |
     (``sources``: path) that are gone, artifacts without an owner, leftovers, whether the last run left documents out, and ``healthy``."""
     status, skip = F.col("status"), F.coalesce(F.col("skip_reason"), F.lit(""))
     counts = [F.count_if(status == x).alias(x) for x in ("succeeded", "partial", "failed", "skipped")]
-    entries = manifest.agg(F.count("*").alias("total"), *counts, F.count_if((status == "pending") & ~F.col("queued")).alias("interrupted"), F.count_if((status == "pending") & F.col("queued")).alias("waiting"))
+    entries = manifest.agg(F.count("*").alias("total"), *counts, F.count_if((status == "pending") & ~F.col("queued")).alias("interrupted"),
+        F.count_if((status == "pending") & F.col("queued")).alias("waiting"))
     gone = manifest.select("source", F.explode("output_files").alias("path")).join(existing.select("path"), "path", "left_anti")
     lost = manifest.select("source").join(sources.select(F.col("path").alias("source")), "source", "left_anti") if sources is not None else manifest.limit(0)
     kinds = audit_outputs(existing, manifest).agg(F.count_if(F.col("kind") == "untracked").alias("untracked_artifacts"), F.count_if(F.col("kind") == "stray").alias("stray_files"))
@@ -108,7 +113,8 @@ def batch_status(manifest: DataFrame, existing: DataFrame, sources: DataFrame |
     else:
         left_out = (status == "skipped") & ~skip.isin("resumed", "validated")
         limited = F.coalesce(F.bool_or(skip == "cost-limit"), F.lit(False))
-        last = results.agg(F.count("*").alias("total"), *counts, (F.count_if(left_out) > 0).alias("last_run_incomplete"), ((F.count_if(status.isin("failed", "partial") | left_out) == 0) & ~limited).alias("last_run_ok"))
+        last = results.agg(F.count("*").alias("total"), *counts, (F.count_if(left_out) > 0).alias("last_run_incomplete"),
+            ((F.count_if(status.isin("failed", "partial") | left_out) == 0) & ~limited).alias("last_run_ok"))
         row = row.drop(*run).join(last)  # one row each, as below
     for part in (gone.agg(F.count("*").alias("missing_artifacts")), lost.agg(F.count("*").alias("missing_sources")), kinds):
         row = row.join(part)

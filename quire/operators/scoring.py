@@ -32,13 +32,15 @@ def text_error_rates(pairs: DataFrame) -> DataFrame:
 
     The prediction is display Markdown, null is empty. Distances count code points, lengths UTF-16 units."""
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("nd") / F.greatest("n_nr", "n_np", F.lit(1))))
-    return _edited(pairs).select("doc_id", _rate("d", "n_r", "n_p").alias("cer"), _rate("nd", "n_nr", "n_np").alias("normalized_cer"), similarity.alias("similarity"), _rate("wd", "wr", "wp").alias("wer"))
+    return _edited(pairs).select("doc_id", _rate("d", "n_r", "n_p").alias("cer"), _rate("nd", "n_nr", "n_np").alias("normalized_cer"),
+        similarity.alias("similarity"), _rate("wd", "wr", "wp").alias("wer"))
 
 
 def corpus_error_rates(pairs: DataFrame) -> DataFrame:
     """One row for all pairs: documents, and the rates of the corpus, all edits by all lengths of the references."""
     total = _edited(pairs).groupBy().agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d", "nd", "wd", "n_r", "n_p", "n_nr", "n_np", "wr", "wp")])
-    return total.select("documents", F.col("d").alias("edits"), F.col("n_r").alias("chars"), _rate("d", "n_r", "n_p").alias("cer"), _rate("nd", "n_nr", "n_np").alias("normalized_cer"), _rate("wd", "wr", "wp").alias("wer"))
+    return total.select("documents", F.col("d").alias("edits"), F.col("n_r").alias("chars"), _rate("d", "n_r", "n_p").alias("cer"),
+        _rate("nd", "n_nr", "n_np").alias("normalized_cer"), _rate("wd", "wr", "wp").alias("wer"))
 
 
 def token_overlap(pairs: DataFrame) -> DataFrame:
@@ -50,7 +52,8 @@ def token_overlap(pairs: DataFrame) -> DataFrame:
     both = sides.select("doc_id", token.alias("t")).groupBy("doc_id", "t.token").agg(F.sum("t.r").alias("r"), F.sum("t.p").alias("p"))
     g = both.groupBy("doc_id").agg(F.sum("r").alias("nr"), F.sum("p").alias("np"), F.sum(F.least("r", "p")).alias("hit"))
     rows = pairs.select("doc_id").join(g, "doc_id", "left").na.fill(0)
-    return rows.select("doc_id", F.when(F.col("nr") == 0, 1.0).otherwise(F.col("hit") / F.col("nr")).alias("coverage"), F.when(F.col("np") == 0, 0.0).otherwise((F.col("np") - F.col("hit")) / F.col("np")).alias("unsupported"))
+    return rows.select("doc_id", F.when(F.col("nr") == 0, 1.0).otherwise(F.col("hit") / F.col("nr")).alias("coverage"),
+        F.when(F.col("np") == 0, 0.0).otherwise((F.col("np") - F.col("hit")) / F.col("np")).alias("unsupported"))
 
 
 def _ratio(top: Column, bottom: Column, empty: Column | float) -> Column:
@@ -84,10 +87,12 @@ def critical_match(docs: DataFrame, reference: DataFrame, predicted: DataFrame,
 
 def table_cell_scores(docs: DataFrame, reference: DataFrame, predicted: DataFrame) -> DataFrame:
     """F1 over the multiset of (column, value) of each document; empty cells drop out, row order doesn't matter."""
-    cell = lambda d, r: d.where(F.trim("value") != "").select("doc_id", normalized("column_name").alias("c"), normalized("value").alias("v"), F.lit(r).alias("r"), F.lit(1 - r).alias("p")).where("v <> ''")
+    cell = lambda d, r: d.where(F.trim("value") != "").select("doc_id", normalized("column_name").alias("c"), normalized("value").alias("v"),
+        F.lit(r).alias("r"), F.lit(1 - r).alias("p")).where("v <> ''")
     both = cell(reference, 1).unionByName(cell(predicted, 0)).groupBy("doc_id", "c", "v").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
     g = both.groupBy("doc_id").agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum(F.least("r", "p")).alias("tp"))
-    return docs.select("doc_id").join(g, "doc_id", "left").na.fill(0).select("doc_id", F.when(F.col("r") + F.col("p") == 0, 1.0).otherwise(2 * F.col("tp") / (F.col("r") + F.col("p"))).alias("cell_f1"))
+    return (docs.select("doc_id").join(g, "doc_id", "left").na.fill(0)
+        .select("doc_id", F.when(F.col("r") + F.col("p") == 0, 1.0).otherwise(2 * F.col("tp") / (F.col("r") + F.col("p"))).alias("cell_f1")))
 
 
 def _cut() -> Column:
@@ -134,7 +139,8 @@ def table_tests(tests: DataFrame, cells: DataFrame, neighbors: DataFrame, headin
     """Passes if some cell matches, and with it on each stated side one of its neighbours or headings: normalized texts that are equal where
     ``max_diffs`` is 0, else of an indel ratio of 1 - max_diffs / length, 0.5 at least. Cells with spans have several neighbours on a side."""
     cell = ["doc_id", "table_no", "cell_id"]
-    beside = [d.select(*cell, F.explode(F.col(k)).alias("got")).select(*cell, F.lit(k).alias("side"), unit_test_text("got").alias("got")) for d, ks in ((neighbors, _AROUND[:4]), (headings, _AROUND[4:])) for k in ks]
+    beside = [d.select(*cell, F.explode(F.col(k)).alias("got")).select(*cell, F.lit(k).alias("side"), unit_test_text("got").alias("got")) for d,
+        ks in ((neighbors, _AROUND[:4]), (headings, _AROUND[4:])) for k in ks]
     beside = reduce(DataFrame.unionByName, beside)
     stated = F.filter(F.array(*[F.struct(F.lit(k).alias("side"), unit_test_text(k).alias("want")) for k in _AROUND]), lambda x: F.coalesce(x["want"], F.lit("")) != "")
     rows = tests.where(F.col("type") == "table").select("test_id", "doc_id", unit_test_text("cell").alias("want"), stated.alias("stated"), _most(tests).alias("k"))
@@ -144,7 +150,8 @@ def table_tests(tests: DataFrame, cells: DataFrame, neighbors: DataFrame, headin
         close = indel_ratio("want", "got") >= F.greatest(F.lit(0.5), 1 - F.col("k") / F.greatest(F.length("want"), F.lit(1)))
         return pairs.where("k = 0").withColumn("ok", F.coalesce(F.col("want") == F.col("got"), F.lit(False))).unionByName(pairs.where("k > 0").withColumn("ok", F.col("got").isNotNull() & close))
 
-    found = matching(rows.join(neighbors.select(*cell, unit_test_text("text").alias("got")), "doc_id")).where("ok").select("test_id", *cell, "k", F.explode_outer("stated").alias("s")).select("test_id", *cell, "k", "s.side", "s.want")
+    found = (matching(rows.join(neighbors.select(*cell, unit_test_text("text").alias("got")), "doc_id")).where("ok")
+        .select("test_id", *cell, "k", F.explode_outer("stated").alias("s")).select("test_id", *cell, "k", "s.side", "s.want"))
     sided = matching(found.where("side is not null").join(beside, [*cell, "side"], "left")).groupBy("test_id", *cell, "side").agg(F.bool_or("ok").alias("ok"))
     each = found.where("side is null").select("test_id", *cell, F.lit(True).alias("ok")).unionByName(sided.select("test_id", *cell, "ok")).groupBy("test_id", *cell).agg(F.bool_and("ok").alias("ok"))
     passed = each.groupBy("test_id", "doc_id").agg(F.bool_or("ok").alias("passed"))
@@ -166,9 +173,13 @@ def run_assertions(assertions: DataFrame, outputs: DataFrame, metrics: DataFrame
     rows = assertions.join(outputs, "case_id", "left").join(m, (F.col("case_id") == F.col("__c")) & (F.col("metric") == F.col("__m")), "left")
     at = F.expr("try_variant_get(try_parse_json(json), concat('$.', path), 'string')")
     kind = F.col("type")
-    ok = (F.when(F.col("error").isNotNull(), False).when(kind == "contains", F.contains("text", "value")).when(kind == "not_contains", ~F.contains("text", "value")).when(kind == "json_field_equals", at == F.col("expected"))
-          .when(kind == "json_field_exists", F.coalesce(at, F.lit("")) != "").when(kind == "json_field_number_min", F.expr("try_cast(try_variant_get(try_parse_json(json), concat('$.', path), 'string') as double)") >= F.col("min"))
-          .when(kind == "table_min_rows", F.coalesce("table_rows", F.lit(0)) >= F.col("min")).when(kind == "metric_min", F.col("score") >= F.col("min")).when(kind == "metric_max", F.col("score") <= F.col("max")))
+    ok = (F.when(F.col("error").isNotNull(), False).when(kind == "contains", F.contains("text", "value"))
+        .when(kind == "not_contains", ~F.contains("text", "value")).when(kind == "json_field_equals", at == F.col("expected"))
+        .when(kind == "json_field_exists", F.coalesce(at, F.lit("")) != "")
+        .when(kind == "json_field_number_min",
+            F.expr("try_cast(try_variant_get(try_parse_json(json), concat('$.', path), 'string') as double)") >= F.col("min"))
+        .when(kind == "table_min_rows", F.coalesce("table_rows", F.lit(0)) >= F.col("min")).when(kind == "metric_min", F.col("score") >= F.col("min"))
+        .when(kind == "metric_max", F.col("score") <= F.col("max")))
     done = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
     return done.groupBy("case_id").agg(F.bool_and("ok").alias("passed"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("type")))), ",").alias("failed"))
 
@@ -188,7 +199,9 @@ def metric_statistics(metrics: DataFrame) -> DataFrame:
 
 def breakdowns(cases: DataFrame) -> DataFrame:
     """Cases, passes, pass rate, mean metric, mean duration and tokens and total cost over all, by mode, and by tag (a case counts under each of its ``tags``)."""
-    figures = [F.count("*").alias("cases"), F.count_if("passed").alias("passes"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.avg("metric").alias("mean_metric"), F.avg("duration_ms").alias("mean_duration_ms"), F.avg("tokens").alias("mean_tokens"), F.sum("cost").alias("total_cost")]
+    figures = [F.count("*").alias("cases"), F.count_if("passed").alias("passes"), F.avg(F.col("passed").cast("int")).alias("pass_rate"),
+        F.avg("metric").alias("mean_metric"), F.avg("duration_ms").alias("mean_duration_ms"), F.avg("tokens").alias("mean_tokens"),
+        F.sum("cost").alias("total_cost")]
     by_mode = cases.groupingSets([["mode"], []], "mode").agg(*figures, F.grouping_id().alias("level"))
     by_tag = cases.withColumn("tag", F.explode(F.array_distinct("tags"))).groupBy("tag").agg(*figures)
     shown = ["cases", "passes", "pass_rate", "mean_metric", "mean_duration_ms", "mean_tokens", "total_cost"]
@@ -211,7 +224,9 @@ def failure_report(cases: DataFrame) -> DataFrame:
 def provider_matrix(cases: DataFrame, min_score: float = 0.75) -> DataFrame:
     """A row for each route: cases, pass rate, score, status and its rank by mean metric, the best first."""
     g = cases.groupBy("route").agg(F.count("*").alias("cases"), F.avg("metric").alias("mean_metric")).join(weighted_score(cases, "route"), "route")
-    return g.select("route", "cases", "pass_rate", "score", "mean_metric", F.when(F.col("score") >= min_score, "passed").otherwise("failed").alias("status"), F.dense_rank().over(W.orderBy(F.desc("mean_metric"))).alias("rank"))
+    return g.select("route", "cases", "pass_rate", "score", "mean_metric",
+        F.when(F.col("score") >= min_score, "passed").otherwise("failed").alias("status"),
+        F.dense_rank().over(W.orderBy(F.desc("mean_metric"))).alias("rank"))
 
 
 def repeat_stability(cases: DataFrame) -> DataFrame:
@@ -235,7 +250,8 @@ def text_from_blocks(layouts: DataFrame) -> DataFrame:
     """(doc_id, text): blocks in order (no order: last), ignored ones dropped, the first filled of text, latex and stripped html."""
     shown = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (F.col("b.text"), F.col("b.latex"), F.regexp_replace("b.html", "<[^>]+>", " "))])
     rows = layouts.select("doc_id", F.posexplode("blocks").alias("i", "b")).where(~F.coalesce("b.ignore", F.lit(False)))
-    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct(F.col("b.order").isNull().alias("none"), F.col("b.order").alias("o"), "i", shown.alias("s"))))).alias("l"))
+    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(shown.isNotNull(),
+                    F.struct(F.col("b.order").isNull().alias("none"), F.col("b.order").alias("o"), "i", shown.alias("s"))))).alias("l"))
     return g.select("doc_id", F.array_join(F.transform("l", lambda x: x["s"]), "\n").alias("text"))
 
 
@@ -249,7 +265,8 @@ def select_unit_tests(tests: DataFrame, min_tests: int = 3, n: int = 5, seed: st
 #: fixed values: names that a case may use
 MODES = ("simple", "template", "agentic")
 SUITES = ("canary", "full", "benchmark")
-METRICS = ("cer", "normalized_cer", "wer", "normalized_edit_similarity", "text_coverage", "unsupported_text_rate", "field_precision", "field_recall", "field_f1", "critical_field_exact_match", "table_cell_f1", "unit_test_pass_rate")
+METRICS = ("cer", "normalized_cer", "wer", "normalized_edit_similarity", "text_coverage", "unsupported_text_rate", "field_precision", "field_recall",
+    "field_f1", "critical_field_exact_match", "table_cell_f1", "unit_test_pass_rate")
 
 
 def check_cases(cases: DataFrame, suite: str | None = None) -> DataFrame:

@@ -28,15 +28,19 @@ def usage_from_responses(responses: DataFrame, json_col: str = "response") -> Da
     u = F.coalesce(*[F.get_json_object(json_col, f"$.{k}") for k in ("usageMetadata", "usage_metadata", "usage")])
     rows = responses.withColumn("__u", u)
     one = F.get_json_object("__u", "$.completion_tokens").isNotNull() | F.get_json_object("__u", "$.output_tokens").isNotNull()
-    rows = rows.select("*", *[_first("__u", k).alias(n) for n, k in (("input_tokens", INPUT_KEYS), ("output_tokens", OUTPUT_KEYS), ("thought_tokens", THOUGHT_KEYS), ("cached_tokens", CACHED_KEYS), ("__total", TOTAL_KEYS))],
-                       F.coalesce(*[F.get_json_object("__u", f"$.{k}").cast("double") for k in COST_KEYS]).alias("exact_cost"), one.alias("__one"))
+    rows = rows.select("*",
+        *[_first("__u", k).alias(n) for n,
+            k in (("input_tokens", INPUT_KEYS), ("output_tokens", OUTPUT_KEYS), ("thought_tokens", THOUGHT_KEYS), ("cached_tokens", CACHED_KEYS),
+                ("__total", TOTAL_KEYS))], F.coalesce(*[F.get_json_object("__u", f"$.{k}").cast("double") for k in COST_KEYS]).alias("exact_cost"),
+        one.alias("__one"))
     total = F.when(F.col("__total") > 0, F.col("__total")).otherwise(F.col("input_tokens") + F.col("output_tokens") + F.when(F.col("__one"), 0).otherwise(F.col("thought_tokens")))
     return rows.withColumn("total_tokens", total).drop("__u", "__total", "__one")
 
 
 def combine_parts(parts: DataFrame) -> DataFrame:
     """Parts of a request summed; the cost is exact only if every part has one."""
-    return parts.groupBy("request_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.when(F.bool_and(F.col("exact_cost").isNotNull()), F.sum("exact_cost")).alias("exact_cost"), F.count("*").alias("parts"))
+    return parts.groupBy("request_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.when(F.bool_and(F.col("exact_cost").isNotNull()), F.sum("exact_cost")).alias("exact_cost"), F.count("*").alias("parts"))
 
 
 def attach_prices(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -52,7 +56,9 @@ def attach_prices(usage: DataFrame, prices: DataFrame) -> DataFrame:
     price = {c: F.when(shown, F.col(f"__p.{c}")) for c in ("input", "cached", "output")}
     if "custom_input" in usage.columns:
         own = F.col("custom_input").isNotNull() & F.col("custom_output").isNotNull()
-        price = {c: F.when(own, x).otherwise(price[c]) for c, x in (("input", F.col("custom_input").cast("decimal(10,4)")), ("cached", F.lit(None).cast("decimal(10,4)")), ("output", F.col("custom_output").cast("decimal(10,4)")))}
+        price = {c: F.when(own, x).otherwise(price[c]) for c,
+            x in (("input", F.col("custom_input").cast("decimal(10,4)")), ("cached", F.lit(None).cast("decimal(10,4)")),
+                ("output", F.col("custom_output").cast("decimal(10,4)")))}
     return listed.select(*usage.columns, *[price[c].alias(f"{c}_price") for c in ("input", "cached", "output")])
 
 
@@ -68,7 +74,8 @@ def estimate_cost(priced: DataFrame) -> DataFrame:
 
 
 def _totals() -> list[Column]:
-    return [F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("requests"), F.round(F.coalesce(F.sum("cost"), F.lit(0)), 8).cast("decimal(20,8)").alias("cost")]
+    return [F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("requests"),
+        F.round(F.coalesce(F.sum("cost"), F.lit(0)), 8).cast("decimal(20,8)").alias("cost")]
 
 
 def usage_rollup(usage: DataFrame, *keys: str) -> DataFrame:

@@ -13,8 +13,9 @@ PAGES_IN_PART, RULE = 64, "\n\n---\n\n"
 #: fixed values: services that expose private hosts
 TUNNEL_SUFFIXES = ("ngrok.io", "ngrok-free.app", "ngrok.app", "ngrok.dev", "pinggy.io", "pinggy.link", "pinggy.online", "loca.lt")
 #: fixed values: IPv4 ranges that are not globally routable
-PRIVATE_RANGES = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16",
-                  "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+PRIVATE_RANGES = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16", "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
+    "224.0.0.0/4", "240.0.0.0/4")
 #: elements whose content is no text, tags that end a line, and the entities that are read
 SKIPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "svg")) + "|<!--.*?-->"
 BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/ul|/ol|/table|/section|/article|/nav|/header|/footer)\b[^>]*>"
@@ -36,14 +37,16 @@ def filter_urls(urls: DataFrame, blocklists: DataFrame | None = None, url_col: s
     """Adds ``reason``: null for an http(s) URL of a public host without credentials, that no blocklist names. Hosts are read as a fetcher would: ``2130706433``, ``127.1`` and
     ``0x7f.0.0.1`` are 127.0.0.1.
 
-    ``blocklists``: kind (``suffix`` or ``cidr``), value: hosts with all below them, and ranges of IPv4 or IPv6 addresses; other rows and unreadable values block nothing. Each
+    ``blocklists``: kind (``suffix`` or ``cidr``), value: hosts with all below them, and ranges of IPv4 or IPv6 addresses; other rows and unreadable values
+    block nothing. Each
     distinct host meets the list by equal keys: its own suffixes, and the beginnings of its address as long as some range's."""
 
     def reason(u: Column) -> Column:
         tunnel = F.lit(False)
         for s in TUNNEL_SUFFIXES:
             tunnel |= (u["host"] == s) | u["host"].endswith("." + s)
-        return (F.when(~u["scheme"].isin("http", "https"), "scheme").when(u["at"], "credentials").when(u["host"] == "localhost", "loopback").when(~u["valid"], "host").when(_private(u), "private-address").when(tunnel, "tunnel"))
+        return (F.when(~u["scheme"].isin("http", "https"), "scheme").when(u["at"], "credentials").when(u["host"] == "localhost", "loopback")
+            .when(~u["valid"], "host").when(_private(u), "private-address").when(tunnel, "tunnel"))
 
     if blocklists is None:
         return urls.withColumn("reason", let(parsed_url(url_col), reason))
@@ -69,7 +72,8 @@ def blocked_hosts(hosts: DataFrame, blocklists: DataFrame) -> DataFrame:
     lengths = keys.where("key not like 'h:%'").select(F.left("key", F.lit(1)).alias("family"), (F.length("key") - 2).alias("n")).distinct().collect()  # 162 at most
     labels = F.split(F.regexp_replace("host", r"\.+$", ""), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    begins = F.array(*[F.when(F.length("__bits") == (32 if r["family"] == "4" else 128), F.concat(F.lit(f"{r['family']}:"), F.left("__bits", F.lit(r["n"])))) for r in lengths]) if lengths else F.array().cast("array<string>")
+    begins = F.array(*[F.when(F.length("__bits") == (32 if r["family"] == "4" else 128),
+                F.concat(F.lit(f"{r['family']}:"), F.left("__bits", F.lit(r["n"])))) for r in lengths]) if lengths else F.array().cast("array<string>")
     candidates = F.when(F.col("__bits").isNull(), suffixes).otherwise(F.filter(begins, lambda k: k.isNotNull()))
     return hosts.withColumn("__bits", bits(F.col("host"))).select("host", F.explode(candidates).alias("key")).join(keys, "key", "left_semi").select("host").distinct()
 
@@ -80,7 +84,10 @@ def url_key(url: str | Column) -> Column:
 
     def key(u: Column) -> Column:
         path = F.regexp_replace(u["path"], "/+$", "")
-        return F.when(u["valid"], F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"].isNotNull(), F.concat(F.lit(":"), u["port"].cast("string"))).otherwise(""), F.when(path == "", "/").otherwise(path), u["query"]))
+        return F.when(u["valid"],
+            F.concat(u["scheme"], F.lit("://"), u["host"],
+                F.when(u["port"].isNotNull(), F.concat(F.lit(":"), u["port"].cast("string"))).otherwise(""), F.when(path == "", "/").otherwise(path),
+                u["query"]))
 
     return F.coalesce(let(parsed_url(raw), key), F.regexp_replace(F.lower(raw), "/+$", ""))
 
@@ -119,9 +126,11 @@ def text_profile(pages: DataFrame) -> DataFrame:
 def combine_pages(pages: DataFrame, group_col: str, run: int = PAGES_IN_PART) -> DataFrame:
     """(group, part, pages, combined): the pages of a group in order, with title and source, repeated texts dropped first.
 
-    ``pages``: pos, title, url, text and the group. A page without a title is called by its URL; a null text is empty. A part holds the pages of ``run`` positions, so a group of any size is rendered in pieces of a bounded
+    ``pages``: pos, title, url, text and the group. A page without a title is called by its URL; a null text is empty. A part holds the pages of ``run``
+    positions, so a group of any size is rendered in pieces of a bounded
     number of pages; its parts in order, with the rule between them, are the whole."""
-    own = F.struct("pos", F.coalesce(F.when(F.trim("title") != "", F.col("title")), "url", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.struct("pos", F.coalesce(F.when(F.trim("title") != "", F.col("title")), "url", F.lit("")).alias("title"),
+        F.coalesce("url", F.lit("")).alias("url"), F.coalesce("text", F.lit("")).alias("text"))
     first = pages.groupBy(group_col, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__h")).agg(F.min_by(own, "pos").alias("p"))
     block = F.concat(F.lit("# "), F.col("p.title"), F.lit("\nSource: "), F.col("p.url"), F.lit("\n\n"), F.col("p.text"))
     g = first.groupBy(group_col, F.floor(F.col("p.pos") / run).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("p.pos").alias("pos"), block.alias("b")))).alias("l"))

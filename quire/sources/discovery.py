@@ -104,7 +104,8 @@ def sniffed(head: Column) -> Column:
     """Media type by signature, from the hex of the first bytes; null if none is known."""
     box = F.conv(F.substring(head, 1, 8), 16, 10).cast("long")
     end = F.when(box == 0, F.length(head) / 2).otherwise(F.least(box, F.length(head) / 2))
-    compatible = F.filter(F.transform(F.sequence(F.lit(16), F.lit(252), F.lit(4)), lambda o: F.when(o + 4 <= end, F.substring(head, o * 2 + 1, F.lit(8)))), lambda b: b.isNotNull() & (F.length(b) == 8))
+    compatible = F.filter(F.transform(F.sequence(F.lit(16), F.lit(252), F.lit(4)), lambda o: F.when(o + 4 <= end,
+                F.substring(head, o * 2 + 1, F.lit(8)))), lambda b: b.isNotNull() & (F.length(b) == 8))
     brand = F.when((F.substring(head, 9, 8) == "66747970") & (box != 1) & ((box == 0) | (box >= 16)), F.concat(F.array(F.substring(head, 17, 8)), compatible))
     has = lambda *names: F.arrays_overlap(brand, F.array(*[F.lit(n.encode().hex().upper()) for n in names]))
     return (F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg")
@@ -117,7 +118,8 @@ def check_media(files: DataFrame) -> DataFrame:
     head = files.withColumn("h", F.hex(F.substring("content", 1, 256)))
     found = head.select("path", "declared", "size", sniffed(F.col("h")).alias("sniffed"))
     limit = F.when(F.col("declared") == "application/pdf", MAX_PDF_BYTES).otherwise(MAX_IMAGE_BYTES)
-    verdict = F.when(F.col("size") == 0, "empty").when(F.col("size") > limit, "too-large").when(F.col("sniffed").isNull(), "unknown").when(F.col("sniffed") != F.col("declared"), "mismatch").otherwise("ok")
+    verdict = (F.when(F.col("size") == 0, "empty").when(F.col("size") > limit, "too-large").when(F.col("sniffed").isNull(), "unknown")
+        .when(F.col("sniffed") != F.col("declared"), "mismatch").otherwise("ok"))
     return found.select("path", "declared", "sniffed", verdict.alias("verdict"))
 
 
@@ -137,7 +139,8 @@ def check_budget(files: DataFrame, max_files: int = MAX_FILES, max_total_mb: int
 def media_support(files: DataFrame, providers: Sequence[tuple[str, Sequence[str] | None, str]]) -> DataFrame:
     """(path, provider, supported) for files (path, mime) and providers (name, image types, pdfs). No image types takes any image;
     pdfs is true, false, model-dependent or unknown, and only false refuses. Providers are a short list: each file meets it in its own row."""
-    one = lambda name, images, pdfs: F.struct(F.lit(name).alias("provider"), (F.array(*map(F.lit, images)) if images is not None else F.lit(None).cast("array<string>")).alias("images"), F.lit(pdfs).alias("pdfs"))
+    one = lambda name, images, pdfs: F.struct(F.lit(name).alias("provider"),
+        (F.array(*map(F.lit, images)) if images is not None else F.lit(None).cast("array<string>")).alias("images"), F.lit(pdfs).alias("pdfs"))
     pair = files.select("path", "mime", F.explode(F.array(*[one(*p) for p in providers])).alias("p"))
     ok = F.when(F.col("mime") == "application/pdf", F.col("p.pdfs") != "false").otherwise(F.col("p.images").isNull() | F.array_contains("p.images", F.col("mime")))
     return pair.select("path", "p.provider", ok.alias("supported"))
@@ -163,7 +166,9 @@ def output_collisions(planned: DataFrame, reserved: Sequence[str] = ()) -> DataF
     counts = keys.groupBy("key").agg(F.count("*").alias("owners"))
     twice = counts.where("owners > 1").select(F.col("key").alias("target"), F.lit("same-path").alias("kind"), "owners")
     part = F.split("key", "/")
-    parents = counts.select("owners", F.explode(F.transform(F.sequence(F.lit(1), F.size(part) - 1), lambda i: F.array_join(F.slice(part, 1, i), "/"))).alias("parent")).groupBy("parent").agg(F.sum("owners").alias("below"))
+    parents = (counts.select("owners",
+            F.explode(F.transform(F.sequence(F.lit(1), F.size(part) - 1), lambda i: F.array_join(F.slice(part, 1, i), "/"))).alias("parent"))
+        .groupBy("parent").agg(F.sum("owners").alias("below")))
     folder = counts.join(parents, F.col("key") == F.col("parent")).select(F.col("key").alias("target"), F.lit("file-and-folder").alias("kind"), (F.col("owners") + F.col("below")).alias("owners"))
     return twice.unionByName(folder)
 

@@ -142,7 +142,9 @@ def stream_ingest(stream: DataFrame, folder: str, extract: Callable[[DataFrame],
         extract(new_documents(rows, log.before(run, number, compact_every))).write.mode("overwrite").parquet(results)
         files = F.array(F.concat(F.lit("out/"), F.col("source"), F.lit(".md")))
         now = F.lit(time.time_ns() // 1000)
-        log.write(spark.read.parquet(results).select("source", "fingerprint", "status", files.alias("output_files"), files.alias("owned_files"), now.alias("updated")), f"{folder}/manifest/delta/run={run}/batch={number}")
+        log.write(spark.read.parquet(results)
+            .select("source", "fingerprint", "status", files.alias("output_files"), files.alias("owned_files"), now.alias("updated")),
+            f"{folder}/manifest/delta/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
@@ -161,7 +163,8 @@ def sequence_audit(events: DataFrame) -> DataFrame:
     number = F.explode(F.array(F.struct(F.col("sequence").alias("s"), F.lit(1).alias("own")), F.struct((F.col("sequence") + 1).alias("s"), F.lit(0).alias("own")))).alias("n")
     places = events.select("run_id", number).groupBy("run_id", "n.s").agg(F.sum("n.own").alias("own"), F.bool_or(F.col("n.own") == 0).alias("follows"))
     gaps = places.where("own > 0").groupBy("run_id").agg((F.count_if(~F.col("follows")) - 1).alias("gaps"), F.sum(F.col("own") - 1).alias("repeats"), F.sum("own").alias("events"))
-    docs = events.where(F.col("type").startswith("document.")).groupBy("run_id", "document_id").agg(F.bool_or(F.col("type") == "document.started").alias("started"), F.bool_or(F.col("type").isin(*TERMINAL)).alias("ended"))
+    docs = (events.where(F.col("type").startswith("document.")).groupBy("run_id", "document_id")
+        .agg(F.bool_or(F.col("type") == "document.started").alias("started"), F.bool_or(F.col("type").isin(*TERMINAL)).alias("ended")))
     open_ = docs.groupBy("run_id").agg(F.count_if(~F.col("started")).alias("unstarted"), F.count_if(~F.col("ended")).alias("unended"))
     end = events.where(F.col("type").isin(*RUN_END)).groupBy("run_id").agg(F.min("sequence").alias("end"))
     late = events.join(end, "run_id").groupBy("run_id").agg(F.count_if(F.col("sequence") > F.col("end")).alias("late"))

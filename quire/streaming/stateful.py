@@ -110,7 +110,8 @@ class SequenceAudit(StatefulProcessor):
 def sequence_audit_stream(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """S03, streaming: the rows of :func:`quire.streaming.jobs.sequence_audit` in update mode, whatever the order in which events arrive. A null sequence is no event.
 
-    With ``keep_ms`` the state of a run goes so long (by the clock) after its last event; such a stream never ends by itself, as a trigger of what is available now would."""
+    With ``keep_ms`` the state of a run goes so long (by the clock) after its last event; such a stream never ends by itself,
+    as a trigger of what is available now would."""
     use_rocksdb(events.sparkSession)
     keyed = events.where("sequence is not null").select("run_id", "sequence", "document_id", F.coalesce("type", F.lit("")).alias("type")).groupBy("run_id")
     return keyed.transformWithStateInPandas(SequenceAudit(keep_ms), AUDIT, "Update", "None" if keep_ms is None else "ProcessingTime")

@@ -21,8 +21,10 @@ def amounts(spark, kind, values, currency=None):
 
 
 def test_amount_formats(spark):
-    cases = {"1,234.56": "1234.56", "1.234,56": "1234.56", "1 234,5": "1234.50", "1'234.5": "1234.50", "-$5": "-5.00", "USD -5.00": "-5.00", "5.00-": "-5.00", "(27.00)": "-27.00", "−3": "-3.00", "Rs.500": "500.00", "S/.100": "100.00",
-             "Fr.25": "25.00", "No.5": "No.5", "USD.50": "USD.50", ".5": "0.50", ",5": "0.50", "0.125": "0.125", "1.234": "1234.00", "1.234.567": "1234567.00", "1,23,4": "1,23,4", "3 @ 5.00": "3 @ 5.00", "0.500": "0.500", "": "", "-0": "0.00", "n/a": "n/a"}
+    cases = {"1,234.56": "1234.56", "1.234,56": "1234.56", "1 234,5": "1234.50", "1'234.5": "1234.50", "-$5": "-5.00", "USD -5.00": "-5.00",
+        "5.00-": "-5.00", "(27.00)": "-27.00", "−3": "-3.00", "Rs.500": "500.00", "S/.100": "100.00", "Fr.25": "25.00", "No.5": "No.5",
+        "USD.50": "USD.50", ".5": "0.50", ",5": "0.50", "0.125": "0.125", "1.234": "1234.00", "1.234.567": "1234567.00", "1,23,4": "1,23,4",
+        "3 @ 5.00": "3 @ 5.00", "0.500": "0.500", "": "", "-0": "0.00", "n/a": "n/a"}
     got = {v: r["value"] for v, r in zip(cases, amounts(spark, "currency", list(cases)))}
     assert got == cases
 
@@ -55,7 +57,8 @@ def test_text_scores(spark):
     assert (o[2]["coverage"], o[2]["unsupported"], o[4]["coverage"]) == (1.0, 0.0, 0.0)
     e = {r["doc_id"]: r for r in scoring.text_error_rates(p).collect()}
     assert (e[2]["cer"], e[3]["cer"], e[4]["wer"]) == (0.0, 1.0, 1.0) and e[1]["wer"] == pytest.approx(2 / 3)
-    rows = [(1, "# “Café” — ﬁve", '"café" - five'), (2, "Total 5", "**Total** 5\n"), (3, "a\r\nb", "a\nb"), (4, "x😀y", "xy"), (5, "日本語 文書", "天気 予報"), (6, "one two", "# [one](u)\n> ![two](v)"), (7, "code line", "```py\ncode `line`\n```"), (8, "a b", "1. a\n- b")]
+    rows = [(1, "# “Café” — ﬁve", '"café" - five'), (2, "Total 5", "**Total** 5\n"), (3, "a\r\nb", "a\nb"), (4, "x😀y", "xy"), (5, "日本語 文書", "天気 予報"),
+        (6, "one two", "# [one](u)\n> ![two](v)"), (7, "code line", "```py\ncode `line`\n```"), (8, "a b", "1. a\n- b")]
     u = spark.createDataFrame(rows, "doc_id long, reference string, prediction string")
     e = {r["doc_id"]: r for r in scoring.text_error_rates(u).collect()}
     assert [e[i]["normalized_cer"] for i in (1, 2, 3, 6, 7, 8)] == [0.0] * 6 and [e[i]["cer"] for i in (2, 3, 7)] == [0.0] * 3
@@ -77,12 +80,14 @@ def test_field_scores(spark):
 def test_edit_distances(spark):
     assert _edit("kitten", "sitting") == 3 and _edit("", "abc") == 3 and _edit("abc", "") == 3
     assert _edit("brown", "the quick brwn fox", True) == 1 and _edit("zz", "", True) == 2
-    row = spark.createDataFrame([("abcd", "bcde", "abd", 1, 0)], "a string, b string, c string, k int, z int").select(indel_ratio("a", "b").alias("r"), found_within("c", "a", "k").alias("d"), found_within("c", "a", "z").alias("n")).first()
+    row = (spark.createDataFrame([("abcd", "bcde", "abd", 1, 0)], "a string, b string, c string, k int, z int")
+        .select(indel_ratio("a", "b").alias("r"), found_within("c", "a", "k").alias("d"), found_within("c", "a", "z").alias("n")).first())
     assert row["r"] == pytest.approx(0.75) and row["d"] and not row["n"]
 
 
 def test_merging_is_ordered_and_keeps_locations(spark):
-    rows = [(1, 1, "f", "bad", 0.99, False, 5, 7), (1, 2, "f", "good", 0.5, True, 1, None), (1, 3, "f", "tie", 0.5, True, 1, None), (1, 4, "f", "late", 0.4, True, 9, 3), (2, 1, "f", "only", None, None, None, None)]
+    rows = [(1, 1, "f", "bad", 0.99, False, 5, 7), (1, 2, "f", "good", 0.5, True, 1, None), (1, 3, "f", "tie", 0.5, True, 1, None),
+        (1, 4, "f", "late", 0.4, True, 9, 3), (2, 1, "f", "only", None, None, None, None)]
     c = spark.createDataFrame(rows, "doc_id long, seq long, field string, value string, confidence double, is_valid boolean, extracted_at long, page long")
     for parts in (1, 3):
         got = {r["doc_id"]: r for r in candidates.merge_candidates(c.repartition(parts)).collect()}
@@ -90,11 +95,14 @@ def test_merging_is_ordered_and_keeps_locations(spark):
 
 
 def test_dates_subtotals_and_order(spark):
-    v = spark.createDataFrame([("2024-02-30",), ("05/06/2024",), ("13/06/2024",), ("2024-02-29 10:00",), ("2024-02-29 25:00",), ("x",)], "v string").select(F.size(candidates.date_readings("v")).alias("n"))
+    v = spark.createDataFrame([("2024-02-30",), ("05/06/2024",), ("13/06/2024",), ("2024-02-29 10:00",), ("2024-02-29 25:00",), ("x",)], "v string").select(F.size(candidates.date_readings("v"))
+        .alias("n"))
     assert [r["n"] for r in v.collect()] == [0, 2, 1, 1, 0, 0]
     a = spark.createDataFrame([("$1,234.56",), ("1.234,50",), ("1,234",), ("1,5",), ("none",)], "v string").select(candidates.parse_amount("v").alias("n"))
     assert [r["n"] for r in a.collect()] == [1234.56, 1234.5, 1234.0, 1.5, None]
-    f = spark.createDataFrame([(1, "subtotal", "10"), (1, "item_count", "2"), (1, "item_1_amount", "4"), (1, "line_item_2_total", "6.04"), (2, "subtotal", "10"), (2, "item_count", "2"), (2, "item_1_amount", "4"), (2, "item_2_amount", "7"), (3, "subtotal", "1")], "doc_id long, field string, value string")
+    f = spark.createDataFrame([(1, "subtotal", "10"), (1, "item_count", "2"), (1, "item_1_amount", "4"), (1, "line_item_2_total", "6.04"),
+            (2, "subtotal", "10"), (2, "item_count", "2"), (2, "item_1_amount", "4"), (2, "item_2_amount", "7"), (3, "subtotal", "1")],
+        "doc_id long, field string, value string")
     assert {r["doc_id"]: r["ok"] for r in candidates.check_subtotals(f).collect()} == {1: True, 2: False, 3: True}
 
 
@@ -110,7 +118,8 @@ def test_readiness_and_completion(spark):
 
 def test_refinement_equals_brute_force(spark):
     """Three passes over documents whose candidates get better, stay as they are, or never come."""
-    found = {1: {1: [("a", "x", 0.5)], 2: [("b", "y", 0.9)]}, 2: {1: [("a", "x", 0.9), ("b", "y", 0.9)]}, 3: {}, 4: {1: [("a", "x", 0.2)], 2: [("a", "x", 0.2)]}, 5: {1: [("a", "p", 0.1)], 2: [("a", "q", 0.2)], 3: [("a", "r", 0.3)]}}
+    found = {1: {1: [("a", "x", 0.5)], 2: [("b", "y", 0.9)]}, 2: {1: [("a", "x", 0.9), ("b", "y", 0.9)]}, 3: {},
+        4: {1: [("a", "x", 0.2)], 2: [("a", "x", 0.2)]}, 5: {1: [("a", "p", 0.1)], 2: [("a", "q", 0.2)], 3: [("a", "r", 0.3)]}}
     asked = []
 
     def extract(docs, i):
@@ -131,7 +140,8 @@ def test_refinement_equals_brute_force(spark):
 def test_resume_twice_is_no_work(spark):
     docs = spark.createDataFrame([("a", "f1", "l1"), ("b", "f2", "l2"), ("c", "f3", "l3")], "source string, fingerprint string, legacy_fingerprint string")
     schema = "source string, fingerprint string, fingerprint_version int, status string, output_files array<string>, owned_files array<string>, updated long"
-    m = spark.createDataFrame([("a", "f1", 2, "succeeded", ["o/a.md"], ["o/a.md"], 1), ("b", "l2", None, "succeeded", ["o/b.md"], ["o/b.md"], 1), ("c", "f3", 2, "partial", ["o/c.md"], ["o/c.md"], 1)], schema)
+    m = spark.createDataFrame([("a", "f1", 2, "succeeded", ["o/a.md"], ["o/a.md"], 1), ("b", "l2", None, "succeeded", ["o/b.md"], ["o/b.md"], 1),
+            ("c", "f3", 2, "partial", ["o/c.md"], ["o/c.md"], 1)], schema)
     files = spark.createDataFrame([("o/a.md",), ("o/b.md",), ("o/c.md",)], "path string")
     plan = {r["source"]: (r["action"], r["reason"], r["legacy"]) for r in resume.plan_incremental(docs, m, files).collect()}
     assert plan == {"a": ("resume", "unchanged", False), "b": ("resume", "unchanged", True), "c": ("extract", "partial", False)}
@@ -146,7 +156,8 @@ def test_resume_twice_is_no_work(spark):
 
 def test_a_manifest_stored_by_source_is_not_shuffled(spark):
     schema = "source string, fingerprint string, fingerprint_version int, status string, output_files array<string>, owned_files array<string>, updated long"
-    old = spark.createDataFrame([(f"s{i}", f"f{i}", 2, "succeeded" if i % 3 else "partial", [f"o/{i}.md"], [f"o/{i}.md"], i) for i in range(50)] + [("s1", "f1", 2, "failed", ["o/x"], ["o/y"], 99)], schema)
+    old = spark.createDataFrame([(f"s{i}", f"f{i}", 2, "succeeded" if i % 3 else "partial", [f"o/{i}.md"], [f"o/{i}.md"], i) for i in range(50)] + [("s1",
+                "f1", 2, "failed", ["o/x"], ["o/y"], 99)], schema)
     new = spark.createDataFrame([(f"s{i}", f"g{i}", 2, "succeeded", [f"o/{i}.json"], [], 60) for i in range(40, 60)] + [("s2", "g2", 2, "failed", [], ["o/late"], 0)], schema)
     base = ["source", "fingerprint", "status", "output_files", "owned_files", "updated"]
     try:
@@ -209,7 +220,9 @@ def test_markdown_structure(spark):
     got = structure.markdown_sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section").collect()
     assert [(r["heading"], r["level"]) for r in got] == [(None, None), ("Title", 1), ("Setext", 2), ("Two", 2)]
     assert got[1]["lines"] == ["body", "```", "# not", "```"]
-    cases = {"para one\nline two\n---": [], "one\n===\n\ntwo\n---\n---": ["one", "two"], "- item\n---": [], "x\n\n---\n===": ["---"], "~~~ a`b\n# no\n~~~\n# yes": ["yes"], "```a`b\n# yes": ["yes"], "#\tT ##": ["T"], "#no": [], "    # no": [], "# \n## b": ["", "b"], "````\n```\n# no": []}
+    cases = {"para one\nline two\n---": [], "one\n===\n\ntwo\n---\n---": ["one", "two"], "- item\n---": [], "x\n\n---\n===": ["---"],
+        "~~~ a`b\n# no\n~~~\n# yes": ["yes"], "```a`b\n# yes": ["yes"], "#\tT ##": ["T"], "#no": [], "    # no": [], "# \n## b": ["", "b"],
+        "````\n```\n# no": []}
     got = structure.markdown_sections(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).where("heading is not null").orderBy("doc_id", "section").collect()
     assert [[r["heading"] for r in got if r["doc_id"] == i] for i in range(len(cases))] == list(cases.values())
     html = "<table><thead><tr><th rowspan=0>A</th><td>b</td></tr></thead><tr><td>c</td></tr></table>"
@@ -226,7 +239,8 @@ def test_html_tables_are_read_as_tokens(spark):
     assert nested == {(1, 0, 0): ("out intwo end", False), (1, 0, 1): ("next", False), (1, 1, 0): ("last", False), (2, 0, 0): ("in", False), (2, 0, 1): ("two", False)}
     assert cells("<table><tr><td>a<td>b<tr><td>c</table><p><table><td>x") == {(1, 0, 0): ("a", False), (1, 0, 1): ("b", False), (1, 1, 0): ("c", False), (2, 0, 0): ("x", False)}
     assert cells("<table><tr><td><script>'<td>'</script>1 < 2</td><td colspan=0 rowspan='x'>y</td></tr></table>") == {(1, 0, 0): ("'<td>'1 < 2", False), (1, 0, 1): ("y", False)}
-    assert cells("<table><tr><td rowspan=2 colspan=2>w</td><td>a</td></tr><tr><td>b</td></tr></table>") == {(1, y, x): ("w", False) for y in (0, 1) for x in (0, 1)} | {(1, 0, 2): ("a", False), (1, 1, 2): ("b", False)}
+    assert cells("<table><tr><td rowspan=2 colspan=2>w</td><td>a</td></tr><tr><td>b</td></tr></table>") == {(1, y, x): ("w", False) for y in (0, 1)
+            for x in (0, 1)} | {(1, 0, 2): ("a", False), (1, 1, 2): ("b", False)}
 
 
 def test_many_known_secrets_in_one_pass(spark):
@@ -246,12 +260,15 @@ def test_many_known_secrets_in_one_pass(spark):
 
 
 def test_rules_inside_arrays(spark):
-    rules = [(1, "items", "array", True, None), (2, "items[].price", "number", True, 0.0), (3, "items[].parts[].id", "integer", True, None), (4, "grid[][]", "number", False, None), (5, "meta.tags[]", "string", False, None)]
+    rules = [(1, "items", "array", True, None), (2, "items[].price", "number", True, 0.0), (3, "items[].parts[].id", "integer", True, None),
+        (4, "grid[][]", "number", False, None), (5, "meta.tags[]", "string", False, None)]
     schema = spark.createDataFrame([(*r[:4], None, r[4], None) for r in rules], "pos int, property string, type string, required boolean, enum array<string>, minimum double, maximum double")
-    texts = {1: '{"items": [{"price": 1, "parts": [{"id": 1}, {"id": 1.5, "x": 0}]}, {"price": -1, "parts": []}, {"parts": 5}, 7], "grid": [[1, "a"], 2, ["b"]], "meta": {"tags": ["t", 1], "other": 2}, "top": 1}', 2: '{"items": []}', 3: "{", 4: "[]", 5: None, 6: '{"items": {"price": 1}}'}
+    texts = {1: '{"items": [{"price": 1, "parts": [{"id": 1}, {"id": 1.5, "x": 0}]}, {"price": -1, "parts": []}, {"parts": 5}, 7], "grid": [[1, "a"], 2, '
+            '["b"]], "meta": {"tags": ["t", 1], "other": 2}, "top": 1}', 2: '{"items": []}', 3: "{", 4: "[]", 5: None, 6: '{"items": {"price": 1}}'}
     got = presets.validate_outputs(spark.createDataFrame(list(texts.items()), "doc_id long, json string"), schema, n=20).orderBy("doc_id", "n").collect()
-    assert [(r["property"], r["issue"]) for r in got if r["doc_id"] == 1] == [("items[1].price", "minimum"), ("items[2].price", "missing"), ("items[0].parts[1].id", "type"), ("grid[0][1]", "type"), ("grid[2][0]", "type"), ("meta.tags[1]", "type"),
-                                                                              ("meta.other", "unexpected"), ("top", "unexpected"), ("items[0].parts[1].x", "unexpected")]
+    assert [(r["property"], r["issue"]) for r in got if r["doc_id"] == 1] == [("items[1].price", "minimum"), ("items[2].price", "missing"),
+        ("items[0].parts[1].id", "type"), ("grid[0][1]", "type"), ("grid[2][0]", "type"), ("meta.tags[1]", "type"), ("meta.other", "unexpected"),
+        ("top", "unexpected"), ("items[0].parts[1].x", "unexpected")]
     assert {r["doc_id"]: (r["property"], r["issue"]) for r in got if r["doc_id"] > 1} == {3: ("", "not-json"), 4: ("items", "missing"), 5: ("", "not-json"), 6: ("items", "type")}
     few = presets.validate_outputs(spark.createDataFrame([(1, texts[1])], "doc_id long, json string"), schema, n=2).collect()
     assert [(r["n"], r["property"], r["more"]) for r in few] == [(1, "items[1].price", 7), (2, "items[2].price", 7)]
@@ -261,7 +278,8 @@ def test_candidate_shapes(spark):
     mails = {"a@b.c": True, "a@b": False, "@b.c": False, "a b@c.d": False, "a@.c": False, "a@b.": False, "a@b@c.d": False, "x@y..z": True}
     phones = {"+1 (555) 123-4567": True, "5551234567": True, "555-1234": False, "+": False, "1+5551234567": False, "555.123.4567": False}
     dates = {"2024-02-29": True, "2024-02-29T10:00": True, "29/02/2024 23:59:59": True, "2024-13-01": False, "2024-01-01 24:00": False, "1/2/2024": False, "01-02/2024": False}
-    amounts = {"1.234.567,89": 1234567.89, "1,234,567.89": 1234567.89, "1,5": 1.5, "1,500": 1500.0, "12,345,6": 123456.0, "1.2.3": None, "-5.": -5.0, "$ .5": 0.5, ".": None, "5-3": None, "1,234.5,6": None, "7": 7.0, "": None}
+    amounts = {"1.234.567,89": 1234567.89, "1,234,567.89": 1234567.89, "1,5": 1.5, "1,500": 1500.0, "12,345,6": 123456.0, "1.2.3": None, "-5.": -5.0,
+        "$ .5": 0.5, ".": None, "5-3": None, "1,234.5,6": None, "7": 7.0, "": None}
     rows = [(v, r) for r, cases in (("email", mails), ("phone", phones), ("date", dates), ("currency", amounts)) for v in cases]
     got = candidates.validate_candidates(spark.createDataFrame([(i, "f", v, r) for i, (v, r) in enumerate(rows)], "doc_id long, field string, value string, rule string")).orderBy("doc_id").collect()
     want = [*mails.values(), *phones.values(), *dates.values(), *(a is not None for a in amounts.values())]
@@ -272,13 +290,16 @@ def test_candidate_shapes(spark):
     assert {r["v"]: r["n"] for r in read} == amounts
     typed = {"2024-02-30": "date", "2024-02-29": None, "2024-02-29T10:00:00.125Z": None, "2024-02-29 1:00": "date", "20240229": "date"}
     rules = spark.createDataFrame([("d", "date"), ("m", "email")], "field string, type string")
-    found = presets.check_types(spark.createDataFrame([(1, "d", v) for v in typed] + [(1, "m", "mailto:a@b.cd"), (1, "m", "a@b.c"), (1, "m", "a(b)@c.de")], "doc_id long, field string, value string"), rules)
+    found = presets.check_types(spark.createDataFrame([(1, "d", v) for v in typed] + [(1, "m", "mailto:a@b.cd"), (1, "m", "a@b.c"),
+                (1, "m", "a(b)@c.de")], "doc_id long, field string, value string"), rules)
     warned = {r["value"]: r["warning"] for r in found.collect()}
     assert warned == {**{v: w and "not-iso-date" for v, w in typed.items()}, "mailto:a@b.cd": None, "a@b.c": "odd-email", "a(b)@c.de": "odd-email"}
 
 
 def test_url_policy(spark):
-    cases = {"https://e.org/x": None, "http://127.0.0.1/": "private-address", "http://[::1]/": "private-address", "http://[2606:4700::1]/": None, "http://8.8.8.8/": None, "http://u@e.org/": "credentials", "ftp://e.org": "scheme", "http://LOCALHOST/": "loopback", "https://x.ngrok.io": "tunnel", "http://172.20.1.1": "private-address"}
+    cases = {"https://e.org/x": None, "http://127.0.0.1/": "private-address", "http://[::1]/": "private-address", "http://[2606:4700::1]/": None,
+        "http://8.8.8.8/": None, "http://u@e.org/": "credentials", "ftp://e.org": "scheme", "http://LOCALHOST/": "loopback",
+        "https://x.ngrok.io": "tunnel", "http://172.20.1.1": "private-address"}
     got = web.filter_urls(spark.createDataFrame([(u,) for u in cases], "url string")).collect()
     assert {r["url"]: r["reason"] for r in got} == cases
     keys = spark.createDataFrame([("HTTP://E.org/a/#f",), ("http://e.org/a?x=1#y",), ("http://e.org",)], "url string").select(web.url_key("url").alias("k")).collect()
@@ -286,9 +307,14 @@ def test_url_policy(spark):
 
 
 def test_blocklists(spark):
-    listed = [("suffix", "bad.example"), ("suffix", "*.Evil.test."), ("cidr", "203.0.112.0/23"), ("cidr", "8.8.4.4"), ("cidr", "2001:DB9::/32"), ("cidr", "2600:1::ffff:1.2.3.4/128"), ("cidr", "0.0.0.0/33"), ("cidr", "x/8"), ("cidr", None), ("other", "e.org"), (None, "e.org"), ("suffix", "")]
-    cases = {"http://bad.example/": "blocked", "http://a.b.BAD.example./": "blocked", "http://notbad.example/": None, "http://evil.test/x": "blocked", "http://e.org/": None, "http://8.8.4.4/": "blocked", "http://8.8.4.5/": None, "http://134743044/": "blocked",
-             "http://203.0.112.7/": "blocked", "http://203.0.114.1/": None, "http://[2001:db9:5::1]/": "blocked", "http://[2001:dba::1]/": None, "http://[2600:1::ffff:102:304]/": "blocked", "http://[2600:1::ffff:102:305]/": None, "ftp://bad.example/": "scheme", "http://10.0.0.1/": "private-address"}
+    listed = [("suffix", "bad.example"), ("suffix", "*.Evil.test."), ("cidr", "203.0.112.0/23"), ("cidr", "8.8.4.4"), ("cidr", "2001:DB9::/32"),
+        ("cidr", "2600:1::ffff:1.2.3.4/128"), ("cidr", "0.0.0.0/33"), ("cidr", "x/8"), ("cidr", None), ("other", "e.org"), (None, "e.org"),
+        ("suffix", "")]
+    cases = {"http://bad.example/": "blocked", "http://a.b.BAD.example./": "blocked", "http://notbad.example/": None, "http://evil.test/x": "blocked",
+        "http://e.org/": None, "http://8.8.4.4/": "blocked", "http://8.8.4.5/": None, "http://134743044/": "blocked",
+        "http://203.0.112.7/": "blocked", "http://203.0.114.1/": None, "http://[2001:db9:5::1]/": "blocked", "http://[2001:dba::1]/": None,
+        "http://[2600:1::ffff:102:304]/": "blocked", "http://[2600:1::ffff:102:305]/": None, "ftp://bad.example/": "scheme",
+        "http://10.0.0.1/": "private-address"}
     urls = spark.createDataFrame([(u,) for u in cases] + [(None,)], "url string")
     lists = spark.createDataFrame(listed, "kind string, value string")
     assert {r["url"]: r["reason"] for r in web.filter_urls(urls, lists).collect()} == {**cases, None: None}
@@ -300,7 +326,8 @@ def test_blocklists(spark):
 def test_combined_pages_lose_none(spark):
     rows = [(1, "One", "http://h/1", "text"), (2, None, "http://h/2", "other"), (3, " ", None, "third"), (4, "Four", "http://h/4", None), (5, None, None, "text")]
     got = web.combine_pages(spark.createDataFrame([("h", *r) for r in rows], "site string, pos long, title string, url string, text string"), "site").first()
-    assert got["pages"] == 4 and got["combined"].split(web.RULE) == ["# One\nSource: http://h/1\n\ntext", "# http://h/2\nSource: http://h/2\n\nother", "# \nSource: \n\nthird", "# Four\nSource: http://h/4\n\n"]
+    assert got["pages"] == 4 and got["combined"].split(web.RULE) == ["# One\nSource: http://h/1\n\ntext", "# http://h/2\nSource: http://h/2\n\nother",
+        "# \nSource: \n\nthird", "# Four\nSource: http://h/4\n\n"]
 
 
 def test_no_rules_no_findings(spark):
@@ -369,7 +396,8 @@ def test_stream_ingest_redoes_nothing(spark, tmp_path):
 
 
 def delta(spark, log, run, number, rows):
-    entries = spark.createDataFrame([(d, f, s, [], [], t) for d, f, s, t in rows], "source string, fingerprint string, status string, output_files array<string>, owned_files array<string>, updated long")
+    entries = spark.createDataFrame([(d, f, s, [], [], t) for d, f, s, t in rows],
+        "source string, fingerprint string, status string, output_files array<string>, owned_files array<string>, updated long")
     log.write(entries, f"{log.folder}/delta/run={run}/batch={number}")
 
 
@@ -410,7 +438,9 @@ def test_of_two_compactions_at_once_one_counts(spark, tmp_path):
 
 
 def test_sequence_audit(spark):
-    rows = [(1, s, d, t) for s, d, t in ((0, None, "run.started"), (1, 7, "document.started"), (2, 7, "document.completed"), (2, 8, "document.progress"), (6, None, "run.completed"), (7, 9, "document.started"), (9, 9, "document.progress"))]
+    rows = [(1, s, d, t) for s, d,
+        t in ((0, None, "run.started"), (1, 7, "document.started"), (2, 7, "document.completed"), (2, 8, "document.progress"),
+            (6, None, "run.completed"), (7, 9, "document.started"), (9, 9, "document.progress"))]
     got = jobs.sequence_audit(spark.createDataFrame(rows, "run_id long, sequence long, document_id long, type string")).first().asDict()
     assert got == {"run_id": 1, "gaps": 2, "repeats": 1, "events": 7, "unstarted": 1, "unended": 2, "late": 2}
 
@@ -430,7 +460,8 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
     assert {key(r) for r in got.collect()} == {key(r) for r in jobs.document_lifecycle(events).collect()}
     u = v("usage_log").select("job_id", "input_tokens", "output_tokens")
     u.write.parquet(f"{tmp_path}/usage")
-    q = jobs.running_usage(spark.readStream.schema(u.schema).parquet(f"{tmp_path}/usage"), 1000).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
+    q = (jobs.running_usage(spark.readStream.schema(u.schema).parquet(f"{tmp_path}/usage"), 1000).writeStream.format("memory").queryName("live")
+        .outputMode("complete").trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, jobs.running_usage(u, 1000).collect()))
 

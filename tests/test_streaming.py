@@ -55,8 +55,9 @@ def test_sequence_audit_stream_equals_its_batch_form(spark, tmp_path):
 
 def test_stuck_documents_and_restart(spark, tmp_path):
     at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
-    frames = [[(1, 1, 7, "document.started", at(0)), (1, 2, 8, "document.started", at(1))], [(1, 3, 8, "document.completed", at(50)), (1, 4, 9, "document.started", at(400))], [(1, 5, 9, "document.progress", at(405)), (1, 6, 9, "document.progress", at(100))],
-              [(1, 7, 5, "document.completed", at(900))]]
+    frames = [[(1, 1, 7, "document.started", at(0)), (1, 2, 8, "document.started", at(1))],
+        [(1, 3, 8, "document.completed", at(50)), (1, 4, 9, "document.started", at(400))],
+        [(1, 5, 9, "document.progress", at(405)), (1, 6, 9, "document.progress", at(100))], [(1, 7, 5, "document.completed", at(900))]]
     out = run(spark, [spark.createDataFrame(f, EVENTS) for f in frames], str(tmp_path), stateful.lifecycle_stream, "life", restart_after=1)
     seen = [(r["document_id"], r["state"], r["sequence"]) for r in out]
     assert (7, "stuck", 1) in seen and seen.count((7, "stuck", 1)) == 1 and (8, "stuck", 2) not in seen

@@ -10,14 +10,17 @@ def passed(df):
 
 def test_presence_joins_head_and_tail(spark):
     out = spark.createDataFrame([(1, "alpha **beta**\n\nmiddle “word” omega")], "doc_id long, text string")
-    rows = [(1, "omega", 0, 5, 5), (2, "alpha", 0, 5, 5), (3, "middle", 0, 5, 5), (4, "omega", 0, 5, None), (5, "alpha", 0, None, 5), (6, 'beta middle "word"', 0, None, None), (7, "__alpha__ beta", 0, 0, 0), (8, "omagа", 2, 5, 5)]
-    tests = spark.createDataFrame([(i, 1, "present", t, k, True, a, z) for i, t, k, a, z in rows], "test_id long, doc_id long, type string, text string, max_diffs int, case_sensitive boolean, first_n int, last_n int")
+    rows = [(1, "omega", 0, 5, 5), (2, "alpha", 0, 5, 5), (3, "middle", 0, 5, 5), (4, "omega", 0, 5, None), (5, "alpha", 0, None, 5),
+        (6, 'beta middle "word"', 0, None, None), (7, "__alpha__ beta", 0, 0, 0), (8, "omagа", 2, 5, 5)]
+    tests = spark.createDataFrame([(i, 1, "present", t, k, True, a, z) for i, t, k, a, z in rows],
+        "test_id long, doc_id long, type string, text string, max_diffs int, case_sensitive boolean, first_n int, last_n int")
     assert passed(scoring.presence_tests(tests, out)) == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: True, 8: True}
 
 
 def test_order_with_edits(spark):
     out = spark.createDataFrame([(1, "first **line** of text then the second line")], "doc_id long, text string")
-    rows = [(1, "frst line", "secnd", 1), (2, "frst line", "secnd", 0), (3, "secnd", "frst line", 1), (4, "first line", "second", 0), (5, "line", "line", 0), (6, "text", "nowhere", 2), (7, "first  line", "_second_", 0)]
+    rows = [(1, "frst line", "secnd", 1), (2, "frst line", "secnd", 0), (3, "secnd", "frst line", 1), (4, "first line", "second", 0),
+        (5, "line", "line", 0), (6, "text", "nowhere", 2), (7, "first  line", "_second_", 0)]
     tests = spark.createDataFrame([(i, 1, "order", b, a, k) for i, b, a, k in rows], "test_id long, doc_id long, type string, before string, after string, max_diffs int")
     assert passed(scoring.order_tests(tests, out)) == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: True}
 
@@ -25,7 +28,9 @@ def test_order_with_edits(spark):
 def test_table_tests_choose_by_row(spark):
     cells = m.table_cells(spark.createDataFrame([(1, "| item | price |\n| --- | --- |\n| **apple** | 100 |\n| pears | 250 |")], "doc_id long, text string"))
     rows = [(1, "appel", None, 2), (2, "appel", None, 0), (3, "apple", "100", 0), (4, "appl", "1OO", 1), (5, "apple", "250", 0), (6, "peers", "25O", 1), (7, "apple", "", 0)]
-    tests = spark.createDataFrame([(i, 1, "table", c, None, None, None, r, None, None, k) for i, c, r, k in rows], "test_id long, doc_id long, type string, cell string, up string, down string, left string, right string, top_heading string, left_heading string, max_diffs int")
+    tests = spark.createDataFrame([(i, 1, "table", c, None, None, None, r, None, None, k) for i, c, r, k in rows],
+        "test_id long, doc_id long, type string, cell string, up string, down string, left string, right string, top_heading string, left_heading "
+            "string, max_diffs int")
     assert passed(scoring.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))) == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
 
 
@@ -37,5 +42,7 @@ def test_spans_have_several_neighbours(spark):
     heads = {r["text"]: r for r in m.cell_headings(cells).collect()}
     assert heads["1"]["top_heading"] == ["B", "c", "d"] and heads["1"]["left_heading"] == ["x"] and heads["d"]["left_heading"] == ["A", "c"] and heads["A"]["top_heading"] == []
     rows = [(1, "1", "wide", "d"), (2, "1", "2", None), (3, "wide", "d", "B"), (4, "x", "A", "A"), (5, "2", None, "A")]
-    tests = spark.createDataFrame([(i, 1, "table", c, u, None, None, None, t, None, 0) for i, c, u, t in rows], "test_id long, doc_id long, type string, cell string, up string, down string, left string, right string, top_heading string, left_heading string, max_diffs int")
+    tests = spark.createDataFrame([(i, 1, "table", c, u, None, None, None, t, None, 0) for i, c, u, t in rows],
+        "test_id long, doc_id long, type string, cell string, up string, down string, left string, right string, top_heading string, left_heading "
+            "string, max_diffs int")
     assert passed(scoring.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))) == {1: True, 2: False, 3: True, 4: True, 5: False}

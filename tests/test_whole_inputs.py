@@ -63,13 +63,15 @@ def test_seeded_matches_equal_full_tables():
 
 
 def test_markup_is_taken_away():
-    plain = {"#\n\n": "", "# Title #": "Title #", "#tag": "#tag", "####### seven": "####### seven", "    # code": "# code", "a\n\n# b": "a\nb", "- x\n* y\n+ z\n12) w\n3. v": "x\ny\nz\nw\nv",
-             "-x\n1.y": "-x\n1.y", "> q\n  >r": "q\nr", "# - > all": "all", "```py\ncode()\n```\nend": "code()\nend", "![](u) ![p](v) [l](w) [](x)": "p l [](x)", "[a [b](c)": "a [b", "[a] (b)": "[a] (b)",
-             "x<b>y</b><>z": "x y <>z", "a < b": "a < b", "**b** _i_ ~~s~~ `c`": "b i s c", "a\r\nb\rc": "a\nb\nc", "\u3000x\ufeff": "x", "": ""}
+    plain = {"#\n\n": "", "# Title #": "Title #", "#tag": "#tag", "####### seven": "####### seven", "    # code": "# code", "a\n\n# b": "a\nb",
+        "- x\n* y\n+ z\n12) w\n3. v": "x\ny\nz\nw\nv", "-x\n1.y": "-x\n1.y", "> q\n  >r": "q\nr", "# - > all": "all",
+        "```py\ncode()\n```\nend": "code()\nend", "![](u) ![p](v) [l](w) [](x)": "p l [](x)", "[a [b](c)": "a [b", "[a] (b)": "[a] (b)",
+        "x<b>y</b><>z": "x y <>z", "a < b": "a < b", "**b** _i_ ~~s~~ `c`": "b i s c", "a\r\nb\rc": "a\nb\nc", "\u3000x\ufeff": "x", "": ""}
     assert {k: markup.plain(k) for k in plain} == plain
     normal = {"\u201cCaf\u0065\u0301\u201d \u2014 \ufb01ve": '"caf\u00e9" - five', "A\n\n B\u00a0C": "a b c"}
     assert {k: markup.normal(k) for k in normal} == normal
-    unit = {"**a** and __b__": "a and b", "*a*_b_ ***c***": "ab c", "**a\nb**": "a b", "x *a\nb* y": "x *a b* y", "x<br/>y<br>z <b>w</b><i>v</i>": "x y z wv", "a * b": "a * b", "2*3*4": "234", "\u201eq\u201d \u2212 \u00b5": '"q" - \u03bc'}
+    unit = {"**a** and __b__": "a and b", "*a*_b_ ***c***": "ab c", "**a\nb**": "a b", "x *a\nb* y": "x *a b* y",
+        "x<br/>y<br>z <b>w</b><i>v</i>": "x y z wv", "a * b": "a * b", "2*3*4": "234", "\u201eq\u201d \u2212 \u00b5": '"q" - \u03bc'}
     assert {k: markup.unit(k) for k in unit} == unit
 
 
@@ -78,7 +80,8 @@ def test_text_pairs_are_whole(spark):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
     assert set(pairs) == set(texts)
     assert all(pairs[d]["reference"] == t for d, t in texts.items())
-    assert max(len(r["prediction"]) for r in pairs.values()) > 10_000 and {r["doc_id"] for r in scoring.text_error_rates(Inputs(spark, SF)("text_pairs")).where("cer is not null and wer is not null").collect()} == set(texts)
+    assert max(len(r["prediction"]) for r in pairs.values()) > 10_000 and {r["doc_id"]
+            for r in scoring.text_error_rates(Inputs(spark, SF)("text_pairs")).where("cer is not null and wer is not null").collect()} == set(texts)
 
 
 def test_scores_of_text_pairs_equal_brute_force(spark):
@@ -93,7 +96,8 @@ def test_scores_of_text_pairs_equal_brute_force(spark):
         a, b = (" ".join(t.lower().split()) for t in (a.replace("*", ""), b))
         assert r["normalized_cer"] == pytest.approx(plain_edit(a, b) / len(a)) and r["similarity"] == pytest.approx(1 - plain_edit(a, b) / max(len(a), len(b)))
         assert r["wer"] == pytest.approx(plain_edit(a.split(), b.split()) / len(a.split()))
-    tests = some.selectExpr("doc_id AS test_id", "doc_id", "'present' AS type", "concat('q', substr(reference, 201, 12)) AS text", "1 AS max_diffs", "true AS case_sensitive", "CAST(NULL AS INT) AS first_n", "CAST(NULL AS INT) AS last_n")
+    tests = some.selectExpr("doc_id AS test_id", "doc_id", "'present' AS type", "concat('q', substr(reference, 201, 12)) AS text", "1 AS max_diffs",
+        "true AS case_sensitive", "CAST(NULL AS INT) AS first_n", "CAST(NULL AS INT) AS last_n")
     assert all(r["passed"] for r in scoring.presence_tests(tests, some.selectExpr("doc_id", "reference AS text")).collect())
 
 
