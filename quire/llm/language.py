@@ -5,13 +5,15 @@ text is parsed from its start into phrases, each the longest match with what the
 phrases times the bits that point to a place of those texts, for each symbol of the text, estimate the cross entropy. The language of the lowest one wins.
 
 The fit takes a bounded sample: of each language's texts those with the smallest hashes, whole, ``FIT_ROWS`` at most, as long as they fit into
-``FIT_BYTES``, or into their share of ``ALL_BYTES`` where there are many languages; a text that doesn't fit is left out. Each automaton is built by a task of its own. Prediction covers every row and its whole text:
+``FIT_BYTES``, or into their share of ``ALL_BYTES`` where there are many languages; a text that
+doesn't fit is left out. Each automaton is built by a task of its own. Prediction covers every row and its whole text:
 tasks advance the parses of many texts and all languages together, and finish the few longest ones one by one.
 
 Symbols are the bytes of UTF-8 in lower case; whatever is ASCII and no letter (digits, marks, white space) is a blank.
 
 Defined cases: a null or empty text, or one without a letter, is ``und`` with score 0; so is every text where nothing could be learned. Ties go to the
-alphabetically first language. The score is 1 - lowest / second lowest entropy, 0 at a tie, 1 where only one language was learned. Rows with null lang or text teach nothing; repeated rows
+alphabetically first language. The score is 1 - lowest / second lowest entropy, 0 at a tie,
+1 where only one language was learned. Rows with null lang or text teach nothing; repeated rows
 get the same prediction and teach once. A language none of whose texts fits into its bytes is not learned. An empty table gives an empty result. Only the
 id, text and language columns are read.
 """
@@ -227,7 +229,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         def done() -> pa.RecordBatch:
             rows = pa.Table.from_batches(waiting).combine_chunks()
             lang, score = found.predict(rows.column(len(keep)).to_pylist())
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in rows.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in rows.columns[: len(keep)]),
+                    pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
         for batch in batches:
             waiting.append(batch)

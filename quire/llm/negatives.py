@@ -16,7 +16,8 @@ reaches the k-th score found there is kept. A task holds one block and ``topk.QU
 
 Defined cases: a row with a null label, id or vector, an empty vector, or a null or non-finite component takes no part. A component beyond
 a long counts as the nearest long, and so does a score. Vectors of different lengths are never compared. Higher scores come first, ties go
-to the smaller vec_id. Repeated rows count once each as positives and negatives, and as one anchor. A row never meets rows of its own vec_id. Where the positive's score is
+to the smaller vec_id. Repeated rows count once each as positives and negatives, and as one anchor. A row never meets rows of its own vec_id. Where the
+positive's score is
 negative, no row can lie in the range. An empty table gives no rows; other columns aren't read.
 """
 

@@ -80,7 +80,8 @@ class UnitTokenizer:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
         steps = kind.get("pretokenizers", [kind])
-        self.words = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex", True)
+        self.words = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex",
+            True)
         self.spaced = len(steps) == 1 and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         suffix = spec["model"].get("end_of_word_suffix")

@@ -86,7 +86,8 @@ _PART = pa.schema([("dims", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), (
 
 def _part(dims: int, cells: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
     i, j, values = zip(*cells)
-    return pa.RecordBatch.from_arrays([pa.array([dims] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([_limbs(int(v)) for v in values], pa.list_(pa.int64()))], schema=_PART)
+    return pa.RecordBatch.from_arrays([pa.array([dims] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+            pa.array([_limbs(int(v)) for v in values], pa.list_(pa.int64()))], schema=_PART)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

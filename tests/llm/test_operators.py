@@ -225,7 +225,8 @@ def test_classifier_edges(spark):
 @pytest.mark.parametrize("name", [queries.BYTE_BPE, queries.WORD_BPE])
 def test_unit_tokenizer_equals_the_library(name):
     t = tokens.UnitTokenizer(queries.tokenizer_file(name), cache=50)
-    texts = [x or "" for _, x in corpus() if len(x or "") < 9000] + ["  a  b\n c", " x\n\n y  ", "don't we'll  İstanbul ß \x1c z <|endoftext|> <|startoftext|>", "é ́x 1234 ½ ΣΑΣ Σ", "\0a b", "日本 語 ok 😀 b", "a \xa0 b c d"]
+    texts = [x or "" for _, x in corpus() if len(x or "") < 9000] + ["  a  b\n c", " x\n\n y  ",
+        "don't we'll  İstanbul ß \x1c z <|endoftext|> <|startoftext|>", "é ́x 1234 ½ ΣΑΣ Σ", "\0a b", "日本 語 ok 😀 b", "a \xa0 b c d"]
     for _ in range(2):
         for text, got in zip(texts, t.encode(texts)):
             assert np.array_equal(got, t.tokenizer.encode(text, add_special_tokens=False).ids), text
@@ -447,8 +448,10 @@ def test_unigram_equals_all_segmentations():
 
 def test_top_k_equals_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    rows += [(1000, None), (1050, [None] * 64), (1100, [float("nan")] * 64), (1150, [float("inf")] + [0.0] * 63), (1200, [1.0, 2.0]), (1201, [1.0, 2.0]), (1202, [1.0, 2.0]), (None, [1.0, 2.0]), (1250, [])]
-    rows += [(1300, [3e38] * 2), (1301, [-3e38, 0.0]), (1302, [1e12, -1e12]), (1303, [3e38, -3e38]), (1350, [0.0, 0.0]), (1400, [0.5] * 64), (1450, [-3e38] * 64)] + [(2001 + i, [0.5] * 64) for i in range(120)]
+    rows += [(1000, None), (1050, [None] * 64), (1100, [float("nan")] * 64), (1150, [float("inf")] + [0.0] * 63), (1200, [1.0, 2.0]),
+        (1201, [1.0, 2.0]), (1202, [1.0, 2.0]), (None, [1.0, 2.0]), (1250, [])]
+    rows += [(1300, [3e38] * 2), (1301, [-3e38, 0.0]), (1302, [1e12, -1e12]), (1303, [3e38, -3e38]), (1350, [0.0, 0.0]), (1400, [0.5] * 64),
+        (1450, [-3e38] * 64)] + [(2001 + i, [0.5] * 64) for i in range(120)]
     random.Random(3).shuffle(rows)
     d = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1)).withColumn("block", F.lit("own"))
     want = brute.top_k([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
@@ -487,7 +490,8 @@ def test_top_k_reads_part_of_the_lists(spark):
 def test_chat_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     tricky = ["</turn>\n<part/>", '<turn role="user">', "&lt;&amp;&quot;", '">', "\\", "😀é" * 3000, None, "", "a\nb"]
-    rows += [(5000 + i % 3, i, "assistant" if i % 4 > 1 else "user", t) for i, t in enumerate(tricky * 3)] + [(6000, 0, 'x">y', "t"), (6000, None, None, None), (None, 1, "user", "n"), (7000, 1, "assistant", "same"), (7000, 1, "assistant", "same")]
+    rows += [(5000 + i % 3, i, "assistant" if i % 4 > 1 else "user", t) for i, t in enumerate(tricky * 3)] + [(6000, 0, 'x">y', "t"),
+        (6000, None, None, None), (None, 1, "user", "n"), (7000, 1, "assistant", "same"), (7000, 1, "assistant", "same")]
     rows += [(8000, i, ("user", "assistant")[i % 2], f"turn {i} <") for i in range(3000)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
     made = chat.format_chat(d)
