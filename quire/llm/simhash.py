@@ -3,7 +3,8 @@
 1. Fingerprint: every document in one pass over its whole text (:func:`fingerprints`).
 2. Candidates: two fingerprints within ``radius`` bits agree on some ``m - radius`` of ``m`` bit
    blocks, so each *distinct* fingerprint is keyed once per choice of blocks. A bucket of more than
-   ``hot`` fingerprints is keyed again on its free bits, which leaves 2^20 members at most (radius 3).
+   ``hot`` fingerprints is keyed again on its free bits, and what is still larger is cut into tiles of
+   about ``hot``, of which each two meet: no task holds more than two tiles of a bucket.
 3. Comparison: a task holds its buckets as bit planes (plane b = bit b of 64 fingerprints per word).
    A query XORs its bits with the planes and adds them by carry-save into counters that overflow at
    ``radius + 1``; a block is abandoned when every wanted lane has overflowed.
@@ -188,6 +189,18 @@ def _edges(keyed: DataFrame, radius: int) -> DataFrame:
     return keyed.select("mask", "key", "fp").mapInArrow(run, "a long, b long")
 
 
+def _tiled(keyed: DataFrame, hot: int) -> DataFrame:
+    """(mask, key, fp) with a key for each two tiles of buckets of more than ``hot`` fingerprints; every two members of such a bucket share one."""
+    sizes = write_table(keyed.groupBy("mask", "key").count().where(F.col("count") > hot), "simhash-tiles")
+    tiles = sizes.select("mask", "key", F.ceil(F.col("count") / hot).alias("tiles"))
+    dealt = keyed.join(tiles, ["mask", "key"], "left").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
+    met = F.when(F.col("tiles").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    each = dealt.withColumn("other", F.explode(met))
+    # two buckets under one hash would only be compared in vain
+    pair = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    return each.select("mask", F.when(F.col("other").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT_BUCKET) -> DataFrame:
     """Edges (a, b) that connect all of the distinct fingerprints ``fp`` within ``radius`` bits."""
     first = _masks(list(range(64)), blocks, blocks - radius)
@@ -202,8 +215,8 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int =
             ids += len(own)
         finer = F.coalesce(*[F.when(F.col("mask") == i, x) for i, x in second.items()])
         again = keyed.join(crowded, ["mask", "key"], "left_semi").select("fp", F.inline(finer))
-        keyed = keyed.join(crowded, ["mask", "key"], "left_anti").select("mask", "key", "fp").unionByName(
-            again.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp"))
+        again = write_table(again.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp"), "simhash-finer")
+        keyed = keyed.join(crowded, ["mask", "key"], "left_anti").select("mask", "key", "fp").unionByName(_tiled(again, hot))
     return _edges(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp"), radius)
 
 
