@@ -6,8 +6,8 @@ sizes of all chunks are summed. The difference of both sizes, normalised by the
 fits the labels best, at their own class shares, makes it a probability. For the curve, labelled texts are measured with dictionaries of the other
 folds, so none is measured with a dictionary that it helped to build; the final dictionaries are built from all of them.
 
-The fit uses a bounded sample: the ``fit_rows`` labelled rows of each class with the smallest hashes of their id, with their whole texts.
-Scoring covers every row and its whole text.
+The fit uses a bounded sample: of the ``fit_rows`` labelled rows of each class with the smallest hashes of their id those whose whole texts fit into
+``fit_bytes`` together; a row that doesn't fit is left out, never cut. Scoring covers every row and its whole text.
 
 Defined cases: a null or empty text has the difference 0 and gets the calibrated score of that. Repeated rows get the same score. A long text is
 compressed chunk by chunk. Labels of one id with several rows or texts count once each. Without labels of both classes every score is 0.5. Only
@@ -29,6 +29,7 @@ from pyspark.sql.functions import arrow_udf
 from quire.llm.shared import as_bytes
 
 FIT_ROWS = 1500
+FIT_BYTES = 32 << 20  # of each class
 FOLDS = 4
 DICTIONARY_BYTES = 1 << 16
 SAMPLE, SEGMENT, MATCH = 1024, 32, 6  # what the trainer takes for one sample, picks as one piece, and counts
@@ -123,15 +124,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from labelled rows that are not held out: whole texts of at most ``fit_rows`` ids of each class."""
-    known = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"))
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """Learn from labelled rows that are not held out: whole texts of at most ``fit_rows`` ids of each class, of ``fit_bytes`` bytes at most."""
+    filled = docs.where("text is not null and text <> ''")
+    # an id's rows count with all their bytes, so an id of very many rows is left out, too
+    known = filled.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null").where(~held_out())
-    usable = usable.join(known, "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality")
-    # a bounded sample of ids: the smallest hashes, fit_rows of each class; only their texts are then fetched
-    chosen = [tuple(r) for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy("h", "doc_id").limit(fit_rows).collect()]
+    usable = usable.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", "size")
+    # a bounded sample of ids: the smallest hashes, fit_rows of each class, as far as they fit; only their texts are then fetched
+    chosen = []
+    for q in (0, 1):
+        left = fit_bytes
+        for r in usable.where(F.col("quality") == q).orderBy("h", "doc_id").limit(fit_rows).collect():
+            if r["size"] <= left:
+                chosen.append((r["h"], r["doc_id"], r["quality"]))
+                left -= r["size"]
     ids = docs.sparkSession.createDataFrame(chosen, "h long, doc_id long, quality int").distinct()
-    texts = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    texts = filled.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     found = texts.select("quality", "h", "text").collect()
     rows = {q: [t.encode() for _, t in sorted({(r["h"], r["text"]) for r in found if r["quality"] == q})] for q in (0, 1)}
     share = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}  # two rows

@@ -72,6 +72,36 @@ def test_simhash_bit_slices(spark):
             assert len({*zip(up.tolist(), want.tolist())}) == len(set(up.tolist())) == len(set(want.tolist()))
 
 
+def test_simhash_tiles_of_a_bucket(spark):
+    """Of a bucket that stays large under finer keys all members meet in two tiles, and no key holds more than two tiles of it."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 6), replace=False)) for _ in range(300)})
+    keyed = spark.createDataFrame([(0, 7, f) for f in fps] + [(0, 8, f) for f in fps[:20]], "mask int, key long, fp long")
+    tiled: dict = {}
+    for r in simhash._tiled(keyed, 40).collect():
+        tiled.setdefault((r["mask"], r["key"]), []).append(r["fp"])
+    assert sorted(tiled.pop((0, 8))) == fps[:20]
+    met = {(a, b) for members in tiled.values() for a in members for b in members}
+    assert met == {(a, b) for a in fps for b in fps} and max(map(len, tiled.values())) < 40 * 4
+    edges = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot=16).collect()]
+
+    def groups(links):
+        up = {f: f for f in fps}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+        return {f: root(f) for f in fps}
+
+    assert groups(edges) == groups([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3])
+
+
 def test_simhash_null_ids_and_pipeline_form(spark):
     rows = [(None, "p q r s"), (None, "p q r s"), (5, "p q r s"), (4, "P Q R S"), (None, "z y x w"), (9, None), (8, ""), (7, "k l m n"), (7, "k l m n")]
     d = frame(spark, rows).withColumn("fp", F.lit("own")).withColumn("component_id", F.lit(1))
@@ -193,6 +223,21 @@ def test_classifier_equals_brute_force(spark):
         assert abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
 
 
+def test_classifier_sample_is_bounded_by_bytes(spark):
+    """Texts that don't fit are left out whole, and so is an id of very many rows; without them the model is the same."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    usable = [r["doc_id"] for r in labels.where("quality in (0, 1)").where(~classifier.held_out()).orderBy("doc_id").collect()]
+    least = docs.where("text <> ''").where(F.col("doc_id").isin(usable[:40])).select("doc_id", "text")
+    want = classifier.fit(least.where(F.col("doc_id") != usable[0]), labels)
+    long = least.withColumn("text", F.when(F.col("doc_id") == usable[0], F.repeat("text", 5000)).otherwise(F.col("text")))
+    many = least.where(F.col("doc_id") == usable[0]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("n")
+    bytes_ = least.select(F.sum(F.octet_length("text"))).first()[0]
+    first = lambda m: (m.good, m.bad)
+    for odd in (long, least.where(F.col("doc_id") != usable[0]).unionByName(many)):
+        assert first(classifier.fit(odd, labels, fit_bytes=bytes_)) == first(want)
+        assert first(classifier.fit(odd, labels)) != first(want) or odd is not long
+
+
 def test_calibration_finds_the_curve():
     rng = np.random.default_rng(2)
     x = rng.normal(0.02, 0.05, 20000)
