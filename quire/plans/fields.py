@@ -126,7 +126,7 @@ _OUTLINE = f"""p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i
       ELSE {_PART} END, concat(chr(10), chr(10)) ORDER BY place) AS body FROM g GROUP BY ALL)"""
 
 
-def _spanned(v: Inputs):
+def _pages(v: Inputs):
     """An HTML table of each order: two heading rows, a first cell that spans all lines, a cell of two columns in every third line."""
     line = F.concat(F.lit("<td>"), F.col("q"), F.lit("</td>"),
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("<td colspan='2'>p&amp;"), F.col("k").cast("string"), F.lit("</td>")))
@@ -136,7 +136,7 @@ def _spanned(v: Inputs):
                 F.when(i == 0, F.concat(F.lit('<td rowspan="0">'), F.col("doc_id").cast("string"), F.lit("</td>"))).otherwise(""), x["s"],
                 F.lit("</tr>"))), "")
     head = "<p>t</p><table class=a><thead><tr><th rowspan=2>order</th><th colspan=3>line</th></tr><tr><td>quantity</td><td>part</td><td>note</td></tr></thead><tbody>"
-    return m.html_table_cells(rows.select("doc_id", F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html")))
+    return rows.select("doc_id", F.concat(F.lit(head), body, F.lit("</tbody></table>")).alias("html"))
 
 
 _SPANNED_SQL = f"""
@@ -153,10 +153,6 @@ _SPANNED_SQL = f"""
         SELECT doc_id, 1 AS table_no, CAST(cell_id AS INT) AS cell_id, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no, text, is_heading FROM g"""
 
 
-def _cells(v: Inputs):
-    return m.table_cells(v("md_docs"))
-
-
 def _sections(v: Inputs):
     return v.sql("SELECT doc_id, row_no AS section, 1 + row_no AS level, column_name AS heading, concat(' ', value, ' ') AS body FROM ref_cells WHERE column_name = 'quantity'")
 
@@ -313,11 +309,11 @@ PLANS = {
         SELECT doc_id, string_agg(concat(repeat('#', CAST(least(6, 1 + row_no) AS INT)), ' ', column_name, chr(10), chr(10), value), concat(chr(10),
             chr(10)) ORDER BY row_no, concat(repeat('#', CAST(least(6, 1 + row_no) AS INT)), value)) AS text FROM ref_cells WHERE column_name = 'quantity'
             GROUP BY doc_id"""),
-    "m03_table_cells": (_cells, f"WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text, is_heading FROM cells"),
-    "m04_html_table_cells": (_spanned, _SPANNED_SQL),
-    "m05_cell_neighbors": (lambda v: m.cell_neighbors(_cells(v)).select("doc_id", "table_no", "row_no", "col_no", "text", *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text, coalesce(lag(text) OVER c2, '') AS up, coalesce(lead(text) OVER c2, '') AS down, coalesce(lag(text) OVER r2, '') AS "left", coalesce(lead(text) OVER r2, '') AS "right" FROM cells
+    "m03_table_cells": (lambda v: m.table_cells(v("md_docs")), f"WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text, is_heading FROM cells"),
+    "m04_html_table_cells": (lambda v: m.html_table_cells(_pages(v)), _SPANNED_SQL),
+    "m05_cell_neighbors": (lambda v: m.cell_neighbors(m.markdown_tables(v("md_docs"))).select("doc_id", "table_no", "row_no", "col_no", "text", *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text, coalesce(lag(text) OVER c2, '') AS up, coalesce(lead(text) OVER c2, '') AS down, coalesce(lag(text) OVER r2, '') AS "left", coalesce(lead(text) OVER r2, '') AS "right" FROM cells
         WINDOW c2 AS (PARTITION BY doc_id, col_no ORDER BY row_no), r2 AS (PARTITION BY doc_id, row_no ORDER BY col_no)"""),
-    "m05_spanned_neighbors": (lambda v: m.cell_neighbors(_spanned(v)).select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""
+    "m05_spanned_neighbors": (lambda v: m.cell_neighbors(m.html_tables(_pages(v))).select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""
         WITH cells AS ({_SPANNED_SQL}), f AS (SELECT doc_id, cell_id, min(row_no) AS y, min(col_no) AS x, any_value(text) AS text FROM cells GROUP BY ALL),
           n AS (SELECT DISTINCT a.doc_id, a.cell_id, CASE WHEN b.row_no < a.row_no THEN 'up' WHEN b.row_no > a.row_no THEN 'down'
               WHEN b.col_no < a.col_no THEN 'left' ELSE 'right' END AS side, b.cell_id AS other
@@ -327,14 +323,14 @@ PLANS = {
         SELECT f.doc_id, f.cell_id, coalesce(max(t.t) FILTER (side = 'up'), '') AS up, coalesce(max(t.t) FILTER (side = 'down'), '') AS down,
             coalesce(max(t.t) FILTER (side = 'left'), '') AS "left", coalesce(max(t.t) FILTER (side = 'right'), '') AS "right"
             FROM f LEFT JOIN t ON t.doc_id = f.doc_id AND t.cell_id = f.cell_id GROUP BY ALL"""),
-    "m06_cell_headings": (lambda v: m.cell_headings(_cells(v)).select("doc_id", "table_no", "row_no", "col_no", "text", *[F.array_join(c, "|").alias(c) for c in ("top_heading", "left_heading")]), f"""WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text,
+    "m06_cell_headings": (lambda v: m.cell_headings(m.markdown_tables(v("md_docs"))).select("doc_id", "table_no", "row_no", "col_no", "text", *[F.array_join(c, "|").alias(c) for c in ("top_heading", "left_heading")]), f"""WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text,
           coalesce((SELECT array_to_string(list_sort(list_distinct(list(x.text))), '|') FROM cells x
               WHERE x.doc_id = k.doc_id AND x.col_no = k.col_no AND x.row_no < k.row_no AND x.is_heading), (SELECT arg_min(x.text, x.row_no) FROM cells x
               WHERE x.doc_id = k.doc_id AND x.col_no = k.col_no AND x.row_no < k.row_no), '') AS top_heading,
           coalesce((SELECT array_to_string(list_sort(list_distinct(list(x.text))), '|') FROM cells x
               WHERE x.doc_id = k.doc_id AND x.row_no = k.row_no AND x.col_no < k.col_no AND x.is_heading), (SELECT arg_min(x.text, x.col_no) FROM cells x
               WHERE x.doc_id = k.doc_id AND x.row_no = k.row_no AND x.col_no < k.col_no), '') AS left_heading FROM cells k"""),
-    "m06_spanned_headings": (lambda v: m.cell_headings(_spanned(v)).where("row_no > 1 and col_no > 0").select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("top_heading", "left_heading")]), f"""
+    "m06_spanned_headings": (lambda v: m.cell_headings(m.html_tables(_pages(v))).where("row_no > 1 and col_no > 0").select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("top_heading", "left_heading")]), f"""
         WITH cells AS ({_SPANNED_SQL}), f AS (SELECT doc_id, cell_id, min(col_no) AS x, bool_or(EXISTS (SELECT 1 FROM cells w
             WHERE w.doc_id = c.doc_id AND w.row_no <= c.row_no AND w.row_no > 1 AND w.col_no = 2 AND EXISTS (SELECT 1 FROM cells z
             WHERE z.doc_id = w.doc_id AND z.cell_id = w.cell_id AND z.col_no = 3))) AS wide FROM cells c WHERE row_no > 1 AND col_no > 0 GROUP BY ALL)
