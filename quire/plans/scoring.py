@@ -87,11 +87,10 @@ _LINES = """SELECT l_orderkey * 8 + l_linenumber AS test_id, l_orderkey AS doc_i
 
 
 def _table_tests(v: Inputs):
-    cells = m.table_cells(v("md_docs"))
     none = F.lit(None).cast("string")
     tests = v.sql(_LINES).select("test_id", "doc_id", "type", "cell", "max_diffs", F.col("side").alias("left"),
         F.lit("quantity").alias("top_heading"), *[none.alias(c) for c in ("up", "down", "right", "left_heading")])
-    return e.table_tests(tests, cells, m.cell_neighbors(cells), m.cell_headings(cells))
+    return e.table_tests(tests, m.markdown_tables(v("md_docs")))
 
 
 _FIELD = """m AS (SELECT coalesce(r.doc_id, p.doc_id) AS doc_id, coalesce(r.field, p.field) AS field, CASE WHEN r.v IS NOT DISTINCT FROM p.v THEN 1 ELSE 0 END AS tp, p.v IS NOT NULL AS hp, r.v IS NOT NULL AS hr
