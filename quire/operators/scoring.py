@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.distance import all_close, found_within, starts_before, text_edits
+from quire.functions.distance import all_close, found_within, normal_edits, plain_edits, starts_before, word_edits
 from quire.functions.text import normalized, unit_test_text, unit_test_texts, words
 from quire.operators.structure import cell_surroundings, gathered
 
@@ -17,8 +17,9 @@ def _by_document(rows: DataFrame) -> DataFrame:
 
 
 def _edited(pairs: DataFrame) -> DataFrame:
-    """(doc_id, edits and lengths) of each pair, worked out once."""
-    return _by_document(pairs).select("doc_id", text_edits("reference", "prediction").alias("e")).select("doc_id", "e.*")
+    """(doc_id, edits and lengths) of each pair; those that a query doesn't show aren't worked out."""
+    kinds = {"e": plain_edits, "ne": normal_edits, "we": word_edits}
+    return _by_document(pairs).select("doc_id", *[f("reference", "prediction").alias(k) for k, f in kinds.items()]).select("doc_id", *[f"{k}.*" for k in kinds])
 
 
 def _rate(edits: str, length: str, other: str) -> Column:
