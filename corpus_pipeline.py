@@ -39,7 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Verified five-word similarity of 0.8 or more; the narrower fingerprints of op5 would miss most near copies."""
+    """Verified five-word similarity of 0.8 or more of texts that SimHash fingerprints or, beyond their radius, MinHash values bring together."""
     _small_batches(spark)
     return near.drop_near_duplicates(docs)
 

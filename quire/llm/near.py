@@ -1,8 +1,10 @@
 """Near-duplicate texts: Jaccard similarity of at least 0.8 between sets of five-word shingles.
 
 1. Sets: every document in one pass over its whole text; equal sets become one node (a 128-bit digest).
-2. Candidates: ``BANDS`` keys of ``ROWS`` MinHash values each. A pair of similarity s shares a key with
-   probability 1 - (1 - s^6)^32: 0.99994 at 0.8, more above it. The nodes of one key are a bucket.
+2. Candidates: SimHash. The fingerprint of a set has the bits that most of its shingle hashes have; fingerprints within ``RADIUS`` bits are linked
+   (:func:`quire.llm.simhash.links`), and the nodes of one component of them are a bucket. A pair at 0.8 differs in 9 to 10 of 64 bits, so buckets of
+   MinHash values are added, lest links between less alike texts be lost: ``BANDS`` keys of ``ROWS`` values each. A pair of similarity s shares a
+   key with probability 1 - (1 - s^6)^32: 0.99994 at 0.8, more above it. The nodes of one key are a bucket, too.
 3. Stars: all nodes of a bucket meet the one that most others share buckets with, and exact similarities are worked out: a group of copies costs as many
    pairs as it has members.
 4. Buckets whose nodes are in several components still go, with their sets, to tasks of bounded size,
@@ -27,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quire.llm.shared import as_bytes, drop_table, write_table
-from quire.llm.simhash import components
+from quire.llm.simhash import RADIUS, components, links, majority
 
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 6
+SIMHASH = -1  # the band of SimHash buckets
 TILE_NODES, TILE_SHINGLES = 512, 1 << 19
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -70,13 +73,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(texts: pa.Array) -> pa.Array:
-    digests, sizes, keys = [], [], []
+    digests, sizes, fps, keys = [], [], [], []
     for t in texts:
         h = shingles(t.as_py())
         digests.append(xxhash.xxh3_128_digest(h.tobytes()))
         sizes.append(len(h))
+        fps.append(majority(h))
         keys.append(band_keys(h))
-    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["digest", "n", "keys"])
+    made = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(made, ["digest", "n", "fp", "keys"])
 
 
 def _sets(texts: pa.Array) -> pa.Array:
@@ -91,12 +96,12 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, one row of each component: the smallest doc_id, nulls last; of repeated rows one."""
     columns = docs.columns
-    sketch = arrow_udf(_sketches, "digest binary, n long, keys array<long>")(as_bytes())
+    sketch = arrow_udf(_sketches, "digest binary, n long, fp long, keys array<long>")(as_bytes())
     marked = docs.withColumn("__near_row", F.monotonically_increasing_id()).withColumn("__near", sketch)
     marked = write_table(marked, "near-marked")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__near_row").alias("row"))
     found = marked.select(first.alias("first"), "__near.*").groupBy("digest")
-    sets = write_table(found.agg(F.min("first").alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "near-sets")
+    sets = write_table(found.agg(F.min("first").alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "near-sets")
     edges, done = _links(marked, sets)
     linked = write_table(components(edges), "near-components")
     for table in done:
@@ -106,9 +111,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(chosen.select(F.col("first.row").alias("__near_row")), "__near_row", "left_semi").select(*columns)
 
 
+def buckets(sets: DataFrame) -> DataFrame:
+    """(node, n, band, key): each node once for the component of its SimHash fingerprint and once for each of its MinHash keys. The empty set is in none."""
+    some = sets.where("n > 0").select(F.col("first.row").alias("node"), "n", "fp", "keys")
+    linked = write_table(components(links(some.select("fp").distinct(), RADIUS)), "near-simhash").toDF("fp", "root")
+    near = some.join(linked, "fp", "left").select("node", "n", F.lit(SIMHASH).alias("band"), F.coalesce("root", "fp").alias("key"))
+    return near.unionByName(some.select("node", "n", F.posexplode("keys").alias("band", "key")))
+
+
 def _links(marked: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges (a, b) that connect all nodes of ``sets`` that share a band key and are alike, and the tables that nothing needs once these are used."""
-    keyed = sets.select(F.col("first.row").alias("node"), "n", F.posexplode("keys").alias("band", "key"))
+    """Edges (a, b) that connect all nodes of ``sets`` that share a bucket and are alike, and the tables that nothing needs once these are used."""
+    keyed = buckets(sets)
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = write_table(keyed.join(sizes, ["band", "key"]), "near-met")
     # a node that meets many others is the likeliest centre of its copies

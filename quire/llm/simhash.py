@@ -55,9 +55,23 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     for i in range(0, total, 1 << 16):
         j = min(i + (1 << 16), total)
         pairs = zip(start[i:j].tolist(), end[i + width - 1 : j + width - 1].tolist())
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in pairs), np.uint64, j - i)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += _bit_counts(np.fromiter((digest(joined[a:b], 42) for a, b in pairs), np.uint64, j - i))
+    return _most(counts, total)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of these hashes have."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += _bit_counts(hashes[i : i + (1 << 16)])
+    return _most(counts, len(hashes))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _most(counts: np.ndarray, total: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 

@@ -71,6 +71,21 @@ def test_near_dedup_of_a_group_of_unlike_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
 
 
+def test_simhash_fingerprints_bring_candidates_together(spark):
+    """Nodes within three bits, directly or over others, are a bucket even where no MinHash value is common; others are alone."""
+    x = 0x0123456789ABCDEF
+    rows = [(1, x, [11]), (2, x ^ 0b111, [12]), (3, x ^ 0b11111, [13]), (4, x, [14]), (5, x ^ 0xFFFFF, [15])]
+    sets = spark.createDataFrame([((i,), 9, fp, keys) for i, fp, keys in rows], "first struct<row: long>, n long, fp long, keys array<long>")
+    found = near.buckets(sets).groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1).collect()
+    assert [(r["band"], r["nodes"]) for r in found] == [(near.SIMHASH, [1, 2, 3, 4])]
+
+
+def test_fingerprint_of_a_set_has_the_bits_of_most_hashes():
+    hashes = np.random.default_rng(3).integers(0, 1 << 64, 1001, np.uint64)
+    assert near.majority(hashes) == sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in hashes) * 2 > 1001)
+    assert near.majority(hashes[:0]) == 0 and near.majority(np.array([5, 6], np.uint64)) == 4
+
+
 @pytest.mark.parametrize("tiles", [(512, 1 << 19), (7, 1 << 19), (512, 300)])
 def test_links_of_a_bucket_in_one_task_and_in_tiles(spark, tiles):
     """A bucket of sets on both sides of 0.8, some of them joined already, meets in one task or in pairs of tiles."""
