@@ -25,3 +25,16 @@ def write_file(uri: str, body: bytes) -> None:
     with system.open_output_stream(beside) as f:
         f.write(body)
     system.move(beside, path)
+
+
+def read_file(uri: str) -> bytes:
+    """The body of the file ``uri``."""
+    parsed = urlparse(uri)
+    if parsed.scheme in ("", "file"):
+        with open(parsed.path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as f:
+        return f.read()

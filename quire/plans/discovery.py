@@ -47,10 +47,8 @@ def _written_artifacts(v: Inputs):
     """Artifacts are written below the shared folder and read back: the name and body of each file."""
     folder = fresh_path(v.spark, "artifacts")
     made = d.write_artifacts(v.sql(_RESULTS), folder)
-    back = v.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    body = F.col("content").cast("string")
-    return back.join(made.select("path"), F.regexp_replace(back["path"], "^file:/*", "/") == F.regexp_replace(made["path"], "^file:/*", "/"), "left_semi").select(
-        F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"), F.length(body).cast("long").alias("chars"), F.sha2("content", 256).alias("sha"))
+    return d.read_artifacts(made).select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"),
+        F.length(F.col("content").cast("string")).cast("long").alias("chars"), F.sha2("content", 256).alias("sha"))
 
 
 _PLANNED = f"""p AS (SELECT {_INNER} AS path FROM files), q AS (SELECT path, string_split(path, '/') AS s FROM p),

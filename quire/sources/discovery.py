@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.files import write_file
+from quire.functions.files import read_file, write_file
 from quire.functions.tables import written
 
 # fixed values: what the extractor accepts, and folders that hold no documents
@@ -22,6 +23,7 @@ INSTRUCTION_NAMES = ("claude", "claude.local", "agents", "agent", "gemini", "cop
 MAX_FILES, MAX_TOTAL_MB = 1000, 5120
 MAX_IMAGE_BYTES, MAX_PDF_BYTES = 70 << 20, 50 << 20
 CHUNK_BYTES = 65536
+READ_BYTES = 4 << 20  # bytes of files in one batch that is read back
 ARTIFACTS = {"md": "markdown", "json": "json", "csv": "csv", "steps.json": "steps"}  # extension -> column of a result
 
 
@@ -216,9 +218,31 @@ def write_artifacts(results: DataFrame, folder: str, fmt: str = "all") -> DataFr
             yield pd.DataFrame(out, columns=names)
 
     some = results.select("target", *[c for c in ARTIFACTS.values() if c in results.columns])
+    some = some.repartition(max(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "target")  # few large row groups would be few tasks
     return written(some.mapInPandas(run, "target string, path string, bytes long, error string"), "artifacts-written")
 
 
+def read_artifacts(made: DataFrame) -> DataFrame:
+    """(path, content) of the files that :func:`write_artifacts` names, each once, read by the tasks that hold their names: a folder of millions of small files is never listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, bodies, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                paths.append(path)
+                bodies.append(read_file(path))
+                size += len(bodies[-1])
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "content"])
+                    paths, bodies, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "content"])
+
+    # dealt by number: names are few bytes, and would be put together into few tasks
+    parts = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return made.where("path is not null").select("path").repartition(parts, "path").distinct().mapInArrow(run, "path string, content binary")
+
+
 class _Chunks:
     """The chunks of one text, one after another: only one is held at a time."""
 

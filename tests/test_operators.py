@@ -352,6 +352,11 @@ def test_scan_write_and_chunk(spark, tmp_path):
     assert (tmp_path / "out/o/a.md").read_text() == "# x\n" and (tmp_path / "out/o/a.json").read_text() == '{\n  "k": [\n    1\n  ]\n}\n'
     assert {r["target"]: r["error"] for r in discovery.write_artifacts(results, str(tmp_path / "csv"), "csv").collect()} == {"o/a": "csv-missing", "b": None, "e": "csv-missing"}
     assert (tmp_path / "csv/b.csv").read_text() == "c,d\n" and len(list(tmp_path.rglob("*.new"))) == 0
+    twice = discovery.write_artifacts(results.unionByName(results), f"file://{tmp_path}/twice")
+    (tmp_path / "twice/o/left.md").write_text("not of this run")
+    back = discovery.read_artifacts(twice)
+    assert sorted((r["path"].rsplit("/twice/")[1], bytes(r["content"])) for r in back.collect()) == [("o/a.json", b'{\n  "k": [\n    1\n  ]\n}\n'), ("o/a.md", b"# x\n")]
+    assert "binaryFile" not in back._jdf.queryExecution().toString()  # no listing of all files in the driver
     texts = spark.createDataFrame([(1, "aé😀" * 50), (2, "")], "doc_id long, text string")
     chunks = discovery.chunk_artifacts(texts, max_bytes=10).orderBy("id", "chunk_no").collect()
     assert "".join(r["chunk"] for r in chunks if r["id"] == 1) == "aé😀" * 50 and all(len(r["chunk"].encode()) <= 10 for r in chunks)
