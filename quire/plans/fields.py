@@ -170,8 +170,9 @@ def _ready(v: Inputs):
 
 
 def _refined(v: Inputs):
-    def extract(docs, iteration):
-        return v("candidates").join(docs.select("doc_id"), "doc_id", "left_semi").where(F.col("seq") <= iteration)
+    def extract(docs, iteration):  # only the orders that are asked for, before they become several candidates each
+        asked = v("orders").join(docs.select(F.col("doc_id").alias("o_orderkey")), "o_orderkey", "left_semi")
+        return Inputs(v.spark, v.sf_dir, {"orders": asked})("candidates").where(F.col("seq") <= iteration)
 
     return a.iterative_refine(v.sql(_TYPES), extract, _required(v), 3, 0.5)[1].select("doc_id", "iteration", "stop_reason")
 

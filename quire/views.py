@@ -166,16 +166,16 @@ def needed(sql: str) -> list[str]:
 
 
 class Inputs:
-    """The driver tables and derived views of one folder, as DataFrames by name."""
+    """The driver tables and derived views of one folder, as DataFrames by name; ``given`` tables stand for those of the folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None):
+        self.spark, self.sf_dir, self.given = spark, sf_dir, given or {}
 
     def __call__(self, name: str) -> DataFrame:
         return self.table(name) if name in TABLES else self.sql(f"SELECT * FROM {name}")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.given[name] if name in self.given else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, query: str) -> DataFrame:
         """``query`` over tables and views."""

@@ -137,6 +137,26 @@ def test_refinement_equals_brute_force(spark):
     assert sorted((r["doc_id"], r["field"], r["value"]) for r in kept.collect()) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "y"), (4, "a", "x"), (5, "a", "r")]
 
 
+def test_refinement_deals_candidates_once(spark):
+    """A pass deals its candidates by document once, and the documents and their states once each; it used to read what it merged several times."""
+    need = spark.createDataFrame([("pair", "a")], "document_type string, field string")
+    rows = spark.range(20_000).selectExpr("id % 2000 AS doc_id", "id AS seq", "concat('f', id div 2000) AS field", "sha2(cast(id AS string), 256) AS value", "0.1D AS confidence",
+        "true AS is_valid", "0L AS extracted_at", "cast(null AS bigint) AS page")
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'pair' AS document_type")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = {x.stageId() for x in _all(spark, store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    kept, passes = candidates.iterative_refine(docs, lambda open_, i: rows, need, 1, 0.5)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = _all(spark, store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    assert sum(x.shuffleWriteRecords() for x in stages if x.stageId() not in seen) <= 20_000 + 2 * 2000
+    assert kept.count() == 20_000 and passes.count() == 2000
+
+
+def _all(spark, sequence):
+    return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sequence))
+
+
 def test_resume_twice_is_no_work(spark):
     docs = spark.createDataFrame([("a", "f1", "l1"), ("b", "f2", "l2"), ("c", "f3", "l3")], "source string, fingerprint string, legacy_fingerprint string")
     schema = "source string, fingerprint string, fingerprint_version int, status string, output_files array<string>, owned_files array<string>, updated long"
