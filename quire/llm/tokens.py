@@ -32,6 +32,12 @@ _TOGETHER = 2000  # units encoded in one text
 _LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _DIGIT[0x30:0x3A] = True
+_KIND = np.where(_LETTER, 0, np.where(_DIGIT, 1, 2)).astype(np.uint8)
+_KIND[[*range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 0
+_ODD = np.zeros(256, bool)
+_ODD[[0x27, 0xC2, *range(0xCA, 0x100)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 _NO_LETTERS = np.array([int.from_bytes(c.encode(), "big") for c in "×÷İ"])  # between U+00C0 and U+024F: two signs, and one whose lower case is two characters
 
 
@@ -61,12 +67,49 @@ def space_bounds(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, np.r_[start[1:], n]
 
 
+def _runs(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte: whether a run of letters, a digit or a run of other characters begins there, and whether it belongs to a character of which that isn't plain to see."""
+    kind, odd = _KIND[text], _ODD[text]
+    at = np.flatnonzero((text[:-1] == 0xC3) | (text[:-1] == 0xC4))
+    odd[at] = np.isin(text[at].astype(np.int64) << 8 | text[at + 1], _NO_LETTERS)
+    new = kind == 1
+    new[1:] |= kind[1:] != kind[:-1]
+    new[start] = True
+    new &= (text & 0xC0) != 0x80  # a second byte belongs to the letter before it
+    return new, odd
+
+
+def _before(flag: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(flag)]
+
+
+def run_bounds(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case, and starts and ends of runs of words. A word with an odd character stays one unit in its own case."""
+    start, end = word_bounds(text, cut)
+    if not len(start):
+        return text, start, end
+    new, odd = _runs(text, start)
+    inner, low = new & ~SPACE[text], _LOWER[text]
+    strange = np.unique(np.searchsorted(start, np.flatnonzero(odd), side="right") - 1)
+    if len(strange):
+        mark = np.zeros(len(text) + 1, np.int8)
+        mark[start[strange]] += 1
+        mark[end[strange]] -= 1
+        whole = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
+        inner[whole], low[whole] = False, text[whole]
+    leads = np.zeros(len(text), bool)
+    leads[start] = True
+    inner |= leads
+    first = np.flatnonzero(inner)
+    return low, first, np.minimum(np.r_[first[1:], len(text)], end[np.cumsum(leads[first]) - 1])
+
+
 class UnitTokenizer:
     """Encodes texts with a tokenizer file.
 
     How units are cut follows from the file's pre-tokenizer. Byte-level with its own pattern (a space may
     lead a token): before single spaces between two other characters. A pattern that drops white
-    space: at ASCII white space. Any other: a whole text is one unit. Strings of special tokens
+    space: at ASCII white space, and between letters, digits and other characters; upper case is its lower case there. Any other: a whole text is one unit. Strings of special tokens
     inside a text are ordinary text.
     """
 
@@ -97,7 +140,20 @@ class UnitTokenizer:
         self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.count, self.used = 0, 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start, self.length, self.size, self.head = (np.zeros(1 << 14, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+        self.start, self.length, self.size, self.head, self.again = (np.zeros(1 << 14, k) for k in (np.int64, np.int64, np.int64, np.uint64, bool))
+
+    def _renew(self) -> None:
+        """A full cache keeps the units that were met again, if they fill half of it at most."""
+        taken = np.flatnonzero(self.keys)
+        keys = np.zeros(self.count, np.uint64)
+        keys[self.entry[taken]] = self.keys[taken]
+        keep = np.flatnonzero(self.again[: self.count])
+        start, n, size, head, flat = self.start[keep], self.length[keep], self.size[keep], self.head[keep], self.flat
+        total = int(n.sum())
+        self._clear()
+        if len(keep) <= self.most // 2 and total <= CACHE_IDS // 2:
+            at = np.cumsum(n) - n
+            self._store(keys[keep], flat[np.arange(total) + np.repeat(start - at, n)], n, size, head)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entries of hashes, -1 for unknown ones; linear probing in arrays."""
@@ -122,18 +178,10 @@ class UnitTokenizer:
 
     def _edges(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How many tokens of each unit will be an edge (lead with a space, or end a word); 0 where that isn't plain to see."""
-        before = lambda flag: np.r_[0, np.cumsum(flag)]
         if self.spaced:
-            spaces = before(text == 0x20)
+            spaces = _before(text == 0x20)
             return np.where((text[start] == 0x20) & (end - start > 1) & (spaces[end] - spaces[start] == 1), 1, 0)
-        kind = np.where(_LETTER[text], 0, np.where(_DIGIT[text], 1, 2))
-        part = (text & 0xC0) == 0x80  # a second byte belongs to the letter before it
-        two = np.r_[text[:-1].astype(np.int64) << 8 | text[1:], 0] if len(text) else np.zeros(0, np.int64)
-        odd = (text == 0x27) | (text >= 0xCA) | (text == 0xC2) | np.isin(two, _NO_LETTERS)
-        kind[(text >= 0xC3) & (text < 0xCA) | part] = 0
-        new = (kind == 1) | np.r_[True, kind[1:] != kind[:-1]]
-        new[start] = True
-        runs, strange = before(new & ~part), before(odd)
+        runs, strange = map(_before, _runs(text, start))
         return np.where(strange[end] == strange[start], runs[end] - runs[start], 0)
 
     def _encode_units(self, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +211,17 @@ class UnitTokenizer:
 
     def _learn(self, text: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
         ids, n = self._encode_units(text, start, end)
+        self._store(h, ids, n, end - start, head)
+
+    def _store(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray, size: np.ndarray, head: np.ndarray) -> None:
         new, total = len(h), len(ids)
         while len(self.start) < self.count + new:
-            for name in ("start", "length", "size", "head"):
+            for name in ("start", "length", "size", "head", "again"):
                 setattr(self, name, np.r_[getattr(self, name), np.zeros_like(getattr(self, name))])
         while len(self.flat) < self.used + total:
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         own = slice(self.count, self.count + new)
-        self.start[own], self.length[own], self.size[own], self.head[own] = self.used + np.cumsum(n) - n, n, end - start, head
+        self.start[own], self.length[own], self.size[own], self.head[own], self.again[own] = self.used + np.cumsum(n) - n, n, size, head, False
         self.flat[self.used : self.used + total] = ids
         self._insert(h, np.arange(self.count, self.count + new))
         self.count, self.used = self.count + new, self.used + total
@@ -178,7 +229,7 @@ class UnitTokenizer:
     def _slice(self, text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents in these bytes, and where each begins (one more at the end)."""
         if self.words:
-            start, end = word_bounds(text, off[:-1])
+            text, start, end = run_bounds(text, off[:-1])
         elif self.spaced:
             start, end = space_bounds(text, np.unique(off))
         else:
@@ -187,19 +238,27 @@ class UnitTokenizer:
         pad = np.r_[text, np.zeros(8, np.uint8)]
         eight = np.lib.stride_tricks.sliding_window_view(pad, 8)[start]
         head = np.ascontiguousarray(np.where(np.arange(8) < (end - start)[:, None], eight, 0)).view(np.uint64).ravel() if len(start) else np.zeros(0, np.uint64)
-        for attempt in (0, 1):
+        def look() -> tuple[np.ndarray, np.ndarray]:
             at = self._find(h)
             known = at >= 0
             known[known] = (self.size[at[known]] == (end - start)[known]) & (self.head[at[known]] == head[known])
-            if known.all() or attempt:
-                break
+            return at, known
+
+        def unknown() -> np.ndarray:
             _, first = np.unique(h[~known], return_index=True)
-            first = np.flatnonzero(~known)[first]
-            if self.count + len(first) > self.most or self.used > CACHE_IDS:  # begin anew with what this slice needs
-                self._clear()
-                first = np.unique(h, return_index=True)[1]
+            return np.flatnonzero(~known)[first]
+
+        at, known = look()
+        self.again[at[known]] = True
+        if not known.all():
+            first = unknown()
+            if self.count + len(first) > self.most or self.used > CACHE_IDS:
+                self._renew()
+                at, known = look()
+                first = unknown()
             self._ensure(len(first))
             self._learn(text, h[first], start[first], end[first], head[first])
+            at, known = look()
         n = np.where(known, self.length[at], 0)
         if not known.all():  # units that share a hash with others: rare, encoded on their own
             odd = np.flatnonzero(~known)

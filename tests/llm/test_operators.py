@@ -277,6 +277,20 @@ def test_unit_tokenizer_equals_the_library(name):
             assert np.array_equal(got, t.tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_unit_tokenizer_learns_runs_once_and_keeps_what_comes_again(monkeypatch):
+    t = tokens.UnitTokenizer(queries.tokenizer_file(queries.WORD_BPE), cache=100)
+    asked, encode = [], t._encode_units
+    monkeypatch.setattr(t, "_encode_units", lambda text, start, end: asked.extend(bytes(text[a:b]) for a, b in zip(start, end)) or encode(text, start, end))
+    often = "Often often, OFTEN. (often) don't Don't \u00e9t\u00e9s-\u00c9"
+    rng = np.random.default_rng(5)
+    for i in range(40):
+        text = often + " " + " ".join("".join(rng.choice(list("abcdefghij"), 9)) for _ in range(20))
+        assert np.array_equal(t.encode([text])[0], t.tokenizer.encode(text, add_special_tokens=False).ids)
+    for unit in (b"often", b",", b"(", b"don't", b"Don't", "\u00e9t\u00e9s".encode()):
+        assert asked.count(unit) == 1, unit  # the cache was full several times
+    assert b"often," not in asked and t.count <= 100
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
