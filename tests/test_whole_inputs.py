@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import distance, markup
 from quire.operators import scoring
@@ -115,3 +116,23 @@ def test_jobs_and_traces_read_whole_texts(spark):
 def test_markdown_documents_hold_all_lines(spark):
     docs = Inputs(spark, SF)("md_docs").selectExpr("count(*)", "sum(length(text) - length(replace(text, chr(10), '')) - 3)").first()
     assert tuple(docs) == duckdb.sql(f"SELECT count(DISTINCT l_orderkey), count(*) FROM '{SF}/lineitem.parquet'").fetchall()[0]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """A registered query leaves Arrow batches of a few MB, however long its texts; a setting of the user's own stays."""
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    from quire import plans
+
+    @arrow_udf("long")
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    session = spark.newSession()
+    plans.queries()["e06_presence_with_edits"](session, "/root/testdata/sf0.001")
+    texts = session.range(5000).repartition(1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert texts.select(F.max(size("text"))).first()[0] < 10 << 20
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    plans.queries()["e06_presence_with_edits"](session, "/root/testdata/sf0.001")
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
