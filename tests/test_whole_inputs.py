@@ -1,6 +1,7 @@
 """The derived inputs hold the whole of the tables they come from."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -136,3 +137,28 @@ def test_batches_of_long_texts_are_bounded(spark):
     session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
     plans.queries()["e06_presence_with_edits"](session, "/root/testdata/sf0.001")
     assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+
+
+def test_distances_of_many_pairs_follow_their_edits():
+    """Waves, narrow and wide, against bits; damage that goes one way takes less than a band that just holds the distance."""
+    rng, words = random.Random(6), "the other father went there with her brother under water etc. été 日本".split()
+    texts = [" ".join(rng.choices(words, k=rng.choice([40, 300, 900]))) for _ in range(60)]
+    pairs = [(t, t.replace("th", "tn").replace("er ", " ") + " the end") for t in texts]
+    pairs += [(t, damaged(rng, t, "abc é", len(t) // rng.choice([5, 15, 50]))) for t in texts]
+    pairs += [(b, a) for a, b in pairs[::7]] + [(a.split(), b.split()) for a, b in pairs[::5]] + [("x" * 5000, "y" * 4000), ("ab" * 3000, "ba" * 3000), ("", "a"), ("a", "a")]
+    pairs += [("".join(map(chr, range(256, 9000))), "".join(map(chr, range(300, 9100, 1))).replace("Ā", "a")), ("𝄞ab" * 200, "b𝄞a" * 200)]
+    want = [len(a) + len(b) if not a or not b else distance._bits(a, b) for a, b in pairs]
+    texts_only = [i for i, (a, _) in enumerate(pairs) if isinstance(a, str)]
+    assert distance.all_edits([pairs[i] for i in texts_only]) == [want[i] for i in texts_only]
+    lists = [i for i in range(len(pairs)) if i not in texts_only]
+    assert distance.all_edits([pairs[i] for i in lists]) == [want[i] for i in lists]
+    for slack, n in ((distance.SLACK, 240), (1 << 40, 60)):  # each way on its own; narrow waves find all that the items tell nearly
+        some = [(pairs[i], want[i]) for i in texts_only[:n] if min(map(len, pairs[i])) > 128]
+        got = distance._waves([p for p, _ in some], slack, [min(map(len, p)) - 1 for p, _ in some])
+        assert all(g in (w, None) if slack == distance.SLACK else g == w for g, (_, w) in zip(got, some)) and sum(g is not None for g in got) > 30
+    long = [(t, t.replace("th", "tn").replace("er ", " ") + " the end") for t in (" ".join(rng.choices(words + "some plain words in a row that stay as they are".split(), k=1000)) for _ in range(60))]
+    began = time.perf_counter()
+    got = distance.all_edits(long)
+    waves, began = time.perf_counter() - began, time.perf_counter()
+    assert got == [distance._banded(a, b, d + 1) for (a, b), d in zip(long, got)]
+    assert 2 * waves < time.perf_counter() - began
