@@ -70,17 +70,59 @@ def _walked(table: np.ndarray, row: np.ndarray, col: np.ndarray, text: list, hea
         columns[c], before = with_own(above, i), with_own(before, i)
 
 
-def _reached(order: np.ndarray, starts: np.ndarray, others: np.ndarray, text: list, heading: list) -> list[list]:
-    """The names of the headings that each cell's links lead to, or of the cells where they end; ``order`` from the near end on."""
-    none: frozenset = frozenset()
-    names, ends, found = [none] * len(text), [none] * len(text), [[]] * len(text)
+class _Sets:
+    """Sets of names of headings, or of cells where there is none, as numbers; what sets together or one more name make is worked out once. 0 is empty."""
+
+    def __init__(self) -> None:
+        self.sets: list[tuple[frozenset, bool]] = [(frozenset(), False)]  # names, and whether of headings
+        self.numbers = {self.sets[0]: 0}
+        self.made: dict[tuple, int] = {}
+
+    def _number(self, names: frozenset, headings: bool) -> int:
+        n = self.numbers.setdefault((names, headings), len(self.sets))
+        if n == len(self.sets):
+            self.sets.append((names, headings))
+        return n
+
+    def with_heading(self, n: int, name: str) -> int:
+        made = self.made.get((n, name))
+        if made is None:
+            names, headings = self.sets[n]
+            made = self.made[n, name] = self._number((names if headings else frozenset()) | {name}, True)
+        return made
+
+    def end(self, name: str | None) -> int:
+        return self._number(frozenset((name,)), False)
+
+    def together(self, numbers: list[int]) -> int:
+        """Of all names of headings, of ends only if there are no headings."""
+        key = tuple(sorted(set(numbers)))
+        if len(key) == 1:
+            return key[0]
+        made = self.made.get(key)
+        if made is None:
+            headings = any(self.sets[n][1] for n in key)
+            made = self.made[key] = self._number(frozenset().union(*(self.sets[n][0] for n in key if self.sets[n][1] == headings)), headings)
+        return made
+
+
+def _reached(order: np.ndarray, starts: np.ndarray, others: np.ndarray, text: list, heading: list, sets: _Sets) -> list[int]:
+    """The names of the headings that each cell's links lead to, or of the cells where they end; ``order`` from the near end on. Most cells hand on what they are
+    led to."""
+    leads, found = [0] * len(text), [0] * len(text)
+    starts, others = starts.tolist(), others.tolist()
     for i in order.tolist():
-        on = others[starts[i] : starts[i + 1]].tolist()
-        mine = none.union(*(names[n] for n in on)) if len(on) != 1 else names[on[0]]
-        far = none.union(*(ends[n] for n in on)) if len(on) != 1 else ends[on[0]]
-        found[i] = sorted(mine or far, key=lambda x: (x is not None, x or ""))
-        names[i] = mine | {text[i]} if heading[i] and text[i] is not None else mine
-        ends[i] = far if on else frozenset((text[i],))
+        begin, end = starts[i], starts[i + 1]
+        if end - begin == 1:
+            n = leads[others[begin]]
+        else:
+            n = sets.together([leads[o] for o in others[begin:end]]) if end > begin else 0
+        found[i] = n
+        if heading[i] and text[i] is not None:
+            n = sets.with_heading(n, text[i])
+        elif end == begin:
+            n = sets.end(text[i])
+        leads[i] = n
     return found
 
 
@@ -119,11 +161,11 @@ def around(batch: pa.RecordBatch, shown: tuple[str, ...]) -> Iterator[pa.RecordB
         if c in shown:
             made[c] = pa.ListArray.from_arrays(pa.array(links[c][0], pa.int32()), own_text.take(pa.array(links[c][1])))
 
-    def rows_of(at: np.ndarray | slice, top: list | None = None, left: list | None = None) -> pa.RecordBatch:
+    def rows_of(at: np.ndarray | slice, top: pa.Array | None = None, left: pa.Array | None = None) -> pa.RecordBatch:
         picked = pa.array(at)
         out = [batch.column("doc_id").take(pa.array(own_table[at])), batch.column("table_no").take(pa.array(own_table[at])),
             *[pa.array(v[at], kinds[c]) for c, v in (("cell_id", entry[own]), ("row_no", own_row), ("col_no", own_col))], own_text.take(picked)]
-        out += [pa.array({"top_heading": top, "left_heading": left}[c], pa.list_(pa.string())) if c.endswith("_heading") else made[c].take(picked) for c in shown]
+        out += [{"top_heading": top, "left_heading": left}[c] if c.endswith("_heading") else made[c].take(picked) for c in shown]
         return pa.RecordBatch.from_arrays(out, ["doc_id", "table_no", "cell_id", "row_no", "col_no", "text", *shown])
 
     everything = np.arange(len(own))
@@ -131,21 +173,29 @@ def around(batch: pa.RecordBatch, shown: tuple[str, ...]) -> Iterator[pa.RecordB
         yield rows_of(everything)
         return
     text, heads = own_text.to_pylist(), own_heading.tolist()
-    if plain:
-        by_place = np.lexsort((own_col, own_row, own_table))
-        walk = _walked(own_table[by_place], own_row[by_place], own_col[by_place], own_text.take(pa.array(by_place)).to_pylist(), own_heading[by_place].tolist())
-    else:
-        by_place = everything
-        top = _reached(np.lexsort((own_row, own_table)), *links["up"], text, heads)
-        left = _reached(np.lexsort((own_col, own_table)), *links["left"], text, heads)
-        walk = zip(range(len(text)), top, left)
+    if not plain:
+        sets = _Sets()
+        top, left = (np.array(_reached(np.lexsort((along, own_table)), *links[side], text, heads, sets)) for along, side in ((own_row, "up"), (own_col, "left")))
+        lengths = np.array([len(names) for names, _ in sets.sets])
+        size = np.cumsum(lengths[top] + lengths[left] + 1)
+        begin = 0
+        while begin < len(size):
+            end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + SHOWN, "right")))
+            few, at = np.unique(np.concatenate([top[begin:end], left[begin:end]]), return_inverse=True)
+            both = pa.array([sorted(sets.sets[n][0], key=lambda x: (x is not None, x or "")) for n in few.tolist()], pa.list_(pa.string()))
+            yield rows_of(everything[begin:end], both.take(pa.array(at[: end - begin])), both.take(pa.array(at[end - begin :])))
+            begin = end
+        return
+    by_place = np.lexsort((own_col, own_row, own_table))
+    walk = _walked(own_table[by_place], own_row[by_place], own_col[by_place], own_text.take(pa.array(by_place)).to_pylist(), own_heading[by_place].tolist())
+    listed = lambda x: pa.array(x, pa.list_(pa.string()))
     begin, size, tops, lefts = 0, 0, [], []
     for i, a, b in walk:
         tops.append(a)
         lefts.append(b)
         size += len(a) + len(b) + 1
         if size > SHOWN:
-            yield rows_of(by_place[begin : i + 1], tops, lefts)
+            yield rows_of(by_place[begin : i + 1], listed(tops), listed(lefts))
             begin, size, tops, lefts = i + 1, 0, [], []
     if tops:
-        yield rows_of(by_place[begin:], tops, lefts)
+        yield rows_of(by_place[begin:], listed(tops), listed(lefts))

@@ -314,7 +314,7 @@ PLANS = {
     "m04_html_table_cells": (lambda v: m.html_table_cells(_pages(v)), _SPANNED_SQL),
     "m05_cell_neighbors": (lambda v: m.cell_neighbors(m.markdown_tables(v("md_docs"))).select("doc_id", "table_no", "row_no", "col_no", "text", *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""WITH {_MD} SELECT doc_id, table_no, row_no, col_no, text, coalesce(lag(text) OVER c2, '') AS up, coalesce(lead(text) OVER c2, '') AS down, coalesce(lag(text) OVER r2, '') AS "left", coalesce(lead(text) OVER r2, '') AS "right" FROM cells
         WINDOW c2 AS (PARTITION BY doc_id, col_no ORDER BY row_no), r2 AS (PARTITION BY doc_id, row_no ORDER BY col_no)"""),
-    "m05_spanned_neighbors": (lambda v: m.cell_neighbors(m.html_tables(_pages(v))).select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""
+    "m05_spanned_neighbors": (lambda v: m.cell_neighbors(_pages(v)).select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("up", "down", "left", "right")]), f"""
         WITH cells AS ({_SPANNED_SQL}), f AS (SELECT doc_id, cell_id, min(row_no) AS y, min(col_no) AS x, any_value(text) AS text FROM cells GROUP BY ALL),
           n AS (SELECT DISTINCT a.doc_id, a.cell_id, CASE WHEN b.row_no < a.row_no THEN 'up' WHEN b.row_no > a.row_no THEN 'down'
               WHEN b.col_no < a.col_no THEN 'left' ELSE 'right' END AS side, b.cell_id AS other
@@ -331,7 +331,7 @@ PLANS = {
           coalesce((SELECT array_to_string(list_sort(list_distinct(list(x.text))), '|') FROM cells x
               WHERE x.doc_id = k.doc_id AND x.row_no = k.row_no AND x.col_no < k.col_no AND x.is_heading), (SELECT arg_min(x.text, x.col_no) FROM cells x
               WHERE x.doc_id = k.doc_id AND x.row_no = k.row_no AND x.col_no < k.col_no), '') AS left_heading FROM cells k"""),
-    "m06_spanned_headings": (lambda v: m.cell_headings(m.html_tables(_pages(v))).where("row_no > 1 and col_no > 0").select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("top_heading", "left_heading")]), f"""
+    "m06_spanned_headings": (lambda v: m.cell_headings(_pages(v)).where("row_no > 1 and col_no > 0").select("doc_id", F.col("cell_id").cast("int").alias("cell_id"), *[F.array_join(c, "|").alias(c) for c in ("top_heading", "left_heading")]), f"""
         WITH cells AS ({_SPANNED_SQL}), f AS (SELECT doc_id, cell_id, min(col_no) AS x, bool_or(EXISTS (SELECT 1 FROM cells w
             WHERE w.doc_id = c.doc_id AND w.row_no <= c.row_no AND w.row_no > 1 AND w.col_no = 2 AND EXISTS (SELECT 1 FROM cells z
             WHERE z.doc_id = w.doc_id AND z.cell_id = w.cell_id AND z.col_no = 3))) AS wide FROM cells c WHERE row_no > 1 AND col_no > 0 GROUP BY ALL)
